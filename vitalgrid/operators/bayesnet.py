@@ -153,7 +153,7 @@ def joint_table(tables: DataFrame, keys: list[str]) -> DataFrame:
         at = F.split("given", ",")
         one = tables.where(F.col("variable") == variable).select(
             *keys,
-            *[at[i].cast("int").alias(p) for i, p in enumerate(parents)],
+            *[F.get(at, F.lit(i)).try_cast("int").alias(p) for i, p in enumerate(parents)],
             F.col("state").alias(variable),
             F.col("p").alias("_p"),
         )

@@ -26,16 +26,17 @@ def with_label_index(df: DataFrame, label: str = "activity", out: str = "label_i
 
 def fit_forest(
     df: DataFrame, columns: list[str], label_idx: str = "label_idx", prefix: str = "",
-    settings: dict | None = None, seed: int = SEED,
+    settings: dict | None = None, seed: int = SEED, vector: str | None = None,
 ) -> PipelineModel:
-    """Assemble ``columns`` and grow the forest; both on the executors.
+    """Assemble ``columns`` (or take the ``vector`` column) and grow the forest.
 
     Output columns carry ``prefix`` so that several models can score one table in
     turn, each keeping the row: no join back by position.
     """
-    features = f"{prefix}features"
+    features = vector or f"{prefix}features"
+    assemble = [] if vector else [VectorAssembler(inputCols=columns, outputCol=features, handleInvalid="keep")]
     stages = [
-        VectorAssembler(inputCols=columns, outputCol=features, handleInvalid="keep"),
+        *assemble,
         RandomForestClassifier(
             labelCol=label_idx, featuresCol=features, predictionCol=f"{prefix}prediction",
             rawPredictionCol=f"{prefix}raw", probabilityCol=f"{prefix}probability",

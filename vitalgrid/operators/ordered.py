@@ -58,10 +58,9 @@ def with_lead_in(
         )
         # A piece that exists holds at least one row, so n pieces back suffice.
         span = Window.partitionBy(*keys).orderBy(PIECE).rowsBetween(-n, -1)
-        tail = F.slice(
-            F.sort_array(F.flatten(F.collect_list("_ends").over(span)), asc=False), 1, n
-        )
-        carried = ends.select(*keys, PIECE, F.explode(tail).alias("_t")).select(
+        near = ends.withColumn("_near", F.flatten(F.collect_list("_ends").over(span)))
+        tail = F.slice(F.sort_array("_near", asc=False), 1, n)
+        carried = near.select(*keys, PIECE, F.explode(tail).alias("_t")).select(
             *keys, PIECE, F.col("_t.b").alias("_end")
         )
     carried = carried.select(

@@ -168,7 +168,7 @@ def network_tables(networks: DataFrame) -> DataFrame:
             _trimmed_list(F.regexp_extract("b", TABLE_BLOCK, 2)).alias("parents"),
             F.explode(F.split(F.regexp_extract("b", TABLE_BLOCK, 3), ";")).alias("line"),
         )
-        .where("trim(line) <> ''")
+        .where(F.col("line").rlike(r"\S"))
         .select(
             "network", "variable", "parents",
             _trimmed_list(F.regexp_extract("line", r"\(([^)]*)\)", 1)).alias("names"),
@@ -189,7 +189,7 @@ def network_tables(networks: DataFrame) -> DataFrame:
     return named.select(
         "network", "variable", F.concat_ws(",", given).alias("given"),
         F.posexplode("ps").alias("state", "_p"),
-    ).select("network", "variable", "given", "state", F.col("_p").cast("double").alias("p"))
+    ).select("network", "variable", "given", "state", F.col("_p").try_cast("double").alias("p"))
 
 
 def network_text(tables: DataFrame, cuts: DataFrame, labels: list[str], parents: dict[str, list[str]]) -> DataFrame:
