@@ -27,7 +27,7 @@ def last_per_time(events: DataFrame, keys: list[str], sensor: str, ts: str, tie:
 
 
 def group_clock(
-    events: DataFrame, keys: list[str], sensor: str, ts: str, reference: str, step_ms: int,
+    events: DataFrame, keys: list[str], sensor: str, ts: str, reference: str,
     sensors: list[str] | None = None,
 ) -> DataFrame:
     """Per group: ``t0``, the slowest sensor ``slow`` and how many sensors report.
@@ -86,8 +86,10 @@ def align(
     """Long form: one row per (group, anchor, sensor) with the chosen event's columns."""
     known = events.where(F.col(sensor).isin(sensors))
     unique = last_per_time(known, keys, sensor, ts, tie)
-    clock = group_clock(unique, keys, sensor, ts, reference, step_ms, sensors if require_all else None)
-    probes = anchors(unique, clock, keys, sensor, ts, step_ms, piece_ms).withColumn(
+    # Clock and anchors need times only: both use this one distinct, without payload.
+    times = known.select(*keys, sensor, ts).distinct()
+    clock = group_clock(times, keys, sensor, ts, reference, sensors if require_all else None)
+    probes = anchors(times, clock, keys, sensor, ts, step_ms, piece_ms).withColumn(
         sensor, F.explode(F.array(*[F.lit(s) for s in sensors]))
     )
     near = neighbours(probes, unique, [*keys, sensor], "anchor", ts, [], piece_ms)

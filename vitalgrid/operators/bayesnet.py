@@ -32,6 +32,7 @@ ACTIVITY_STATES = ["SITTING", "WALKING", "WALKING_DOWN", "WALKING_UP"]
 N_STATES = 4
 JOINT_ROWS = N_STATES ** len(PARENTS)
 BROADCAST_ROWS = 1_000_000
+POSTERIOR_DIGITS = 12
 
 
 def activity_state(label: str) -> Column:
@@ -174,7 +175,10 @@ def posterior_table(joint: DataFrame, keys: list[str]) -> DataFrame:
     for v in VARIABLES:
         others = [o for o in VARIABLES if o != v]
         whole = F.sum("joint").over(Window.partitionBy(*keys, *others))
-        posts[f"post_{v}"] = F.coalesce(F.try_divide(F.col("joint"), whole), F.lit(0.0))
+        share = F.coalesce(F.try_divide(F.col("joint"), whole), F.lit(0.0))
+        # The order of a sum differs between runs; without rounding, a posterior
+        # equal to a threshold could fall on either side of it.
+        posts[f"post_{v}"] = F.round(share, POSTERIOR_DIGITS)
     return joint.withColumns(posts)
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from vitalgrid.operators import bayesnet
 from vitalgrid.operators.bayesnet import SIGNALS
+from vitalgrid.session import stored
 
 
 def slot_records(
@@ -37,9 +38,14 @@ def with_states(rows: DataFrame, cuts: DataFrame, keys: list[str], spread: list[
 
 
 def fit(rows: DataFrame, keys: list[str], spread: list[str]) -> tuple[DataFrame, DataFrame]:
-    """Cut points and conditional tables of each network."""
-    cuts = bayesnet.cut_points(rows, keys, SIGNALS)
-    cells = bayesnet.cell_counts(with_states(rows, cuts, keys, spread), keys)
+    """Cut points and conditional tables of each network.
+
+    Two passes over the data, as fitting needs: one for the cut points, one for the
+    counts per state. Both results are small and are stored; everything after works
+    on at most 1024 rows per network.
+    """
+    cuts = stored(bayesnet.cut_points(rows, keys, SIGNALS), "cuts")
+    cells = stored(bayesnet.cell_counts(with_states(rows, cuts, keys, spread), keys), "cells")
     return cuts, bayesnet.fit_tables(cells, keys)
 
 
@@ -48,5 +54,5 @@ def judge(
     max_networks: int | None = None,
 ) -> DataFrame:
     """Posteriors of each record under its network."""
-    table = bayesnet.posterior_table(bayesnet.joint_table(tables, keys), keys)
+    table = stored(bayesnet.posterior_table(bayesnet.joint_table(tables, keys), keys), "posteriors")
     return bayesnet.posteriors(with_states(rows, cuts, keys, spread), table, keys, spread, max_networks)

@@ -133,7 +133,7 @@ def aligned_sensors_by_epoch(spark, sf_dir):
 )
 def slowest_sensor(spark, sf_dir):
     unique = align.last_per_time(sensor_predictions(spark, sf_dir), ["userid"], "sensor", "time_stamp", "eventId")
-    clock = align.group_clock(unique, ["userid"], "sensor", "time_stamp", "gyroscope", STEP)
+    clock = align.group_clock(unique, ["userid"], "sensor", "time_stamp", "gyroscope")
     return clock.select("userid", "slow", "t0")
 
 

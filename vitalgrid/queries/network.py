@@ -41,7 +41,7 @@ _CUT_JOINS = " ".join(
 SHIFT = 1.03
 STATES_SQL = f"""{CUTS_SQL}, states AS (SELECT p.event_id, p.network, {_LABEL_STATE} AS Activity,
   {', '.join(f'{_state_sql(s)} AS {s}' for s in SIGNALS)} FROM physio p {_CUT_JOINS}),
-judged AS (SELECT p.* EXCLUDE ({', '.join(SIGNALS)}), {_LABEL_STATE} AS Activity, {', '.join(f'{_state_sql(s)} AS {s}' for s in SIGNALS)}
+judged AS (SELECT p.* EXCLUDE (activity, {', '.join(SIGNALS)}), {_LABEL_STATE} AS Activity, {', '.join(f'{_state_sql(s)} AS {s}' for s in SIGNALS)}
   FROM (SELECT * REPLACE ({', '.join(f'{s} * {SHIFT}e0 AS {s}' for s in SIGNALS)}) FROM physio) p {_CUT_JOINS})"""
 
 
@@ -78,7 +78,7 @@ _FULL = ", ".join(f"(SELECT unnest(range(4)) AS {v})" for v in VARIABLES)
 JOINT_SQL = f"""{CPT_SQL}, joint AS (SELECT s.*, {' * '.join(f'c{i}.p' for i in range(5))} AS joint
   FROM (SELECT * FROM (SELECT DISTINCT network FROM states), {_FULL}) s {' '.join(_join_cpt(v, f'c{i}') for i, v in enumerate(VARIABLES))}),
 post AS (SELECT *, {', '.join(
-    f"coalesce(joint / nullif(sum(joint) OVER (PARTITION BY network, {', '.join(o for o in VARIABLES if o != v)}), 0), 0) AS post_{v}"
+    f"round(coalesce(joint / nullif(sum(joint) OVER (PARTITION BY network, {', '.join(o for o in VARIABLES if o != v)}), 0), 0), 12) AS post_{v}"
     for v in VARIABLES)} FROM joint),
 answers AS (SELECT j.event_id, j.user_id, j.time_stamp, {', '.join(f'j.event_{v} AS event_{v}' for v in VARIABLES)},
   {', '.join(f'coalesce(post_{v}, 0) AS post_{v}' for v in VARIABLES)}

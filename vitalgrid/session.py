@@ -6,7 +6,7 @@ import os
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 # Runtime settings every job relies on; all are plain Spark options.
 SQL_SETTINGS = {
@@ -47,3 +47,14 @@ def scratch_path(spark: SparkSession, name: str) -> str:
         base = os.path.join(tempfile.gettempdir(), "vitalgrid-scratch")
         spark.conf.set("spark.checkpoint.dir", base)
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """Write a small result once and read it back.
+
+    Cuts the lineage, so later steps neither repeat the work nor lose it with an
+    executor, and gives the planner the table's true size for its join choice.
+    """
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
