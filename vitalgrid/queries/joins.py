@@ -52,7 +52,7 @@ def asof_nearest(spark, sf_dir):
 # --- alignment ------------------------------------------------------------------
 
 STEP = 2 * DAY
-EPOCH = 10 * DAY
+EPOCH = 6 * DAY
 
 
 def align_sql(group: str, rows: str, reference: str, step: int, n_sensors: int = 5) -> str:
