@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from vitalgrid.operators.asof import neighbours
 from vitalgrid.operators.joins import salted_lookup
-from vitalgrid.operators.ordered import lagged, latest_per_key
+from vitalgrid.operators.ordered import lagged, latest_per_key, running_index
 
 
 def last_per_time(events: DataFrame, keys: list[str], sensor: str, ts: str, tie: str) -> DataFrame:
@@ -119,8 +119,18 @@ def nested_events(aligned: DataFrame, keys: list[str], fields: list[str], sensor
     return aligned.groupBy(*keys).agg(F.sort_array(F.collect_list(item)).alias("events"))
 
 
+def event_pages(
+    rows: DataFrame, keys: list[str], order: list[str], size: int, piece_ms: int
+) -> DataFrame:
+    """A key's rows in order, as arrays of at most ``size`` structs, one per ``page``."""
+    body = F.struct("idx", *[F.col(c) for c in rows.columns if c not in keys])
+    page = F.floor((F.col("idx") - 1) / F.lit(size)).cast("bigint")
+    indexed = running_index(rows, keys, order, piece_ms)
+    return indexed.groupBy(*keys, page.alias("page")).agg(F.sort_array(F.collect_list(body)).alias("events"))
+
+
 def missing_sensors(aligned: DataFrame, keys: list[str], sensor: str, names: list[str]) -> DataFrame:
     """Expected minus present sensors of each anchor."""
-    present = F.collect_set(sensor)
+    present = F.collect_set(F.when(F.col(sensor).isin(names), F.col(sensor)))
     expected = F.array(*[F.lit(n) for n in names])
     return aligned.groupBy(*keys).agg(F.sort_array(F.array_except(expected, present)).alias("missing"))

@@ -30,6 +30,10 @@ SIGNALS = ["SKTMP_TEMPERATURE", "GSR_RESISTANCE", "HR_RATE", "RRI_INTERVAL"]
 # States of the activity variable, in network order.
 ACTIVITY_STATES = ["SITTING", "WALKING", "WALKING_DOWN", "WALKING_UP"]
 N_STATES = 4
+# Width of the pieces a signal's values are cut into when they are ranked.
+PIECE_WIDTHS = {
+    "SKTMP_TEMPERATURE": 0.05, "GSR_RESISTANCE": 64.0, "HR_RATE": 1.0, "RRI_INTERVAL": 0.005,
+}
 JOINT_ROWS = N_STATES ** len(PARENTS)
 BROADCAST_ROWS = 1_000_000
 POSTERIOR_DIGITS = 12
@@ -53,15 +57,19 @@ def bin_index(value: Column, cuts: Column) -> Column:
 
 
 def cut_points(
-    df: DataFrame, keys: list[str], signals: list[str], piece_width: float = 64.0
+    df: DataFrame, keys: list[str], signals: list[str], widths: dict[str, float] | None = None
 ) -> DataFrame:
     """Minimum, quartiles and maximum of each signal: ``(keys, variable, cuts)``.
 
     A quartile is the smallest value whose cumulative count reaches its share, so it
     is exact. Equal values are counted on the map side; the running sum goes over
-    distinct values, cut into pieces of ``piece_width`` so that no group of values
-    is one task's work.
+    distinct values, cut into pieces of the signal's width so that no group of
+    values is one task's work.
     """
+    widths = {**PIECE_WIDTHS, **(widths or {})}
+    width = F.lit(1.0)
+    for s, w in widths.items():
+        width = F.when(F.col("variable") == s, F.lit(w)).otherwise(width)
     long = df.select(
         *keys,
         F.explode(
@@ -71,7 +79,7 @@ def cut_points(
     group = [*keys, "variable"]
     counts = (
         long.groupBy(*group, "v").agg(F.count(F.lit(1)).alias("n"))
-        .withColumn(PIECE, F.floor(F.col("v") / F.lit(piece_width)).cast("bigint"))
+        .withColumn(PIECE, F.floor(F.col("v") / width).cast("bigint"))
     )
     pieces = counts.groupBy(*group, PIECE).agg(F.sum("n").alias("_pn"))
     up = Window.partitionBy(*group).orderBy(PIECE)
@@ -122,29 +130,41 @@ def _grid(networks: DataFrame, columns: list[str]) -> DataFrame:
 
 def fit_tables(cells: DataFrame, keys: list[str]) -> DataFrame:
     """Conditional tables ``(keys, variable, given, state, p)``; ``given`` holds the
-    parents' states in listed order. Parent states never seen get a uniform row."""
-    networks = cells.select(*keys).distinct()
-    out = None
-    for variable, parents in PARENTS.items():
-        hit = cells.groupBy(*keys, *parents, variable).agg(F.sum("n").alias("_n"))
-        w = Window.partitionBy(*keys, *parents)
-        table = (
-            _grid(networks, [*parents, variable])
-            .join(hit, [*keys, *parents, variable], "left")
-            .withColumn("_n", F.coalesce("_n", F.lit(0)))
-            .withColumn("_all", F.sum("_n").over(w))
-            .select(
-                *keys,
-                F.lit(variable).alias("variable"),
-                F.concat_ws(",", *[F.col(p).cast("string") for p in parents]).alias("given"),
-                F.col(variable).alias("state"),
-                F.when(F.col("_all") == 0, F.lit(1.0 / N_STATES))
-                .otherwise(F.col("_n") / F.when(F.col("_all") == 0, 1).otherwise(F.col("_all")))
-                .alias("p"),
+    parents' states in listed order. Parent states never seen get a uniform row.
+
+    The counts are laid over the full grid of 1024 states per network, and all five
+    tables are read off it by sums over parts of the state: one shuffle by network.
+    A table's row is taken where the variables it does not mention are 0.
+    """
+    full = (
+        _grid(cells.select(*keys).distinct(), VARIABLES)
+        .join(cells, [*keys, *VARIABLES], "left")
+        .withColumn("n", F.coalesce("n", F.lit(0)))
+        .repartition(*keys)
+    )
+    sums, rows = {}, []
+    for v, parents in PARENTS.items():
+        sums[f"_n_{v}"] = F.sum("n").over(Window.partitionBy(*keys, *parents, v))
+        sums[f"_all_{v}"] = F.sum("n").over(Window.partitionBy(*keys, *parents))
+        rest = [F.col(o) == 0 for o in VARIABLES if o != v and o not in parents]
+        kept = F.lit(True)
+        for r in rest:
+            kept = kept & r
+        share = F.coalesce(F.try_divide(F.col(f"_n_{v}"), F.col(f"_all_{v}")), F.lit(1.0 / N_STATES))
+        rows.append(
+            F.when(
+                kept,
+                F.struct(
+                    F.lit(v).alias("variable"),
+                    F.concat_ws(",", *[F.col(p).cast("string") for p in parents]).alias("given"),
+                    F.col(v).alias("state"), share.alias("p"),
+                ),
             )
         )
-        out = table if out is None else out.unionByName(table)
-    return out
+    return (
+        full.withColumns(sums).select(*keys, F.explode(F.array(*rows)).alias("_r"))
+        .where("_r IS NOT NULL").select(*keys, "_r.*")
+    )
 
 
 def joint_table(tables: DataFrame, keys: list[str]) -> DataFrame:
@@ -170,7 +190,9 @@ def joint_table(tables: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def posterior_table(joint: DataFrame, keys: list[str]) -> DataFrame:
-    """``post_<variable>`` for each full state; 0 where no state is possible."""
+    """``post_<variable>`` for each full state; 0 where no state is possible. All
+    sums share one partitioning by network, a fixed number of rows each."""
+    joint = joint.repartition(*keys)
     posts = {}
     for v in VARIABLES:
         others = [o for o in VARIABLES if o != v]

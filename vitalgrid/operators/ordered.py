@@ -23,6 +23,27 @@ def piece_of(ts: str, piece_ms: int | None) -> Column:
     return F.floor(F.col(ts) / F.lit(piece_ms)).cast("bigint")
 
 
+def fit_piece_ms(
+    rows: DataFrame, keys: list[str], ts: str, widest_ms: int, target_rows: int = 1_000_000
+) -> int:
+    """The widest piece, up to ``widest_ms``, that no key fills with more than about
+    ``target_rows`` rows.
+
+    Counts rows per (key, piece), a pre-aggregated pass over the key and time columns
+    that returns one number, and narrows the width until the fullest piece fits. For
+    evenly spread data the first count settles it.
+    """
+    width = widest_ms
+    while width > 1:
+        fullest = (
+            rows.groupBy(*keys, piece_of(ts, width).alias(PIECE)).count().agg(F.max("count")).first()[0]
+        )
+        if fullest is None or fullest <= target_rows:
+            break
+        width = max(1, width // min(1000, -(-2 * fullest // target_rows)))
+    return width
+
+
 def _before(keys: list[str]):
     return Window.partitionBy(*keys).orderBy(PIECE).rowsBetween(Window.unboundedPreceding, -1)
 

@@ -46,7 +46,7 @@ def fit(rows: DataFrame, keys: list[str], spread: list[str]) -> tuple[DataFrame,
     """
     cuts = stored(bayesnet.cut_points(rows, keys, SIGNALS), "cuts")
     cells = stored(bayesnet.cell_counts(with_states(rows, cuts, keys, spread), keys), "cells")
-    return cuts, bayesnet.fit_tables(cells, keys)
+    return cuts, stored(bayesnet.fit_tables(cells, keys), "tables")
 
 
 def judge(

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from vitalgrid.functions.scalars import rounded, sorted_label_code
 from vitalgrid.functions.timekeys import floor_window
 from vitalgrid.operators import balance, decide
+from vitalgrid.operators.ordered import fit_piece_ms
 from vitalgrid.queries.base import query, r6
 from vitalgrid.queries.ingest import PREDICTION_FILE_SQL, W, stored_predictions
 from vitalgrid.queries.joins import ALIGNED_SQL, aligned_predictions, windowed_labels
@@ -126,7 +127,9 @@ def balance_targets(spark, sf_dir):
     SELECT deviceid, activity, eventId, CAST(unnest(range(times)) AS BIGINT) AS copy_no FROM copies""",
 )
 def oversample_minorities(spark, sf_dir):
-    out = balance.oversample(_labelled(spark, sf_dir), ["deviceid"], "activity", ["time_stamp", "eventId"], 3 * DAY)
+    rows = _labelled(spark, sf_dir)
+    piece = fit_piece_ms(rows, ["deviceid", "activity"], "time_stamp", 3 * DAY)
+    out = balance.oversample(rows, ["deviceid"], "activity", ["time_stamp", "eventId"], piece)
     return out.select("deviceid", "activity", "eventId", "copy_no")
 
 

@@ -410,10 +410,8 @@ def control_messages(spark, sf_dir):
 )
 def recent_accesses(spark, sf_dir):
     ev = view.events(spark, sf_dir)
-    since = ev.agg((F.max("time_stamp") - 86_400_000).alias("since"))  # one row
-    kept = ev.where("event_type NOT LIKE 'err%' AND event_type LIKE '%i%'").join(
-        F.broadcast(since), F.col("time_stamp") >= F.col("since")
-    )
+    since = ev.agg(F.max("time_stamp") - 86_400_000).scalar()
+    kept = ev.where("event_type NOT LIKE 'err%' AND event_type LIKE '%i%'").where(F.col("time_stamp") >= since)
     return kept.select("event_id", "event_type", "time_stamp").orderBy(F.desc("time_stamp"))
 
 

@@ -31,7 +31,8 @@ def _asof(spark, sf_dir, mode):
     rows = view.readings(spark, sf_dir)
     probes = rows.where("sensor = 'gyroscope'").select("userid", "eventId", F.col("time_stamp").alias("t"))
     found = rows.where("sensor = 'accelerometer'").select("userid", F.col("time_stamp").alias("matched"))
-    return asof.asof_join(probes, found, ["userid"], "t", "matched", mode, piece_ms=3 * DAY)
+    piece = ordered.fit_piece_ms(rows, ["userid"], "time_stamp", 3 * DAY)
+    return asof.asof_join(probes, found, ["userid"], "t", "matched", mode, piece_ms=piece)
 
 
 @query("asof_backward", _asof_sql("b"))
@@ -99,9 +100,9 @@ def sensor_predictions(spark, sf_dir):
 
 
 def aligned_predictions(spark, sf_dir):
-    return align.align(
-        sensor_predictions(spark, sf_dir), ["userid"], view.SENSORS, "gyroscope", STEP, piece_ms=5 * DAY
-    )
+    rows = sensor_predictions(spark, sf_dir)
+    piece = ordered.fit_piece_ms(rows, ["userid"], "time_stamp", 5 * DAY)
+    return align.align(rows, ["userid"], view.SENSORS, "gyroscope", STEP, piece_ms=piece)
 
 
 @query("aligned_sensors", f"WITH {ALIGNED_SQL} SELECT userid, anchor, sensor, time_stamp, eventId FROM aligned")
@@ -166,16 +167,18 @@ def nested_events(spark, sf_dir):
 
 @query(
     "user_event_lists",
-    f"""WITH {R} SELECT userid, time_stamp // {DAY} AS day, count(*) AS n, string_agg(eventId, ',' ORDER BY time_stamp, eventId) AS events
-    FROM readings GROUP BY ALL""",
+    f"""WITH {R}, numbered AS (SELECT userid, eventId, row_number() OVER (PARTITION BY userid ORDER BY time_stamp, eventId) AS idx FROM readings)
+    SELECT userid, (idx - 1) // 16 AS page, count(*) AS n, string_agg(eventId, ',' ORDER BY idx) AS events
+    FROM numbered GROUP BY ALL""",
 )
 def user_event_lists(spark, sf_dir):
-    """Events of a user as lists, one per day; a day's list is bounded by sensor rates."""
-    rows = view.readings(spark, sf_dir).groupBy("userid", floor_window("time_stamp", DAY).alias("day"))
-    listed = rows.agg(F.sort_array(F.collect_list(F.struct("time_stamp", "eventId"))).alias("e"))
-    return listed.select(
-        "userid", "day", F.size("e").cast("bigint").alias("n"),
-        F.array_join(F.transform("e", lambda v: v["eventId"]), ",").alias("events"),
+    """All events of a user in order, as lists of a fixed length: a user of any size
+    is spread over many rows and tasks."""
+    rows = view.readings(spark, sf_dir).select("userid", "time_stamp", "eventId")
+    piece = ordered.fit_piece_ms(rows, ["userid"], "time_stamp", 5 * DAY)
+    return align.event_pages(rows, ["userid"], ["time_stamp", "eventId"], 16, piece).select(
+        "userid", "page", F.size("events").cast("bigint").alias("n"),
+        F.array_join(F.transform("events", lambda v: v["eventId"]), ",").alias("events"),
     )
 
 
@@ -225,6 +228,7 @@ def complete_windows(spark, sf_dir):
 def positional_join(spark, sf_dir):
     rows = view.readings(spark, sf_dir).select("eventId", "time_stamp", "sensor")
     order = ["time_stamp", "eventId"]
-    left = ordered.running_index(rows.where("sensor = 'accelerometer'"), [], order, DAY).select("idx", "eventId")
-    right = ordered.running_index(rows.where("sensor = 'gyroscope'"), [], order, DAY)
+    piece = ordered.fit_piece_ms(rows, [], "time_stamp", DAY)
+    left = ordered.running_index(rows.where("sensor = 'accelerometer'"), [], order, piece).select("idx", "eventId")
+    right = ordered.running_index(rows.where("sensor = 'gyroscope'"), [], order, piece)
     return left.join(right.select("idx", F.col("eventId").alias("other")), "idx")

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from vitalgrid.functions.scalars import rounded
 from vitalgrid.operators import decide, features, forests, joins, naive_bayes
+from vitalgrid.operators.ordered import fit_piece_ms
 from vitalgrid.plans import scoring, training
 from vitalgrid.queries.base import query, r6
 from vitalgrid.queries.decisions import CODED_SQL, _THREE, coded_windows
@@ -32,7 +33,8 @@ def gnb_data(spark, sf_dir):
     rows = view.readings(spark, sf_dir).where("sensor = 'barometer'").select(
         "deviceid", "userid", "time_stamp", F.col("x").alias("air_pressure"), F.col("y").alias("temperature"), "activity"
     )
-    sloped = features.slope_features(rows, ["userid"], "time_stamp", W, piece_ms=DAY)
+    piece = fit_piece_ms(rows, ["userid"], "time_stamp", DAY)
+    sloped = features.slope_features(rows, ["userid"], "time_stamp", W, piece_ms=piece)
     labels = rows.groupBy("deviceid", "userid", F.floor(F.col("time_stamp") / W).cast("bigint").alias("window")).agg(
         F.min("activity").alias("label")
     )

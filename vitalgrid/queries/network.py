@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from vitalgrid.functions.scalars import rounded
 from vitalgrid.operators import bayesnet, novelty
 from vitalgrid.operators.bayesnet import ACTIVITY_STATES, PARENTS, SIGNALS, VARIABLES
+from vitalgrid.operators.ordered import fit_piece_ms
 from vitalgrid.plans import novelty as novelty_plan
 from vitalgrid.queries.base import query, r6
 from vitalgrid.session import scratch_path
@@ -183,7 +184,8 @@ alarms AS (SELECT *, coalesce(novel_rate > 0.8, false) AS alarm FROM rated)"""
 def rated(spark, sf_dir, keep_points=False):
     decided = novelty.decide(answers(spark, sf_dir), 0.15)
     slim = decided.select("event_id", "user_id", "time_stamp", "violations", "novel")
-    return novelty.trailing_rate(slim, ["user_id"], ["time_stamp", "event_id"], N, 0.8, 5 * DAY, keep_points)
+    piece = fit_piece_ms(view.physio(spark, sf_dir), ["user_id"], "time_stamp", 5 * DAY)
+    return novelty.trailing_rate(slim, ["user_id"], ["time_stamp", "event_id"], N, 0.8, piece, keep_points)
 
 
 @query("trailing_novelty_rate", f"WITH {RATE_SQL} SELECT event_id, {r6('novel_rate')} AS novel_rate, alarm FROM alarms")

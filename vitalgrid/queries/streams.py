@@ -166,9 +166,9 @@ def stream_late_rows(spark, sf_dir):
     already closed are dropped, the others are counted."""
     runner.prepare(spark)
     ev = view.events(spark, sf_dir)
-    low = ev.agg(F.min("time_stamp").alias("lo"))  # one row
-    parts = ev.join(F.broadcast(low)).withColumn(
-        "part", ((F.col("k") % 10 == 3) | (F.col("time_stamp") >= F.col("lo") + 20 * DAY)).cast("int")
+    turn = ev.agg(F.min("time_stamp") + 20 * DAY).scalar()
+    parts = ev.withColumn(
+        "part", ((F.col("k") % 10 == 3) | (F.col("time_stamp") >= turn)).cast("int")
     ).select("event_type", "time_stamp", "part")
     path = scratch_path(spark, "late")
     schema = "event_type STRING, time_stamp BIGINT"

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from vitalgrid.functions import scalars
 from vitalgrid.functions.scalars import rounded
 from vitalgrid.operators import metrics, parse
+from vitalgrid.operators.ordered import fit_piece_ms
 from vitalgrid.queries.base import query, r6
 from vitalgrid.queries.ingest import POINTS_SQL
 from vitalgrid.session import scratch_path
@@ -74,7 +75,8 @@ def keyed_table_files(spark, sf_dir):
 )
 def metric_post_numbers(spark, sf_dir):
     points = _points(spark, sf_dir).withColumn("id", F.substring(F.col("tags")["event_id"], 2, 20).cast("bigint"))
-    numbered = metrics.number_posts(points, ["name"], ["timestamp", "id"], 50, DAY)
+    piece = fit_piece_ms(points, ["name"], "timestamp", DAY)
+    numbered = metrics.number_posts(points, ["name"], ["timestamp", "id"], 50, piece)
     return numbered.groupBy("name", "post_id").agg(
         F.count(F.lit(1)).alias("n"), F.min("timestamp").alias("first_time"), F.max("timestamp").alias("last_time")
     )
@@ -89,7 +91,8 @@ def metric_post_numbers(spark, sf_dir):
 def metric_post_bodies(spark, sf_dir):
     """Posts as text, written, read back and counted."""
     points = _points(spark, sf_dir).withColumn("id", F.substring(F.col("tags")["event_id"], 2, 20).cast("bigint"))
-    numbered = metrics.number_posts(points, ["name"], ["timestamp", "id"], 50, DAY)
+    piece = fit_piece_ms(points, ["name"], "timestamp", DAY)
+    numbered = metrics.number_posts(points, ["name"], ["timestamp", "id"], 50, piece)
     bodies = metrics.posts(numbered, ["name"])
     path = scratch_path(spark, "posts")
     sinks.write_json_lines(bodies, path)

@@ -86,7 +86,8 @@ def lag_slopes(spark, sf_dir):
     unique = features.distinct_readings(
         _barometer(spark, sf_dir), ["userid"], ["time_stamp", "air_pressure", "temperature"], "time_stamp", W
     )
-    out = features.slopes(unique, ["userid", "window"], "time_stamp", ["air_pressure", "temperature"], DAY)
+    piece = ordered.fit_piece_ms(unique, ["userid"], "time_stamp", DAY)
+    out = features.slopes(unique, ["userid", "window"], "time_stamp", ["air_pressure", "temperature"], piece)
     return out.select(
         "userid", F.col("window").alias("win"), "time_stamp",
         rounded(F.col("slope_air_pressure") * 1e6).alias("slope_pressure"),
@@ -100,7 +101,9 @@ def lag_slopes(spark, sf_dir):
     FROM sloped GROUP BY ALL""",
 )
 def slope_features(spark, sf_dir):
-    out = features.slope_features(_barometer(spark, sf_dir), ["userid"], "time_stamp", W, piece_ms=DAY)
+    rows = _barometer(spark, sf_dir)
+    piece = ordered.fit_piece_ms(rows, ["userid"], "time_stamp", DAY)
+    out = features.slope_features(rows, ["userid"], "time_stamp", W, piece_ms=piece)
     return out.select(
         "userid", F.col("window").alias("win"),
         *[rounded(F.col(c) * 1e6).alias(c) for c in features.SLOPE_FEATURES],
@@ -129,7 +132,8 @@ def forward_fill(spark, sf_dir):
         "userid", "time_stamp", "eventId", F.when(F.col("k") % 3 == 0, F.col("x")).alias("x"),
         F.when(F.col("sensor") == "gyroscope", F.col("z")).alias("z"),
     )
-    out = ordered.forward_fill(holes, ["userid"], ["time_stamp", "eventId"], ["x", "z"], 2 * DAY)
+    piece = ordered.fit_piece_ms(holes, ["userid"], "time_stamp", 2 * DAY)
+    out = ordered.forward_fill(holes, ["userid"], ["time_stamp", "eventId"], ["x", "z"], piece)
     return out.select("userid", "time_stamp", rounded("x").alias("x"), "z")
 
 
@@ -139,7 +143,8 @@ def forward_fill(spark, sf_dir):
 )
 def ordinal_position(spark, sf_dir):
     rows = view.readings(spark, sf_dir).select("eventId", "time_stamp")
-    return ordered.running_index(rows, [], ["time_stamp", "eventId"], DAY).select("eventId", "idx")
+    piece = ordered.fit_piece_ms(rows, [], "time_stamp", DAY)
+    return ordered.running_index(rows, [], ["time_stamp", "eventId"], piece).select("eventId", "idx")
 
 
 @query(

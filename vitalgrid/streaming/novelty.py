@@ -27,18 +27,23 @@ class TrailingRate(StatefulProcessor):
         self.flags = handle.getListState("flags", "novel BOOLEAN")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        ends: set[int] = set()
+        first = None
         for pdf in rows:
             self.waiting.appendList(
                 [(int(t), int(e), bool(v)) for t, e, v in zip(pdf["time_stamp"], pdf["event_id"], pdf["novel"])]
             )
-            ends.update(((pdf["time_stamp"] // self.slice_ms + 1) * self.slice_ms).tolist())
-        for end in sorted(ends):
-            self.handle.registerTimer(int(end))
+            low = int(pdf["time_stamp"].min())
+            first = low if first is None else min(first, low)
+        self._wake(first)
         return iter(())
 
+    def _wake(self, time_stamp: int) -> None:
+        """One timer, at the end of the earliest waiting slice."""
+        self.handle.registerTimer((time_stamp // self.slice_ms + 1) * self.slice_ms)
+
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        end = expiredTimerInfo.getExpiryTimeInMs()
+        # All slices the watermark has passed leave at once.
+        end = timerValues.getCurrentWatermarkInMs() // self.slice_ms * self.slice_ms
         waiting = sorted((r[0], r[1], r[2]) for r in self.waiting.get())
         due = [r for r in waiting if r[0] < end]
         if not due:
@@ -46,6 +51,7 @@ class TrailingRate(StatefulProcessor):
         rest = waiting[len(due):]
         if rest:
             self.waiting.put(rest)
+            self._wake(rest[0][0])
         else:
             self.waiting.clear()
         memory = [r[0] for r in self.flags.get()]
