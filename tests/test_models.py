@@ -71,14 +71,15 @@ def test_bins(spark):
     assert got == [None, 0, 0, 1, 1, 2, 3, None]
 
 
-def test_out_of_range_is_novel(spark, tables):
+def test_out_of_range_is_novel(spark, tables, monkeypatch):
     table = bayesnet.posterior_table(bayesnet.joint_table(tables, ["network"]), ["network"])
     row = [("n", "e", 0, 0, 0, None, 0)]
     df = spark.createDataFrame(
         row, "network string, id string, Activity int, HR_RATE int, GSR_RESISTANCE int, SKTMP_TEMPERATURE int, RRI_INTERVAL int"
     ).withColumns({f"event_{v}": F.lit(v) for v in VARIABLES})
-    for bound in (None, 1):
-        out = novelty.decide(bayesnet.posteriors(df, table, ["network"], ["id"], bound), 0.15).first()
+    for limit in (0, 10_000):
+        monkeypatch.setattr(bayesnet, "BROADCAST_ROWS", limit)
+        out = novelty.decide(bayesnet.posteriors(df, table, ["network"], ["id"]), 0.15).first()
         assert all(out[f"post_{v}"] == 0.0 for v in VARIABLES)
         assert out["novel"] and len(out["violations"]) == 5
         assert out["violations"][0]["out_event"] == "SKTMP_TEMPERATURE"

@@ -76,9 +76,14 @@ def test_posts_are_full_but_the_last(spark):
         F.lit("m").alias("name"), F.col("id").alias("timestamp"), F.lit(1.0).alias("value"),
         F.create_map(F.lit("u"), F.lit("a")).alias("tags"),
     )
-    out = metrics.posts(metrics.number_posts(points, ["name"], ["timestamp"], 5, 3), ["name"]).orderBy("post_id").collect()
+    out = metrics.posts(metrics.number_posts(points, ["name"], ["timestamp"], 5, 100), ["name"]).orderBy("post_id").collect()
     assert [r["n_points"] for r in out] == [5, 5, 5, 5, 3]
     assert [p["timestamp"] for p in json.loads(out[1]["body"])] == [5, 6, 7, 8, 9]
+    spread = metrics.posts(
+        metrics.number_posts(points, ["name"], ["timestamp"], 5, 10, "timestamp", 3), ["name"]
+    ).collect()
+    assert max(r["n_points"] for r in spread) <= 5
+    assert sorted(p["timestamp"] for r in spread for p in json.loads(r["body"])) == list(range(23))
 
 
 @pytest.mark.parametrize(

@@ -35,7 +35,7 @@ PIECE_WIDTHS = {
     "SKTMP_TEMPERATURE": 0.05, "GSR_RESISTANCE": 64.0, "HR_RATE": 1.0, "RRI_INTERVAL": 0.005,
 }
 JOINT_ROWS = N_STATES ** len(PARENTS)
-BROADCAST_ROWS = 1_000_000
+BROADCAST_ROWS = 500_000
 POSTERIOR_DIGITS = 12
 
 
@@ -107,10 +107,12 @@ def wide_cuts(cuts: DataFrame, keys: list[str], signals: list[str]) -> DataFrame
 
 
 def bin_signals(
-    df: DataFrame, cuts: DataFrame, keys: list[str], signals: list[str], spread: list[str]
+    df: DataFrame, cuts: DataFrame, keys: list[str], signals: list[str], spread: list[str],
+    small_rows: int | None = None,
 ) -> DataFrame:
-    """Replace raw signals by state numbers, null when out of range."""
-    joined = salted_lookup(df, wide_cuts(cuts, keys, signals), keys, spread)
+    """Replace raw signals by state numbers, null when out of range. Give
+    ``small_rows`` when ``cuts`` is a stored table."""
+    joined = salted_lookup(df, wide_cuts(cuts, keys, signals), keys, spread, small_rows=small_rows)
     return joined.withColumns(
         {f"state_{s}": bin_index(F.col(s), F.col(f"cuts_{s}")) for s in signals}
     ).drop(*[f"cuts_{s}" for s in signals])
@@ -206,20 +208,13 @@ def posterior_table(joint: DataFrame, keys: list[str]) -> DataFrame:
 
 def posteriors(
     states: DataFrame, table: DataFrame, keys: list[str], spread: list[str],
-    max_networks: int | None = None,
 ) -> DataFrame:
     """Events with the posterior of each variable given the other four; all 0 when a
     signal is out of range.
 
-    The table has 1024 rows per network. With ``max_networks`` given, its size is
-    known and it is broadcast; otherwise the join is salted.
+    The table has 1024 rows per network. It is broadcast when measured small, and
+    joined with salt otherwise: common states are hot keys.
     """
     slim = table.select(*keys, *VARIABLES, *[f"post_{v}" for v in VARIABLES])
-    on = [*keys, *VARIABLES]
-    if max_networks is not None and JOINT_ROWS * max_networks <= BROADCAST_ROWS:
-        joined = states.join(F.broadcast(slim), on, "left")
-    else:
-        joined = salted_lookup(states, slim, on, spread, "left")
-    return joined.withColumns(
-        {f"post_{v}": F.coalesce(f"post_{v}", F.lit(0.0)) for v in VARIABLES}
-    )
+    joined = salted_lookup(states, slim, [*keys, *VARIABLES], spread, "left", small_rows=BROADCAST_ROWS)
+    return joined.withColumns({f"post_{v}": F.coalesce(f"post_{v}", F.lit(0.0)) for v in VARIABLES})

@@ -7,6 +7,11 @@ from pyspark.sql import Column, DataFrame, functions as F
 SALTS = 16
 
 
+def holds_at_most(table: DataFrame, rows: int) -> bool:
+    """Whether a table is small, by reading no more than ``rows + 1`` of its rows."""
+    return table.limit(rows + 1).count() <= rows
+
+
 def salted_lookup(
     rows: DataFrame,
     table: DataFrame,
@@ -14,31 +19,46 @@ def salted_lookup(
     spread: list[str | Column],
     how: str = "inner",
     salts: int = SALTS,
+    small_rows: int | None = None,
 ) -> DataFrame:
     """Join many rows to a table holding at most one row per key.
 
-    The table is repeated once per salt and the rows pick a salt from a hash of
-    ``spread``, so a hot key is shared by ``salts`` tasks. The salt is a function
-    of the data, hence the same when a lost task is run again. Spark broadcasts
-    ``table`` by itself when it measures it below its own threshold; no hint is
-    given because tables keyed by user grow with the number of users. The salt in
-    the join key also keeps a following ``groupBy`` from reusing the join's
-    partitioning by user, which would skip its map-side step.
+    With ``small_rows`` given, the table is measured first and broadcast if it holds
+    no more rows; use it for stored tables, where measuring costs next to nothing.
+
+    Otherwise, and for larger tables, it is repeated once per salt and the rows pick
+    a salt from a hash of ``spread``, so a hot key is shared by ``salts`` tasks. The
+    salt is a function of the data, hence the same when a lost task is run again.
+    The salt in the join key also keeps a following ``groupBy`` from reusing the
+    join's partitioning by user, which would skip its map-side step.
     """
+    if small_rows is not None and holds_at_most(table, small_rows):
+        return rows.join(F.broadcast(table), on, how)
     salt = F.pmod(F.xxhash64(*spread), F.lit(salts)).cast("int")
     left = rows.withColumn("_salt", salt)
     right = table.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     return left.join(right, [*on, "_salt"], how).drop("_salt")
 
 
+# Keys that may be broadcast: some ten megabytes of names.
+KNOWN_ROWS = 200_000
+
+
+def _known(rows, known, on, spread, how):
+    table = known.select(on).distinct()
+    if holds_at_most(known, KNOWN_ROWS):
+        return rows.join(F.broadcast(table), [on], how)
+    return salted_lookup(rows, table, [on], spread, how)
+
+
 def keep_known(rows: DataFrame, known: DataFrame, on: str, spread: list[str | Column]) -> DataFrame:
     """Rows whose key is in ``known`` (left semi)."""
-    return salted_lookup(rows, known.select(on).distinct(), [on], spread, "left_semi")
+    return _known(rows, known, on, spread, "left_semi")
 
 
 def drop_known(rows: DataFrame, known: DataFrame, on: str, spread: list[str | Column]) -> DataFrame:
     """Rows whose key is not in ``known`` (left anti)."""
-    return salted_lookup(rows, known.select(on).distinct(), [on], spread, "left_anti")
+    return _known(rows, known, on, spread, "left_anti")
 
 
 def outer_by_pivot(

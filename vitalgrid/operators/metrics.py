@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from vitalgrid.operators.ordered import running_index
+from vitalgrid.operators.ordered import piece_of
 from vitalgrid.operators.parse import typed
 from vitalgrid.sources.registry import COMMON_FIELDS, SENSOR_FIELDS, sensor_columns, table_name
 
@@ -71,26 +71,29 @@ def prediction_points(predictions: DataFrame, metric: str, code: Column) -> Data
 
 
 def number_posts(
-    points: DataFrame, keys: list[str], order: list[str], size: int, piece_ms: int
+    points: DataFrame, keys: list[str], order: list[str], size: int, piece_ms: int,
+    shard: str | Column | None = None, shards: int = 1,
 ) -> DataFrame:
-    """Adds ``post_id``: consecutive points of a key go out ``size`` at a time.
+    """Adds ``piece``, ``shard`` and ``post_id``: points go out ``size`` at a time.
 
-    The position is exact over the whole key (see ``running_index``), so every post
-    but a key's last one is full, and no key is numbered by a single task.
+    Posts are filled per key, time piece and shard, and what is left of each goes out
+    as a smaller post, as a flush does. So a key is never numbered by one task: it is
+    split by time, and within a piece by a hash of ``shard``.
     """
-    indexed = running_index(points, keys, order, piece_ms)
-    return indexed.withColumn(
-        "post_id", F.floor((F.col("idx") - 1) / F.lit(size)).cast("bigint")
-    )
+    part = F.lit(0) if shard is None else F.pmod(F.xxhash64(shard), F.lit(shards))
+    cut = points.withColumn("piece", piece_of(order[0], piece_ms)).withColumn("shard", part.cast("int"))
+    w = Window.partitionBy(*keys, "piece", "shard").orderBy(*order)
+    numbered = cut.withColumn("idx", F.row_number().over(w))
+    return numbered.withColumn("post_id", F.floor((F.col("idx") - 1) / F.lit(size)).cast("bigint"))
 
 
 def posts(numbered: DataFrame, keys: list[str]) -> DataFrame:
     """One JSON array per post; a post holds at most ``size`` points."""
     point = F.struct("idx", F.struct("name", "timestamp", "value", "tags").alias("p"))
     ordered = F.array_sort(
-        F.collect_list(point), lambda a, b: (a["idx"] - b["idx"]).cast("int")
+        F.collect_list(point), lambda a, b: a["idx"] - b["idx"]
     )
-    return numbered.groupBy(*keys, "post_id").agg(
+    return numbered.groupBy(*keys, "piece", "shard", "post_id").agg(
         F.to_json(F.transform(ordered, lambda i: i["p"])).alias("body"),
         F.count(F.lit(1)).alias("n_points"),
     )

@@ -37,7 +37,8 @@ def decide(df: DataFrame, threshold: float, rule: str = "any") -> DataFrame:
     """Adds ``violations`` and ``novel``. ``any``: one violation is enough;
     ``majority``: more than half of the variables must be violated."""
     out = df.withColumn("violations", violations(threshold))
-    n = F.size("violations")
+    # Counted on its own, so that plans that need only the flag build no records.
+    n = sum(((F.col(f"post_{v}") < threshold).cast("int") for v in VARIABLES), F.lit(0))
     if rule == "any":
         novel = n > 0
     elif rule == "majority":
@@ -56,7 +57,8 @@ def trailing_rate(
 
     ``keep_points`` adds ``points``: the violations of those n rows.
     """
-    cut = with_lead_in(df, keys, order, piece_ms, n - 1)
+    carried = ["novel", "violations"] if keep_points else ["novel"]
+    cut = with_lead_in(df, keys, order, piece_ms, n - 1, carried)
     w = Window.partitionBy(*keys, PIECE).orderBy(*order).rowsBetween(-(n - 1), 0)
     full = F.count(F.lit(1)).over(w) == n
     hits = F.sum(F.col("novel").cast("int")).over(w)

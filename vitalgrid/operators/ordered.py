@@ -49,18 +49,21 @@ def _before(keys: list[str]):
 
 
 def with_lead_in(
-    rows: DataFrame, keys: list[str], order: list[str], piece_ms: int | None, n: int = 1
+    rows: DataFrame, keys: list[str], order: list[str], piece_ms: int | None, n: int = 1,
+    columns: list[str] | None = None,
 ) -> DataFrame:
     """Rows plus, for each piece, copies of the ``n`` rows that precede it.
 
     Adds ``_piece`` and ``_carried``. ``order[0]`` is the time; all of ``order``
-    must be a total order within the key.
+    must be a total order within the key. The copies hold the keys, the order and
+    ``columns`` (all by default): what they leave out is not read a second time.
     """
-    cut = rows.withColumn(PIECE, piece_of(order[0], piece_ms))
-    own = cut.withColumn(CARRIED, F.lit(False))
+    own = rows.withColumn(PIECE, piece_of(order[0], piece_ms)).withColumn(CARRIED, F.lit(False))
     if piece_ms is None:
         return own
-    body = F.struct(*[F.col(c) for c in rows.columns])
+    kept = rows.columns if columns is None else list(dict.fromkeys([*keys, *order, *columns]))
+    cut = rows.select(*kept, piece_of(order[0], piece_ms).alias(PIECE))
+    body = F.struct(*[F.col(c) for c in kept])
     rank = F.struct(*[F.col(c) for c in order])
     if n == 1:
         ends = cut.groupBy(*keys, PIECE).agg(F.max_by(body, rank).alias("_end"))
@@ -85,11 +88,11 @@ def with_lead_in(
             *keys, PIECE, F.col("_t.b").alias("_end")
         )
     carried = carried.select(
-        *[F.col(f"_end.{c}").alias(c) for c in rows.columns],
+        *[F.col(f"_end.{c}").alias(c) for c in kept],
         PIECE,
         F.lit(True).alias(CARRIED),
     )
-    return own.unionByName(carried)
+    return own.unionByName(carried, allowMissingColumns=True)
 
 
 def piece_window(keys: list[str], order: list[str]):
@@ -106,7 +109,7 @@ def lagged(
 ) -> DataFrame:
     """Previous row's values as new columns, ``{source: new name}``."""
     w = piece_window(keys, order)
-    out = with_lead_in(rows, keys, order, piece_ms)
+    out = with_lead_in(rows, keys, order, piece_ms, columns=list(columns))
     return drop_carried(out.withColumns({new: F.lag(c).over(w) for c, new in columns.items()}))
 
 

@@ -28,7 +28,7 @@ def slot_records(
 
 def with_states(rows: DataFrame, cuts: DataFrame, keys: list[str], spread: list[str]) -> DataFrame:
     """Signals replaced by state numbers under the network's variable names."""
-    binned = bayesnet.bin_signals(rows, cuts, keys, SIGNALS, spread)
+    binned = bayesnet.bin_signals(rows, cuts, keys, SIGNALS, spread, bayesnet.BROADCAST_ROWS)
     return (
         binned.withColumn("_label", bayesnet.activity_state("activity"))
         .drop(*SIGNALS, "activity")
@@ -51,8 +51,7 @@ def fit(rows: DataFrame, keys: list[str], spread: list[str]) -> tuple[DataFrame,
 
 def judge(
     rows: DataFrame, cuts: DataFrame, tables: DataFrame, keys: list[str], spread: list[str],
-    max_networks: int | None = None,
 ) -> DataFrame:
     """Posteriors of each record under its network."""
     table = stored(bayesnet.posterior_table(bayesnet.joint_table(tables, keys), keys), "posteriors")
-    return bayesnet.posteriors(with_states(rows, cuts, keys, spread), table, keys, spread, max_networks)
+    return bayesnet.posteriors(with_states(rows, cuts, keys, spread), table, keys, spread)

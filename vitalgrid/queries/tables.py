@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 from vitalgrid.functions import scalars
 from vitalgrid.functions.scalars import rounded
 from vitalgrid.operators import metrics, parse
-from vitalgrid.operators.ordered import fit_piece_ms
 from vitalgrid.queries.base import query, r6
 from vitalgrid.queries.ingest import POINTS_SQL
 from vitalgrid.session import scratch_path
@@ -69,36 +68,36 @@ def keyed_table_files(spark, sf_dir):
 
 @query(
     "metric_post_numbers",
-    f"""WITH {POINTS_SQL}, numbered AS (SELECT *, row_number() OVER (PARTITION BY name ORDER BY timestamp, event_id) AS idx FROM points)
-    SELECT name, (idx - 1) // 50 AS post_id, count(*) AS n, min(timestamp) AS first_time, max(timestamp) AS last_time
+    f"""WITH {POINTS_SQL}, numbered AS (SELECT *, row_number() OVER (PARTITION BY name, timestamp // {5 * DAY} ORDER BY timestamp, event_id) AS idx,
+      timestamp // {5 * DAY} AS piece FROM points)
+    SELECT name, piece, (idx - 1) // 50 AS post_id, count(*) AS n, min(timestamp) AS first_time, max(timestamp) AS last_time
     FROM numbered GROUP BY ALL""",
 )
 def metric_post_numbers(spark, sf_dir):
     points = _points(spark, sf_dir).withColumn("id", F.substring(F.col("tags")["event_id"], 2, 20).cast("bigint"))
-    piece = fit_piece_ms(points, ["name"], "timestamp", DAY)
-    numbered = metrics.number_posts(points, ["name"], ["timestamp", "id"], 50, piece)
-    return numbered.groupBy("name", "post_id").agg(
+    numbered = metrics.number_posts(points, ["name"], ["timestamp", "id"], 50, 5 * DAY)
+    return numbered.groupBy("name", "piece", "post_id").agg(
         F.count(F.lit(1)).alias("n"), F.min("timestamp").alias("first_time"), F.max("timestamp").alias("last_time")
     )
 
 
 @query(
     "metric_post_bodies",
-    f"""WITH {POINTS_SQL}, numbered AS (SELECT *, row_number() OVER (PARTITION BY name ORDER BY timestamp, event_id) AS idx FROM points)
-    SELECT name, (idx - 1) // 50 AS post_id, count(*) AS n_points, count(*) AS n_in_body,
+    f"""WITH {POINTS_SQL}, numbered AS (SELECT *, row_number() OVER (PARTITION BY name, timestamp // {5 * DAY} ORDER BY timestamp, event_id) AS idx,
+      timestamp // {5 * DAY} AS piece FROM points)
+    SELECT name, piece, (idx - 1) // 50 AS post_id, count(*) AS n_points, count(*) AS n_in_body,
     arg_min(timestamp, idx) AS first_time FROM numbered GROUP BY ALL""",
 )
 def metric_post_bodies(spark, sf_dir):
     """Posts as text, written, read back and counted."""
     points = _points(spark, sf_dir).withColumn("id", F.substring(F.col("tags")["event_id"], 2, 20).cast("bigint"))
-    piece = fit_piece_ms(points, ["name"], "timestamp", DAY)
-    numbered = metrics.number_posts(points, ["name"], ["timestamp", "id"], 50, piece)
+    numbered = metrics.number_posts(points, ["name"], ["timestamp", "id"], 50, 5 * DAY)
     bodies = metrics.posts(numbered, ["name"])
     path = scratch_path(spark, "posts")
     sinks.write_json_lines(bodies, path)
-    back = scans.read_json_lines(spark, path, "name STRING, post_id BIGINT, body STRING, n_points BIGINT")
+    back = scans.read_json_lines(spark, path, "name STRING, piece BIGINT, post_id BIGINT, body STRING, n_points BIGINT")
     return back.select(
-        "name", "post_id", "n_points", F.json_array_length("body").cast("bigint").alias("n_in_body"),
+        "name", "piece", "post_id", "n_points", F.json_array_length("body").cast("bigint").alias("n_in_body"),
         F.get_json_object("body", "$[0].timestamp").cast("bigint").alias("first_time"),
     )
 
