@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from vitalgrid.functions.scalars import label_name
 from vitalgrid.operators import balance, features, forests
+from vitalgrid.session import stored
 
 
 def clean(labelled: DataFrame, columns: list[str], label: str = "activity") -> DataFrame:
@@ -30,13 +31,17 @@ def stacked(
     rows: DataFrame, columns: dict[str, list[str]], key: str = "eventId", settings: dict | None = None,
     stack_settings: dict | None = None,
 ) -> DataFrame:
-    """Sensor forests on one half, stacked forest on the other, all rows scored."""
+    """Sensor forests on one half, stacked forest on the other, all rows scored.
+
+    Growing a forest reads its input once per level, so what it reads is stored.
+    """
+    rows = stored(rows, "labelled")
     first, second = balance.key_split(rows, [key], 1, 2)
     models = fit_sensors(first, columns, settings or forests.EARLIER_SENSOR_FOREST)
     names = [f"{s}_prediction" for s in columns]
+    second_stage = forests.score_all(forests.with_label_index(second), models).select(*names, "label_idx")
     stack = forests.fit_stack(
-        forests.score_all(forests.with_label_index(second), models), names,
-        settings=stack_settings or forests.EARLIER_STACK_FOREST,
+        stored(second_stage, "second"), names, settings=stack_settings or forests.EARLIER_STACK_FOREST,
     )
     scored = forests.nominal(forests.score_all(rows, models), names, 4)
     return stack.transform(scored).withColumn("prediction", label_name("stack_prediction"))

@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from vitalgrid.functions.scalars import last_token, normalise_label
+from vitalgrid.config import AlignSettings
 from vitalgrid.functions.timekeys import floor_window
 from vitalgrid.operators import align, asof, joins, ordered
+from vitalgrid.plans import aggregator
 from vitalgrid.queries.base import query
 from vitalgrid.queries.ingest import W
 from vitalgrid.sources import event_view as view
@@ -93,16 +94,13 @@ ALIGNED_SQL = f"{PRED}, {align_sql('userid', 'rows', 'gyroscope', STEP)}"
 
 
 def sensor_predictions(spark, sf_dir):
-    return view.predictions(spark, sf_dir).select(
-        "userid", last_token("processor_name").alias("sensor"), "time_stamp", "eventId",
-        normalise_label("result").alias("label"),
-    )
+    return aggregator.decode(view.predictions(spark, sf_dir))
 
 
 def aligned_predictions(spark, sf_dir):
     rows = sensor_predictions(spark, sf_dir)
     piece = ordered.fit_piece_ms(rows, ["userid"], "time_stamp", 5 * DAY)
-    return align.align(rows, ["userid"], view.SENSORS, "gyroscope", STEP, piece_ms=piece)
+    return aggregator.aligned(rows, view.SENSORS, AlignSettings(step_ms=STEP, piece_ms=piece))
 
 
 @query("aligned_sensors", f"WITH {ALIGNED_SQL} SELECT userid, anchor, sensor, time_stamp, eventId FROM aligned")

@@ -7,12 +7,14 @@ from pyspark.sql import functions as F
 from vitalgrid.functions.scalars import rounded
 from vitalgrid.operators import decide, features, forests, joins, naive_bayes
 from vitalgrid.operators.ordered import fit_piece_ms
-from vitalgrid.plans import scoring, training
+from vitalgrid.plans import aggregator, scoring, training
 from vitalgrid.queries.base import query, r6
 from vitalgrid.queries.decisions import CODED_SQL, _THREE, coded_windows
 from vitalgrid.queries.ingest import W
+from vitalgrid.queries.decisions import _VOTERS, _vote_sql
+from vitalgrid.queries.joins import aligned_predictions, sensor_predictions
 from vitalgrid.queries.windows import SLOPE_SQL
-from vitalgrid.session import scratch_path
+from vitalgrid.session import scratch_path, stored
 from vitalgrid.sources import event_view as view
 from vitalgrid.sources.registry import LABELS
 
@@ -29,22 +31,29 @@ params AS (SELECT deviceid, label, count(*) AS n, avg(p) AS mp, avg(t) AS mt, va
   FROM data GROUP BY ALL)"""
 
 
-def gnb_data(spark, sf_dir):
-    rows = view.readings(spark, sf_dir).where("sensor = 'barometer'").select(
-        "deviceid", "userid", "time_stamp", F.col("x").alias("air_pressure"), F.col("y").alias("temperature"), "activity"
-    )
+def gnb_windows(spark, sf_dir):
+    rows = barometer_rows(spark, sf_dir)
     piece = fit_piece_ms(rows, ["userid"], "time_stamp", DAY)
     sloped = features.slope_features(rows, ["userid"], "time_stamp", W, piece_ms=piece)
-    labels = rows.groupBy("deviceid", "userid", F.floor(F.col("time_stamp") / W).cast("bigint").alias("window")).agg(
-        F.min("activity").alias("label")
+    return sloped.select(
+        "userid", "window", (F.col("avg_slope_pressure") * 1e6).alias("p"), (F.col("avg_slope_temperature") * 1e6).alias("t")
     )
-    return (
-        sloped.join(labels, ["userid", "window"]).where("label <> 'NONE'")
-        .select("deviceid", "userid", F.col("window").alias("win"), "label",
-                (F.col("avg_slope_pressure") * 1e6).alias("p"), (F.col("avg_slope_temperature") * 1e6).alias("t"))
+
+
+def barometer_rows(spark, sf_dir):
+    return view.readings(spark, sf_dir).where("sensor = 'barometer'").select(
+        "deviceid", "userid", "time_stamp", F.col("x").alias("air_pressure"), F.col("y").alias("temperature"), "activity"
     )
 
 
+def gnb_data(spark, sf_dir):
+    labels = barometer_rows(spark, sf_dir).groupBy(
+        "deviceid", "userid", F.floor(F.col("time_stamp") / W).cast("bigint").alias("window")
+    ).agg(F.min("activity").alias("label"))
+    joined = gnb_windows(spark, sf_dir).join(labels, ["userid", "window"]).where("label <> 'NONE'")
+    return joined.select("deviceid", "userid", F.col("window").alias("win"), "label", "p", "t")
+
+
 @query(
     "fit_gaussian_nb",
     f"""WITH {GNB_SQL} SELECT deviceid, label, n, {r6('mp')} AS mean_p, {r6('mt')} AS mean_t, {r6('vp')} AS var_p, {r6('vt')} AS var_t FROM params""",
@@ -145,7 +154,7 @@ def sensor_forest(spark, sf_dir):
 def windowed_forest(spark, sf_dir):
     """Forest on the twelve window features."""
     rows = view.readings(spark, sf_dir).where("activity <> 'NONE' AND sensor = 'gyroscope'")
-    f = forests.with_label_index(features.axis_features(rows, ["userid", "activity"], "time_stamp", W))
+    f = stored(forests.with_label_index(features.axis_features(rows, ["userid", "activity"], "time_stamp", W)), "train")
     model = forests.fit_forest(f, features.AXIS_FEATURES, prefix="gyroscope_", settings={"numTrees": 10, "maxDepth": 5})
     scored = forests.score_all(f, {"gyroscope": model})
     return scored.select("userid", F.col("window").alias("win"), "activity",
@@ -216,10 +225,95 @@ def models_by_user(spark, sf_dir):
 def scored_and_published(spark, sf_dir):
     """The serving plan: features, forest, result messages."""
     rows = view.readings(spark, sf_dir)
-    train = forests.with_label_index(
-        features.axis_features(rows.where("activity <> 'NONE' AND sensor = 'accelerometer'"), ["userid", "activity"], "time_stamp", W)
-    )
+    labelled = rows.where("activity <> 'NONE' AND sensor = 'accelerometer'")
+    windows = features.axis_features(labelled, ["userid", "activity"], "time_stamp", W)
+    train = stored(forests.with_label_index(windows), "train")
     model = forests.fit_forest(train, features.AXIS_FEATURES, prefix="accelerometer_", settings=forests.EARLIER_SENSOR_FOREST)
     return scoring.score_windows(
         rows, view.known_users(spark, sf_dir), "accelerometer", model, W, rounding="round"
     )
+
+
+# --- the three ways to decide on one activity -----------------------------------
+
+
+@query(
+    "activity_by_vote",
+    f"""WITH v AS (WITH {_vote_sql(decide.VOTE_WEIGHTS, _VOTERS, 'userid, anchor')})
+    SELECT md5('har_predict_aggr_voting|' || userid || '|' || anchor) AS eventId, 'har_predict_aggr_voting' AS processor_name,
+    userid, anchor AS time_stamp, activity FROM v""",
+)
+def activity_by_vote(spark, sf_dir):
+    return aggregator.by_vote(aligned_predictions(spark, sf_dir))
+
+
+@query("activity_by_forest")
+def activity_by_forest(spark, sf_dir):
+    """Forest over sensor slots, trained on the votes."""
+    rows = stored(aligned_predictions(spark, sf_dir), "aligned")
+    votes = aggregator.by_vote(rows).select("userid", F.col("time_stamp").alias("anchor"), "activity")
+    slots = stored(aggregator.forest_slots(rows).join(votes, ["userid", "anchor"]), "slots")
+    model = aggregator.fit_forest(slots, "activity", forests.EARLIER_STACK_FOREST)
+    return aggregator.by_forest(rows, model)
+
+
+def _last(s: str) -> str:
+    return f"last_value({s} IGNORE NULLS) OVER w AS {s}"
+
+
+@query(
+    "activity_by_naive_bayes",
+    f"""WITH {MNB_SQL}, filled AS (SELECT userid, win, {', '.join(_last(s) for s in _THREE)} FROM coded
+      WINDOW w AS (PARTITION BY userid ORDER BY win ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)),
+    listed AS (SELECT userid, win, unnest([accelerometer, gyroscope, barometer]) AS c FROM filled),
+    counted AS (SELECT userid, win, c, count(*) AS n FROM listed WHERE c IS NOT NULL GROUP BY ALL),
+    best AS (SELECT *, row_number() OVER (PARTITION BY userid, win ORDER BY n DESC, c) AS rn FROM counted),
+    whole AS (SELECT f.userid, 'u' || (CAST(substr(f.userid, 6) AS BIGINT) % 7) AS model, f.win, unnest([0, 1, 2]) AS slot,
+      unnest([{', '.join(f'coalesce({s}, c)' for s in _THREE)}]) AS code
+      FROM filled f JOIN best b ON f.userid = b.userid AND f.win = b.win AND rn = 1),
+    tot AS (SELECT model, sum(n) AS total FROM classes GROUP BY 1),
+    s AS (SELECT l.userid, l.win, p.label, ln(any_value(p.n) / CAST(any_value(total) AS DOUBLE)) + sum(logp) AS score FROM whole l
+      JOIN params p ON l.model = p.model AND l.slot = p.slot AND l.code = p.code JOIN tot ON l.model = tot.model GROUP BY ALL),
+    r AS (SELECT *, row_number() OVER (PARTITION BY userid, win ORDER BY round(score, 9) DESC, CASE label WHEN 'SITTING' THEN 0 WHEN 'WALKING' THEN 1
+      WHEN 'WALKING_UP' THEN 2 ELSE 3 END) AS rn FROM s)
+    SELECT md5('har_predict_aggr_naivebayes|' || userid || '|' || (win * {W})) AS eventId, 'har_predict_aggr_naivebayes' AS processor_name,
+    userid, win * {W} AS time_stamp, label AS activity FROM r WHERE rn = 1""",
+)
+def activity_by_naive_bayes(spark, sf_dir):
+    params = naive_bayes.fit_multinomial(mnb_data(spark, sf_dir), ["model"], "label", _THREE, LABELS, 5)
+    key = F.expr("concat('u', cast(substr(userid, 6) as bigint) % 7)")
+    return aggregator.by_naive_bayes(sensor_predictions(spark, sf_dir), params, ["model"], _THREE, W, 3, key)
+
+
+@query(
+    "activity_points",
+    f"""WITH v AS (WITH {_vote_sql(decide.VOTE_WEIGHTS, _VOTERS, 'userid, anchor')})
+    SELECT 'har_prediction' AS name, anchor AS timestamp, userid, CASE activity WHEN 'SITTING' THEN 1e0 WHEN 'WALKING' THEN 2e0
+    WHEN 'WALKING_UP' THEN 3e0 ELSE 4e0 END AS value FROM v""",
+)
+def activity_points(spark, sf_dir):
+    points = aggregator.activity_points(activity_by_vote(spark, sf_dir))
+    return points.select("name", "timestamp", F.col("tags")["userid"].alias("userid"), "value")
+
+
+# Barometer serving: every user against the user's own parameters.
+USER_GNB_SQL = GNB_SQL.replace("SELECT deviceid, label, count(*) AS n, avg(p)", "SELECT userid, label, count(*) AS n, avg(p)")
+
+
+@query(
+    "slopes_scored_by_user",
+    f"""WITH {USER_GNB_SQL}, tot AS (SELECT userid, CAST(sum(n) AS DOUBLE) AS total FROM params GROUP BY 1),
+    s AS (SELECT f.userid, f.win, q.label, round(ln(q.n / total) - ln({PI2} * vp) / 2 - (f.p - mp) * (f.p - mp) / (2 * vp)
+      - ln({PI2} * vt) / 2 - (f.t - mt) * (f.t - mt) / (2 * vt), 9) AS score
+      FROM f JOIN params q ON f.userid = q.userid JOIN tot ON f.userid = tot.userid),
+    r AS (SELECT *, row_number() OVER (PARTITION BY userid, win ORDER BY score DESC, CASE label WHEN 'SITTING' THEN 0 WHEN 'WALKING' THEN 1
+      WHEN 'WALKING_UP' THEN 2 ELSE 3 END) AS rn FROM s)
+    SELECT md5('har_naivebayes_barometer|' || userid || '|' || (win * {W})) AS eventId, 'har_naivebayes_barometer' AS processor_name,
+    userid, win * {W} AS time_stamp, label AS result FROM r WHERE rn = 1""",
+)
+def slopes_scored_by_user(spark, sf_dir):
+    data = gnb_data(spark, sf_dir)
+    params = naive_bayes.fit_gaussian(data, ["userid"], "label", ["p", "t"], LABELS)
+    windows = gnb_windows(spark, sf_dir)
+    scored = naive_bayes.score_gaussian(windows, params, ["userid"], ["p", "t"], LABELS, ["window"])
+    return scoring.result_rows(scored, "barometer", W, F.col("prediction"), "naivebayes")

@@ -6,13 +6,14 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from vitalgrid.functions.scalars import last_token, normalise_label, rounded
-from vitalgrid.operators import features, joins, novelty, parse
+from vitalgrid.operators import features, joins, novelty
 from vitalgrid.operators.bayesnet import SIGNALS
 from vitalgrid.operators.decide import EQUAL_WEIGHTS
 from vitalgrid.plans import novelty as novelty_plan
+from vitalgrid.plans import raw_writer
 from vitalgrid.queries.base import query, r6
 from vitalgrid.queries.decisions import _DAILY, _vote_sql
-from vitalgrid.queries.ingest import W
+from vitalgrid.queries.ingest import POINTS_SQL, W
 from vitalgrid.queries.joins import EPOCH, EPOCH_SQL, STEP
 from vitalgrid.queries.network import N, RATE_SQL, SHIFT, fitted
 from vitalgrid.queries.windows import AXIS_SQL
@@ -65,6 +66,17 @@ def stream_valid_users(spark, sf_dir):
     return runner.run_to_table(mine, "valid")
 
 
+def written_messages(spark, sf_dir):
+    """The raw writer over messages that are all sent twice; returns its folder."""
+    runner.prepare(spark)
+    path = scratch_path(spark, "raw")
+    sent = view.messages(spark, sf_dir).select("value")
+    sent.unionByName(sent).write.text(f"{path}/topics/band")
+    stream = scans.read_messages(spark, f"{path}/topics/*", max_files=4)
+    runner.drain(raw_writer.start(stream, path, f"{path}/checkpoint", None, piece_ms=5 * DAY, shards=2))
+    return path
+
+
 @query(
     "stream_raw_writer",
     f"WITH {view.MESSAGES_SQL} SELECT sensor, 'e' || event_id AS event_id, time_stamp FROM good",
@@ -72,18 +84,28 @@ def stream_valid_users(spark, sf_dir):
 def stream_raw_writer(spark, sf_dir):
     """Text messages to keyed tables, batch by batch. Every message is sent twice;
     the key keeps one."""
-    runner.prepare(spark)
-    path = scratch_path(spark, "raw")
-    sent = view.messages(spark, sf_dir).select("value")
-    sent.unionByName(sent).write.text(f"{path}/topics/band")
-    parsed = parse.accepted(parse.parse_messages(scans.read_messages(spark, f"{path}/topics/*", max_files=4)))
-    records = parse.wide_records(parsed)
+    path = written_messages(spark, sf_dir)
+    return sinks.read_keyed(spark, f"{path}/records").select("sensor", "event_id", "time_stamp")
+
+
+@query(
+    "stream_metric_posts",
+    f"""WITH {POINTS_SQL} SELECT name, 2 * count(*) AS n_points FROM points GROUP BY 1""",
+)
+def stream_metric_posts(spark, sf_dir):
+    """Metric posts of the raw writer: all points of all batches, in full posts."""
+    stored = spark.read.parquet(f"{written_messages(spark, sf_dir)}/posts")
+    return stored.groupBy("name").agg(F.sum("n_points").alias("n_points"))
 
-    def write(batch, batch_id):
-        sinks.append_keyed(batch, f"{path}/table", batch_id, ["sensor"])
 
-    runner.drain(runner.start_batches(records, write, f"{path}/checkpoint"))
-    return sinks.read_keyed(spark, f"{path}/table").select("sensor", "event_id", "time_stamp")
+@query(
+    "stream_rejects",
+    f"""WITH {view.MESSAGES_SQL} SELECT CASE WHEN form = 7 THEN 'bad_json' ELSE 'unknown_sensor' END AS status, 2 * count(*) AS n
+    FROM msg WHERE form <> 11 AND (form = 7 OR sensor IN ('contact', 'pedometer')) GROUP BY 1""",
+)
+def stream_rejects(spark, sf_dir):
+    stored = spark.read.parquet(f"{written_messages(spark, sf_dir)}/rejects")
+    return stored.groupBy("status").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query(
