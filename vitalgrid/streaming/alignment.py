@@ -61,10 +61,8 @@ class EpochAligner(StatefulProcessor):
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         for pdf in rows:
-            # Repeats of a sensor's time are dropped before they reach the state.
-            last = pdf.sort_values("eventId").drop_duplicates(["sensor", "time_stamp"], keep="last")
             self.events.appendList(
-                [(s, int(t), e) for s, t, e in zip(last["sensor"], last["time_stamp"], last["eventId"])]
+                [(s, int(t), e) for s, t, e in zip(pdf["sensor"], pdf["time_stamp"], pdf["eventId"])]
             )
         self.handle.registerTimer((int(key[1]) + 1) * self.epoch_ms)
         return iter(())
@@ -87,9 +85,17 @@ def align_stream(
     stream: DataFrame, sensors: list[str], reference: str, step_ms: int, epoch_ms: int
 ) -> DataFrame:
     """``stream``: userid, sensor, time_stamp, eventId and a watermarked event_time."""
-    keyed = (
+    # Events of one sensor at one time are reduced to the last one first, with a
+    # map-side step: however often a busy user repeats itself, a state holds at most
+    # one event per sensor and millisecond of the epoch.
+    unique = (
         stream.where(F.col("sensor").isin(sensors))
-        .select("userid", floor_window("time_stamp", epoch_ms).alias("epoch"), "sensor", "time_stamp", "eventId", "event_time")
+        .groupBy(F.window("event_time", "1 second").alias("_w"), "userid", "sensor", "time_stamp")
+        .agg(F.max("eventId").alias("eventId"))
+    )
+    keyed = unique.select(
+        "userid", floor_window("time_stamp", epoch_ms).alias("epoch"), "sensor", "time_stamp", "eventId",
+        F.window_time("_w").alias("event_time"),
     )
     return keyed.groupBy("userid", "epoch").transformWithStateInPandas(
         EpochAligner(sensors, reference, step_ms, epoch_ms), OUTPUT, "Append", "EventTime"
