@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, functions as F
 
+from vitalgrid.config import DAY_MS
 from vitalgrid.functions.scalars import label_name
-from vitalgrid.operators import balance, features, forests
+from vitalgrid.operators import balance, decide, features, forests
+from vitalgrid.operators.ordered import fit_piece_ms
 from vitalgrid.session import stored
 
 
@@ -45,3 +47,21 @@ def stacked(
     )
     scored = forests.nominal(forests.score_all(rows, models), names, 4)
     return stack.transform(scored).withColumn("prediction", label_name("stack_prediction"))
+
+
+def train_and_test(
+    labelled: DataFrame, columns: list[str], sensor: str, order: list[str], group: str = "userid",
+    key: str = "eventId", train: int = 3, parts: int = 4, settings: dict | None = None,
+) -> tuple[PipelineModel, DataFrame]:
+    """Clean, split, balance the training part per ``group``, fit; the model and its
+    error on the part it has not seen."""
+    rows = clean(labelled.where(F.col("sensor") == sensor), columns)
+    first, second = balance.key_split(rows, [key], train, parts)
+    piece = fit_piece_ms(first, [group, "activity"], order[0], DAY_MS)
+    balanced = stored(balance.oversample(first, [group], "activity", order, piece), "balanced")
+    model = forests.fit_forest(
+        forests.with_label_index(balanced), columns, prefix=f"{sensor}_", settings=settings
+    )
+    scored = forests.score_all(second, {sensor: model})
+    scored = scored.withColumn("prediction", label_name(f"{sensor}_prediction"))
+    return model, decide.error_rate(scored, "activity", "prediction", [group])

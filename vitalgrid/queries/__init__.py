@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import importlib
-import importlib.util
 
 MODULES = [
     "ingest", "tables", "windows", "joins", "decisions", "learning", "network", "streams",
@@ -15,6 +14,5 @@ def load():
     from vitalgrid.queries import base
 
     for m in MODULES:
-        if importlib.util.find_spec(f"vitalgrid.queries.{m}") is None: continue
         importlib.import_module(f"vitalgrid.queries.{m}")
     return base.QUERIES, base.SQL

@@ -150,6 +150,15 @@ def sensor_forest(spark, sf_dir):
     return scored.select("eventId", "activity", forests.predicted_label("accelerometer_prediction").alias("prediction"))
 
 
+@query("trained_model_error")
+def trained_model_error(spark, sf_dir):
+    """The whole generation of one sensor's model, with its error per device."""
+    return training.train_and_test(
+        view.readings(spark, sf_dir), ["x", "y", "z"], "gyroscope", ["time_stamp", "eventId"], "deviceid",
+        settings=forests.EARLIER_SENSOR_FOREST,
+    )[1]
+
+
 @query("windowed_forest")
 def windowed_forest(spark, sf_dir):
     """Forest on the twelve window features."""
