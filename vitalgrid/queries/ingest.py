@@ -216,7 +216,7 @@ W = 432_000_000  # five days: the stored events are sparse
 )
 def window_keys(spark, sf_dir):
     key = timekeys.round_window("time_stamp", W)
-    return view.events(spark, sf_dir).select(
+    return view.events(spark, sf_dir, False).select(
         "event_id", timekeys.floor_window("time_stamp", W).alias("floor_key"),
         key.alias("round_key"), timekeys.window_start(key, W).alias("round_time"),
     )
@@ -274,13 +274,13 @@ def sensor_of_processor(spark, sf_dir):
     f"WITH {view.EVENTS_SQL} SELECT md5(userid || '|' || time_stamp || '|' || event_id) AS row_id FROM ev",
 )
 def repeatable_row_ids(spark, sf_dir):
-    return view.events(spark, sf_dir).select(scalars.stable_id("userid", "time_stamp", "event_id").alias("row_id"))
+    return view.events(spark, sf_dir, False).select(scalars.stable_id("userid", "time_stamp", "event_id").alias("row_id"))
 
 
 @query("arrival_time")
 def arrival_time(spark, sf_dir):
     """Wall-clock time differs between runs, so there is no SQL to compare with."""
-    return view.events(spark, sf_dir).select("event_id", (timekeys.now_ms() > F.col("time_stamp")).alias("later"))
+    return view.events(spark, sf_dir, False).select("event_id", (timekeys.now_ms() > F.col("time_stamp")).alias("later"))
 
 
 @query(
@@ -341,7 +341,7 @@ def feature_vectors(spark, sf_dir):
     f"WITH {R}, {view.KNOWN_SQL} SELECT eventId FROM readings WHERE userid IN (SELECT userid FROM known)",
 )
 def valid_user_readings(spark, sf_dir):
-    rows = view.readings(spark, sf_dir).select("eventId", "userid")
+    rows = view.readings(spark, sf_dir, labels=False).select("eventId", "userid")
     return joins.keep_known(rows, view.known_users(spark, sf_dir), "userid", ["eventId"]).select("eventId")
 
 
@@ -350,7 +350,7 @@ def valid_user_readings(spark, sf_dir):
     f"WITH {R}, {view.KNOWN_SQL} SELECT eventId FROM readings WHERE userid NOT IN (SELECT userid FROM known)",
 )
 def unknown_user_readings(spark, sf_dir):
-    rows = view.readings(spark, sf_dir).select("eventId", "userid")
+    rows = view.readings(spark, sf_dir, labels=False).select("eventId", "userid")
     return joins.drop_known(rows, view.known_users(spark, sf_dir), "userid", ["eventId"]).select("eventId")
 
 
@@ -368,7 +368,7 @@ def labelled_sensor_rows(spark, sf_dir):
     f"WITH {R} SELECT userid, sensor, count(*) AS n FROM readings GROUP BY ALL",
 )
 def rows_per_user_and_sensor(spark, sf_dir):
-    return view.readings(spark, sf_dir).groupBy("userid", "sensor").agg(F.count(F.lit(1)).alias("n"))
+    return view.readings(spark, sf_dir, labels=False).groupBy("userid", "sensor").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query(
@@ -409,7 +409,7 @@ def control_messages(spark, sf_dir):
     WHERE time_stamp >= t - 86400000 AND event_type NOT LIKE 'err%' AND event_type LIKE '%i%' ORDER BY time_stamp DESC""",
 )
 def recent_accesses(spark, sf_dir):
-    ev = view.events(spark, sf_dir)
+    ev = view.events(spark, sf_dir, False)
     since = ev.agg(F.max("time_stamp") - 86_400_000).scalar()
     kept = ev.where("event_type NOT LIKE 'err%' AND event_type LIKE '%i%'").where(F.col("time_stamp") >= since)
     return kept.select("event_id", "event_type", "time_stamp").orderBy(F.desc("time_stamp"))
@@ -449,7 +449,7 @@ def labelled_csv_scan(spark, sf_dir):
 def json_lines_scan(spark, sf_dir):
     """Write readings as JSON lines, then scan them."""
     path = scratch_path(spark, "readings")
-    sinks.write_json_lines(view.readings(spark, sf_dir).select("userid", "sensor", "time_stamp", "x"), path)
+    sinks.write_json_lines(view.readings(spark, sf_dir, labels=False).select("userid", "sensor", "time_stamp", "x"), path)
     return scans.read_json_lines(spark, path, "userid STRING, sensor STRING, time_stamp BIGINT, x DOUBLE")
 
 

@@ -29,7 +29,7 @@ def _asof_sql(expr: str) -> str:
 
 
 def _asof(spark, sf_dir, mode):
-    rows = view.readings(spark, sf_dir)
+    rows = view.readings(spark, sf_dir, labels=False)
     probes = rows.where("sensor = 'gyroscope'").select("userid", "eventId", F.col("time_stamp").alias("t"))
     found = rows.where("sensor = 'accelerometer'").select("userid", F.col("time_stamp").alias("matched"))
     piece = ordered.fit_piece_ms(rows, ["userid"], "time_stamp", 3 * DAY)
@@ -99,7 +99,7 @@ def sensor_predictions(spark, sf_dir):
 
 def aligned_predictions(spark, sf_dir):
     rows = sensor_predictions(spark, sf_dir)
-    piece = ordered.fit_piece_ms(rows, ["userid"], "time_stamp", 5 * DAY)
+    piece = ordered.fit_piece_ms(view.events(spark, sf_dir, False), ["userid"], "time_stamp", 5 * DAY)
     return aggregator.aligned(rows, view.SENSORS, AlignSettings(step_ms=STEP, piece_ms=piece))
 
 
@@ -172,7 +172,7 @@ def nested_events(spark, sf_dir):
 def user_event_lists(spark, sf_dir):
     """All events of a user in order, as lists of a fixed length: a user of any size
     is spread over many rows and tasks."""
-    rows = view.readings(spark, sf_dir).select("userid", "time_stamp", "eventId")
+    rows = view.readings(spark, sf_dir, labels=False).select("userid", "time_stamp", "eventId")
     piece = ordered.fit_piece_ms(rows, ["userid"], "time_stamp", 5 * DAY)
     return align.event_pages(rows, ["userid"], ["time_stamp", "eventId"], 16, piece).select(
         "userid", "page", F.size("events").cast("bigint").alias("n"),
@@ -224,7 +224,7 @@ def complete_windows(spark, sf_dir):
     SELECT idx, eventId, other FROM a JOIN b USING (idx)""",
 )
 def positional_join(spark, sf_dir):
-    rows = view.readings(spark, sf_dir).select("eventId", "time_stamp", "sensor")
+    rows = view.readings(spark, sf_dir, labels=False).select("eventId", "time_stamp", "sensor")
     order = ["time_stamp", "eventId"]
     piece = ordered.fit_piece_ms(rows, [], "time_stamp", DAY)
     left = ordered.running_index(rows.where("sensor = 'accelerometer'"), [], order, piece).select("idx", "eventId")

@@ -33,7 +33,7 @@ params AS (SELECT deviceid, label, count(*) AS n, avg(p) AS mp, avg(t) AS mt, va
 
 def gnb_windows(spark, sf_dir):
     rows = barometer_rows(spark, sf_dir)
-    piece = fit_piece_ms(rows, ["userid"], "time_stamp", DAY)
+    piece = fit_piece_ms(view.events(spark, sf_dir, False), ["userid"], "time_stamp", DAY)
     sloped = features.slope_features(rows, ["userid"], "time_stamp", W, piece_ms=piece)
     return sloped.select(
         "userid", "window", (F.col("avg_slope_pressure") * 1e6).alias("p"), (F.col("avg_slope_temperature") * 1e6).alias("t")
@@ -223,7 +223,7 @@ def saved_parameters(spark, sf_dir):
 )
 def models_by_user(spark, sf_dir):
     """Each row meets its own user's parameters; users without any drop out."""
-    rows = view.readings(spark, sf_dir)
+    rows = view.readings(spark, sf_dir, labels=False)
     mine = joins.keep_known(rows, view.known_users(spark, sf_dir), "userid", ["eventId"])
     params = mine.groupBy("userid").agg(F.avg("x").alias("mx"))
     out = joins.salted_lookup(rows, params, ["userid"], ["eventId"])

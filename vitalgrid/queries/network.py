@@ -10,7 +10,7 @@ from vitalgrid.operators.bayesnet import ACTIVITY_STATES, PARENTS, SIGNALS, VARI
 from vitalgrid.operators.ordered import fit_piece_ms
 from vitalgrid.plans import novelty as novelty_plan
 from vitalgrid.queries.base import query, r6
-from vitalgrid.session import scratch_path
+from vitalgrid.session import scratch_path, stored
 from vitalgrid.sources import event_view as view
 from vitalgrid.sources import scans
 
@@ -181,16 +181,20 @@ RATE_SQL = f"""{NOVEL_SQL}, rated AS (SELECT *, CASE WHEN count(*) OVER w = {N}
 alarms AS (SELECT *, coalesce(novel_rate > 0.8, false) AS alarm FROM rated)"""
 
 
-def rated(spark, sf_dir, keep_points=False):
+def rated(spark, sf_dir, records=True, keep_points=False):
+    """Judged rows with their trailing rate; without ``records`` only the flag of a
+    row is kept, not its violations."""
     decided = novelty.decide(answers(spark, sf_dir), 0.15)
-    slim = decided.select("event_id", "user_id", "time_stamp", "violations", "novel")
-    piece = fit_piece_ms(view.physio(spark, sf_dir), ["user_id"], "time_stamp", 5 * DAY)
+    columns = ["event_id", "user_id", "time_stamp", "novel"] + (["violations"] if records else [])
+    # Judged rows are read twice, for the rows and for what pieces carry over.
+    slim = stored(decided.select(*columns), "judged")
+    piece = fit_piece_ms(slim, ["user_id"], "time_stamp", 5 * DAY)
     return novelty.trailing_rate(slim, ["user_id"], ["time_stamp", "event_id"], N, 0.8, piece, keep_points)
 
 
 @query("trailing_novelty_rate", f"WITH {RATE_SQL} SELECT event_id, {r6('novel_rate')} AS novel_rate, alarm FROM alarms")
 def trailing_novelty_rate(spark, sf_dir):
-    return rated(spark, sf_dir).select("event_id", rounded("novel_rate").alias("novel_rate"), "alarm")
+    return rated(spark, sf_dir, records=False).select("event_id", rounded("novel_rate").alias("novel_rate"), "alarm")
 
 
 @query(
@@ -257,7 +261,7 @@ def physio_records(spark, sf_dir):
     """Five slots per user and day, the latest event of each; a missing slot is 0."""
     from vitalgrid.functions.timekeys import floor_window
 
-    rows = view.events(spark, sf_dir).withColumn("win", floor_window("time_stamp", DAY))
+    rows = view.events(spark, sf_dir, False).withColumn("win", floor_window("time_stamp", DAY))
     out = novelty_plan.slot_records(
         rows, ["userid", "win"], "event_type", "value", F.concat(F.lit("e"), F.col("event_id")),
         ["time_stamp", "event_id"], {t: v.lower() for t, v in view.PHYSIO_OF.items()},

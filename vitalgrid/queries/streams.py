@@ -30,12 +30,12 @@ R = view.READINGS_SQL
 CLOSED = f"(SELECT max(epoch_us(ts) // 1000) - {DAY} FROM events)"
 
 
-def event_stream(spark, sf_dir):
+def event_stream(spark, sf_dir, with_k=True):
     """The events table as a file stream."""
     runner.prepare(spark)
     schema = view.table(spark, sf_dir, "events").schema
     raw = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
-    return view.shape_events(raw)
+    return view.shape_events(raw, with_k)
 
 
 @query(
@@ -61,7 +61,7 @@ def stream_axis_features(spark, sf_dir):
     f"WITH {R}, {view.KNOWN_SQL} SELECT eventId, userid FROM readings WHERE userid IN (SELECT userid FROM known)",
 )
 def stream_valid_users(spark, sf_dir):
-    rows = view.as_readings(event_stream(spark, sf_dir)).select("eventId", "userid")
+    rows = view.as_readings(event_stream(spark, sf_dir, False), False).select("eventId", "userid")
     mine = joins.keep_known(rows, view.known_users(spark, sf_dir), "userid", ["eventId"])
     return runner.run_to_table(mine, "valid")
 

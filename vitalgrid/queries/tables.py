@@ -53,7 +53,7 @@ def keyed_table_upsert(spark, sf_dir):
 def keyed_table_files(spark, sf_dir):
     """Two batches written to a keyed table on disk, one of them twice, read back
     with one row per user, sensor and day."""
-    rows = view.readings(spark, sf_dir).select(
+    rows = view.readings(spark, sf_dir, labels=False).select(
         F.concat_ws("/", "userid", "sensor", F.floor(F.col("time_stamp") / DAY)).alias("event_id"),
         "userid", "sensor", "time_stamp", "x", "eventId",
     )
@@ -145,13 +145,13 @@ def published_messages(spark, sf_dir):
 )
 def records_per_sensor(spark, sf_dir):
     """Counts in two steps: distinct (sensor, user) first, so no sensor is one task."""
-    pairs = view.readings(spark, sf_dir).groupBy("sensor", "userid").agg(F.count(F.lit(1)).alias("n"))
+    pairs = view.readings(spark, sf_dir, labels=False).groupBy("sensor", "userid").agg(F.count(F.lit(1)).alias("n"))
     return pairs.groupBy("sensor").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("users"))
 
 
 @query("distinct_users", f"WITH {view.READINGS_SQL} SELECT DISTINCT userid FROM readings")
 def distinct_users(spark, sf_dir):
-    return view.readings(spark, sf_dir).select("userid").distinct()
+    return view.readings(spark, sf_dir, labels=False).select("userid").distinct()
 
 
 @query(
@@ -191,7 +191,7 @@ def union_sensor_families(spark, sf_dir):
 def silent_sensors(spark, sf_dir):
     from vitalgrid.operators.align import missing_sensors
 
-    rows = view.readings(spark, sf_dir).withColumn("day", F.floor(F.col("time_stamp") / DAY).cast("bigint"))
+    rows = view.readings(spark, sf_dir, labels=False).withColumn("day", F.floor(F.col("time_stamp") / DAY).cast("bigint"))
     out = missing_sensors(rows, ["userid", "day"], "sensor", view.SENSORS)
     return out.where("size(missing) > 0").withColumn("missing", F.array_join("missing", ","))
 

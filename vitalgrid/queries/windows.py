@@ -86,7 +86,7 @@ def lag_slopes(spark, sf_dir):
     unique = features.distinct_readings(
         _barometer(spark, sf_dir), ["userid"], ["time_stamp", "air_pressure", "temperature"], "time_stamp", W
     )
-    piece = ordered.fit_piece_ms(unique, ["userid"], "time_stamp", DAY)
+    piece = ordered.fit_piece_ms(view.events(spark, sf_dir, False), ["userid"], "time_stamp", DAY)
     out = features.slopes(unique, ["userid", "window"], "time_stamp", ["air_pressure", "temperature"], piece)
     return out.select(
         "userid", F.col("window").alias("win"), "time_stamp",
@@ -102,7 +102,7 @@ def lag_slopes(spark, sf_dir):
 )
 def slope_features(spark, sf_dir):
     rows = _barometer(spark, sf_dir)
-    piece = ordered.fit_piece_ms(rows, ["userid"], "time_stamp", DAY)
+    piece = ordered.fit_piece_ms(view.events(spark, sf_dir, False), ["userid"], "time_stamp", DAY)
     out = features.slope_features(rows, ["userid"], "time_stamp", W, piece_ms=piece)
     return out.select(
         "userid", F.col("window").alias("win"),
@@ -132,7 +132,7 @@ def forward_fill(spark, sf_dir):
         "userid", "time_stamp", "eventId", F.when(F.col("k") % 3 == 0, F.col("x")).alias("x"),
         F.when(F.col("sensor") == "gyroscope", F.col("z")).alias("z"),
     )
-    piece = ordered.fit_piece_ms(holes, ["userid"], "time_stamp", 2 * DAY)
+    piece = ordered.fit_piece_ms(view.events(spark, sf_dir, False), ["userid"], "time_stamp", 2 * DAY)
     out = ordered.forward_fill(holes, ["userid"], ["time_stamp", "eventId"], ["x", "z"], piece)
     return out.select("userid", "time_stamp", rounded("x").alias("x"), "z")
 
@@ -142,7 +142,7 @@ def forward_fill(spark, sf_dir):
     f"WITH {R} SELECT eventId, row_number() OVER (ORDER BY time_stamp, eventId) AS idx FROM readings",
 )
 def ordinal_position(spark, sf_dir):
-    rows = view.readings(spark, sf_dir).select("eventId", "time_stamp")
+    rows = view.readings(spark, sf_dir, labels=False).select("eventId", "time_stamp")
     piece = ordered.fit_piece_ms(rows, [], "time_stamp", DAY)
     return ordered.running_index(rows, [], ["time_stamp", "eventId"], piece).select("eventId", "idx")
 
@@ -170,7 +170,7 @@ def last_event_per_time(spark, sf_dir):
     f"WITH {R} SELECT eventId, userid, time_stamp FROM readings ORDER BY time_stamp DESC, eventId LIMIT 10",
 )
 def first_rows_after_sort(spark, sf_dir):
-    rows = view.readings(spark, sf_dir).select("eventId", "userid", "time_stamp")
+    rows = view.readings(spark, sf_dir, labels=False).select("eventId", "userid", "time_stamp")
     return rows.orderBy(F.desc("time_stamp"), "eventId").limit(10)
 
 
@@ -182,5 +182,5 @@ def first_rows_after_sort(spark, sf_dir):
 def sorted_features(spark, sf_dir):
     from vitalgrid.functions.timekeys import floor_window
 
-    rows = view.readings(spark, sf_dir).groupBy("userid", floor_window("time_stamp", W).alias("win"))
+    rows = view.readings(spark, sf_dir, labels=False).groupBy("userid", floor_window("time_stamp", W).alias("win"))
     return rows.agg(rounded(F.avg("x")).alias("avg_x")).orderBy("userid", "win")

@@ -61,15 +61,17 @@ def _case(pairs: dict[str, str], column: str) -> str:
     return "CASE " + column + " " + " ".join(f"WHEN '{a}' THEN '{b}'" for a, b in pairs.items()) + " END"
 
 
-def events(spark: SparkSession, sf_dir: str) -> DataFrame:
+def events(spark: SparkSession, sf_dir: str, with_k: bool = True) -> DataFrame:
     """``event_id, user_id, event_type, value, k, time_stamp, userid, deviceid``."""
-    return shape_events(table(spark, sf_dir, "events"))
+    return shape_events(table(spark, sf_dir, "events"), with_k)
 
 
-def shape_events(raw: DataFrame) -> DataFrame:
+def shape_events(raw: DataFrame, with_k: bool = True) -> DataFrame:
+    """``k`` is parsed from JSON; leave it out where nothing derives from it."""
+    if with_k:
+        raw = once(raw, "k", F.get_json_object("props", "$.k").cast("int"))
     return raw.select(
-        "event_id", "user_id", "event_type", "value",
-        F.get_json_object("props", "$.k").cast("int").alias("k"),
+        "event_id", "user_id", "event_type", "value", *(["k"] if with_k else []),
         epoch_ms("ts").alias("time_stamp"),
         F.expr("concat('user_', user_id)").alias("userid"),
         F.expr("concat('dev_', user_id % 10)").alias("deviceid"),
@@ -84,17 +86,18 @@ EVENTS_SQL = """ev AS (
   FROM events)"""
 
 
-def readings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Activity readings: three axes, a sensor and a label per row."""
-    return as_readings(events(spark, sf_dir))
+def readings(spark: SparkSession, sf_dir: str, labels: bool = True) -> DataFrame:
+    """Activity readings: three axes, a sensor and a label per row. Without
+    ``labels`` the columns derived from ``k`` (y, activity) are left out."""
+    return as_readings(events(spark, sf_dir, labels), labels)
 
 
-def as_readings(ev: DataFrame) -> DataFrame:
+def as_readings(ev: DataFrame, labels: bool = True) -> DataFrame:
+    derived = [F.expr(FIELD_SQL["y"]).alias("y"), F.expr(ACTIVITY_SQL).alias("activity"), "k"] if labels else []
     return ev.select(
         F.col("event_id").cast("string").alias("eventId"), "deviceid", "userid",
         F.expr(_case(EVENT_SENSOR, "event_type")).alias("sensor"), "time_stamp",
-        F.col("value").alias("x"), F.expr(FIELD_SQL["y"]).alias("y"), F.expr(FIELD_SQL["z"]).alias("z"),
-        F.expr(ACTIVITY_SQL).alias("activity"), "k",
+        F.col("value").alias("x"), F.expr(FIELD_SQL["z"]).alias("z"), *derived,
     )
 
 
