@@ -171,3 +171,47 @@ def test_split_is_repeatable(spark):
 
 def test_activity_states():
     assert ACTIVITY_STATES == ["SITTING", "WALKING", "WALKING_DOWN", "WALKING_UP"]
+
+
+def test_slopes_are_scored_for_users_with_a_model(spark):
+    from vitalgrid.plans import scoring
+    from vitalgrid.sources.registry import LABELS
+
+    train = [("u", "SITTING", 0.0, 0.0), ("u", "SITTING", 0.002, 0.0), ("u", "WALKING", 1.0, 1.0), ("u", "WALKING", 1.2, 1.0)]
+    schema = "userid string, label string, avg_slope_pressure double, avg_slope_temperature double"
+    params = naive_bayes.fit_gaussian(
+        spark.createDataFrame(train, schema), ["userid"], "label", features.SLOPE_FEATURES, LABELS
+    )
+    rows = [("u", 0, 1.0, 1.0), ("u", 10, 1.0, 1.0), ("u", 100, 0.0, 0.0), ("u", 110, 22.0, 20.0), ("x", 0, 1.0, 1.0)]
+    readings = spark.createDataFrame(rows, "userid string, time_stamp long, air_pressure double, temperature double")
+    out = {r["time_stamp"]: r["result"] for r in scoring.score_slopes(readings, params, 100).collect()}
+    assert out == {0: "SITTING", 100: "WALKING"}
+
+
+def test_labelled_lines(spark):
+    line = ",".join(['"e1"', '"band"', '"WALKING"', "7", "1456939604898", '"user_a"'] + ["1"] * 34)
+    row = scans.parse_labelled_lines(spark.createDataFrame([(line,)], "value string")).first()
+    assert (row["EVENT_ID"], row["ACTIVITY_TRAIN"], row["USER_ID"]) == ("e1", "WALKING", "user_a")
+    assert row["ACCEL_X"] == 1.0 and row["ALT_TOTAL_LOSS"] == 1 and len(row) == 40
+
+
+def test_model_names(spark):
+    names = [
+        "hdfs:/m/accelerometer_a@x.org_FEA_.MDL", "/m/sk_gyroscope_b_c@x.org_FEA_.mdl", "/m/sk_gyroscope_b_c@x.org_FEA_.mdl",
+        "/m/sk_aggr_a@x.org_labelEncoder", "/m/aggregation_a@x.org_AGR_.MDL", "/m/readme.txt",
+    ]
+    out = scans.parse_model_names(spark.createDataFrame([(n,) for n in names], "path string")).collect()
+    assert {(r["sensor"], r["userid"], r["kind"]) for r in out} == {
+        ("accelerometer", "a@x.org", "forest"), ("gyroscope", "b_c@x.org", "plain")
+    }
+
+
+def test_lookup_paths_agree(spark):
+    from vitalgrid.operators import joins
+
+    rows = spark.range(200).selectExpr("id", "id % 7 as k")
+    table = spark.createDataFrame([(i, i * 10) for i in range(5)], "k long, v long")
+    plain = sorted(rows.join(table, "k").select("id", "v").collect())
+    for small in (None, 2, 100):
+        got = joins.salted_lookup(rows, table, ["k"], ["id"], small_rows=small).select("id", "v").collect()
+        assert sorted(got) == plain

@@ -8,12 +8,6 @@ DAY_MS = 86_400_000
 HOUR_MS = 3_600_000
 
 
-@dataclass(frozen=True)
-class WindowSettings:
-    width_ms: int = 10_000
-    rounding: str = "floor"  # "floor" (training) or "round" (serving, half to even)
-
-
 @dataclass(frozen=True)
 class AlignSettings:
     reference_sensor: str = "gyroscope"

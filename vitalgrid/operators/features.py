@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, functions as F
 from vitalgrid.functions.scalars import fill_numeric, safe_corr, total
 from vitalgrid.functions.timekeys import window_key
 from vitalgrid.operators.ordered import lagged
+from vitalgrid.sources.registry import FEATURE_COLUMNS
 
 # Feature names of a three-axis window.
 AXIS_FEATURES = [
@@ -91,3 +92,10 @@ def nonzero_rows(df: DataFrame, columns: list[str]) -> DataFrame:
 
 def feature_vector(df: DataFrame, columns: list[str], out: str = "features") -> DataFrame:
     return VectorAssembler(inputCols=columns, outputCol=out, handleInvalid="keep").transform(df)
+
+
+def sensor_vectors(records: DataFrame, sensor: str, out: str = "features") -> DataFrame:
+    """A sensor's records with a signal, and the vector of its feature columns."""
+    columns = FEATURE_COLUMNS[sensor]
+    numbers = records.withColumns({c: F.col(c).cast("double") for c in columns})
+    return feature_vector(nonzero_rows(numbers, columns).na.drop("any", subset=columns), columns, out)

@@ -32,7 +32,7 @@ def decode(predictions: DataFrame) -> DataFrame:
 
 def activity_rows(decided: DataFrame, method: str, time: Column) -> DataFrame:
     """``eventId, processor_name, userid, time_stamp, activity``."""
-    name = f"har_predict_aggr_{method}"
+    name = f"activity_{method}"
     return decided.select(
         stable_id(F.lit(name), F.col("userid"), time).alias("eventId"), F.lit(name).alias("processor_name"),
         "userid", time.alias("time_stamp"), "activity",
@@ -92,4 +92,4 @@ def by_naive_bayes(
 
 def activity_points(rows: DataFrame) -> DataFrame:
     """Decisions as metric points with codes from 1."""
-    return metrics.prediction_points(rows, "har_prediction", label_code("activity", 1))
+    return metrics.prediction_points(rows, "activity_prediction", label_code("activity", 1))

@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from vitalgrid.operators import bayesnet
+from vitalgrid.config import NoveltySettings
+from vitalgrid.operators import bayesnet, novelty
 from vitalgrid.operators.bayesnet import SIGNALS
+from vitalgrid.operators.ordered import fit_piece_ms
 from vitalgrid.session import stored
 
 
@@ -55,3 +57,24 @@ def judge(
     """Posteriors of each record under its network."""
     table = stored(bayesnet.posterior_table(bayesnet.joint_table(tables, keys), keys), "posteriors")
     return bayesnet.posteriors(with_states(rows, cuts, keys, spread), table, keys, spread)
+
+
+def decide(
+    rows: DataFrame, cuts: DataFrame, tables: DataFrame, keys: list[str], spread: list[str],
+    settings: NoveltySettings,
+) -> DataFrame:
+    """Judged records with their violations and the flag."""
+    return novelty.decide(judge(rows, cuts, tables, keys, spread), settings.threshold, settings.rule)
+
+
+def rate(
+    decided: DataFrame, keys: list[str], order: list[str], settings: NoveltySettings, widest_ms: int,
+    keep_points: bool = False,
+) -> DataFrame:
+    """Trailing novelty rate. The input is read twice, for the rows and for what their
+    time pieces carry over, so it is stored first."""
+    slim = stored(decided, "decided")
+    piece = fit_piece_ms(slim, keys, order[0], widest_ms)
+    return novelty.trailing_rate(
+        slim, keys, order, settings.window_rows, settings.rate_threshold, piece, keep_points
+    )

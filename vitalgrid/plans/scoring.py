@@ -14,7 +14,7 @@ from vitalgrid.sources.registry import LABELS
 def result_rows(scored: DataFrame, sensor: str, width_ms: int, label, method: str = "forest") -> DataFrame:
     """``eventId, processor_name, userid, time_stamp, result`` from scored windows."""
     time = window_start("window", width_ms)
-    name = f"har_{method}_{sensor}"
+    name = f"{method}_{sensor}"
     return scored.select(
         stable_id(F.lit(name), F.col("userid"), time).alias("eventId"),
         F.lit(name).alias("processor_name"), "userid", time.alias("time_stamp"), label.alias("result"),

@@ -194,12 +194,12 @@ def metric_points(spark, sf_dir):
 
 @query(
     "prediction_points",
-    f"""WITH {view.PREDICTIONS_SQL} SELECT 'har_prediction' AS name, time_stamp AS timestamp,
+    f"""WITH {view.PREDICTIONS_SQL} SELECT 'activity_prediction' AS name, time_stamp AS timestamp,
     CAST(code + 1 AS DOUBLE) AS value, userid FROM predictions""",
 )
 def prediction_points(spark, sf_dir):
     p = view.predictions(spark, sf_dir)
-    points = metrics.prediction_points(p, "har_prediction", scalars.label_code(scalars.normalise_label("result"), 1))
+    points = metrics.prediction_points(p, "activity_prediction", scalars.label_code(scalars.normalise_label("result"), 1))
     return points.select("name", "timestamp", "value", F.col("tags")["userid"].alias("userid"))
 
 
@@ -308,13 +308,13 @@ def clean_text(spark, sf_dir):
 
 @query(
     "result_columns",
-    f"""WITH {view.PREDICTIONS_SQL} SELECT eventId, 'har_forest_' || sensor AS processor_name, userid, time_stamp,
+    f"""WITH {view.PREDICTIONS_SQL} SELECT eventId, 'forest_' || sensor AS processor_name, userid, time_stamp,
     label AS activity FROM predictions""",
 )
 def result_columns(spark, sf_dir):
     p = view.predictions(spark, sf_dir)
     return p.select(
-        "eventId", F.concat(F.lit("har_forest_"), scalars.last_token("processor_name")).alias("processor_name"),
+        "eventId", F.concat(F.lit("forest_"), scalars.last_token("processor_name")).alias("processor_name"),
         "userid", "time_stamp", scalars.normalise_label("result").alias("activity"),
     )
 
@@ -333,6 +333,25 @@ def feature_vectors(spark, sf_dir):
     )
 
 
+_ALTIMETER = [(view.FIELD_SQL[j], t) for j, _, t, _ in SENSOR_FIELDS["altimeter"]]
+
+
+@query(
+    "altimeter_vectors",
+    f"""WITH {M} SELECT 'e' || event_id AS event_id, {', '.join(
+        f"{r6(f'CAST(CAST({e} AS {t}) AS DOUBLE)')} AS f{i}" for i, (e, t) in enumerate(_ALTIMETER))}
+    FROM good WHERE sensor = 'altimeter' AND {' + '.join(f'({e})' for e, _ in _ALTIMETER)} <> 0""",
+)
+def altimeter_vectors(spark, sf_dir):
+    from pyspark.ml.functions import vector_to_array
+
+    rows = parse.sensor_records(parse.parse_messages(view.messages(spark, sf_dir)), "altimeter")
+    v = vector_to_array("features")
+    return features.sensor_vectors(rows, "altimeter").select(
+        "event_id", *[rounded(v[i]).alias(f"f{i}") for i in range(len(_ALTIMETER))]
+    )
+
+
 # --- filters --------------------------------------------------------------------
 
 

@@ -249,7 +249,7 @@ def scored_and_published(spark, sf_dir):
 @query(
     "activity_by_vote",
     f"""WITH v AS (WITH {_vote_sql(decide.VOTE_WEIGHTS, _VOTERS, 'userid, anchor')})
-    SELECT md5('har_predict_aggr_voting|' || userid || '|' || anchor) AS eventId, 'har_predict_aggr_voting' AS processor_name,
+    SELECT md5('activity_voting|' || userid || '|' || anchor) AS eventId, 'activity_voting' AS processor_name,
     userid, anchor AS time_stamp, activity FROM v""",
 )
 def activity_by_vote(spark, sf_dir):
@@ -285,7 +285,7 @@ def _last(s: str) -> str:
       JOIN params p ON l.model = p.model AND l.slot = p.slot AND l.code = p.code JOIN tot ON l.model = tot.model GROUP BY ALL),
     r AS (SELECT *, row_number() OVER (PARTITION BY userid, win ORDER BY round(score, 9) DESC, CASE label WHEN 'SITTING' THEN 0 WHEN 'WALKING' THEN 1
       WHEN 'WALKING_UP' THEN 2 ELSE 3 END) AS rn FROM s)
-    SELECT md5('har_predict_aggr_naivebayes|' || userid || '|' || (win * {W})) AS eventId, 'har_predict_aggr_naivebayes' AS processor_name,
+    SELECT md5('activity_naivebayes|' || userid || '|' || (win * {W})) AS eventId, 'activity_naivebayes' AS processor_name,
     userid, win * {W} AS time_stamp, label AS activity FROM r WHERE rn = 1""",
 )
 def activity_by_naive_bayes(spark, sf_dir):
@@ -297,7 +297,7 @@ def activity_by_naive_bayes(spark, sf_dir):
 @query(
     "activity_points",
     f"""WITH v AS (WITH {_vote_sql(decide.VOTE_WEIGHTS, _VOTERS, 'userid, anchor')})
-    SELECT 'har_prediction' AS name, anchor AS timestamp, userid, CASE activity WHEN 'SITTING' THEN 1e0 WHEN 'WALKING' THEN 2e0
+    SELECT 'activity_prediction' AS name, anchor AS timestamp, userid, CASE activity WHEN 'SITTING' THEN 1e0 WHEN 'WALKING' THEN 2e0
     WHEN 'WALKING_UP' THEN 3e0 ELSE 4e0 END AS value FROM v""",
 )
 def activity_points(spark, sf_dir):
@@ -317,7 +317,7 @@ USER_GNB_SQL = GNB_SQL.replace("SELECT deviceid, label, count(*) AS n, avg(p)",
       FROM f JOIN params q ON f.userid = q.userid JOIN tot ON f.userid = tot.userid),
     r AS (SELECT *, row_number() OVER (PARTITION BY userid, win ORDER BY score DESC, CASE label WHEN 'SITTING' THEN 0 WHEN 'WALKING' THEN 1
       WHEN 'WALKING_UP' THEN 2 ELSE 3 END) AS rn FROM s)
-    SELECT md5('har_naivebayes_barometer|' || userid || '|' || (win * {W})) AS eventId, 'har_naivebayes_barometer' AS processor_name,
+    SELECT md5('naivebayes_barometer|' || userid || '|' || (win * {W})) AS eventId, 'naivebayes_barometer' AS processor_name,
     userid, win * {W} AS time_stamp, label AS result FROM r WHERE rn = 1""",
 )
 def slopes_scored_by_user(spark, sf_dir):

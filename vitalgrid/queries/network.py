@@ -4,13 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from vitalgrid.config import NoveltySettings
 from vitalgrid.functions.scalars import rounded
 from vitalgrid.operators import bayesnet, novelty
 from vitalgrid.operators.bayesnet import ACTIVITY_STATES, PARENTS, SIGNALS, VARIABLES
-from vitalgrid.operators.ordered import fit_piece_ms
 from vitalgrid.plans import novelty as novelty_plan
 from vitalgrid.queries.base import query, r6
-from vitalgrid.session import scratch_path, stored
+from vitalgrid.session import scratch_path
 from vitalgrid.sources import event_view as view
 from vitalgrid.sources import scans
 
@@ -175,7 +175,9 @@ def novelty_decision(spark, sf_dir):
     )
 
 
-N = 20
+# A high rate threshold: shifted signals are often novel.
+SETTINGS = NoveltySettings(rate_threshold=0.8)
+N = SETTINGS.window_rows
 RATE_SQL = f"""{NOVEL_SQL}, rated AS (SELECT *, CASE WHEN count(*) OVER w = {N} THEN sum(CASE WHEN n_low > 0 THEN 1 ELSE 0 END) OVER w / {N}e0 END AS novel_rate
   FROM novel WINDOW w AS (PARTITION BY user_id ORDER BY time_stamp, event_id ROWS BETWEEN {N - 1} PRECEDING AND CURRENT ROW)),
 alarms AS (SELECT *, coalesce(novel_rate > 0.8, false) AS alarm FROM rated)"""
@@ -184,12 +186,13 @@ alarms AS (SELECT *, coalesce(novel_rate > 0.8, false) AS alarm FROM rated)"""
 def rated(spark, sf_dir, records=True, keep_points=False):
     """Judged rows with their trailing rate; without ``records`` only the flag of a
     row is kept, not its violations."""
-    decided = novelty.decide(answers(spark, sf_dir), 0.15)
+    rows, cuts, tables = fitted(spark, sf_dir)
+    shifted = rows.withColumns({s: F.col(s) * SHIFT for s in SIGNALS})
+    decided = novelty_plan.decide(shifted, cuts, tables, ["network"], ["event_id"], SETTINGS)
     columns = ["event_id", "user_id", "time_stamp", "novel"] + (["violations"] if records else [])
-    # Judged rows are read twice, for the rows and for what pieces carry over.
-    slim = stored(decided.select(*columns), "judged")
-    piece = fit_piece_ms(slim, ["user_id"], "time_stamp", 5 * DAY)
-    return novelty.trailing_rate(slim, ["user_id"], ["time_stamp", "event_id"], N, 0.8, piece, keep_points)
+    return novelty_plan.rate(
+        decided.select(*columns), ["user_id"], ["time_stamp", "event_id"], SETTINGS, 5 * DAY, keep_points
+    )
 
 
 @query("trailing_novelty_rate", f"WITH {RATE_SQL} SELECT event_id, {r6('novel_rate')} AS novel_rate, alarm FROM alarms")

@@ -200,7 +200,7 @@ def predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
 def as_predictions(ev: DataFrame) -> DataFrame:
     return ev.select(
         F.concat(F.lit("e"), F.col("event_id")).alias("eventId"),
-        F.concat(F.lit("har_forest_"), F.expr(_case(EVENT_SENSOR, "event_type"))).alias("processor_name"),
+        F.concat(F.lit("forest_"), F.expr(_case(EVENT_SENSOR, "event_type"))).alias("processor_name"),
         "time_stamp", "userid",
         F.when(F.col("event_id") % 2 == 0, (F.col("k") % 4).cast("string"))
         .otherwise(F.expr(PREDICTED_SQL)).alias("result"),
@@ -211,7 +211,7 @@ PREDICTED_SQL = (
     "CASE k % 4 WHEN 0 THEN 'SITTING' WHEN 1 THEN 'WALKING' WHEN 2 THEN 'WALKING_UP' ELSE 'WALKING_DOWN' END"
 )
 PREDICTIONS_SQL = f"""{EVENTS_SQL}, predictions AS (
-  SELECT 'e' || event_id AS eventId, 'har_forest_' || {_case(EVENT_SENSOR, 'event_type')} AS processor_name,
+  SELECT 'e' || event_id AS eventId, 'forest_' || {_case(EVENT_SENSOR, 'event_type')} AS processor_name,
          time_stamp, userid, {_case(EVENT_SENSOR, 'event_type')} AS sensor,
          CASE WHEN event_id % 2 = 0 THEN CAST(k % 4 AS VARCHAR) ELSE {PREDICTED_SQL} END AS result,
          {PREDICTED_SQL} AS label, k % 4 AS code
