@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from vitalgrid.llm import quality_rules
 from vitalgrid.llm.registry import query
 from vitalgrid.llm.substring_dedup import repeated_passages
 
@@ -35,3 +36,44 @@ FROM w LEFT JOIN gone USING (doc_id)
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = repeated_passages(table(spark, sf_dir, "documents"))
     return out.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
+STOPS = ", ".join(f"'{w}'" for w in quality_rules.STOP_WORDS)
+OP3_SQL = rf"""
+WITH w AS (
+  SELECT doc_id, coalesce(text, '') AS t,
+    list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w,
+    list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS l
+  FROM documents
+), g AS (
+  SELECT doc_id, unnest(range(1, len(w) - 3)) AS p, w FROM w WHERE len(w) >= 5
+), h AS (SELECT doc_id, p, array_to_string(w[p:p + 4], ' ') AS g FROM g
+), d AS (SELECT doc_id, p FROM h QUALIFY count(*) OVER (PARTITION BY doc_id, g) > 1
+), r AS (
+  SELECT doc_id, sum(s) AS n FROM (SELECT doc_id, least(5, coalesce(p - lag(p) OVER (PARTITION BY doc_id ORDER BY p), 5)) AS s FROM d)
+  GROUP BY doc_id
+), m AS (
+  SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(length(array_to_string(w, '')) AS BIGINT) AS word_chars,
+    CAST(length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
+    CAST(len(l) - len(list_distinct(l)) AS BIGINT) AS n_dup_lines, CAST(coalesce(n, 0) AS BIGINT) AS n_repeat_words,
+    CAST(len(l) AS BIGINT) AS n_lines, len(list_filter(w, lambda x: x IN ({STOPS}))) AS n_stop
+  FROM w LEFT JOIN r USING (doc_id)
+), q AS (
+  SELECT *, word_chars / nullif(n_words, 0) AS mean_word_chars, n_symbols / nullif(n_words, 0) AS symbols_per_word,
+    n_dup_lines / nullif(n_lines, 0) AS dup_line_ratio,
+    CASE WHEN n_words >= {quality_rules.STOP_FROM} THEN n_stop / n_words END AS stop_word_ratio_long,
+    n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed
+  FROM m
+)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+  NOT base_failed AND {quality_rules.verdict_sql()} AS kept
+FROM q
+"""
+
+
+@query("op3_quality_rules", OP3_SQL)
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = quality_rules.quality_rules(table(spark, sf_dir, "documents"))
+    return out.select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"
+    )
