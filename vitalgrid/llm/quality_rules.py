@@ -24,7 +24,7 @@ REPEAT_WINDOW = 5
 THRESHOLDS: list[tuple[str, float | None, float | None]] = [
     ("mean_word_chars", 1.5, 20.0),
     ("symbols_per_word", None, 0.1),
-    ("dup_line_ratio", None, 0.3),
+    ("dup_line_ratio", None, 0.5),
     ("stop_word_ratio_long", 0.01, None),
 ]
 # a short text may hold no function word by chance, so its ratio counts from this length on

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from vitalgrid.llm import quality_rules
 from vitalgrid.llm.registry import query
+from vitalgrid.llm.sharding import histogram_shards
 from vitalgrid.llm.substring_dedup import repeated_passages
 
 
@@ -77,3 +78,12 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"
     )
+
+
+@query("op1_histogram_shards")
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = histogram_shards(table(spark, sf_dir, "documents"))
+    return out.select(
+        "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot",
+        F.lit(None).cast("int").alias("grown_shard"),
+    )
