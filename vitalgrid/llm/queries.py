@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vitalgrid.llm import pieces, quality_rules
+from vitalgrid.llm import pieces, quality_rules, toxicity
 from vitalgrid.llm.registry import query
 from vitalgrid.llm.sharding import histogram_shards
 from vitalgrid.llm.substring_dedup import repeated_passages
@@ -104,3 +104,16 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"),
         F.sha2("decoded", 256).alias("decoded_sha256"),
     )
+
+
+def remainder(n: int) -> Column:
+    return F.crc32(F.col("doc_id").cast("string").cast("binary")) % n
+
+
+@query("op9_toxic_lexicon")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    lexicon = toxicity.learn(toxicity.sample(docs, labels.where(remainder(4) != 2), "toxic"))
+    return toxicity.score(docs, lexicon).select(
+        "doc_id", (remainder(4) == 2).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"),
+    )
