@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vitalgrid.llm import pieces, quality_rules, toxicity
+from vitalgrid.llm import pieces, quality_classifier, quality_rules, toxicity
 from vitalgrid.llm.registry import query
 from vitalgrid.llm.sharding import histogram_shards
 from vitalgrid.llm.substring_dedup import repeated_passages
@@ -117,3 +117,12 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, lexicon).select(
         "doc_id", (remainder(4) == 2).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"),
     )
+
+
+@query("op7_neighbour_quality")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    model = quality_classifier.learn(docs, labels.where(remainder(5) != 0))
+    return quality_classifier.score(docs, model).select(
+        "doc_id", (remainder(5) == 0).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"),
+    )
