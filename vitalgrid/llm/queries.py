@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from vitalgrid.llm import pieces, pii, quality_classifier, quality_rules, toxicity
 from vitalgrid.llm.decontaminate import phrase_matches
+from vitalgrid.llm.language_model import score_texts
 from vitalgrid.llm.ngram_join import jaccard_components
 from vitalgrid.llm.registry import query
 from vitalgrid.llm.sharding import histogram_shards
@@ -200,3 +201,10 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", *[count(k) for k in pii.KINDS], F.sha2(pii.listed(F.col("base")), 256).alias("base_sha256"),
         pii.listed(F.col("spans")).alias("spans"),
     )
+
+
+@query("op5_maxent_scores")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = score_texts(table(spark, sf_dir, "documents"), remainder(10) != 0)
+    return out.select(
+        "doc_id", (remainder(10) == 0).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
