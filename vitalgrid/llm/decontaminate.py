@@ -9,6 +9,7 @@ never need a list. All of it is DataFrame work.
 from __future__ import annotations
 
 import string
+from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -75,12 +76,12 @@ def intersect(index: DataFrame, places: DataFrame) -> DataFrame:
     return moved.groupBy("doc", "win", "start").agg(F.count("*").alias("n"), F.first("lists").alias("lists")).where("n >= lists").drop("n", "lists")
 
 
-def phrase_matches(docs: DataFrame, items: DataFrame, size: int = WINDOW, lists: int = LISTS) -> DataFrame:
+def phrase_matches(docs: DataFrame, items: DataFrame, size: int = WINDOW, lists: int = LISTS, keep: Sequence[str] = ()) -> DataFrame:
     """Per document its words, the words that lie in benchmark windows, and the items found.
 
     Reads ``doc_id`` and ``text`` of ``docs``, ``item_id`` and ``text`` of ``items``. Returns
     doc_id, n_words, n_hit, items (sorted strings) and ``hits`` (start and length in words of
-    each match). Null and empty texts have no words; repeated rows are judged each by its own
+    each match), with the columns named in ``keep``. Null and empty texts have no words; repeated rows are judged each by its own
     text; an empty benchmark matches nothing.
     """
     windows = stored(benchmark_windows(items, size), "benchmark-windows")
@@ -91,13 +92,15 @@ def phrase_matches(docs: DataFrame, items: DataFrame, size: int = WINDOW, lists:
     # windows of one document; no more than its places times the windows that begin there
     per_doc = meets.join(windows, "win").groupBy("doc").agg(F.collect_list(F.struct("start", "words", "items")).alias("meets"))
     id_ = F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("doc")
-    both = docs.select(id_, "doc_id", "text").join(per_doc, "doc", "left").select("doc_id", "text", "meets")
-    both = once(both, "words", words_of("text")).drop("text")
+    kept = [c for c in keep if c not in ("doc_id", "text")]
+    text = ["text"] if "text" in keep else []
+    both = docs.select(id_, "doc_id", "text", *kept).join(per_doc, "doc", "left").drop("doc")
+    both = once(both, "words", words_of("text"))
     same = F.array_sort(F.filter(
         F.coalesce("meets", F.array().cast("array<struct<start:int,words:array<string>,items:array<string>>>")),
         lambda m: F.slice(F.col("words"), m["start"] + 1, F.size(m["words"])) == m["words"]))
     # used twice below, so it is computed in a step of its own
-    both = once(both.select("doc_id", F.size("words").cast("long").alias("n_words"), same.alias("same")), "found", F.col("same"))
+    both = once(both.select("doc_id", *text, *kept, F.size("words").cast("long").alias("n_words"), same.alias("same")), "found", F.col("same"))
     zero = F.struct(F.lit(0).alias("end"), F.lit(0).cast("long").alias("n"))
 
     def grow(a: Column, m: Column) -> Column:
@@ -106,7 +109,7 @@ def phrase_matches(docs: DataFrame, items: DataFrame, size: int = WINDOW, lists:
         return F.struct(F.greatest(a["end"], end).alias("end"), (a["n"] + new).alias("n"))
 
     return both.select(
-        "doc_id", "n_words", F.aggregate("found", zero, grow)["n"].alias("n_hit"),
+        "doc_id", *text, *kept, "n_words", F.aggregate("found", zero, grow)["n"].alias("n_hit"),
         F.array_sort(F.array_distinct(F.flatten(F.transform("found", lambda m: m["items"])))).alias("items"),
         F.transform("found", lambda m: F.struct(m["start"], F.size(m["words"]).alias("length"))).alias("hits"),
     )

@@ -13,6 +13,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
 
 from vitalgrid.llm.exchange import small_batches
 
@@ -129,8 +130,8 @@ def _encoder(path: str) -> Encoder:
     return _loaded[path]
 
 
-def encode(docs: DataFrame, model: str) -> DataFrame:
-    """Per document ``ids`` and ``ends``, the source byte (exclusive) at which each piece ends.
+def encode(docs: DataFrame, model: str, keep_text: bool = False) -> DataFrame:
+    """Per document ``ids`` and ``ends``, the source byte (exclusive) at which each piece ends, and on wish the text.
 
     Reads ``doc_id`` and ``text``. A null or empty text has no pieces; repeated rows are
     encoded each for itself. Executors must find the model under the same path.
@@ -145,10 +146,11 @@ def encode(docs: DataFrame, model: str) -> DataFrame:
             bounds = np.concatenate(([0], np.cumsum([len(x) for x in ids])))
             ends = [encoder.ends(t, x) for t, x in zip(texts, ids, strict=True)]
             list_of = lambda parts: pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(np.concatenate([np.zeros(0, np.int32), *parts]), pa.int32()))
-            yield pa.RecordBatch.from_arrays([batch.column(0), list_of([np.array(x, np.int32) for x in ids]), list_of(ends)], ["doc_id", "ids", "ends"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[: 1 + keep_text], list_of([np.array(x, np.int32) for x in ids]), list_of(ends)], names)
 
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, ids array<int>, ends array<int>")
+    kept = docs.select("doc_id", "text") if keep_text else docs.select("doc_id")
+    names = [*kept.columns, "ids", "ends"]
+    return docs.select("doc_id", "text").mapInArrow(run, StructType([*kept.schema, *(StructField(n, ArrayType(IntegerType())) for n in ("ids", "ends"))]))
 
 
 def decode(encoded: DataFrame, model: str) -> DataFrame:
@@ -163,4 +165,4 @@ def decode(encoded: DataFrame, model: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], names)
 
     names = [*encoded.columns, "decoded"]
-    return encoded.mapInArrow(run, encoded.select("*").schema.add("decoded", "string"))
+    return encoded.mapInArrow(run, StructType([*encoded.schema, StructField("decoded", StringType())]))

@@ -15,6 +15,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from vitalgrid.llm.exchange import small_batches
 from vitalgrid.llm.words import Words, mix
@@ -136,17 +137,19 @@ def learn(docs: DataFrame, labels: DataFrame, label: str = "quality", rows: int
     return fit(x, np.array([r["y"] for r in got], np.float32))
 
 
-def score(docs: DataFrame, model: Neighbours) -> DataFrame:
-    """Per document ``score`` from 0 to 1 for label 1.
+def score(docs: DataFrame, model: Neighbours, *keep: str) -> DataFrame:
+    """Per document ``score`` from 0 to 1 for label 1, beside doc_id and the columns named in ``keep``.
 
     Reads ``doc_id`` and whole ``text``. Null and empty texts have no direction and get the
     share of label 1 in the sample (0.5 without one); equal texts get equal scores.
     """
     small_batches(docs.sparkSession)
+    rows = docs.select("doc_id", *keep) if "text" in keep else docs.select("doc_id", *keep, "text")
+    at = rows.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(model.vote(features(batch.column(1))), pa.float64())], ["doc_id", "score"])
+            own = pa.array(model.vote(features(batch.column(at))), pa.float64())
+            yield pa.RecordBatch.from_arrays([*batch.columns, own], [*batch.schema.names, "score"])
 
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, score double")
+    return rows.mapInArrow(run, StructType([*rows.schema, StructField("score", DoubleType())])).select("doc_id", *keep, "score")

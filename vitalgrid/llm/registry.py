@@ -24,4 +24,8 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
 
 def load() -> tuple[dict[str, Query], dict[str, str]]:
     importlib.import_module("vitalgrid.llm.queries")
+    pipeline = importlib.import_module("corpus_pipeline")
+    QUERIES["pipeline"] = pipeline.run
+    if pipeline.ORACLE_SQL:
+        SQL["pipeline"] = pipeline.ORACLE_SQL
     return QUERIES, SQL
