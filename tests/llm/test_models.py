@@ -1,0 +1,170 @@
+"""Fitted operators: exact parts beside plain versions, the rest by held-out accuracy."""
+
+import math
+import re
+from collections import Counter
+
+import pytest
+from pyspark.sql import functions as F
+
+from tests.llm.conftest import rows_of
+from vitalgrid.llm import language_model, pieces, pii, quality_classifier, toxicity
+from vitalgrid.llm.queries import model_path
+
+SF = "/root/testdata/sf0.01"
+PATTERNS = {
+    "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)",
+    "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
+}
+
+
+def luhn(digits):
+    total = 0
+    for i, c in enumerate(reversed(digits)):
+        d = int(c) * (1 + i % 2)
+        total += d - 9 * (d > 9)
+    return total % 10 == 0
+
+
+def passes(kind, text):
+    digits = re.sub("[^0-9]", "", text)
+    if kind == "ip":
+        return all(int(x) <= 255 for x in text.split("."))
+    return {"email": True, "card": 13 <= len(digits) <= 19 and luhn(digits), "phone": 9 <= len(digits) <= 15}[kind]
+
+
+def plain_spans(text):
+    return ",".join(f"{k}:{m.start()}:{m.end()}" for k, p in PATTERNS.items() for m in re.finditer(p, text or "") if passes(k, m[0]))
+
+
+def test_base_spans(frame, odd_rows):
+    import random
+
+    rng = random.Random(6)
+    signs = list("ab1234567890..@@+-- ()\n_%é😀\x01\x02")
+    texts = ["".join(rng.choice(signs) for _ in range(rng.randrange(60))) for _ in range(600)]
+    texts += ["1" * 20000, "1-" * 20000, "a@b.c_x@y.z,a@b@c.d", "4111 1111 1111 1111 x +1 (743) 555-3824, 1.2.3.4.5 999.1.1.1 007.0.0.1", "q@w.e " * 600]
+    rows = odd_rows + rows_of(texts, 1000)
+    got = pii.find(frame(rows), pii.Selector()).select("doc_id", pii.listed(F.col("base")).alias("b"), pii.listed(F.col("spans")).alias("s")).collect()
+    assert sorted((repr(r["doc_id"]), r["b"]) for r in got) == sorted((repr(r[0]), plain_spans(r[1])) for r in rows)
+    assert all(r["b"] == r["s"] for r in got)
+
+
+def test_boosted_spans_add_and_leave_base(spark, frame):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    model = pii.fit(docs, rounds=6)
+    secret = 'words token = "0123456789abcdef0123456789abcdef01234567" words me@host.org more'
+    got = pii.find(frame(rows_of([secret, "only plain words of prose", None])), model, "text")
+    out = {r["doc_id"]: (r["spans"], r["masked"]) for r in got.select("doc_id", "spans", pii.redact(F.col("text"), F.col("spans")).alias("masked")).collect()}
+    assert [s["kind"] for s in out[0][0]] == ["email", "secret"]
+    assert out[0][1] == 'words token = "<secret>" words <email> more'
+    assert out[1] == ([], "only plain words of prose") and out[2] == ([], None)
+    assert pii.fit(frame([])) == pii.Selector()
+
+
+def test_language_model(frame, odd_rows):
+    import zlib
+
+    train = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 != 0
+    got = language_model.score_texts(frame(odd_rows), train).collect()
+    assert len(got) == len(odd_rows)
+    texts = [(r[0], [w.lower() for w in (r[1] or "").encode().split()] + [None]) for r in odd_rows]
+    count = Counter(w for d, t in texts if d is not None and zlib.crc32(str(d).encode()) % 3 for w in t)
+    n, v = sum(count.values()), len(count)
+    plain = sorted((repr(d), len(t), sum(count[w] > 0 for w in t), round(sum(math.log10((count[w] + 0.1) / (n + 0.1 * (v + 1))) for w in t), 6)) for d, t in texts)
+    assert sorted((repr(r["doc_id"]), r["n_tokens"], r["n_known"], round(r["base_score"], 6)) for r in got) == plain
+    assert {r["train_tokens"] for r in got} == {n}
+    assert all(r["score"] < 0 and math.isfinite(r["score"]) for r in got)
+    assert language_model.score_texts(frame([]), train).collect() == []
+    nothing = language_model.score_texts(frame(odd_rows), F.lit(False)).collect()
+    assert all(r["base_score"] == 0 and r["n_known"] == 0 for r in nothing)
+
+
+def test_language_model_beats_single_words(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    held = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 10 == 0
+    out = language_model.score_texts(docs, ~held).where(held).agg(F.sum("base_score").alias("b"), F.sum("score").alias("s")).first()
+    assert out["s"] > out["b"]
+
+
+def area(pairs):
+    ones, zeros = [s for s, y in pairs if y], [s for s, y in pairs if not y]
+    return sum((a > b) + 0.5 * (a == b) for a in ones for b in zeros) / (len(ones) * len(zeros))
+
+
+def held_out(spark, label, n, r):
+    docs, labels = (spark.read.parquet(f"{SF}/{t}.parquet") for t in ("documents", "labels"))
+    rest = F.crc32(F.col("doc_id").cast("string").cast("binary")) % n
+    return docs, labels.where(rest != r), labels.where(rest == r).select("doc_id", F.col(label).alias("y"))
+
+
+def test_neighbour_quality(spark, frame, odd_rows):
+    docs, train, test = held_out(spark, "quality", 5, 0)
+    model = quality_classifier.learn(docs, train)
+    got = quality_classifier.score(docs, model).join(test, "doc_id").collect()
+    assert area([(r["score"], r["y"]) for r in got]) > 0.95
+    own = quality_classifier.score(frame(odd_rows), model, "lang").collect()
+    assert len(own) == len(odd_rows) and all(0 <= r["score"] <= 1 for r in own)
+    assert len({r["score"] for r in own if r["doc_id"] in (0, 1, 2)}) == 1
+    assert quality_classifier.score(frame([]), model).collect() == []
+    unlabelled = quality_classifier.learn(frame(odd_rows), train.limit(0))
+    assert {r["score"] for r in quality_classifier.score(frame(odd_rows), unlabelled).collect()} == {0.5}
+
+
+def test_toxic_lexicon(spark, frame, odd_rows):
+    docs, train, test = held_out(spark, "toxic", 4, 2)
+    lexicon = toxicity.learn(toxicity.sample(docs, train, "toxic"))
+    got = toxicity.score(docs, lexicon).join(test, "doc_id").collect()
+    assert area([(r["score"], r["y"]) for r in got]) > 0.75
+    own = toxicity.score(frame(odd_rows), lexicon).collect()
+    assert len(own) == len(odd_rows) and all(0 <= r["score"] <= 1 for r in own)
+    assert toxicity.learn(toxicity.sample(docs, train.limit(0), "toxic")).weights == {}
+    assert toxicity.score(frame([]), lexicon).collect() == []
+
+
+def test_folding_and_exceptions():
+    assert toxicity.fold("An IDI0T, stуpid! 1d10t ＬＯＳＥＲ") == " an idiot stypid idiot loser "
+    lexicon = toxicity.Lexicon({" idio": 5.0, " idiosyncrasy ": 0.0})
+    automaton = lexicon.automaton()
+    assert toxicity.rate(automaton, toxicity.fold("an idiot"))[1] == 1
+    assert toxicity.rate(automaton, toxicity.fold("an idiosyncrasy"))[1] == 0
+    long_ = toxicity.rate(automaton, toxicity.fold("an idiot " + "and more words " * 200))[0]
+    assert 0 < long_ < toxicity.rate(automaton, toxicity.fold("an idiot"))[0]
+
+
+def test_pieces(spark, frame, odd_rows):
+    import random
+
+    import sentencepiece
+
+    model = sentencepiece.SentencePieceProcessor(model_file=model_path())
+    rng = random.Random(2)
+    signs = ["a", " ", "  ", "\n", "▁", "é", "😀", "\u0000", "the", "\t", "日"]
+    rows = odd_rows + rows_of(["".join(rng.choice(signs) for _ in range(rng.randrange(12))) for _ in range(300)], 1000)
+    got = pieces.decode(pieces.encode(frame(rows), model_path(), keep_text=True), model_path()).collect()
+    assert len(got) == len(rows)
+    for r in got:
+        text = r["text"] or ""
+        assert r["ids"] == model.encode(text) and r["decoded"] == model.decode(r["ids"])
+        assert r["ends"] == [p.end for p in model.encode(text, return_type="proto").pieces]
+    assert pieces.encode(frame([]), model_path()).collect() == []
+
+
+def test_character_map_takes_the_longest_prefix():
+    import sentencepiece
+    from sentencepiece import sentencepiece_model_pb2 as pb
+
+    normaliser = sentencepiece.SentencePieceNormalizer(
+        rule_name="nmt_nfkc", add_dummy_prefix=False, escape_whitespaces=False, remove_extra_whitespaces=False)
+    blob = pb.ModelProto.FromString(normaliser.serialized_model_proto()).normalizer_spec.precompiled_charsmap
+    table = pieces.CharacterMap(blob)
+    for text in ("ＡＢＣ①ﬁ", "é ｶﾞ ㌔", "plain", ""):
+        out, source = table.normalise(text.encode())
+        assert out.decode() == normaliser.normalize(text)
+        assert len(source) == len(out) + 1 and source == sorted(source) and source[-1] == len(text.encode())
+
+
+@pytest.mark.parametrize("values", [[], [5], list(range(700))])
+def test_prefix_sums(spark, values):
+    got = spark.createDataFrame([(values,)], "v array<long>").select(pii.prefix_sums(F.col("v")).alias("s")).first()["s"]
+    assert got == [sum(values[:i]) for i in range(len(values))]

@@ -39,7 +39,9 @@ MIN_ODDS = math.log(8)
 MAX_ENTRIES = 5_000
 CURVE_STEPS = 400
 _WORD = re.compile(r"[^\W_]+")
-_MIXED = re.compile(r"(?<=[^\W\d_])[0-9@$!](?=[^\W\d_])|(?<![\w@$!])[0-9@$](?=[^\W\d_]{2})|(?<=[^\W\d_]{2})[0-9@$](?![\w@$!])")
+_LEET_SIGN = re.compile("[0-9@$!]")
+_LEET_WORD = re.compile(r"(?<![\w@$!])[@$]?[^\W_]+(?:[@$!]+[^\W_]+)*")
+_LEET = str.maketrans(LEET)
 _ODD = re.compile("[" + "".join(HOMOGLYPHS) + "＀-￯\U0001d400-\U0001d7ff​-‍⁠﻿­]")
 _HIDDEN = re.compile("[​-‍⁠﻿­]")
 
@@ -49,8 +51,8 @@ def fold(text: str) -> str:
     text = text.lower()
     if _ODD.search(text):
         text = unicodedata.normalize("NFKC", _HIDDEN.sub("", text)).lower().translate(str.maketrans(HOMOGLYPHS))
-    if _MIXED.search(text):
-        text = _MIXED.sub(lambda m: LEET.get(m[0], m[0]), text)
+    if _LEET_SIGN.search(text):
+        text = _LEET_WORD.sub(lambda m: m[0] if m[0].isdigit() else m[0].translate(_LEET), text)
     return " " + " ".join(_WORD.findall(text)) + " "
 
 
