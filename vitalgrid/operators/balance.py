@@ -7,6 +7,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 from vitalgrid.operators.joins import salted_lookup
 from vitalgrid.operators.ordered import running_index
 
+COPY_BLOCK = 4096
+
 # Labels that set the target, and labels that are raised to it.
 MAJORITY = ["WALKING", "SITTING"]
 
@@ -51,7 +53,9 @@ def oversample(
 
     Row i of a class with n rows (i from 1, in ``order``) appears
     ``target div n`` times, and once more if i is among the first ``target mod n``:
-    the copies cycle through the class. ``copy_no`` is 0 for the original.
+    the copies cycle through the class. ``copy_no`` is 0 for the original. Copies of one row
+    are made in blocks that are spread first, so a class of a single row, raised to half
+    of a large one, is written by many tasks.
     """
     targets = class_targets(df, keys, label, majority).withColumnRenamed("n", "_n")
     indexed = running_index(df, [*keys, label], order, piece_ms, "_i")
@@ -59,7 +63,10 @@ def oversample(
     extra = F.when(F.col("_i") <= F.col("target") % F.col("_n"), 1).otherwise(0)
     times = F.greatest(F.floor(F.col("target") / F.col("_n")).cast("bigint") + extra, F.lit(1))
     copies = F.when(F.col("_n") < F.col("target"), times).otherwise(F.lit(1).cast("bigint"))
-    return (
-        joined.withColumn("copy_no", F.explode(F.sequence(F.lit(0).cast("bigint"), copies - 1)))
-        .drop("_i", "_n", "target")
-    )
+    zero = F.lit(0).cast("bigint")
+    blocks = joined.withColumn("_copies", copies).withColumn(
+        "_block", F.explode(F.sequence(zero, F.floor((F.col("_copies") - 1) / COPY_BLOCK).cast("bigint"))))
+    spread = blocks.repartition(*[F.col(k) for k in (*keys, label, *order)], F.col("_block"))
+    first = F.col("_block") * COPY_BLOCK
+    last = F.least(first + COPY_BLOCK, F.col("_copies")) - 1
+    return spread.withColumn("copy_no", F.explode(F.sequence(first, last))).drop("_i", "_n", "target", "_copies", "_block")

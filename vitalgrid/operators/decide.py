@@ -17,14 +17,15 @@ def vote(
     rows: DataFrame, keys: list[str], label: str, weights: dict[str, int] | None = None
 ) -> DataFrame:
     """Weighted majority per key: ``activity``, its ``score`` and ``n_top``, the
-    number of labels sharing that score. On a tie the first label of ``LABELS`` wins.
+    number of labels sharing that score. Only labels that got a vote count; on a tie the
+    first of them in ``LABELS`` wins. Without a known vote all is null and ``n_top`` 0.
 
     One conditional sum per label, so a key costs one row per map task; no join with
     a weight table and no ranking window.
     """
     weights = VOTE_WEIGHTS if weights is None else weights
     score = {
-        n: F.sum(F.when(F.col(label) == n, F.lit(weights[n])).otherwise(0)).cast("bigint") for n in LABELS
+        n: F.sum(F.when(F.col(label) == n, F.lit(weights[n]))).cast("bigint") for n in LABELS
     }
     scored = rows.groupBy(*keys).agg(*[score[n].alias(f"_s_{n}") for n in LABELS])
     top = F.greatest(*[F.col(f"_s_{n}") for n in LABELS])
@@ -41,12 +42,8 @@ def vote(
 def vote_in_row(columns: list[str], weights: dict[str, int] | None = None) -> Column:
     """The same decision over label columns of one row."""
     weights = VOTE_WEIGHTS if weights is None else weights
-    scores = F.array(
-        *[
-            sum((F.when(F.col(c) == n, F.lit(weights[n])).otherwise(0) for c in columns), F.lit(0))
-            for n in LABELS
-        ]
-    )
+    votes = {n: sum((F.when(F.col(c) == n, 1).otherwise(0) for c in columns), F.lit(0)) for n in LABELS}
+    scores = F.array(*[F.when(votes[n] > 0, votes[n] * weights[n]) for n in LABELS])
     names = F.array(*[F.lit(n) for n in LABELS])
     return F.element_at(names, F.array_position(scores, F.array_max(scores)).cast("int"))
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from vitalgrid.operators.balance import split_bucket
 from vitalgrid.operators.ordered import piece_of
 from vitalgrid.operators.parse import typed
 from vitalgrid.sources.registry import COMMON_FIELDS, SENSOR_FIELDS, sensor_columns, table_name
@@ -80,7 +81,7 @@ def number_posts(
     as a smaller post, as a flush does. So a key is never numbered by one task: it is
     split by time, and within a piece by a hash of ``shard``.
     """
-    part = F.lit(0) if shard is None else F.pmod(F.xxhash64(shard), F.lit(shards))
+    part = F.lit(0) if shard is None else split_bucket([shard], shards)
     cut = points.withColumn("piece", piece_of(order[0], piece_ms)).withColumn("shard", part.cast("int"))
     w = Window.partitionBy(*keys, "piece", "shard").orderBy(*order)
     numbered = cut.withColumn("idx", F.row_number().over(w))

@@ -16,8 +16,12 @@ VARIANCE_FLOOR = 1e-9
 
 
 def _argmax(scores: list[Column], labels: list) -> Column:
-    """Label of the largest score; the first on a tie, classes without rows skipped."""
-    arr = F.array(*[F.coalesce(s, F.lit(float("-inf"))) for s in scores])
+    """Label of the largest score; the first on a tie, classes without rows skipped.
+
+    A score that is null or not a number is unknown: a row with an unknown feature has no
+    known score, and its label is null.
+    """
+    arr = F.array(*[F.when(~F.isnan(s), s) for s in scores])
     names = F.array(*[F.lit(n) for n in labels])
     return F.element_at(names, F.array_position(arr, F.array_max(arr)).cast("int"))
 

@@ -77,9 +77,12 @@ def time_rate(df: DataFrame, keys: list[str], ts: str, width_ms: int) -> DataFra
     )
 
 
-def novelty_rows(rated: DataFrame, user: str = "user_id", ts: str = "time_stamp") -> DataFrame:
-    """Alarmed rows as table rows, one per violation of the row itself."""
-    point = stable_id(F.col(user), F.col(ts))
+def novelty_rows(
+    rated: DataFrame, user: str = "user_id", ts: str = "time_stamp", order: tuple[str, ...] = ("time_stamp", "event_id"),
+) -> DataFrame:
+    """Alarmed rows as table rows, one per violation of the row itself. The ids hold the
+    whole ``order``, which tells the rows of a user apart; the time alone may not."""
+    point = stable_id(F.col(user), *[F.col(o) for o in order])
     flat = rated.where("alarm").select(
         user, F.col(ts).alias("novel_time_stamp"), "novel_rate", F.col("novel").alias("novel_flag"),
         point.alias("novel_point_id"), F.posexplode("violations").alias("_i", "_v"),

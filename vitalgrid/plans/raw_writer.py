@@ -18,7 +18,14 @@ def write_batch(
     """Records, posts and rejects of one batch, each into the batch's own folder, so
     that a batch that is run again replaces what it wrote."""
     settings = settings or MetricSettings()
-    parsed = parse.parse_messages(messages)
+    parsed = parse.parse_messages(messages).persist()  # three tables are written from one parse
+    try:
+        _write(parsed, batch_id, path, disabled, settings, piece_ms, shards)
+    finally:
+        parsed.unpersist()
+
+
+def _write(parsed: DataFrame, batch_id: int, path: str, disabled, settings: MetricSettings, piece_ms: int, shards: int) -> None:
     good = parse.accepted(parsed, disabled)
     sinks.append_keyed(parse.wide_records(good), f"{path}/records", batch_id, ["sensor"])
     points = metrics.metric_points(good, settings.table_prefix)

@@ -11,12 +11,14 @@ from vitalgrid.operators import features, forests, joins, naive_bayes
 from vitalgrid.sources.registry import LABELS
 
 
-def result_rows(scored: DataFrame, sensor: str, width_ms: int, label, method: str = "forest") -> DataFrame:
-    """``eventId, processor_name, userid, time_stamp, result`` from scored windows."""
+def result_rows(
+    scored: DataFrame, sensor: str, width_ms: int, label, method: str = "forest", keys: tuple[str, ...] = ("userid",),
+) -> DataFrame:
+    """``eventId, processor_name, userid, time_stamp, result`` from windows scored per ``keys``, which all go into the id."""
     time = window_start("window", width_ms)
     name = f"{method}_{sensor}"
     return scored.select(
-        stable_id(F.lit(name), F.col("userid"), time).alias("eventId"),
+        stable_id(F.lit(name), *[F.col(k) for k in keys], time).alias("eventId"),
         F.lit(name).alias("processor_name"), "userid", time.alias("time_stamp"), label.alias("result"),
     )
 
@@ -29,7 +31,7 @@ def score_windows(
     mine = joins.keep_known(readings.where(F.col("sensor") == sensor), users, "userid", ["eventId"])
     windows = features.axis_features(mine, ["deviceid", "userid"], "time_stamp", width_ms, rounding)
     scored = forests.score_all(windows, {sensor: model})
-    return result_rows(scored, sensor, width_ms, label_name(f"{sensor}_prediction"))
+    return result_rows(scored, sensor, width_ms, label_name(f"{sensor}_prediction"), keys=("deviceid", "userid"))
 
 
 def score_slopes(

@@ -18,17 +18,18 @@ DAY = 86_400_000
 R = view.READINGS_SQL
 
 
-def _vote_sql(weights: dict[str, int], source: str, keys: str) -> str:
-    scores = ", ".join(
-        f"CAST(sum(CASE WHEN label = '{n}' THEN {w} ELSE 0 END) AS BIGINT) AS s{i}" for i, (n, w) in enumerate(weights.items())
-    )
-    unions = " UNION ALL ".join(f"SELECT {keys}, '{n}' AS activity, s{i} AS score, {i} AS pos FROM scored" for i, n in enumerate(weights))
-    return f"""{source}, scored AS (SELECT {keys}, {scores} FROM voters GROUP BY {keys}),
-    listed AS ({unions}),
+def _vote_sql(weights: dict[str, int], source: str, keys: str, final: str | None = None) -> str:
+    """The rule: labels that got a vote are ranked by votes times weight, equals by the order of the labels."""
+    listed = ", ".join(f"('{n}', {w}, {i})" for i, (n, w) in enumerate(weights.items()))
+    final = final or f"""SELECT {keys}, activity, score, coalesce(n_top, 0) AS n_top
+    FROM (SELECT DISTINCT {keys} FROM voters) LEFT JOIN (SELECT * FROM ranked WHERE rn = 1) USING ({keys}) LEFT JOIN ties USING ({keys})"""
+    return f"""{source}, weights(activity, w, pos) AS (VALUES {listed}),
+    scored AS (SELECT {keys}, activity, pos, CAST(count(*) * w AS BIGINT) AS score
+      FROM voters JOIN weights ON label = activity GROUP BY {keys}, activity, pos, w),
     ranked AS (SELECT *, row_number() OVER (PARTITION BY {keys} ORDER BY score DESC, pos) AS rn,
-      max(score) OVER (PARTITION BY {keys}) AS top FROM listed),
+      max(score) OVER (PARTITION BY {keys}) AS top FROM scored),
     ties AS (SELECT {keys}, count(*) AS n_top FROM ranked WHERE score = top GROUP BY {keys})
-    SELECT r.*  EXCLUDE (pos, rn, top), n_top FROM ranked r JOIN ties USING ({keys}) WHERE rn = 1"""
+    {final}"""
 
 
 _VOTERS = f"{ALIGNED_SQL}, voters AS (SELECT a.userid, a.anchor, p.label FROM aligned a JOIN predictions p ON a.eventId = p.eventId)"
@@ -52,10 +53,7 @@ def majority_vote(spark, sf_dir):
 
 @query(
     "tied_votes",
-    "WITH " + _vote_sql(decide.EQUAL_WEIGHTS, _DAILY, "userid, day").replace(
-        "SELECT r.*  EXCLUDE (pos, rn, top), n_top FROM ranked r JOIN ties USING (userid, day) WHERE rn = 1",
-        "SELECT n_top, count(*) AS n FROM ties GROUP BY 1",
-    ),
+    "WITH " + _vote_sql(decide.EQUAL_WEIGHTS, _DAILY, "userid, day", "SELECT n_top, count(*) AS n FROM ties GROUP BY 1"),
 )
 def tied_votes(spark, sf_dir):
     return majority_vote(spark, sf_dir).groupBy("n_top").agg(F.count(F.lit(1)).alias("n"))

@@ -212,11 +212,13 @@ def novelty_rate_by_time(spark, sf_dir):
 
 
 def _violation_rows(source: str) -> str:
+    """One row per violation; ``slot`` is its place among the record's violations, from 0."""
     parts = []
-    for v in novelty.EVENT_SLOTS:
+    below = [f"CASE WHEN post_{v} < 0.15 THEN 1 ELSE 0 END" for v in novelty.EVENT_SLOTS]
+    for k, v in enumerate(novelty.EVENT_SLOTS):
         ins = [f"event_{'Activity' if s == v else s}" for s in SIGNALS]
         parts.append(
-            f"SELECT *, event_{v} AS out_event, post_{v} AS percentage, {', '.join(f'{e} AS in_event_{i + 1}' for i, e in enumerate(ins))} "
+            f"SELECT *, CAST({' + '.join(['0', *below[:k]])} AS INTEGER) AS slot, event_{v} AS out_event, post_{v} AS percentage, {', '.join(f'{e} AS in_event_{i + 1}' for i, e in enumerate(ins))} "
             f"FROM {source} WHERE post_{v} < 0.15"
         )
     return " UNION ALL ".join(parts)
@@ -225,13 +227,14 @@ def _violation_rows(source: str) -> str:
 @query(
     "novelty_table",
     f"""WITH {RATE_SQL}, violated AS ({_violation_rows('alarms')})
-    SELECT md5(user_id || '|' || time_stamp) AS novel_point_id, in_event_1, in_event_2, in_event_3, in_event_4, out_event,
+    SELECT md5(md5(user_id || '|' || time_stamp || '|' || event_id) || '|' || slot) AS row_id,
+    md5(user_id || '|' || time_stamp || '|' || event_id) AS novel_point_id, in_event_1, in_event_2, in_event_3, in_event_4, out_event,
     {r6('percentage')} AS result_percentage, {r6('novel_rate')} AS novel_rate, time_stamp AS novel_time_stamp, user_id,
     true AS novel_flag FROM violated WHERE alarm""",
 )
 def novelty_table(spark, sf_dir):
     out = novelty.novelty_rows(rated(spark, sf_dir))
-    return out.drop("row_id", "novel_event_id").withColumns(
+    return out.drop("novel_event_id").withColumns(
         {c: rounded(c) for c in ("result_percentage", "novel_rate")}
     )
 

@@ -66,38 +66,43 @@ def keyed_table_files(spark, sf_dir):
     return now.select("userid", "sensor", "time_stamp", rounded("x").alias("x"))
 
 
+# One metric of one time piece is numbered by so many tasks.
+SHARDS = 4
+NUMBERED_SQL = f"""{POINTS_SQL}, sharded AS (SELECT *, timestamp // {5 * DAY} AS piece,
+  CAST(CAST(('0x' || substr(md5(CAST(event_id AS VARCHAR)), 1, 8)) AS BIGINT) % {SHARDS} AS INTEGER) AS shard FROM points),
+numbered AS (SELECT *, row_number() OVER (PARTITION BY name, piece, shard ORDER BY timestamp, event_id) AS idx FROM sharded)"""
+
+
 @query(
     "metric_post_numbers",
-    f"""WITH {POINTS_SQL}, numbered AS (SELECT *, row_number() OVER (PARTITION BY name, timestamp // {5 * DAY} ORDER BY timestamp, event_id) AS idx,
-      timestamp // {5 * DAY} AS piece FROM points)
-    SELECT name, piece, (idx - 1) // 50 AS post_id, count(*) AS n, min(timestamp) AS first_time, max(timestamp) AS last_time
+    f"""WITH {NUMBERED_SQL}
+    SELECT name, piece, shard, (idx - 1) // 50 AS post_id, count(*) AS n, min(timestamp) AS first_time, max(timestamp) AS last_time
     FROM numbered GROUP BY ALL""",
 )
 def metric_post_numbers(spark, sf_dir):
     points = _points(spark, sf_dir).withColumn("id", F.substring(F.col("tags")["event_id"], 2, 20).cast("bigint"))
-    numbered = metrics.number_posts(points, ["name"], ["timestamp", "id"], 50, 5 * DAY)
-    return numbered.groupBy("name", "piece", "post_id").agg(
+    numbered = metrics.number_posts(points, ["name"], ["timestamp", "id"], 50, 5 * DAY, "id", SHARDS)
+    return numbered.groupBy("name", "piece", "shard", "post_id").agg(
         F.count(F.lit(1)).alias("n"), F.min("timestamp").alias("first_time"), F.max("timestamp").alias("last_time")
     )
 
 
 @query(
     "metric_post_bodies",
-    f"""WITH {POINTS_SQL}, numbered AS (SELECT *, row_number() OVER (PARTITION BY name, timestamp // {5 * DAY} ORDER BY timestamp, event_id) AS idx,
-      timestamp // {5 * DAY} AS piece FROM points)
-    SELECT name, piece, (idx - 1) // 50 AS post_id, count(*) AS n_points, count(*) AS n_in_body,
+    f"""WITH {NUMBERED_SQL}
+    SELECT name, piece, shard, (idx - 1) // 50 AS post_id, count(*) AS n_points, count(*) AS n_in_body,
     arg_min(timestamp, idx) AS first_time FROM numbered GROUP BY ALL""",
 )
 def metric_post_bodies(spark, sf_dir):
     """Posts as text, written, read back and counted."""
     points = _points(spark, sf_dir).withColumn("id", F.substring(F.col("tags")["event_id"], 2, 20).cast("bigint"))
-    numbered = metrics.number_posts(points, ["name"], ["timestamp", "id"], 50, 5 * DAY)
+    numbered = metrics.number_posts(points, ["name"], ["timestamp", "id"], 50, 5 * DAY, "id", SHARDS)
     bodies = metrics.posts(numbered, ["name"])
     path = scratch_path(spark, "posts")
     sinks.write_json_lines(bodies, path)
-    back = scans.read_json_lines(spark, path, "name STRING, piece BIGINT, post_id BIGINT, body STRING, n_points BIGINT")
+    back = scans.read_json_lines(spark, path, "name STRING, piece BIGINT, shard INT, post_id BIGINT, body STRING, n_points BIGINT")
     return back.select(
-        "name", "piece", "post_id", "n_points", F.json_array_length("body").cast("bigint").alias("n_in_body"),
+        "name", "piece", "shard", "post_id", "n_points", F.json_array_length("body").cast("bigint").alias("n_in_body"),
         F.get_json_object("body", "$[0].timestamp").cast("bigint").alias("first_time"),
     )
 

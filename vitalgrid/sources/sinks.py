@@ -11,13 +11,22 @@ from vitalgrid.operators.joins import drop_known
 from vitalgrid.operators.ordered import latest_per_key
 
 
-def last_write_wins(rows: DataFrame, key: str = "event_id", order: list[str] | None = None) -> DataFrame:
-    """One row per key: the write that comes last in ``order``."""
+# A table of all sensors: ids are told apart per sensor, as in one table per sensor.
+TABLE_KEY = ["sensor", "event_id"]
+
+
+def last_write_wins(rows: DataFrame, key: str | list[str] = "event_id", order: list[str] | None = None) -> DataFrame:
+    """One row per key: the write that comes last in ``order``. Equal writes are told apart
+    by a hash of the whole row, so that a repeated read gives the same row."""
     order = order or ["time_stamp", "batch_seq"]
-    return latest_per_key(rows, [key], [F.col(c).desc() for c in order])
+    plain = [f.name for f in rows.schema.fields if f.dataType.typeName() != "map"]
+    last = [F.col(c).desc() for c in order] + [F.xxhash64(*plain).desc()]
+    return latest_per_key(rows, [key] if isinstance(key, str) else key, last)
 
 
-def upsert(existing: DataFrame, incoming: DataFrame, key: str = "event_id", order: list[str] | None = None) -> DataFrame:
+def upsert(
+    existing: DataFrame, incoming: DataFrame, key: str | list[str] = "event_id", order: list[str] | None = None
+) -> DataFrame:
     """The table after the incoming rows are written: one grouping over both, no
     join; the latest write of each key remains."""
     return last_write_wins(existing.unionByName(incoming, allowMissingColumns=True), key, order)
@@ -33,12 +42,15 @@ def append_keyed(batch: DataFrame, path: str, batch_id: int, partition: list[str
     )
 
 
-def read_keyed(spark: SparkSession, path: str, key: str = "event_id") -> DataFrame:
-    """Current rows of a keyed table."""
-    return last_write_wins(spark.read.parquet(path).drop("batch_id"), key)
+def read_keyed(spark: SparkSession, path: str, key: str | list[str] | None = None) -> DataFrame:
+    """Current rows of a keyed table; messages without an id share the default id, of which
+    each map task keeps one row per sensor."""
+    return last_write_wins(spark.read.parquet(path).drop("batch_id"), key or TABLE_KEY)
 
 
-def compact_keyed(spark: SparkSession, path: str, target: str, partition: list[str], key: str = "event_id") -> None:
+def compact_keyed(
+    spark: SparkSession, path: str, target: str, partition: list[str], key: str | list[str] | None = None
+) -> None:
     """Rewrite a keyed table with one row per key, into a new folder."""
     read_keyed(spark, path, key).write.mode("errorifexists").partitionBy(*partition).parquet(target)
 
