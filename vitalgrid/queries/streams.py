@@ -1,5 +1,4 @@
-"""Streams run to the end of their input and compared with the batch result of the
-windows, epochs and slices that the watermark has closed."""
+"""Streams run to the end of their input, closed by an end mark, and compared with the batch result."""
 
 from __future__ import annotations
 
@@ -15,7 +14,7 @@ from vitalgrid.queries.base import query, r6
 from vitalgrid.queries.decisions import _DAILY, _vote_sql
 from vitalgrid.queries.ingest import POINTS_SQL, W
 from vitalgrid.queries.joins import EPOCH, EPOCH_SQL, STEP
-from vitalgrid.queries.network import N, RATE_SQL, SHIFT, fitted
+from vitalgrid.queries.network import N, RATE_SQL, SETTINGS, SHIFT, fitted
 from vitalgrid.queries.windows import AXIS_SQL
 from vitalgrid.session import scratch_path
 from vitalgrid.sources import event_view as view
@@ -26,8 +25,6 @@ from vitalgrid.streaming import novelty as novelty_stream
 DAY = 86_400_000
 DELAY = "1 day"
 R = view.READINGS_SQL
-# The final watermark: the latest time less the delay.
-CLOSED = f"(SELECT max(epoch_us(ts) // 1000) - {DAY} FROM events)"
 
 
 def event_stream(spark, sf_dir, with_k=True):
@@ -42,15 +39,15 @@ def event_stream(spark, sf_dir, with_k=True):
     "stream_axis_features",
     f"""WITH {R}, {view.KNOWN_SQL}, unique_rows AS (SELECT DISTINCT deviceid, userid, time_stamp // {W} AS win, x, y, z
       FROM readings WHERE sensor = 'accelerometer' AND userid IN (SELECT userid FROM known))
-    SELECT deviceid, userid, win, count(*) AS n, {AXIS_SQL} FROM unique_rows WHERE (win + 1) * {W} <= {CLOSED}
+    SELECT deviceid, userid, win, count(*) AS n, {AXIS_SQL} FROM unique_rows
     GROUP BY deviceid, userid, win""",
 )
 def stream_axis_features(spark, sf_dir):
     """Flagship as a stream: filter against the static users, distinct, features."""
     rows = view.as_readings(event_stream(spark, sf_dir)).where("sensor = 'accelerometer'")
     mine = joins.keep_known(rows, view.known_users(spark, sf_dir), "userid", ["eventId"])
-    timed = runner.with_event_time(mine, "time_stamp", DELAY)
-    out = runner.run_to_table(windows.axis_features(timed, ["deviceid", "userid"], W), "axis")
+    mine = mine.select("deviceid", "userid", "time_stamp", "x", "y", "z")
+    out = runner.run_to_table(mine, "axis", lambda s: windows.axis_features(s, ["deviceid", "userid"], W), delay=DELAY)
     return out.select(
         "deviceid", "userid", F.col("window").alias("win"), "n", *[rounded(c).alias(c) for c in features.AXIS_FEATURES]
     )
@@ -125,8 +122,7 @@ def stream_published(spark, sf_dir):
 
 @query(
     "stream_aligned_sensors",
-    f"""WITH {EPOCH_SQL} SELECT userid, epoch, anchor, sensor, time_stamp, eventId FROM aligned
-    WHERE (epoch + 1) * {EPOCH} <= {CLOSED}""",
+    f"""WITH {EPOCH_SQL} SELECT userid, epoch, anchor, sensor, time_stamp, eventId FROM aligned""",
 )
 def stream_aligned_sensors(spark, sf_dir):
     """One stream per sensor, fanned in and aligned with keyed state."""
@@ -139,28 +135,32 @@ def stream_aligned_sensors(spark, sf_dir):
     streams = [
         spark.readStream.schema(schema).parquet(f"{path}/topic={s}").withColumn("sensor", F.lit(s)) for s in view.SENSORS
     ]
-    timed = runner.with_event_time(scans.union_streams(streams), "time_stamp", DELAY)
-    return runner.run_to_table(alignment.align_stream(timed, view.SENSORS, "gyroscope", STEP, EPOCH), "aligned")
+    return runner.run_to_table(
+        scans.union_streams(streams), "aligned",
+        lambda s: alignment.align_stream(s, view.SENSORS, "gyroscope", STEP, EPOCH), delay=DELAY, sensor="gyroscope",
+    )
 
 
 @query(
     "stream_novelty_rate",
-    f"""WITH {RATE_SQL} SELECT event_id, {r6('novel_rate')} AS novel_rate, alarm FROM alarms
-    WHERE (time_stamp // {DAY} + 1) * {DAY} <= {CLOSED}""",
+    f"""WITH {RATE_SQL} SELECT event_id, {r6('novel_rate')} AS novel_rate, alarm FROM alarms""",
 )
 def stream_novelty_rate(spark, sf_dir):
     """Records judged against a fitted network, then the rate with memory per user."""
     _, cuts, tables = fitted(spark, sf_dir)
     live = view.as_physio(event_stream(spark, sf_dir)).withColumns({s: F.col(s) * SHIFT for s in SIGNALS})
-    judged = novelty.decide(novelty_plan.judge(live, cuts, tables, ["network"], ["event_id"]), 0.15)
-    timed = runner.with_event_time(judged.select("user_id", "time_stamp", "event_id", "novel"), "time_stamp", DELAY)
-    out = runner.run_to_table(novelty_stream.trailing_rate_stream(timed, N, 0.8, DAY), "rate")
+    judged = novelty.decide(novelty_plan.judge(live, cuts, tables, ["network"], ["event_id"]), SETTINGS.threshold)
+    out = runner.run_to_table(
+        judged.select("user_id", "time_stamp", "event_id", "novel"), "rate",
+        lambda s: novelty_stream.trailing_rate_stream(s, N, SETTINGS.rate_threshold, DAY),
+        delay=DELAY, user_id="end", event_id=-1, novel=False,
+    )
     return out.select("event_id", rounded("novel_rate").alias("novel_rate"), "alarm")
 
 
 @query(
     "stream_two_stages",
-    "SELECT * FROM (WITH " + _vote_sql(EQUAL_WEIGHTS, _DAILY, "userid, day") + f") WHERE (day + 1) * {DAY} <= {CLOSED}",
+    "WITH " + _vote_sql(EQUAL_WEIGHTS, _DAILY, "userid, day"),
 )
 def stream_two_stages(spark, sf_dir):
     """Stage one writes labelled predictions to a table, stage two reads that table
@@ -170,8 +170,9 @@ def stream_two_stages(spark, sf_dir):
     path = scratch_path(spark, "stages")
     runner.drain(runner.start_table(first, f"{path}/labels", f"{path}/checkpoint"))
     second = spark.readStream.schema(first.schema).parquet(f"{path}/labels")
-    timed = runner.with_event_time(second, "time_stamp", DELAY)
-    out = runner.run_to_table(windows.window_votes(timed, ["userid"], "label", DAY, EQUAL_WEIGHTS), "votes")
+    out = runner.run_to_table(
+        second, "votes", lambda s: windows.window_votes(s, ["userid"], "label", DAY, EQUAL_WEIGHTS), delay=DELAY
+    )
     return out.withColumnRenamed("window", "day")
 
 
@@ -181,7 +182,7 @@ def stream_two_stages(spark, sf_dir):
       THEN 1 ELSE 0 END AS part FROM ev, (SELECT min(time_stamp) AS lo FROM ev)),
     wm AS (SELECT max(time_stamp) - {DAY} AS mark FROM parts WHERE part = 0)
     SELECT event_type, win, count(*) AS n FROM parts, wm
-    WHERE (part = 0 OR (win + 1) * {W} > mark) AND (win + 1) * {W} <= {CLOSED} GROUP BY ALL""",
+    WHERE part = 0 OR (win + 1) * {W} > mark GROUP BY ALL""",
 )
 def stream_late_rows(spark, sf_dir):
     """The stream stops and goes on: rows of the second part that belong to windows
@@ -197,7 +198,11 @@ def stream_late_rows(spark, sf_dir):
     for part in (0, 1):
         parts.where(F.col("part") == part).drop("part").write.mode("append").parquet(f"{path}/in")
         stream = spark.readStream.schema(schema).parquet(f"{path}/in")
-        timed = runner.with_event_time(stream, "time_stamp", DELAY)
-        out = windows.counts(timed, ["event_type"], W)
+        if part == 0:
+            spark.createDataFrame([], schema).write.parquet(f"{path}/end")
+        both = stream.unionByName(spark.readStream.schema(schema).parquet(f"{path}/end"))
+        out = windows.counts(runner.with_event_time(both, "time_stamp", DELAY), ["event_type"], W)
         runner.drain(runner.start_table(out, f"{path}/table", f"{path}/checkpoint"))
+    runner.write_end(spark, stream.schema, f"{path}/end", "time_stamp")
+    runner.drain(runner.start_table(out, f"{path}/table", f"{path}/checkpoint"))
     return spark.read.parquet(f"{path}/table").withColumnRenamed("window", "win")
