@@ -105,6 +105,42 @@ def test_vote(spark):
     assert plain["activity"] == "WALKING_UP"
 
 
+def test_no_vote_is_invented(spark):
+    none = decide.vote(votes(spark, [None, "RUNNING"]), ["k"], "label").first()
+    assert (none["activity"], none["score"], none["n_top"]) == (None, None, 0)
+    only = decide.vote(votes(spark, ["WALKING_UP", "WALKING_UP"]), ["k"], "label").first()
+    assert (only["activity"], only["score"], only["n_top"]) == ("WALKING_UP", 0, 1)
+    df = spark.createDataFrame([("RUNNING", None), ("WALKING_UP", None)], "a string, b string")
+    assert [r[0] for r in df.select(decide.vote_in_row(["a", "b"])).collect()] == [None, "WALKING_UP"]
+
+
+def test_no_label_for_a_missing_feature(spark):
+    rows = [("u", n, v) for n, v in (("SITTING", 1.0), ("SITTING", 1.2), ("WALKING", 5.0), ("WALKING", 5.5))]
+    params = naive_bayes.fit_gaussian(spark.createDataFrame(rows, "k string, label string, f double"), ["k"], "label", ["f"], ["SITTING", "WALKING"])
+    new = spark.createDataFrame([("u", 5.1), ("u", None), ("u", float("nan"))], "k string, f double")
+    got = naive_bayes.score_gaussian(new, params, ["k"], ["f"], ["SITTING", "WALKING"], ["f"]).collect()
+    assert sorted(str(r["prediction"]) for r in got) == ["None", "None", "WALKING"]
+
+
+def test_results_of_two_devices_have_two_ids(spark):
+    from vitalgrid.plans import scoring
+
+    df = spark.createDataFrame([("d1", "u", 3), ("d2", "u", 3)], "deviceid string, userid string, window long")
+    got = scoring.result_rows(df, "accelerometer", 10_000, F.lit("SITTING"), keys=("deviceid", "userid"))
+    assert got.select("eventId").distinct().count() == 2
+
+
+def test_a_single_row_is_copied_in_blocks(spark):
+    from vitalgrid.operators import balance
+
+    rows = spark.range(100_000).select(F.lit("d").alias("d"), F.lit("WALKING").alias("activity"), F.col("id").alias("time_stamp"))
+    one = spark.createDataFrame([("d", "WALKING_UP", 1)], "d string, activity string, time_stamp long")
+    out = balance.oversample(rows.unionByName(one), ["d"], "activity", ["time_stamp"], 20_000)
+    copies = out.where("activity = 'WALKING_UP'").withColumn("part", F.spark_partition_id())
+    assert copies.count() == 50_000 and copies.select("copy_no").distinct().count() == 50_000
+    assert copies.groupBy("part").count().count() > 1
+
+
 def test_vote_in_row(spark):
     df = spark.createDataFrame([("SITTING", "WALKING_UP", None)], "a string, b string, c string")
     assert df.select(decide.vote_in_row(["a", "b", "c"])).first()[0] == "SITTING"

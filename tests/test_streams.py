@@ -83,5 +83,32 @@ def test_a_replayed_batch_replaces_itself(spark):
     assert spark.read.parquet(path + "-small").count() == 2
 
 
+def test_an_end_mark_closes_what_is_open(spark):
+    runner.prepare(spark)
+    rows = [("a", t, float(t % 5), float(t % 3), 1.0) for t in range(0, 40_000, 700)]
+    schema = "userid string, time_stamp long, x double, y double, z double"
+    path = scratch_path(spark, "ended")
+    spark.createDataFrame(rows, schema).write.parquet(path)
+    stream = spark.readStream.schema(schema).parquet(path)
+    got = runner.run_to_table(stream, "ended", lambda s: windows.axis_features(s, ["userid"], 5_000), delay="10 seconds")
+    want = features.axis_features(spark.createDataFrame(rows, schema), ["userid"], "time_stamp", 5_000)
+    assert bag(got, "userid", "window", "n") == bag(want, "userid", "window", "n") and got.count() == 8
+
+
+def test_epochs_are_whole_seconds():
+    with pytest.raises(ValueError):
+        alignment.align_stream(None, SENSORS, "gyr", 1_500, 1_500)
+
+
+def test_the_default_id_is_told_apart_by_sensor(spark):
+    from vitalgrid.sources import sinks
+
+    path = scratch_path(spark, "default-ids")
+    rows = [("none", 1, "gsr", 1), ("none", 1, "uv", 2), ("none", 1, "uv", 3)]
+    sinks.append_keyed(spark.createDataFrame(rows, "event_id string, time_stamp long, sensor string, v int"), path, 0, ["sensor"])
+    first = bag(sinks.read_keyed(spark, path), "sensor", "v")
+    assert len(first) == 2 and first == bag(sinks.read_keyed(spark, path), "sensor", "v")
+
+
 def test_trigger():
     assert runner.trigger(10) == {"processingTime": "10 seconds"} and runner.trigger(None) == {"availableNow": True}

@@ -66,7 +66,9 @@ def oversample(
     zero = F.lit(0).cast("bigint")
     blocks = joined.withColumn("_copies", copies).withColumn(
         "_block", F.explode(F.sequence(zero, F.floor((F.col("_copies") - 1) / COPY_BLOCK).cast("bigint"))))
-    spread = blocks.repartition(*[F.col(k) for k in (*keys, label, *order)], F.col("_block"))
+    # a stated number, since small blocks would be put together again before they grow
+    tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    spread = blocks.repartition(tasks, *[F.col(k) for k in (*keys, label, *order)], F.col("_block"))
     first = F.col("_block") * COPY_BLOCK
     last = F.least(first + COPY_BLOCK, F.col("_copies")) - 1
     return spread.withColumn("copy_no", F.explode(F.sequence(first, last))).drop("_i", "_n", "target", "_copies", "_block")

@@ -33,7 +33,7 @@ def vote(
     scores = F.array(*[F.col(f"_s_{n}") for n in LABELS])
     return scored.select(
         *keys,
-        F.element_at(names, F.array_position(scores, top).cast("int")).alias("activity"),
+        F.when(top.isNotNull(), F.element_at(names, F.array_position(scores, top).cast("int"))).alias("activity"),
         top.alias("score"),
         F.size(F.filter(scores, lambda s: s == top)).cast("bigint").alias("n_top"),
     )
@@ -45,7 +45,8 @@ def vote_in_row(columns: list[str], weights: dict[str, int] | None = None) -> Co
     votes = {n: sum((F.when(F.col(c) == n, 1).otherwise(0) for c in columns), F.lit(0)) for n in LABELS}
     scores = F.array(*[F.when(votes[n] > 0, votes[n] * weights[n]) for n in LABELS])
     names = F.array(*[F.lit(n) for n in LABELS])
-    return F.element_at(names, F.array_position(scores, F.array_max(scores)).cast("int"))
+    top = F.array_max(scores)
+    return F.when(top.isNotNull(), F.element_at(names, F.array_position(scores, top).cast("int")))
 
 
 def most_frequent(columns: list[str], missing: int = MISSING_CODE) -> Column:

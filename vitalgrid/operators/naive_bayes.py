@@ -23,7 +23,8 @@ def _argmax(scores: list[Column], labels: list) -> Column:
     """
     arr = F.array(*[F.when(~F.isnan(s), s) for s in scores])
     names = F.array(*[F.lit(n) for n in labels])
-    return F.element_at(names, F.array_position(arr, F.array_max(arr)).cast("int"))
+    top = F.array_max(arr)
+    return F.when(top.isNotNull(), F.element_at(names, F.array_position(arr, top).cast("int")))
 
 
 def fit_gaussian(

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from vitalgrid.functions.scalars import last_token, normalise_label, rounded
 from vitalgrid.operators import features, joins, novelty
 from vitalgrid.operators.bayesnet import SIGNALS
-from vitalgrid.operators.decide import EQUAL_WEIGHTS
+from vitalgrid.operators.decide import EQUAL_WEIGHTS, VOTE_WEIGHTS, vote
 from vitalgrid.plans import novelty as novelty_plan
 from vitalgrid.plans import raw_writer
 from vitalgrid.queries.base import query, r6
@@ -141,6 +141,34 @@ def stream_aligned_sensors(spark, sf_dir):
     )
 
 
+@query(
+    "stream_activity_by_vote",
+    "WITH " + _vote_sql(
+        VOTE_WEIGHTS, f"{EPOCH_SQL}, voters AS (SELECT a.userid, epoch, anchor, p.label FROM aligned a JOIN predictions p ON a.eventId = p.eventId)",
+        "userid, epoch, anchor",
+    ),
+)
+def stream_activity_by_vote(spark, sf_dir):
+    """The aggregator as a stream: predictions of all sensors are aligned with their labels,
+    and every anchor is decided by the weighted vote of its sensors.
+
+    All sensors of an anchor leave the state in one batch, so each batch votes on its own."""
+    p = view.as_predictions(event_stream(spark, sf_dir))
+    rows = p.select("userid", last_token("processor_name").alias("sensor"), "time_stamp", "eventId", normalise_label("result").alias("label"))
+    path = scratch_path(spark, "activity")
+    timed = runner.with_event_time(runner.with_end(rows, f"{path}/end"), "time_stamp", DELAY)
+    aligned = alignment.align_stream(timed, view.SENSORS, "gyroscope", STEP, EPOCH, "label")
+
+    def write(batch, batch_id):
+        voted = vote(batch, ["userid", "epoch", "anchor"], "label", VOTE_WEIGHTS)
+        voted.write.mode("overwrite").parquet(f"{path}/activity/batch_id={batch_id}")
+
+    runner.drain(runner.start_batches(aligned, write, f"{path}/checkpoint"))
+    runner.write_end(spark, rows.schema, f"{path}/end", "time_stamp", sensor="gyroscope")
+    runner.drain(runner.start_batches(aligned, write, f"{path}/checkpoint"))
+    return spark.read.parquet(f"{path}/activity").drop("batch_id")
+
+
 @query(
     "stream_novelty_rate",
     f"""WITH {RATE_SQL} SELECT event_id, {r6('novel_rate')} AS novel_rate, alarm FROM alarms""",

@@ -16,16 +16,16 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from vitalgrid.functions.timekeys import floor_window
 
-STATE = "sensor STRING, time_stamp BIGINT, eventId STRING"
-OUTPUT = "userid STRING, epoch BIGINT, anchor BIGINT, sensor STRING, time_stamp BIGINT, eventId STRING"
+STATE = "sensor STRING, time_stamp BIGINT, eventId STRING, payload STRING"
+OUTPUT = "userid STRING, epoch BIGINT, anchor BIGINT, sensor STRING, time_stamp BIGINT, eventId STRING, payload STRING"
 
 
 def align_epoch(events: pd.DataFrame, sensors: list[str], reference: str, step_ms: int) -> pd.DataFrame:
-    """Rows ``anchor, sensor, time_stamp, eventId`` of one user's epoch."""
+    """Rows ``anchor, sensor, time_stamp, eventId, payload`` of one user's epoch."""
     last = events.sort_values("eventId").drop_duplicates(["sensor", "time_stamp"], keep="last")
     by_sensor = {s: g.sort_values("time_stamp") for s, g in last.groupby("sensor")}
     if set(by_sensor) != set(sensors):
-        return pd.DataFrame(columns=["anchor", "sensor", "time_stamp", "eventId"])
+        return pd.DataFrame(columns=["anchor", "sensor", "time_stamp", "eventId", "payload"])
     slow = min(by_sensor, key=lambda s: (len(by_sensor[s]), s))
     t = by_sensor[slow]["time_stamp"].to_numpy()
     t0 = by_sensor[reference]["time_stamp"].iloc[0]
@@ -46,6 +46,7 @@ def align_epoch(events: pd.DataFrame, sensors: list[str], reference: str, step_m
         pos = np.where(use_before, b, f)
         out.append(pd.DataFrame({
             "anchor": a, "sensor": sensor, "time_stamp": ts[pos], "eventId": g["eventId"].to_numpy()[pos],
+            "payload": g["payload"].to_numpy()[pos],
         }))
     return pd.concat(out, ignore_index=True)
 
@@ -62,15 +63,15 @@ class EpochAligner(StatefulProcessor):
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         for pdf in rows:
             self.events.appendList(
-                [(s, int(t), e) for s, t, e in zip(pdf["sensor"], pdf["time_stamp"], pdf["eventId"])]
+                [(s, int(t), e, p) for s, t, e, p in zip(pdf["sensor"], pdf["time_stamp"], pdf["eventId"], pdf["payload"])]
             )
         self.handle.registerTimer((int(key[1]) + 1) * self.epoch_ms)
         return iter(())
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        rows = [(r[0], r[1], r[2]) for r in self.events.get()]
+        rows = [tuple(r[i] for i in range(4)) for r in self.events.get()]
         self.events.clear()
-        events = pd.DataFrame(rows, columns=["sensor", "time_stamp", "eventId"])
+        events = pd.DataFrame(rows, columns=["sensor", "time_stamp", "eventId", "payload"])
         out = align_epoch(events, self.sensors, self.reference, self.step_ms)
         if len(out):
             out.insert(0, "epoch", int(key[1]))
@@ -82,21 +83,28 @@ class EpochAligner(StatefulProcessor):
 
 
 def align_stream(
-    stream: DataFrame, sensors: list[str], reference: str, step_ms: int, epoch_ms: int
+    stream: DataFrame, sensors: list[str], reference: str, step_ms: int, epoch_ms: int, payload: str | None = None
 ) -> DataFrame:
-    """``stream``: userid, sensor, time_stamp, eventId and a watermarked event_time."""
+    """``stream``: userid, sensor, time_stamp, eventId and a watermarked event_time.
+
+    A text column named as ``payload``, such as a predicted label, is carried along with
+    its event. Epochs are whole seconds, since events are reduced in windows of a second.
+    """
+    if epoch_ms % 1000:
+        raise ValueError(f"an epoch must be whole seconds, got {epoch_ms} ms")
     # Events of one sensor at one time are reduced to the last one first, with a
     # map-side step: however often a busy user repeats itself, a state holds at most
     # one event per sensor and millisecond of the epoch.
     unique = (
         stream.where(F.col("sensor").isin(sensors))
         .groupBy(F.window("event_time", "1 second").alias("_w"), "userid", "sensor", "time_stamp")
-        .agg(F.max("eventId").alias("eventId"))
+        .agg(F.max(F.struct("eventId", (F.col(payload) if payload else F.lit(None).cast("string")).alias("payload"))).alias("_e"))
     )
     keyed = unique.select(
-        "userid", floor_window("time_stamp", epoch_ms).alias("epoch"), "sensor", "time_stamp", "eventId",
+        "userid", floor_window("time_stamp", epoch_ms).alias("epoch"), "sensor", "time_stamp", "_e.eventId", "_e.payload",
         F.window_time("_w").alias("event_time"),
     )
-    return keyed.groupBy("userid", "epoch").transformWithStateInPandas(
+    out = keyed.groupBy("userid", "epoch").transformWithStateInPandas(
         EpochAligner(sensors, reference, step_ms, epoch_ms), OUTPUT, "Append", "EventTime"
     )
+    return out.withColumnRenamed("payload", payload) if payload else out.drop("payload")
