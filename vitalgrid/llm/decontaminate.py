@@ -49,12 +49,14 @@ def tokens(docs: DataFrame) -> DataFrame:
 
 def build_index(docs: DataFrame, terms: DataFrame) -> DataFrame:
     """Postings of the given terms, stored in the shared folder. A term held by many documents is many rows, in many files."""
-    return stored(tokens(docs).join(terms.select("term").distinct(), "term").select("term", "doc", "pos"), "postings")
+    wanted = stored(terms.select("term").distinct(), "index-terms")
+    return stored(tokens(docs).join(wanted, "term").select("term", "doc", "pos"), "postings")
 
 
 def term_counts(docs: DataFrame, terms: DataFrame) -> DataFrame:
     """How often each term stands in the documents; 0 where never."""
-    wanted = terms.select("term").distinct()
+    # stored, so that the planner knows its size: a small one is broadcast and no token is shuffled
+    wanted = stored(terms.select("term").distinct(), "wanted-terms")
     counts = tokens(docs).select("term").join(wanted, "term").groupBy("term").agg(F.count("*").alias("n"))
     return stored(wanted.join(counts, "term", "left").select("term", F.coalesce("n", F.lit(0)).alias("n")), "term-counts")
 
@@ -85,7 +87,7 @@ def phrase_matches(docs: DataFrame, items: DataFrame, size: int = WINDOW, lists:
     text; an empty benchmark matches nothing.
     """
     windows = stored(benchmark_windows(items, size), "benchmark-windows")
-    terms = windows.select(F.explode("words").alias("term")).distinct()
+    terms = windows.select(F.explode("words").alias("term"))
     places = stored(rarest_terms(windows, term_counts(docs, terms), lists), "rarest-terms")
     index = build_index(docs, places)
     meets = stored(intersect(index, places), "meets")
