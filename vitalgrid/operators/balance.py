@@ -28,10 +28,6 @@ def key_split(
     return b.where(F.col("_b") < train).drop("_b"), b.where(F.col("_b") >= train).drop("_b")
 
 
-def random_split(df: DataFrame, weights: list[float], seed: int = 5043) -> list[DataFrame]:
-    return df.randomSplit(weights, seed)
-
-
 def class_targets(df: DataFrame, keys: list[str], label: str, majority: list[str] | None = None) -> DataFrame:
     """Per key: rows of each class and the balance target, half of the majority
     classes' rows (integer halves). The join is over at most one row per key and

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import RandomForestClassifier
-from pyspark.ml.feature import StringIndexerModel, VectorAssembler
+from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql import Column
 
@@ -71,10 +71,6 @@ def score_all(df: DataFrame, models: dict[str, PipelineModel]) -> DataFrame:
     return out
 
 
-def fixed_order_indexer(column: str, out: str, labels: list[str]) -> StringIndexerModel:
-    return StringIndexerModel.from_labels(labels, inputCol=column, outputCol=out)
-
-
 def predicted_label(prediction: str = "prediction") -> Column:
     return label_name(prediction)
 
@@ -85,3 +81,15 @@ def save_model(model: PipelineModel, path: str) -> None:
 
 def load_model(path: str) -> PipelineModel:
     return PipelineModel.load(path)
+
+
+def score_by_owner(rows: DataFrame, models: dict[str, PipelineModel], owner: str, out: str = "prediction") -> DataFrame:
+    """Each row with the prediction of its owner's model; rows without one are left out.
+
+    One pass over the rows, in which every model adds a column and the owner's is taken. It
+    is meant for the tens of models that one process can hold; each model's output columns
+    must carry its owner as prefix.
+    """
+    scored = score_all(rows.where(F.col(owner).isin(list(models))), models)
+    own = F.coalesce(*[F.when(F.col(owner) == o, F.col(f"{o}_prediction")) for o in models])
+    return scored.withColumn(out, own).drop(*[f"{o}_prediction" for o in models])

@@ -16,6 +16,7 @@ from vitalgrid.queries.joins import aligned_predictions, sensor_predictions
 from vitalgrid.queries.windows import SLOPE_SQL
 from vitalgrid.session import scratch_path, stored
 from vitalgrid.sources import event_view as view
+from vitalgrid.sources import scans
 from vitalgrid.sources.registry import LABELS
 
 DAY = 86_400_000
@@ -161,15 +162,75 @@ def trained_model_error(spark, sf_dir):
 
 @query("windowed_forest")
 def windowed_forest(spark, sf_dir):
-    """Forest on the twelve window features."""
+    """Forest on the twelve window features, scored on windows it has not seen."""
+    from vitalgrid.operators.balance import key_split
+
     rows = view.readings(spark, sf_dir).where("activity <> 'NONE' AND sensor = 'gyroscope'")
     f = stored(forests.with_label_index(features.axis_features(rows, ["userid", "activity"], "time_stamp", W)), "train")
-    model = forests.fit_forest(f, features.AXIS_FEATURES, prefix="gyroscope_", settings={"numTrees": 10, "maxDepth": 5})
-    scored = forests.score_all(f, {"gyroscope": model})
+    train, test = key_split(f, ["userid", "window"], 3, 4)
+    model = forests.fit_forest(train, features.AXIS_FEATURES, prefix="gyroscope_", settings={"numTrees": 10, "maxDepth": 5})
+    scored = forests.score_all(test, {"gyroscope": model})
     return scored.select("userid", F.col("window").alias("win"), "activity",
                          forests.predicted_label("gyroscope_prediction").alias("prediction"))
 
 
+# A target that trees separate exactly: the activity is a function of one code, shifted per sensor or owner.
+CODES = 4
+_LABEL_LIST = ", ".join(f"'{n}'" for n in LABELS)
+
+
+def _coded(spark, sf_dir, shift):
+    rows = view.readings(spark, sf_dir, labels=False).select("eventId", "userid", "sensor", "time_stamp")
+    code = F.pmod(F.col("eventId").cast("bigint"), F.lit(CODES))
+    names = F.array(*[F.lit(n) for n in LABELS])
+    rows = rows.withColumn("code", code.cast("double"))
+    return forests.with_label_index(rows.withColumn("activity", F.get(names, F.pmod(code + shift, F.lit(CODES)).cast("int"))))
+
+
+@query(
+    "separable_forests",
+    f"""WITH {R}, t AS (SELECT *, CAST(eventId AS BIGINT) % {CODES} AS code, list_position([{', '.join(f"'{s}'" for s in view.SENSORS)}], sensor) - 1 AS i,
+      CAST(('0x' || substr(md5(eventId), 1, 8)) AS BIGINT) % 4 AS bucket FROM readings)
+    SELECT eventId, sensor, ([{_LABEL_LIST}])[CAST((code + i) % {CODES} + 1 AS BIGINT)] AS prediction FROM t WHERE bucket = 3""",
+)
+def separable_forests(spark, sf_dir):
+    """One forest per sensor with the settings in use; unseen rows must get the true label."""
+    from functools import reduce
+
+    from vitalgrid.operators.balance import key_split
+
+    order = F.array(*[F.lit(s) for s in view.SENSORS])
+    rows = stored(_coded(spark, sf_dir, F.array_position(order, F.col("sensor")) - 1), "coded")
+    train, test = key_split(rows, ["eventId"], 3, 4)
+    parts = []
+    for s in view.SENSORS:
+        model = forests.fit_forest(train.where(F.col("sensor") == s), ["code"], prefix=f"{s}_", settings=forests.SENSOR_FOREST)
+        scored = forests.score_all(test.where(F.col("sensor") == s), {s: model})
+        parts.append(scored.select("eventId", "sensor", forests.predicted_label(f"{s}_prediction").alias("prediction")))
+    return reduce(lambda a, b: a.unionByName(b), parts)
+
+
+@query(
+    "forests_by_user",
+    f"""WITH {R}, t AS (SELECT eventId, CAST(eventId AS BIGINT) % {CODES} AS code, CAST(substr(userid, 6) AS BIGINT) % 3 AS g FROM readings)
+    SELECT eventId, 'u' || g AS owner, ([{_LABEL_LIST}])[CAST((code + g) % {CODES} + 1 AS BIGINT)] AS prediction FROM t WHERE g < 2""",
+)
+def forests_by_user(spark, sf_dir):
+    """Models saved under their owners' names, listed from the catalog, loaded and used for
+    their owners' rows; owners without a model drop out."""
+    group = F.col("userid").substr(6, 20).cast("bigint") % 3
+    rows = stored(_coded(spark, sf_dir, group).withColumn("owner", F.concat(F.lit("u"), group.cast("string"))), "coded")
+    folder = scratch_path(spark, "models")
+    for owner in ("u0", "u1"):
+        model = forests.fit_forest(
+            rows.where(F.col("owner") == owner), ["code"], prefix=f"{owner}_", settings=forests.EARLIER_SENSOR_FOREST)
+        forests.save_model(model, f"{folder}/code_{owner}_FEA_.MDL")
+    listed = scans.list_models(spark, folder).where("sensor = 'code'").collect()  # one row per saved model
+    models = {r["userid"]: forests.load_model(r["path"]) for r in listed}
+    out = forests.score_by_owner(rows, models, "owner")
+    return out.select("eventId", "owner", forests.predicted_label("prediction").alias("prediction"))
+
+
 @query("embedding_forest")
 def embedding_forest(spark, sf_dir):
     """The same learner on wide vectors: the embeddings table."""

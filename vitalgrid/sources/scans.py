@@ -97,12 +97,16 @@ def parse_model_names(files: DataFrame, path: str = "path") -> DataFrame:
 
 
 def list_models(spark: SparkSession, folder: str) -> DataFrame:
-    """Model files under ``folder``; only names are read, never contents."""
+    """Models under ``folder``; only names are read, never contents.
+
+    A model is one file, or a folder with a ``metadata`` folder in it, as pipelines are saved.
+    """
     files = (
         spark.read.format("binaryFile").option("recursiveFileLookup", True)
         .load(folder).select("path", "length")
-    )
-    return parse_model_names(files.where("length > 0"))
+    ).where("length > 0")
+    inside = F.regexp_extract("path", r"(?i)^(.*\.MDL)/metadata/[^/]+$", 1)
+    return parse_model_names(files.withColumn("path", F.when(inside != "", inside).otherwise(F.col("path"))))
 
 
 def users_with_models(catalog: DataFrame) -> DataFrame:
