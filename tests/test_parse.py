@@ -104,3 +104,18 @@ def test_window_keys(spark):
 def test_labels(spark):
     df = spark.createDataFrame([("WALKING_UP",), ("2",), ("2.0",), ("x",)], "r string")
     assert [r[0] for r in df.select(scalars.normalise_label("r")).collect()] == ["WALKING_UP"] * 3 + [None]
+
+
+def test_the_sensor_filter_reaches_the_scan(spark, capsys):
+    from vitalgrid.sources import event_view as view
+
+    view.readings(spark, "/root/testdata/sf0.001", sensors=["accelerometer"]).explain("formatted")
+    assert "EqualTo(event_type,click)" in capsys.readouterr().out
+
+
+def test_small_is_small_in_bytes(spark):
+    from vitalgrid.operators.joins import holds_at_most
+
+    wide = spark.createDataFrame([("x" * 1000,)] * 5, "v string")
+    assert holds_at_most(wide, 5) and not holds_at_most(wide, 4) and not holds_at_most(wide, 5, 2000)
+    assert holds_at_most(wide.limit(0), 1)

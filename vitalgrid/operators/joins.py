@@ -5,11 +5,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 SALTS = 16
+# What may be broadcast, as text; values in memory take about as much.
+BROADCAST_BYTES = 32 << 20
 
 
-def holds_at_most(table: DataFrame, rows: int) -> bool:
-    """Whether a table is small, by reading no more than ``rows + 1`` of its rows."""
-    return table.limit(rows + 1).count() <= rows
+def holds_at_most(table: DataFrame, rows: int, size: int = BROADCAST_BYTES) -> bool:
+    """Whether a table is small in rows and in bytes, by reading no more than ``rows + 1`` of its rows."""
+    text = F.octet_length(F.to_json(F.struct("*")))
+    seen = table.limit(rows + 1).agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(text), F.lit(0)).alias("size")).first()
+    return seen["n"] <= rows and seen["size"] <= size
 
 
 def salted_lookup(
@@ -40,12 +44,15 @@ def salted_lookup(
     return left.join(right, [*on, "_salt"], how).drop("_salt")
 
 
-# Keys that may be broadcast: some ten megabytes of names.
+# Keys that may be broadcast, if their bytes allow it too.
 KNOWN_ROWS = 200_000
 
 
 def _known(rows, known, on, spread, how):
     table = known.select(on).distinct()
+    if rows.isStreaming:
+        # planned anew for each batch, so the choice of join follows the table as it grows
+        return rows.join(table, [on], how)
     if holds_at_most(known, KNOWN_ROWS):
         return rows.join(F.broadcast(table), [on], how)
     return salted_lookup(rows, table, [on], spread, how)

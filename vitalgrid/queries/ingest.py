@@ -326,7 +326,7 @@ def result_columns(spark, sf_dir):
 def feature_vectors(spark, sf_dir):
     from pyspark.ml.functions import vector_to_array
 
-    rows = view.readings(spark, sf_dir).where("sensor = 'accelerometer'")
+    rows = view.readings(spark, sf_dir, sensors=["accelerometer"])
     v = vector_to_array("features")
     return features.feature_vector(rows, ["x", "y", "z"]).select(
         "eventId", *[rounded(v[i]).alias(f"f{i}") for i in range(3)]

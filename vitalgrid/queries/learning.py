@@ -42,7 +42,7 @@ def gnb_windows(spark, sf_dir):
 
 
 def barometer_rows(spark, sf_dir):
-    return view.readings(spark, sf_dir).where("sensor = 'barometer'").select(
+    return view.readings(spark, sf_dir, sensors=["barometer"]).select(
         "deviceid", "userid", "time_stamp", F.col("x").alias("air_pressure"), F.col("y").alias("temperature"), "activity"
     )
 
@@ -136,7 +136,7 @@ def score_multinomial_nb(spark, sf_dir):
 
 
 def _accelerometer(spark, sf_dir):
-    rows = view.readings(spark, sf_dir).where("activity <> 'NONE' AND sensor = 'accelerometer'")
+    rows = view.readings(spark, sf_dir, sensors=["accelerometer"]).where("activity <> \'NONE\'")
     return forests.with_label_index(rows)
 
 
@@ -165,7 +165,7 @@ def windowed_forest(spark, sf_dir):
     """Forest on the twelve window features, scored on windows it has not seen."""
     from vitalgrid.operators.balance import key_split
 
-    rows = view.readings(spark, sf_dir).where("activity <> 'NONE' AND sensor = 'gyroscope'")
+    rows = view.readings(spark, sf_dir, sensors=["gyroscope"]).where("activity <> \'NONE\'")
     f = stored(forests.with_label_index(features.axis_features(rows, ["userid", "activity"], "time_stamp", W)), "train")
     train, test = key_split(f, ["userid", "window"], 3, 4)
     model = forests.fit_forest(train, features.AXIS_FEATURES, prefix="gyroscope_", settings={"numTrees": 10, "maxDepth": 5})

@@ -37,7 +37,7 @@ AXIS_SQL = ", ".join(
 def axis_features_serving(spark, sf_dir):
     """Flagship: readings of one sensor, users with a model, distinct rows per
     rounded window, twelve features."""
-    rows = view.readings(spark, sf_dir).where("sensor = 'accelerometer'")
+    rows = view.readings(spark, sf_dir, sensors=["accelerometer"])
     mine = joins.keep_known(rows, view.known_users(spark, sf_dir), "userid", ["eventId"])
     out = features.axis_features(mine, ["deviceid", "userid"], "time_stamp", W, "round")
     return out.select(
@@ -71,7 +71,7 @@ SLOPE_SQL = f"""{R}, unique_rows AS (SELECT DISTINCT userid, time_stamp // {W} A
 
 
 def _barometer(spark, sf_dir):
-    return view.readings(spark, sf_dir).where("sensor = 'barometer'").select(
+    return view.readings(spark, sf_dir, sensors=["barometer"]).select(
         "userid", "time_stamp", F.col("x").alias("air_pressure"), F.col("y").alias("temperature")
     )
 

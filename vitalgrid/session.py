@@ -50,10 +50,12 @@ def scratch_path(spark: SparkSession, name: str) -> str:
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
-    """Write a small result once and read it back.
+    """Write a result once and read it back.
 
     Cuts the lineage, so later steps neither repeat the work nor lose it with an
-    executor, and gives the planner the table's true size for its join choice.
+    executor, and gives the planner the table's true size for its join choice. The
+    table, which may be as large as the data, stays below ``spark.checkpoint.dir`` until
+    that run's folder is removed: a lazy result may be read at any later time.
     """
     path = scratch_path(df.sparkSession, name)
     df.write.parquet(path)

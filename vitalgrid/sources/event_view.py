@@ -61,9 +61,11 @@ def _case(pairs: dict[str, str], column: str) -> str:
     return "CASE " + column + " " + " ".join(f"WHEN '{a}' THEN '{b}'" for a, b in pairs.items()) + " END"
 
 
-def events(spark: SparkSession, sf_dir: str, with_k: bool = True) -> DataFrame:
-    """``event_id, user_id, event_type, value, k, time_stamp, userid, deviceid``."""
-    return shape_events(table(spark, sf_dir, "events"), with_k)
+def events(spark: SparkSession, sf_dir: str, with_k: bool = True, types: list[str] | None = None) -> DataFrame:
+    """``event_id, user_id, event_type, value, k, time_stamp, userid, deviceid``; of some
+    ``types`` only, chosen on the stored column, so that the scan skips the others."""
+    raw = table(spark, sf_dir, "events")
+    return shape_events(raw if types is None else raw.where(F.col("event_type").isin(types)), with_k)
 
 
 def shape_events(raw: DataFrame, with_k: bool = True) -> DataFrame:
@@ -86,10 +88,12 @@ EVENTS_SQL = """ev AS (
   FROM events)"""
 
 
-def readings(spark: SparkSession, sf_dir: str, labels: bool = True) -> DataFrame:
+def readings(spark: SparkSession, sf_dir: str, labels: bool = True, sensors: list[str] | None = None) -> DataFrame:
     """Activity readings: three axes, a sensor and a label per row. Without
-    ``labels`` the columns derived from ``k`` (y, activity) are left out."""
-    return as_readings(events(spark, sf_dir, labels), labels)
+    ``labels`` the columns derived from ``k`` (y, activity) are left out. With
+    ``sensors`` only theirs are read."""
+    types = None if sensors is None else [t for t, s in EVENT_SENSOR.items() if s in sensors]
+    return as_readings(events(spark, sf_dir, labels, types), labels)
 
 
 def as_readings(ev: DataFrame, labels: bool = True) -> DataFrame:
