@@ -7,7 +7,9 @@ from pyspark.sql import DataFrame, functions as F
 
 from vitalgrid.functions.scalars import label_name, stable_id
 from vitalgrid.functions.timekeys import window_start
+from vitalgrid.config import DAY_MS
 from vitalgrid.operators import features, forests, joins, naive_bayes
+from vitalgrid.operators.ordered import fit_piece_ms
 from vitalgrid.sources.registry import LABELS
 
 
@@ -39,7 +41,8 @@ def score_slopes(
     piece_ms: int | None = None,
 ) -> DataFrame:
     """Barometer windows against per-user Gaussian parameters: the lookup also drops
-    users without a model."""
+    users without a model. Windows of a busy user are cut into pieces no user overfills."""
+    piece_ms = piece_ms or fit_piece_ms(readings, ["userid"], "time_stamp", DAY_MS)
     windows = features.slope_features(readings, ["userid"], "time_stamp", width_ms, rounding, piece_ms=piece_ms)
     scored = naive_bayes.score_gaussian(
         windows, params, ["userid"], features.SLOPE_FEATURES, LABELS, ["window"]

@@ -117,9 +117,10 @@ EPOCH_SQL = f"""{view.PREDICTIONS_SQL}, rows AS (SELECT userid, time_stamp // {E
     f"WITH {EPOCH_SQL} SELECT userid, epoch, anchor, sensor, time_stamp, eventId FROM aligned",
 )
 def aligned_sensors_by_epoch(spark, sf_dir):
-    """Alignment restarted every epoch: the group is bounded, so one plain pass does."""
+    """Alignment restarted every epoch; epochs of a busy user are cut into measured pieces."""
     rows = sensor_predictions(spark, sf_dir).withColumn("epoch", floor_window("time_stamp", EPOCH))
-    out = align.align(rows, ["userid", "epoch"], view.SENSORS, "gyroscope", STEP, piece_ms=None)
+    piece = ordered.fit_piece_ms(view.events(spark, sf_dir, False), ["userid"], "time_stamp", EPOCH)
+    out = align.align(rows, ["userid", "epoch"], view.SENSORS, "gyroscope", STEP, piece_ms=piece)
     return out.drop("label")
 
 
