@@ -131,7 +131,8 @@ def learn(docs: DataFrame, labels: DataFrame, label: str = "quality", rows: int
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(rows, pa.binary()), batch.column(2)], ["doc_id", "x", "y"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    got = docs.select("doc_id", "text").join(picked, "doc_id").mapInArrow(run, f"doc_id {kind}, x binary, y int").collect()
+    # ``rows`` ids and labels, some ten kilobytes whatever the input
+    got = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id").mapInArrow(run, f"doc_id {kind}, x binary, y int").collect()
     got.sort(key=lambda r: (r["doc_id"], r["y"], bytes(r["x"])))
     x = np.frombuffer(b"".join(bytes(r["x"]) for r in got), np.float32).reshape(-1, DIMS)
     return fit(x, np.array([r["y"] for r in got], np.float32))

@@ -182,7 +182,8 @@ def sample(docs: DataFrame, labels: DataFrame, label: str, rows: int = SAMPLE_RO
             heads = [" ".join((t or "").split(None, SAMPLE_WORDS)[:SAMPLE_WORDS]) for t in batch.column(0).to_pylist()]
             yield pa.RecordBatch.from_arrays([pa.array([fold(h) for h in heads], pa.string()), batch.column(1)], ["folded", "y"])
 
-    got = docs.select("doc_id", "text").join(picked, "doc_id").select("text", "y").mapInArrow(run, "folded string, y int")
+    # ``rows`` ids and labels, some hundred kilobytes whatever the input
+    got = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id").select("text", "y").mapInArrow(run, "folded string, y int")
     return stored(got.distinct(), "toxic-sample")
 
 
