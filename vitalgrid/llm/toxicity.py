@@ -33,6 +33,7 @@ LEET = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "@": "a", "$
 SAMPLE_ROWS = 20_000
 SAMPLE_WORDS = 2_000
 STEMS = range(4, 11)
+TWICE = "\t"  # marks a start that two words of a text share
 MIN_DOCS = 4
 MIN_SHARE = 0.005  # of the toxic texts, that an entry must be in
 MIN_ODDS = math.log(8)
@@ -98,16 +99,21 @@ def learn(rows: DataFrame) -> Lexicon:
     odds = F.log((F.col("n1") + 0.5) / (n[1] + 1)) - F.log((F.col("n0") + 0.5) / (n[0] + 1))
 
     def starts(words: set[str]) -> set[str]:
-        return {w[:k] for w in words for k in STEMS if len(w) >= k} | {w for w in words if len(w) < STEMS[-1]}
+        n = Counter(w[:k] for w in words for k in STEMS if len(w) >= k)
+        return {*n, *(w for w in words if len(w) < STEMS[-1]), *(e + TWICE for e, k in n.items() if k > 1)}
 
     found = (
         _counted(rows, starts).where(F.col("n1") >= least).withColumn("odds", odds).where(F.col("odds") >= MIN_ODDS)
         .orderBy(F.desc(F.col("odds") * F.log1p("n1")), "entry").limit(MAX_ENTRIES).collect()
     )
+    weighed: dict[str, float] = {}
+    for r in found:  # what two words with one start tell is shared by both
+        entry, odds_ = (r["entry"][:-1], r["odds"] / 2) if r["entry"].endswith(TWICE) else (r["entry"], r["odds"])
+        weighed[entry] = max(odds_, weighed.get(entry, 0.0))
     entries: dict[str, float] = {}
-    for r in sorted(found, key=lambda r: (len(r["entry"]), r["entry"])):  # a longer entry must say more than its own start
-        if not any(entries.get(r["entry"][:k], -math.inf) + 0.7 >= r["odds"] for k in range(len(r["entry"]))):
-            entries[r["entry"]] = r["odds"]
+    for e in sorted(weighed, key=lambda e: (len(e), e)):  # a longer entry must say more than its own start
+        if not any(entries.get(e[:k], -math.inf) + 0.7 >= weighed[e] for k in range(len(e))):
+            entries[e] = weighed[e]
 
     def like_entries(words: set[str]) -> set[str]:
         return {w for w in words if any(w[:k] in entries for k in range(1, len(w) + 1))}
