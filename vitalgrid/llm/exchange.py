@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vitalgrid.llm.words import flat, found, lists  # noqa: F401
+from vitalgrid.llm.words import flat, lists
 
 CHUNK_BYTES = 8 << 20
 BUCKET_KEYS = 4 << 20
@@ -150,8 +150,3 @@ def keyed(table: pa.Table, value: str | None = None) -> tuple[np.ndarray, np.nda
     order = np.argsort(keys)
     return keys[order], flat(table[value])[0][order] if value else None
 
-
-__all__ = [
-    "NARROW_SCHEMA", "NO_ID", "TOTAL_SCHEMA", "Sizes", "chunked", "divide", "found", "ids", "keyed", "narrow",
-    "packed", "send_narrow", "shared_narrow", "sizes", "small_batches", "totals",
-]

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from vitalgrid.llm import exchange as ex
-from vitalgrid.llm.words import Words, flat, found, windows
+from vitalgrid.llm.words import Words, flat, found, lists, windows
 
 PERIOD = 7
 COVER = (1, 2, 4)  # every difference modulo 7 is one between two of these
@@ -97,7 +97,7 @@ def repeated_passages(docs: DataFrame, size: int = 13, sizes: ex.Sizes | None =
         np.minimum.at(least, inverse, owners)
         keep = many | (least[inverse] < owners)
         bounds = np.concatenate(([0], np.cumsum(np.bincount(rows[keep], minlength=len(table)))))
-        out = pa.table({"chunk": table["chunk"], "keys": ex.lists(keys[keep], bounds, pa.int64()), "ids": ex.lists(least[inverse][keep], bounds, pa.int64())})
+        out = pa.table({"chunk": table["chunk"], "keys": lists(keys[keep], bounds, pa.int64()), "ids": lists(least[inverse][keep], bounds, pa.int64())})
         return out.filter(pa.array(np.diff(bounds) > 0))
 
     def cut(table: pa.Table, answers: pa.Table) -> pa.Table:
