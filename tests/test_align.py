@@ -62,8 +62,9 @@ def test_matches_the_walk(spark, piece_ms):
 
 def test_state_helper_matches_the_walk():
     for u, buffers in cases().items():
-        rows = [(s, t, f"{s}{t}") for s, ts in buffers.items() for t in ts]
-        out = align_epoch(pd.DataFrame(rows, columns=["sensor", "time_stamp", "eventId"]), SENSORS, "gyr", 100)
+        rows = [(s, t, f"{s}{t}", f"label {t}") for s, ts in buffers.items() for t in ts]
+        out = align_epoch(pd.DataFrame(rows, columns=["sensor", "time_stamp", "eventId", "payload"]), SENSORS, "gyr", 100)
+        assert all(p == f"label {t}" for p, t in zip(out["payload"], out["time_stamp"]))
         assert set(zip(out["anchor"], out["sensor"], out["time_stamp"])) == walk(buffers, "gyr", 100), u
 
 
