@@ -80,6 +80,13 @@ def test_language_model(frame, odd_rows):
     assert all(r["base_score"] == 0 and r["n_known"] == 0 for r in nothing)
 
 
+def test_gradient_rounds_meet_all_training_text(frame, odd_rows, monkeypatch):
+    sums, summed = [], language_model._summed
+    monkeypatch.setattr(language_model, "_summed", lambda parts: sums.append(summed(parts)) or sums[-1])
+    got = language_model.score_texts(frame(odd_rows), F.col("doc_id") != 13).collect()
+    assert sum(s[-1] for s in sums[1:] if len(s)) == got[0]["train_tokens"]  # the first sum is of the counts
+
+
 def test_language_model_beats_single_words(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     held = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 10 == 0
