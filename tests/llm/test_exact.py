@@ -7,7 +7,7 @@ import pytest
 
 from tests.llm.conftest import rows_of
 from vitalgrid.llm.decontaminate import phrase_matches, proximity_matches
-from vitalgrid.llm.ngram_join import Measure, jaccard_components
+from vitalgrid.llm.ngram_join import Measure, jaccard_components, jaccard_links
 from vitalgrid.llm.quality_rules import quality_rules
 from vitalgrid.llm.sharding import histogram_shards
 from vitalgrid.llm.substring_dedup import COVER, PERIOD, repeated_passages
@@ -100,6 +100,35 @@ def test_large_group_of_near_copies_keeps_every_link(frame, monkeypatch):
     assert got == plain_components([(r[0], r[1]) for r in rows])
 
 
+def test_links_are_counted_within_and_across_blocks(frame, odd_rows, monkeypatch):
+    import random
+
+    from vitalgrid.llm import ngram_join
+
+    monkeypatch.setattr(ngram_join, "BLOCK", 8)
+    rng = random.Random(9)
+    base = [f"t{i}" for i in range(120)]
+    texts = []
+    for _ in range(60):
+        w = list(base)
+        for _ in range(rng.randrange(1, 3)):
+            w[rng.randrange(120)] = f"c{rng.randrange(1000)}"
+        texts.append(" ".join(w))
+    rows = odd_rows + rows_of([*texts, *texts[:5], texts[0]], 1000)
+    sets = []
+    for r in rows:
+        w = [x.lower() for x in split(r[1])]
+        sets.append({tuple(w[i : i + 5]) for i in range(len(w) - 4)} if len(w) >= 5 else ({tuple(w)} if w else set()))
+    links = lambda i: sum(
+        j != i and rows[j][0] is not None and len(sets[i]) > 0 and 100 * len(sets[i] & s) >= 75 * len(sets[i] | s) for j, s in enumerate(sets))
+    got = jaccard_links(frame(rows)).collect()
+    known = [(r[0], r[1]) for r in rows if r[0] is not None]
+    assert sorted(tuple(r)[:3] for r in got if r[0] is not None) == plain_components(known)
+    assert sorted((r["doc_id"], r["n_links"]) for r in got if r[0] is not None) == sorted((r[0], links(i)) for i, r in enumerate(rows) if r[0] is not None)
+    assert all(r["n_links"] is None for r in got if r[0] is None)
+    assert max(r["n_links"] or 0 for r in got) > 8
+
+
 def test_prefix_lengths_hold_the_filter():
     m = Measure(75, 100)
     for n in range(1, 200):

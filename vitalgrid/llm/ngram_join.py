@@ -6,7 +6,8 @@ statistics: a longer prefix of it must hold several tokens that other documents
 there, which drops texts that only share a passage. The others put rare tokens first and
 differ in how they break ties; documents are grouped by the components that shared prefix
 tokens make under each order, and only documents together in all of them are compared.
-Comparison is exact, by products of incidence matrices of bounded blocks.
+Comparison is exact, by products of incidence matrices of bounded blocks. For the number of
+links of each document all pairs of a group's blocks are compared; components alone need fewer.
 """
 
 from __future__ import annotations
@@ -228,32 +229,53 @@ def jaccard_components(docs: DataFrame, size: int = SHINGLE, part: int = 75, who
     Reads ``doc_id`` (a whole number) and ``text``. Two documents link when whole times the shingles in common reach
     part times those in either. A text under ``size`` words is one shingle; a null or empty
     text has none and links with nothing, so its component is its own id. Repeated rows are
-    returned each; a null id keeps a null component and takes no part.
+    returned each; a null id keeps a null component and takes no part. Pairs of sets that are
+    known to be connected are not compared; ``jaccard_links`` compares them too.
     """
+    return _joined(docs, Measure(part, whole), size, every=False)
+
+
+def jaccard_links(docs: DataFrame, size: int = SHINGLE, part: int = 75, whole: int = 100) -> DataFrame:
+    """As ``jaccard_components``, and n_links, the exact number of other rows that each row links to.
+
+    Rows with equal sets link to each other, repeated rows among them. A null id has null links.
+    """
+    return _joined(docs, Measure(part, whole), size, every=True)
+
+
+def _joined(docs: DataFrame, measure: Measure, size: int, every: bool) -> DataFrame:
     spark = docs.sparkSession
     ex.small_batches(spark)
-    measure = Measure(part, whole)
     known = docs.where(F.col("doc_id").isNotNull())
     sizes = ex.sizes(known, keys_per_byte=0.08)
     sets = stored(shingle_sets(known, size, measure, sizes), "shingle-sets")
     names = ["name_a", "name_b", "n_shingles"]
     classes = sets.where("possible").groupBy(*names).agg(
-        F.min("doc_id").cast("long").alias("first"), F.min(F.when(F.size("tokens") > 0, F.col("doc_id"))).alias("doc_id"))
+        F.count("*").alias("copies"), F.min("doc_id").cast("long").alias("first"), F.min(F.when(F.size("tokens") > 0, F.col("doc_id"))).alias("doc_id"))
     carriers = stored(
         sets.where(F.size("tokens") > 0).select("doc_id", "tokens", *names).join(classes, ["doc_id", *names])
-        .dropDuplicates(names).select(F.col("first").alias("doc"), "name_a", "tokens"), "sets")
+        .dropDuplicates(names).select(F.col("first").alias("doc"), "name_a", "copies", "tokens"), "sets")
     grouped = stored(_blocked(carriers.join(_groups(carriers, measure), "doc")), "groups")
-    links = stored(_first_links(grouped, measure), "links")
-    known_roots = components(links)
-    links = links.unionByName(stored(_other_links(grouped, known_roots, measure), "links"))
+    if every:
+        found_ = stored(_all_links(grouped, measure), "links")
+        links = found_.where("b IS NOT NULL").select("a", "b")
+        others = found_.where("b IS NULL").groupBy(F.col("a").alias("first"), "name_a").agg(F.sum("n").alias("others"))
+        classes = classes.join(others, ["first", "name_a"], "left").withColumn("n_links", F.coalesce("others", F.lit(0)) + F.col("copies") - 1)
+    else:
+        links = stored(_first_links(grouped, measure), "links")
+        known_roots = components(links)
+        links = links.unionByName(stored(_other_links(grouped, known_roots, measure), "links"))
     roots = stored(components(links), "roots")
     # equal sets follow their class; both joins may meet one class with very many copies
+    counted = ["n_links"] if every else []
     linked = classes.join(roots, classes["first"] == roots["v"], "left").select(
-        *names, F.coalesce("root", "first").alias("component_id"))
+        *names, F.coalesce("root", "first").alias("component_id"), *counted)
     out = sets.select("doc_id", *names, "possible").join(linked.withColumn("possible", F.lit(True)), [*names, "possible"], "left")
-    out = out.select("doc_id", "n_shingles", F.coalesce("component_id", F.col("doc_id").cast("long")).alias("component_id"))
+    out = out.select("doc_id", "n_shingles", F.coalesce("component_id", F.col("doc_id").cast("long")).alias("component_id"),
+                     *[F.coalesce(c, F.lit(0).cast("long")).alias(c) for c in counted])
     unknown = docs.where(F.col("doc_id").isNull())
-    none = shingle_sets(unknown, size, measure, sizes).select("doc_id", "n_shingles", F.lit(None).cast("long").alias("component_id"))
+    none = shingle_sets(unknown, size, measure, sizes).select("doc_id", "n_shingles", F.lit(None).cast("long").alias("component_id"),
+                                                          *[F.lit(None).cast("long").alias(c) for c in counted])
     return out.unionByName(none)
 
 
@@ -283,3 +305,45 @@ def _other_links(grouped: DataFrame, roots: DataFrame, measure: Measure) -> Data
         every.select("grp", all_q, "b", "doc", "name_a", "root", "tokens"))
     rows = cells.select(F.xxhash64("grp", "q", "b").alias("cell"), "doc", "name_a", "root", "tokens").dropDuplicates(["cell", "doc", "name_a"])
     return _compare(rows, measure, "cell")
+
+
+def _all_links(grouped: DataFrame, measure: Measure) -> DataFrame:
+    """Every pair of a group's sets, compared once in the cell of their two blocks.
+
+    Rows with a null ``b`` count, for a set, the documents of the sets it links to in the cell;
+    the others are edges. A block travels as one row, so that rows grow with the blocks only.
+    """
+    of = F.pmod(F.xxhash64("doc", "name_a", F.lit(4)), F.col("blocks")).alias("block")
+    one = grouped.where("blocks = 1").select(
+        "grp", F.lit(0).cast("long").alias("lo"), F.lit(0).cast("long").alias("hi"), F.lit(0).cast("long").alias("block"),
+        F.array("doc").alias("doc"), F.array("name_a").alias("name_a"), F.array("copies").alias("copies"),
+        F.array(F.size("tokens")).alias("sizes"), "tokens")
+    packed = grouped.where("blocks > 1").select("grp", "blocks", of, F.struct("doc", "name_a", "copies", "tokens").alias("s")).groupBy(
+        "grp", "blocks", "block").agg(F.collect_list("s").alias("s"))
+    many = packed.select(
+        "grp", "block", "s", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("other")).select(
+        "grp", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "block",
+        F.col("s.doc").alias("doc"), F.col("s.name_a").alias("name_a"), F.col("s.copies").alias("copies"),
+        F.transform("s.tokens", F.size).alias("sizes"), F.flatten("s.tokens").alias("tokens"))
+
+    def run(table: pa.Table) -> pa.Table:
+        doc, row = flat(table["doc"])
+        name, copies, n = flat(table["name_a"])[0], flat(table["copies"])[0], flat(table["sizes"])[0]
+        lo, hi = table["lo"][0].as_py(), table["hi"][0].as_py()
+        block = table["block"].to_numpy()[row]
+        # flat keeps the order of rows and of the sets within each
+        linked = _links(flat(table["tokens"])[0], np.repeat(np.arange(len(doc)), n), len(doc), measure)
+        if lo == hi:
+            np.fill_diagonal(linked, False)
+        else:
+            linked &= block[:, None] != block[None, :]
+        others = linked @ copies
+        some = np.flatnonzero(others)
+        order = np.argsort(doc, kind="stable")
+        a, b = _forest(linked[np.ix_(order, order)], doc[order])
+        nothing = np.zeros(len(a), np.int64)
+        return pa.table({
+            "a": pa.array(np.concatenate((doc[some], a)), pa.int64()), "name_a": pa.array(np.concatenate((name[some], nothing)), pa.int64()),
+            "b": pa.array([None] * len(some) + b.tolist(), pa.int64()), "n": pa.array(np.concatenate((others[some], nothing)), pa.int64())})
+
+    return one.unionByName(many).groupBy("grp", "lo", "hi").applyInArrow(run, "a bigint, name_a bigint, b bigint, n bigint")

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from vitalgrid.llm import pieces, pii, quality_classifier, quality_rules, toxicity
 from vitalgrid.llm.decontaminate import phrase_matches
 from vitalgrid.llm.language_model import score_texts
-from vitalgrid.llm.ngram_join import jaccard_components
+from vitalgrid.llm.ngram_join import jaccard_links
 from vitalgrid.llm.registry import query
 from vitalgrid.llm.sharding import histogram_shards
 from vitalgrid.llm.substring_dedup import repeated_passages
@@ -156,7 +156,8 @@ FROM documents LEFT JOIN n USING (doc_id) JOIN r ON r.v = doc_id
 
 @query("op4_jaccard_join", OP4_SQL)
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jaccard_components(table(spark, sf_dir, "documents"))
+    out = jaccard_links(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_shingles", "component_id")
 
 
 OP6_SQL = r"""
