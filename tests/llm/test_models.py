@@ -129,6 +129,15 @@ def test_toxic_lexicon(spark, frame, odd_rows):
     assert toxicity.score(frame([]), lexicon).collect() == []
 
 
+def test_toxic_words_late_in_long_texts_are_learned(spark, frame):
+    rows = rows_of([f"pad{i} " + "some plain words " * 800 + ("zzfoul end" if i % 2 else "good end") for i in range(40)])
+    labels = spark.createDataFrame([(i, i % 2) for i in range(40)], "doc_id long, toxic int")
+    lexicon = toxicity.learn(toxicity.sample(frame(rows), labels, "toxic"))
+    assert any(" zzfoul ".startswith(e) and w > 0 for e, w in lexicon.weights.items())
+    got = toxicity.score(frame(rows), lexicon).collect()
+    assert min(r["score"] for r in got if r["doc_id"] % 2) > 0.5 > max(r["score"] for r in got if not r["doc_id"] % 2)
+
+
 def test_folding_and_exceptions():
     assert toxicity.fold("An IDI0T, stуpid! 1d10t ＬＯＳＥＲ") == " an idiot stypid idiot loser "
     lexicon = toxicity.Lexicon({" idio": 5.0, " idiosyncrasy ": 0.0})

@@ -31,7 +31,6 @@ HOMOGLYPHS = dict(zip("аеорсухіјѕԁһӏкмтвнɡɑοαεικνρτ
 LEET = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "@": "a", "$": "s", "!": "i"}
 
 SAMPLE_ROWS = 20_000
-SAMPLE_WORDS = 2_000
 STEMS = range(4, 11)
 TWICE = "\t"  # marks a start that two words of a text share
 MIN_DOCS = 4
@@ -175,9 +174,10 @@ def _curve(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
 def sample(docs: DataFrame, labels: DataFrame, label: str, rows: int = SAMPLE_ROWS) -> DataFrame:
     """Folded labelled texts for fitting: at most ``rows`` labels, chosen by a hash of the id, each text once per label.
 
-    Only the fit reads this sample, and of each text its first SAMPLE_WORDS words; scoring
-    reads whole texts. Rows without a label or id are not used.
+    Only the fit reads this sample; it and the scoring read whole texts. Rows without a label
+    or id are not used.
     """
+    small_batches(docs.sparkSession)
     picked = (
         labels.where(F.col(label).isin(0, 1) & F.col("doc_id").isNotNull()).select("doc_id", F.col(label).cast("int").alias("y"))
         .orderBy(F.xxhash64("doc_id"), "doc_id", "y").limit(rows)
@@ -185,8 +185,8 @@ def sample(docs: DataFrame, labels: DataFrame, label: str, rows: int = SAMPLE_RO
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            heads = [" ".join((t or "").split(None, SAMPLE_WORDS)[:SAMPLE_WORDS]) for t in batch.column(0).to_pylist()]
-            yield pa.RecordBatch.from_arrays([pa.array([fold(h) for h in heads], pa.string()), batch.column(1)], ["folded", "y"])
+            folded = [fold(t or "") for t in batch.column(0).to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array(folded, pa.string()), batch.column(1)], ["folded", "y"])
 
     # ``rows`` ids and labels, some hundred kilobytes whatever the input
     got = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id").select("text", "y").mapInArrow(run, "folded string, y int")
