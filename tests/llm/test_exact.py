@@ -182,6 +182,13 @@ def test_histogram_shards(frame, odd_rows):
                 assert abs(sum(r["size"] for r in by_shard[s]) - total / shards) <= 2 * max(largest, twins)
 
 
+def test_shards_hold_their_texts(frame, odd_rows):
+    got = histogram_shards(frame(odd_rows), 4, keep=("text", "chunk", "lang")).collect()
+    assert sorted(((r["doc_id"], r["text"], r["chunk"], r["lang"]) for r in got), key=repr) == sorted(((r[0], r[1], r[5], r[2]) for r in odd_rows), key=repr)
+    assert all(r["size"] == len((r["text"] or "").encode()) + 1 for r in got)
+    assert "text" in histogram_shards(frame([])).columns and "text" not in histogram_shards(frame([]), keep=()).columns
+
+
 WORD = re.compile("[0-9a-z\x80-\U0010ffff]+")
 
 

@@ -86,8 +86,9 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op1_histogram_shards")
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = histogram_shards(table(spark, sf_dir, "documents"))
+    text = F.coalesce("text", F.lit(""))  # as it arrived in the shard
     return out.select(
-        "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot",
+        "doc_id", (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), F.lit("bytes").alias("law"), "shard", "slot",
         F.lit(None).cast("int").alias("grown_shard"),
     )
 

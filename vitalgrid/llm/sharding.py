@@ -113,23 +113,28 @@ def splitters(h: Histogram, wanted: list[int]) -> list[int]:
     return list(np.maximum.accumulate(out)) if out else []
 
 
-def histogram_shards(docs: DataFrame, shards: int = 16, tolerance: float = TOLERANCE) -> DataFrame:
+def histogram_shards(
+    docs: DataFrame, shards: int = 16, tolerance: float = TOLERANCE, keep: tuple[str, ...] = ("text",)
+) -> DataFrame:
     """Deal all rows into shards whose sizes differ by little more than one text.
 
-    Reads ``doc_id`` and ``text``; returns doc_id, size (UTF-8 bytes plus 1; null counts as
-    1), text_crc32 (of the UTF-8 bytes; a null text as an empty one), shard and slot, the
-    place in the shard's order from 0. Rows are ordered by text hash, then id, so copies are
-    neighbours. An empty table gives no rows; rows alike in id and text share one key and
+    Reads ``doc_id`` and ``text``; returns doc_id, the columns of ``keep``, size (UTF-8 bytes
+    plus 1; null counts as 1), text_crc32 (of the UTF-8 bytes; a null text as an empty one),
+    shard and slot, the place in the shard's order from 0. The kept columns go through the
+    exchange with their row: a partition holds whole cells, runs of a shard's slots. Rows are
+    ordered by text hash, then id, so copies are neighbours. An empty table gives no rows; rows alike in id and text share one key and
     cannot be cut apart. A null id sorts first.
     """
     spark = docs.sparkSession
-    small_batches(spark, 10_000)
-    rows = stored(docs.select(
+    small_batches(spark)
+    keyed = docs.select(
         "doc_id", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("bytes"),
         F.crc32(F.coalesce(F.col("text"), F.lit("")).cast("binary")).alias("text_crc32"),
         F.xxhash64("text").alias("high"),
         F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))).alias("low"),
-    ).withColumn("size", F.col("bytes") + 1).drop("bytes"), "shard-keys")
+        F.struct(*[F.col(c) for c in keep] or [F.lit(0).alias("none")]).alias("kept"),
+    ).withColumn("size", F.col("bytes") + 1).drop("bytes")
+    rows = stored(keyed.drop("kept"), "shard-keys")
     got = rows.agg(F.sum("size").alias("size"), F.count("*").alias("n")).first()
     total, n = got["size"] or 0, got["n"]
     wanted = [total * (i + 1) // shards for i in range(shards - 1)]
@@ -152,16 +157,19 @@ def histogram_shards(docs: DataFrame, shards: int = 16, tolerance: float = TOLER
         for batch in batches:
             high, low, _ = _columns(batch)
             at = np.searchsorted(table, _sort_key(high, low), "right") - 1
-            columns = [batch.column(i) for i in (0, 1, 3, 4, 5, 2)]
+            columns = [batch.column(i) for i in (0, 1, 3, 4, 5, 2, 6, 7)]
             yield pa.RecordBatch.from_arrays(
-                [*columns, pa.array(at, pa.int32()), pa.array(shard_of[at]), pa.array(offset[at])],
-                ["high", "low", "has_id", "doc_id", "text_crc32", "size", "cell", "shard", "offset"],
-            )
-
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    placed = rows.select("high", "low", "size", F.col("doc_id").isNotNull().alias("has_id"), "doc_id", "text_crc32").mapInArrow(
-        place, f"high bigint, low bigint, has_id boolean, doc_id {kind}, text_crc32 bigint, size bigint, cell int, shard int, offset bigint"
-    )
-    order = Window.partitionBy("cell").orderBy("high", "low", "has_id", "text_crc32", "size")
+                [*columns, pa.array(at, pa.int32()), pa.array(shard_of[at]), pa.array(offset[at])], names)
+
+    # the texts are read again here and go through one exchange, by cell
+    moved_rows = keyed.select(
+        "high", "low", "size", F.col("doc_id").isNotNull().alias("has_id"), "doc_id", "text_crc32",
+        F.xxhash64("kept").alias("tie"), "kept")
+    schema = moved_rows.select(
+        "high", "low", "has_id", "doc_id", "text_crc32", "size", "tie", "kept", F.lit(0).alias("cell"), F.lit(0).alias("shard"),
+        F.lit(0).cast("long").alias("offset")).schema
+    names = schema.fieldNames()
+    placed = moved_rows.mapInArrow(place, schema)
+    order = Window.partitionBy("cell").orderBy("high", "low", "has_id", "text_crc32", "size", "tie")
     slot = (F.col("offset") + F.row_number().over(order) - 1).alias("slot")
-    return placed.select("doc_id", "size", "text_crc32", "shard", slot)
+    return placed.select("doc_id", *[F.col("kept")[c].alias(c) for c in keep], "size", "text_crc32", "shard", slot)
