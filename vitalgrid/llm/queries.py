@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from vitalgrid.llm import pieces, pii, quality_classifier, quality_rules, toxicity
 from vitalgrid.llm.decontaminate import phrase_matches
+from vitalgrid.llm.filter_audit import filter_interactions
 from vitalgrid.llm.language_model import score_texts
 from vitalgrid.llm.ngram_join import jaccard_links
 from vitalgrid.llm.registry import query
@@ -210,3 +211,42 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = score_texts(table(spark, sf_dir, "documents"), remainder(10) != 0)
     return out.select(
         "doc_id", (remainder(10) == 0).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
+OP11_SQL = r"""
+WITH w AS (
+  SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS t,
+    list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents
+), f AS (
+  SELECT part, CASE WHEN l.quality = 1 THEN 1 ELSE 0 END AS good, CASE WHEN l.toxic = 1 THEN 1 ELSE 0 END AS toxic,
+    [len(w) < 200, 100 * len(list_distinct(w)) < 50 * len(w), 100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > 3 * length(t),
+     regexp_matches(t, '[#$%&*|]'), coalesce(min(d.doc_id) OVER (PARTITION BY t) < d.doc_id, false)] AS fails
+  FROM w AS d LEFT JOIN (SELECT doc_id, max(quality) AS quality, max(toxic) AS toxic FROM labels GROUP BY doc_id) AS l ON l.doc_id = d.doc_id
+), p AS (SELECT part, good, toxic, fails, count(*) AS n FROM f GROUP BY ALL
+), l AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS x
+), o AS (
+  SELECT a.x || b.x || c.x || d.x || e.x AS filter_order FROM l a, l b, l c, l d, l e
+  WHERE a.x NOT IN (b.x, c.x, d.x, e.x) AND b.x NOT IN (c.x, d.x, e.x) AND c.x NOT IN (d.x, e.x) AND d.x <> e.x
+), s AS (
+  SELECT part, filter_order, step, n, good, toxic, fails[ascii(filter_order[step]) - 64] AS here,
+    len(list_filter(range(1, step), lambda k: fails[ascii(filter_order[k]) - 64])) AS earlier,
+    len(list_filter(fails, lambda x: x)) AS total
+  FROM p, o, (SELECT unnest(range(1, 6)) AS step)
+), r AS (
+  SELECT part, filter_order, step, CAST(sum(CASE WHEN NOT here AND earlier = 0 THEN n ELSE 0 END) AS BIGINT) AS kept,
+    CAST(sum(CASE WHEN here AND earlier = 0 THEN n ELSE 0 END) AS BIGINT) AS removed,
+    CAST(sum(CASE WHEN here AND earlier > 0 THEN n ELSE 0 END) AS BIGINT) AS redundant,
+    CAST(sum(CASE WHEN here AND total = 1 THEN n ELSE 0 END) AS BIGINT) AS unique_fails,
+    CAST(sum(CASE WHEN here AND earlier = 0 THEN n * good ELSE 0 END) AS BIGINT) AS good_lost,
+    CAST(sum(CASE WHEN here AND earlier = 0 THEN n * toxic ELSE 0 END) AS BIGINT) AS toxic_lost
+  FROM s GROUP BY part, filter_order, step
+)
+SELECT part, filter_order, CAST(step AS INTEGER) AS step, kept, removed, redundant, unique_fails, good_lost, toxic_lost,
+  CAST(sum(removed) OVER (PARTITION BY part, filter_order[step]) AS BIGINT) AS shapley
+FROM r
+"""
+
+
+@query("op11_filter_audit", OP11_SQL)
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_interactions(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
