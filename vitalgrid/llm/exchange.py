@@ -63,6 +63,12 @@ def chunked(docs: DataFrame, n: int, *columns: str, key: str = "doc_id") -> Data
     return docs.select(chunk, *columns).repartition(min(n, 20_000), "chunk")
 
 
+def dealt(docs: DataFrame, n: int, *columns: str, by: tuple[str, ...] = ("doc_id", "text")) -> DataFrame:
+    """As ``chunked``, dealt by id and text, so that a repeated or null id is spread while its texts differ."""
+    chunk = F.pmod(F.xxhash64(*by), F.lit(n)).cast("int").alias("chunk")
+    return docs.select(chunk, *columns).repartition(min(n, 20_000), "chunk")
+
+
 def ids(column: pa.ChunkedArray) -> np.ndarray:
     """Document ids as long; a null id sorts behind all others and is never the smaller one."""
     return column.cast(pa.int64()).fill_null(NO_ID).to_numpy()

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from vitalgrid.llm import pieces, pii, quality_classifier, quality_rules, toxicity
 from vitalgrid.llm.decontaminate import phrase_matches
+from vitalgrid.llm.fast_sketch import near_duplicates
 from vitalgrid.llm.filter_audit import filter_interactions
 from vitalgrid.llm.language_model import score_texts
 from vitalgrid.llm.ngram_join import jaccard_links
@@ -250,3 +251,13 @@ FROM r
 @query("op11_filter_audit", OP11_SQL)
 def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_interactions(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+OP12_SQL = OP4_SQL.replace("len(w) < 5", "len(w) < 4").replace("len(w) - 3", "len(w) - 2").replace("w[p:p + 4]", "w[p:p + 3]").replace(
+    ">= 75 *", ">= 80 *").replace("AS component_id", "AS component_id, root = doc_id AS kept")
+
+
+@query("op12_fast_sketch", OP12_SQL)
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = near_duplicates(table(spark, sf_dir, "documents"))
+    return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))

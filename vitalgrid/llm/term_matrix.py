@@ -75,7 +75,7 @@ def _tally(positions: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     return np.diff(np.searchsorted(positions, bounds))
 
 
-def term_matrix(docs: DataFrame, *keep: str, marks: str = "", parts: Column | None = None) -> DataFrame:
+def term_matrix(docs: DataFrame, *keep: str, marks: str = "") -> DataFrame:
     """CSR shards of the words of whole texts.
 
     Reads ``doc_id`` and ``text``; words are maximal runs without space and 0x09-0x0D. A row is one
@@ -84,15 +84,14 @@ def term_matrix(docs: DataFrame, *keep: str, marks: str = "", parts: Column | No
     ``n_upper`` ([A-Z]) and ``n_marks`` (bytes of ``marks``, ASCII). Null and empty texts are
     empty rows. Repeated rows and null ids are rows each; rows are dealt by id and text, so a
     repeated id is spread while its texts differ. Words of a chunk are told apart by 64-bit hashes,
-    words of different chunks by their bytes. ``parts`` replaces the deal.
+    words of different chunks by their bytes.
     """
     spark = docs.sparkSession
     ex.small_batches(spark)
     sizes = ex.sizes(docs, keys_per_byte=WORDS_PER_BYTE)
     bits = sizes.bits
-    chunk = F.pmod(F.xxhash64("doc_id", "text") if parts is None else parts, F.lit(sizes.chunks)).cast("int").alias("chunk")
-    dealt = docs.select(chunk, "doc_id", "text", *keep).repartition(min(sizes.chunks, 20_000), "chunk")
-    groups = dealt.select("chunk", "text").groupBy("chunk")
+    dealt = ex.dealt(docs, sizes.chunks, "doc_id", "text", *keep)
+    groups = dealt.groupBy("chunk")  # with the same columns as below: one exchange for both
     sent = groups.applyInArrow(_send(bits), "bucket int, chunk int, words array<binary>")
     answers = sent.groupBy("bucket").applyInArrow(_number(bits), ANSWER)
     wanted = np.frombuffer(marks.encode("ascii"), np.uint8)
@@ -128,7 +127,7 @@ def term_matrix(docs: DataFrame, *keep: str, marks: str = "", parts: Column | No
     schema = (
         f"shard int, doc_id array<{kinds['doc_id']}>, indptr array<bigint>, indices array<bigint>, counts array<int>, "
         "n_chars_ array<bigint>, n_upper array<bigint>, n_marks array<bigint>" + "".join(f", `{c}` array<{kinds[c]}>" for c in keep))
-    return dealt.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(build, schema)
+    return groups.cogroup(answers.groupBy("chunk")).applyInArrow(build, schema)
 
 
 def row_counts(shards: DataFrame, *keep: str) -> DataFrame:

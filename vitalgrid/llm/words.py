@@ -56,7 +56,7 @@ def text_bytes(column: pa.ChunkedArray | pa.Array) -> tuple[np.ndarray, np.ndarr
     return data, offsets - offsets[0]
 
 
-def _slices(data: np.ndarray, bounds: np.ndarray):
+def _slices(data: np.ndarray, bounds: np.ndarray, space: np.ndarray = _SPACE):
     """Slices of about SLICE bytes that end before a space or a text's first byte."""
     at = 0
     while at < len(data):
@@ -67,7 +67,7 @@ def _slices(data: np.ndarray, bounds: np.ndarray):
             next_text = bounds[np.searchsorted(bounds, end)]
             step = SLICE
             while end < next_text:
-                spaces = np.flatnonzero(_SPACE[data[end : min(end + step, next_text)]])
+                spaces = np.flatnonzero(space[data[end : min(end + step, next_text)]])
                 if len(spaces):
                     end += int(spaces[0])
                     break
@@ -77,15 +77,18 @@ def _slices(data: np.ndarray, bounds: np.ndarray):
 
 
 class Words:
-    """Words of a column of texts: ``hashes``, byte ``starts`` and ``ends``, and ``first``, where each text's words begin."""
+    """Words of a column of texts: ``hashes``, byte ``starts`` and ``ends``, and ``first``, where each text's words begin.
 
-    def __init__(self, column: pa.ChunkedArray | pa.Array, lower: bool = False):
+    ``space`` marks the bytes that part words.
+    """
+
+    def __init__(self, column: pa.ChunkedArray | pa.Array, lower: bool = False, space: np.ndarray = _SPACE):
         self.data, self.bounds = text_bytes(column)
         value = _VALUE_LOWER if lower else _VALUE
         hashes, starts, ends = [], [], []
-        for a, b in _slices(self.data, self.bounds):
+        for a, b in _slices(self.data, self.bounds, space):
             part = self.data[a:b]
-            inside = ~_SPACE[part]
+            inside = ~space[part]
             cut = self.bounds[np.searchsorted(self.bounds, a) : np.searchsorted(self.bounds, b, "right")] - a
             first = np.zeros(b - a + 1, bool)
             first[cut] = True
