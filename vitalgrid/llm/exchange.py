@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 from vitalgrid.llm.words import flat, lists
 
 CHUNK_BYTES = 8 << 20
+BATCH_BYTES = 4 << 20
 BUCKET_KEYS = 4 << 20
 MAX_BITS = 18
 NO_ID = np.iinfo(np.int64).max
@@ -38,9 +39,10 @@ class Sizes:
 
 
 def small_batches(spark: SparkSession, rows: int = 1000) -> None:
-    """Python tasks get few texts at a time, so that long ones fit in memory."""
+    """Python tasks get few texts at a time, and few bytes, so that long ones fit in memory."""
     if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > rows:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
 def sizes(docs: DataFrame, text: str = "text", keys_per_byte: float = 0.1) -> Sizes:

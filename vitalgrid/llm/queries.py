@@ -11,6 +11,7 @@ from vitalgrid.llm.fast_sketch import near_duplicates
 from vitalgrid.llm.filter_audit import filter_interactions
 from vitalgrid.llm.language_model import score_texts
 from vitalgrid.llm.ngram_join import jaccard_links
+from vitalgrid.llm.ranked_search import ranked_search
 from vitalgrid.llm.registry import query
 from vitalgrid.llm.sharding import histogram_shards
 from vitalgrid.llm.substring_dedup import repeated_passages
@@ -261,3 +262,29 @@ OP12_SQL = OP4_SQL.replace("len(w) < 5", "len(w) < 4").replace("len(w) - 3", "le
 def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = near_duplicates(table(spark, sf_dir, "documents"))
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+
+
+OP13_SQL = r"""
+WITH d AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') AS w FROM documents
+), b AS (
+  SELECT item_id, unnest(list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '')) AS term FROM benchmark
+), size AS (SELECT count(*) AS n_docs, CAST(sum(len(w)) AS BIGINT) AS n_terms FROM d WHERE len(w) > 0
+), m AS (SELECT doc_id, w, 75 + (25 * len(w) * n_docs) // n_terms AS m FROM d, size WHERE len(w) > 0
+), tf AS (SELECT doc_id, term, m, count(*) AS tf FROM (SELECT doc_id, m, unnest(w) AS term FROM m) GROUP BY doc_id, term, m
+), weight AS (
+  SELECT term, CAST(floor(1000 * ln((2 * any_value(n_docs) + 2) / (2 * count(*) + 1))) AS BIGINT) AS weight FROM tf, size GROUP BY term
+), s AS (
+  SELECT item_id, doc_id, CAST(sum(weight * ((1000000000 * tf) // (1000 * tf + 12 * m))) AS BIGINT) AS score
+  FROM b JOIN tf USING (term) JOIN weight USING (term) GROUP BY item_id, doc_id
+)
+SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank, doc_id, score
+FROM s WHERE score > 0 QUALIFY rank <= 20
+"""
+
+
+@query("op13_ranked_search", OP13_SQL)
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranked_search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
