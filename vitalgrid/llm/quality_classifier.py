@@ -13,7 +13,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
@@ -154,3 +154,13 @@ def score(docs: DataFrame, model: Neighbours, *keep: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*batch.columns, own], [*batch.schema.names, "score"])
 
     return rows.mapInArrow(run, StructType([*rows.schema, StructField("score", DoubleType())])).select("doc_id", *keep, "score")
+
+
+def score_of(text: Column, model: Neighbours) -> Column:
+    """The same score as a column: only the text goes to Python and only the score comes back."""
+
+    @F.arrow_udf("double")
+    def run(column: pa.Array) -> pa.Array:
+        return pa.array(model.vote(features(column)), pa.float64())
+
+    return run(text)
