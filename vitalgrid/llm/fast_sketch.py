@@ -140,13 +140,15 @@ def sketched_sets(docs: DataFrame, size: int, sizes: ex.Sizes) -> DataFrame:
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, measure: Measure) -> DataFrame:
-    """Of (a, b, n) those pairs whose full sets link; each ``a`` meets its ``b`` in cells of bounded size."""
-    weight = pairs.groupBy("a").agg(F.greatest(F.ceil(F.count("*") / CELL_SETS), F.ceil(F.sum("n") / CELL_TOKENS)).alias("cells"))
-    dealt = pairs.join(weight, "a").select("a", F.pmod(F.xxhash64("b"), F.col("cells")).alias("cell"), "b")
-    own = sets.select("set", "doc", "tokens")
-    others = dealt.join(own, dealt["b"] == own["set"]).select("a", "cell", F.lit(False).alias("hub"), "doc", "tokens")
-    hubs = dealt.select("a", "cell").distinct()
-    hubs = hubs.join(own, hubs["a"] == own["set"]).select("a", "cell", F.lit(True).alias("hub"), "doc", "tokens")
+    """Of pairs (a, b: structs of set, doc, carrier and n) those whose full sets link; each ``a`` meets its ``b`` in cells of bounded size."""
+    weight = pairs.groupBy(F.col("a.set").alias("hub_set")).agg(
+        F.greatest(F.ceil(F.count("*") / CELL_SETS), F.ceil(F.sum("b.n") / CELL_TOKENS)).alias("cells"))
+    dealt = pairs.withColumn("hub_set", F.col("a.set")).join(weight, "hub_set").select(
+        "hub_set", F.pmod(F.xxhash64("b.set"), F.col("cells")).alias("cell"), "a", "b")
+    # members and hubs fetch their tokens in one join
+    wanted = dealt.select("hub_set", "cell", F.lit(False).alias("hub"), "b.*").unionByName(
+        dealt.select("hub_set", "cell", F.lit(True).alias("hub"), "a.*").distinct())
+    rows = wanted.join(sets, ["set", "carrier"]).select("hub_set", "cell", "hub", "doc", "tokens")
 
     def run(table: pa.Table) -> pa.Table:
         tokens, owner = flat(table["tokens"])
@@ -158,7 +160,7 @@ def _verified(pairs: DataFrame, sets: DataFrame, measure: Measure) -> DataFrame:
         b = doc[linked]
         return pa.table({"a": pa.array(np.full(len(b), doc[hub]), pa.int64()), "b": pa.array(b, pa.int64())})
 
-    return others.unionByName(hubs).groupBy("a", "cell").applyInArrow(run, "a bigint, b bigint")
+    return rows.groupBy("hub_set", "cell").applyInArrow(run, "a bigint, b bigint")
 
 
 def _rest(postings: DataFrame, roots: DataFrame, sets: DataFrame, measure: Measure) -> DataFrame:
@@ -168,27 +170,25 @@ def _rest(postings: DataFrame, roots: DataFrame, sets: DataFrame, measure: Measu
     group's largest component then meet the whole group, block by block.
     """
     root = roots.select(F.col("v").alias("doc"), "root")
-    placed = postings.select("key", "hub", "set", "doc").join(root, "doc", "left").withColumn("root", F.coalesce("root", "doc"))
+    placed = postings.select("key", F.col("a.set").alias("hub"), "b.*").join(root, "doc", "left").withColumn("root", F.coalesce("root", "doc"))
     split = placed.where("set <> hub").groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("key")
-    open_ = stored(placed.join(split, "key").select("hub", "set", "doc", "root").distinct(), "open-keys")
+    open_ = stored(placed.join(split, "key").drop("key").distinct(), "open-keys")
     groups = components(open_.where("set <> hub").select(F.col("set").alias("a"), F.col("hub").alias("b")))
-    members = open_.select("set", "doc", "root").distinct().join(
-        groups.select(F.col("v").alias("set"), F.col("root").alias("grp")), "set")
-    members = stored(members.join(sets.select("set", F.size("tokens").alias("n")), "set"), "open-groups")
+    members = stored(open_.drop("hub").distinct().join(groups.select(F.col("v").alias("set"), F.col("root").alias("grp")), "set"), "open-groups")
     by_root = members.groupBy("grp", "root").agg(F.count("*").alias("count"), F.sum("n").alias("tokens"))
     total = by_root.groupBy("grp").agg(
         F.max_by("root", F.struct("count", "root")).alias("major"), F.max("count").alias("most"), F.sum("count").alias("members"), F.sum("tokens").alias("tokens"))
     load = lambda part: F.greatest(F.lit(1), F.ceil(part / CELL_SETS), F.ceil(F.col("tokens") * part / F.col("members") / CELL_TOKENS))
     rows = members.join(total.where("most < members"), "grp").select(
-        "grp", "set", "doc", "root", (F.col("root") != F.col("major")).alias("outside"),
+        "grp", "set", "carrier", "doc", "root", (F.col("root") != F.col("major")).alias("outside"),
         load(F.col("members")).alias("blocks"), load(F.col("members") - F.col("most")).alias("queries"))
     up_to = lambda c: F.explode(F.sequence(F.lit(0).cast("long"), F.col(c).cast("long") - 1))
     block = F.pmod(F.xxhash64("set", F.lit(2)), F.col("blocks"))
     query = F.pmod(F.xxhash64("set", F.lit(1)), F.col("queries"))
-    asked = rows.where("outside").select("grp", "set", "doc", "root", query.alias("q"), up_to("blocks").alias("b"))
-    every = rows.select("grp", "set", "doc", "root", up_to("queries").alias("q"), block.alias("b"))
-    cells = asked.unionByName(every).select(F.xxhash64("grp", "q", "b").alias("cell"), "set", "doc", "root").distinct()
-    return _compare(cells.join(sets.select("set", "tokens"), "set").select("cell", "doc", "root", "tokens"), measure, "cell")
+    asked = rows.where("outside").select("grp", "set", "carrier", "doc", "root", query.alias("q"), up_to("blocks").alias("b"))
+    every = rows.select("grp", "set", "carrier", "doc", "root", up_to("queries").alias("q"), block.alias("b"))
+    cells = asked.unionByName(every).select(F.xxhash64("grp", "q", "b").alias("cell"), "set", "carrier", "doc", "root").distinct()
+    return _compare(cells.join(sets, ["set", "carrier"]).select("cell", "doc", "root", "tokens"), measure, "cell")
 
 
 def near_duplicates(docs: DataFrame, size: int = SHINGLE, part: int = 80, whole: int = 100) -> DataFrame:
@@ -208,17 +208,20 @@ def near_duplicates(docs: DataFrame, size: int = SHINGLE, part: int = 80, whole:
     total = known.agg(F.sum(F.octet_length("text")).alias("bytes"), F.count("*").alias("rows")).first()
     sizes = ex.divide(spark, total["bytes"] or 0, BANDS * total["rows"])
     rows = stored(sketched_sets(known, size, sizes), "sketched")
-    tokens_of = F.when(F.size("tokens") > 0, F.col("doc_id"))
+    # a class is named by its smallest id; its set is read where the carrier, one of its rows, has it
+    carrier = F.when(F.size("tokens") > 0, F.col("doc_id"))
     classes = stored(rows.where("possible").groupBy(*NAME).agg(
-        F.count("*").alias("copies"), F.min("doc_id").cast("long").alias("doc"), F.min_by(F.struct("keys", "tokens"), tokens_of).alias("s"),
-    ).select(F.xxhash64(*NAME).alias("set"), *NAME, "copies", "doc", "s.keys", "s.tokens"), "set-classes")
-    sets = classes.select("set", "doc", "n_shingles", "tokens")
-    postings = classes.select(F.explode("keys").alias("key"), "set", "doc", "n_shingles")
+        F.count("*").alias("copies"), F.min("doc_id").cast("long").alias("doc"), F.min(carrier).cast("long").alias("carrier"),
+        F.min_by("keys", carrier).alias("keys"),
+    ).withColumn("set", F.xxhash64(*NAME)), "set-classes")
+    sets = rows.where(F.size("tokens") > 0).select(F.xxhash64(*NAME).alias("set"), F.col("doc_id").cast("long").alias("carrier"), "tokens")
+    member = F.struct("set", "carrier", "doc", F.col("n_shingles").alias("n")).alias("b")
+    postings = classes.select(F.explode("keys").alias("key"), "set", "carrier", "doc", "n_shingles").select("key", member)
     # the member with the smallest id is the hub of its key
-    hubs = postings.groupBy("key").agg(F.min(F.struct("doc", "set", "n_shingles")).alias("h"), F.count("*").alias("m")).where("m > 1")
-    postings = stored(postings.join(hubs, "key").select("key", F.col("h.set").alias("hub"), F.col("h.n_shingles").alias("hub_n"), "set", "doc", "n_shingles"), "band-postings")
-    near = whole * F.least("hub_n", "n_shingles") >= part * F.greatest("hub_n", "n_shingles")
-    pairs = stored(postings.where("set <> hub").where(near).select(F.col("hub").alias("a"), F.col("set").alias("b"), F.col("n_shingles").alias("n")).distinct(), "hub-pairs")
+    hubs = postings.groupBy("key").agg(F.min_by("b", F.struct("b.doc", "b.set")).alias("a"), F.count("*").alias("m")).where("m > 1")
+    postings = stored(postings.join(hubs, "key").select("key", "a", "b"), "band-postings")
+    near = whole * F.least("a.n", "b.n") >= part * F.greatest("a.n", "b.n")
+    pairs = stored(postings.where("a.set <> b.set").where(near).select("a", "b").distinct(), "hub-pairs")
     links = stored(_verified(pairs, sets, measure), "hub-links")
     roots = components(links)
     links = links.unionByName(stored(_rest(postings, roots, sets, measure), "other-links"))
