@@ -224,14 +224,14 @@ def _violation_rows(source: str) -> str:
     return " UNION ALL ".join(parts)
 
 
-@query(
-    "novelty_table",
-    f"""WITH {RATE_SQL}, violated AS ({_violation_rows('alarms')})
+NOVELTY_TABLE_SQL = f"""WITH {RATE_SQL}, violated AS ({_violation_rows('alarms')})
     SELECT md5(md5(user_id || '|' || time_stamp || '|' || event_id) || '|' || slot) AS row_id,
     md5(user_id || '|' || time_stamp || '|' || event_id) AS novel_point_id, in_event_1, in_event_2, in_event_3, in_event_4, out_event,
     {r6('percentage')} AS result_percentage, {r6('novel_rate')} AS novel_rate, time_stamp AS novel_time_stamp, user_id,
-    true AS novel_flag FROM violated WHERE alarm""",
-)
+    true AS novel_flag FROM violated WHERE alarm"""
+
+
+@query("novelty_table", NOVELTY_TABLE_SQL)
 def novelty_table(spark, sf_dir):
     out = novelty.novelty_rows(rated(spark, sf_dir))
     return out.drop("novel_event_id").withColumns(
@@ -239,13 +239,13 @@ def novelty_table(spark, sf_dir):
     )
 
 
-@query(
-    "alarm_points",
-    f"""WITH {RATE_SQL}, numbered AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY time_stamp, event_id) AS i FROM alarms),
+ALARM_POINTS_SQL = f"""WITH {RATE_SQL}, numbered AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY time_stamp, event_id) AS i FROM alarms),
     violated AS ({_violation_rows('numbered')})
     SELECT a.user_id, a.event_id AS alarm_event_id, v.event_id, v.out_event, {r6('v.percentage')} AS percentage
-    FROM numbered a JOIN violated v ON a.user_id = v.user_id AND v.i > a.i - {N} AND v.i <= a.i WHERE a.alarm""",
-)
+    FROM numbered a JOIN violated v ON a.user_id = v.user_id AND v.i > a.i - {N} AND v.i <= a.i WHERE a.alarm"""
+
+
+@query("alarm_points", ALARM_POINTS_SQL)
 def alarm_points(spark, sf_dir):
     """Every alarm with all the violations of its trailing rows."""
     points = novelty.alarm_points(rated(spark, sf_dir, keep_points=True), ["user_id"], ["time_stamp", "event_id"])

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from vitalgrid.functions.scalars import last_token, normalise_label, rounded
-from vitalgrid.operators import features, joins, novelty
+from vitalgrid.operators import align, features, joins, novelty
 from vitalgrid.operators.bayesnet import SIGNALS
 from vitalgrid.operators.decide import EQUAL_WEIGHTS, VOTE_WEIGHTS, vote
 from vitalgrid.plans import novelty as novelty_plan
@@ -13,10 +13,10 @@ from vitalgrid.plans import raw_writer
 from vitalgrid.queries.base import query, r6
 from vitalgrid.queries.decisions import _DAILY, _vote_sql
 from vitalgrid.queries.ingest import POINTS_SQL, W
-from vitalgrid.queries.joins import EPOCH, EPOCH_SQL, STEP
-from vitalgrid.queries.network import N, RATE_SQL, SETTINGS, SHIFT, fitted
+from vitalgrid.queries.joins import ALIGNED_SQL, EPOCH, EPOCH_SQL, STEP
+from vitalgrid.queries.network import ALARM_POINTS_SQL, N, NOVELTY_TABLE_SQL, RATE_SQL, SETTINGS, SHIFT, fitted
 from vitalgrid.queries.windows import AXIS_SQL
-from vitalgrid.session import scratch_path
+from vitalgrid.session import scratch_path, stored
 from vitalgrid.sources import event_view as view
 from vitalgrid.sources import scans, sinks
 from vitalgrid.streaming import alignment, runner, windows
@@ -91,8 +91,8 @@ def stream_raw_writer(spark, sf_dir):
 )
 def stream_metric_posts(spark, sf_dir):
     """Metric posts of the raw writer: all points of all batches, in full posts."""
-    stored = spark.read.parquet(f"{written_messages(spark, sf_dir)}/posts")
-    return stored.groupBy("name").agg(F.sum("n_points").alias("n_points"))
+    posts = spark.read.parquet(f"{written_messages(spark, sf_dir)}/posts")
+    return posts.groupBy("name").agg(F.sum("n_points").alias("n_points"))
 
 
 @query(
@@ -101,8 +101,8 @@ def stream_metric_posts(spark, sf_dir):
     FROM msg WHERE form <> 11 AND (form = 7 OR sensor IN ('contact', 'pedometer')) GROUP BY 1""",
 )
 def stream_rejects(spark, sf_dir):
-    stored = spark.read.parquet(f"{written_messages(spark, sf_dir)}/rejects")
-    return stored.groupBy("status").agg(F.count(F.lit(1)).alias("n"))
+    rejects = spark.read.parquet(f"{written_messages(spark, sf_dir)}/rejects")
+    return rejects.groupBy("status").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query(
@@ -141,6 +141,23 @@ def stream_aligned_sensors(spark, sf_dir):
     )
 
 
+def live_clock(rows, sensors, reference):
+    """Slowest sensor and start of each user that has all sensors."""
+    times = rows.select("userid", "sensor", "time_stamp").distinct()
+    return stored(align.group_clock(times, ["userid"], "sensor", "time_stamp", reference, sensors), "clock")
+
+
+@query("stream_aligned_live", f"WITH {ALIGNED_SQL} SELECT userid, anchor, sensor, time_stamp, eventId FROM aligned")
+def stream_aligned_live(spark, sf_dir):
+    """Alignment without epochs: anchors leave as the watermark moves, by the clock of a table."""
+    clock = live_clock(
+        view.predictions(spark, sf_dir).select("userid", last_token("processor_name").alias("sensor"), "time_stamp"), view.SENSORS, "gyroscope")
+    rows = view.as_predictions(event_stream(spark, sf_dir)).select(
+        "userid", last_token("processor_name").alias("sensor"), "time_stamp", "eventId")
+    return runner.run_to_table(
+        rows, "live", lambda s: alignment.align_live(s, clock, view.SENSORS, STEP, DAY), delay=DELAY, sensor="gyroscope", userid="end")
+
+
 @query(
     "stream_activity_by_vote",
     "WITH " + _vote_sql(
@@ -186,6 +203,33 @@ def stream_novelty_rate(spark, sf_dir):
     return out.select("event_id", rounded("novel_rate").alias("novel_rate"), "alarm")
 
 
+def stream_points(spark, sf_dir):
+    """Violations of the trailing rows of every alarm, from the stream."""
+    _, cuts, tables = fitted(spark, sf_dir)
+    live = view.as_physio(event_stream(spark, sf_dir)).withColumns({s: F.col(s) * SHIFT for s in SIGNALS})
+    judged = novelty.decide(novelty_plan.judge(live, cuts, tables, ["network"], ["event_id"]), SETTINGS.threshold)
+    return runner.run_to_table(
+        judged.select("user_id", "time_stamp", "event_id", "novel", "violations"), "points",
+        lambda s: novelty_stream.novelty_points_stream(s, N, SETTINGS.rate_threshold, DAY, idle_ms=400 * DAY),
+        delay=DELAY, user_id="end", event_id=-1, novel=False,
+    )
+
+
+@query("stream_novelty_table", NOVELTY_TABLE_SQL)
+def stream_novelty_table(spark, sf_dir):
+    """The novelty table as the stream writes it: one row per violation of an alarmed record."""
+    out = novelty_stream.point_rows(stream_points(spark, sf_dir))
+    return out.drop("novel_event_id").withColumns({c: rounded(c) for c in ("result_percentage", "novel_rate")})
+
+
+@query("stream_alarm_points", ALARM_POINTS_SQL)
+def stream_alarm_points(spark, sf_dir):
+    """Every alarm of the stream with all the violations of its trailing rows."""
+    return stream_points(spark, sf_dir).select(
+        "user_id", F.col("event_id").alias("alarm_event_id"), F.col("point_event_id").alias("event_id"), "out_event",
+        rounded("result_percentage").alias("percentage"))
+
+
 @query(
     "stream_two_stages",
     "WITH " + _vote_sql(EQUAL_WEIGHTS, _DAILY, "userid, day"),

@@ -7,6 +7,7 @@ and dropped. Epochs bound the state of a user, and spread a busy one over keys.
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 
 import numpy as np
@@ -108,3 +109,154 @@ def align_stream(
         EpochAligner(sensors, reference, step_ms, epoch_ms), OUTPUT, "Append", "EventTime"
     )
     return out.withColumnRenamed("payload", payload) if payload else out.drop("payload")
+
+
+LIVE_OUTPUT = "userid STRING, anchor BIGINT, sensor STRING, time_stamp BIGINT, eventId STRING, payload STRING"
+WHOLE_OUTPUT = "userid STRING, anchor BIGINT, events STRING, event_time TIMESTAMP"
+
+
+class Walk:
+    """One user's alignment so far: what later events still depend on, and no more.
+
+    ``last``: latest event of each sensor. ``prior`` and ``next``: of each sensor the last event before
+    the newest event of the slow sensor, and the first at or after it. ``open``: anchors that wait for a
+    sensor's next event. All events are (time, id, payload) lists, so that a walk is kept as JSON.
+    """
+
+    def __init__(self, kept: str | None, slow: str = "", t0: int = 0):
+        self.__dict__ = json.loads(kept) if kept else {
+            "slow": slow, "t0": t0, "last": {}, "prior": {}, "next": {}, "open": {}, "newest": None, "anchor": None}
+
+    def kept(self) -> str:
+        return json.dumps(self.__dict__)
+
+    def _upto(self, t: int, step_ms: int) -> int:
+        return max((t - self.t0) // step_ms, 0)
+
+    def _choose(self, sensor: str, anchor: int, floor: int | None, before: list | None, after: list) -> tuple:
+        fresh = before is not None and (floor is None or before[0] > floor)
+        event = after if not fresh or after[0] - anchor < anchor - before[0] else before
+        return (anchor, sensor, *event)
+
+    def take(self, t: int, events: dict[str, list], sensors: list[str], step_ms: int) -> list[tuple]:
+        """The events of all sensors at the next time; returns (anchor, sensor, time, id, payload) that are now decided."""
+        out = []
+        if self.slow in events:
+            first = self.newest is None
+            done = 0 if first else self._upto(self.newest, step_ms)
+            anchor = t if first else self.newest
+            if self._upto(t, step_ms) > done and anchor != self.anchor:
+                before, after = (self.last, {}) if first else (self.prior, self.next)
+                for s in sensors:
+                    if s in after:
+                        out.append(self._choose(s, anchor, self.anchor, before.get(s), after[s]))
+                    else:
+                        self.open.setdefault(s, []).append([anchor, self.anchor, before.get(s)])
+                self.anchor = anchor
+            self.newest, self.prior, self.next = t, dict(self.last), {}
+        for s, event in events.items():
+            for anchor, floor, before in self.open.pop(s, []):
+                out.append(self._choose(s, anchor, floor, before, event))
+            if self.newest is not None:
+                self.next.setdefault(s, event)
+            self.last[s] = event
+        return out
+
+    def give_up(self, before: int) -> None:
+        """Anchors older than this stop waiting for silent sensors."""
+        self.open = {s: kept for s, waiting in self.open.items() if (kept := [w for w in waiting if w[0] >= before])}
+
+
+class LiveAligner(StatefulProcessor):
+    """Alignment as the watermark moves.
+
+    Events wait in buckets of time, one map entry each; a bucket is walked and dropped when the watermark
+    has passed its end. What remains of a user is the walk: some events per sensor and the anchors
+    that a silent sensor keeps open, which ``give_up_ms`` bounds.
+    """
+
+    def __init__(self, sensors: list[str], step_ms: int, bucket_ms: int, give_up_ms: int | None, whole: bool):
+        self.sensors, self.step_ms, self.bucket_ms = sensors, step_ms, bucket_ms
+        self.give_up_ms, self.whole = give_up_ms, whole
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.buckets = handle.getMapState("buckets", "bucket BIGINT", "events STRING")
+        self.walk = handle.getValueState("walk", "walk STRING, partial STRING")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        new: dict[int, list] = {}
+        clock = None
+        for pdf in rows:
+            clock = (pdf["slow"].iloc[0], int(pdf["t0"].iloc[0]))
+            for s, t, e, p in zip(pdf["sensor"], pdf["time_stamp"], pdf["eventId"], pdf["payload"]):
+                new.setdefault(int(t) // self.bucket_ms, []).append([int(t), s, e, p])
+        for bucket, events in new.items():
+            held = self.buckets.getValue((bucket,))
+            self.buckets.updateValue((bucket,), (json.dumps((json.loads(held[0]) if held else []) + events),))
+        if new:  # one timer, at the end of the earliest bucket
+            self.handle.registerTimer((min(new) + 1) * self.bucket_ms)
+        if clock and not self.walk.exists():
+            self.walk.update((Walk(None, *clock).kept(), "{}"))
+        return iter(())
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        mark = timerValues.getCurrentWatermarkInMs()
+        waiting = sorted(b for (b,) in self.buckets.keys())
+        due = [b for b in waiting if (b + 1) * self.bucket_ms <= mark]
+        if not due:
+            return
+        if len(due) < len(waiting):
+            self.handle.registerTimer((waiting[len(due)] + 1) * self.bucket_ms)
+        walk, partial = self.walk.get()
+        walk, partial, out = Walk(walk), json.loads(partial), []
+        for bucket in due:
+            at: dict[int, dict[str, list]] = {}
+            for t, s, e, p in sorted(json.loads(self.buckets.getValue((bucket,))[0]), key=lambda x: (x[0], x[1], x[2])):
+                at.setdefault(t, {})[s] = [t, e, p]  # the largest id stays
+            for t in sorted(at):
+                out += walk.take(t, at[t], self.sensors, self.step_ms)
+            self.buckets.removeKey((bucket,))
+        if self.give_up_ms is not None:
+            walk.give_up(mark - self.give_up_ms)
+            partial = {a: v for a, v in partial.items() if int(a) >= mark - self.give_up_ms}
+        if self.whole:
+            for anchor, sensor, *event in out:
+                partial.setdefault(str(anchor), {})[sensor] = event
+            ready = sorted((int(a) for a, v in partial.items() if len(v) == len(self.sensors)))
+            done = [(a, json.dumps(partial.pop(str(a)))) for a in ready]
+        self.walk.update((walk.kept(), json.dumps(partial)))
+        if self.whole and done:
+            yield pd.DataFrame({"userid": key[0], "anchor": [a for a, _ in done], "events": [e for _, e in done],
+                                "event_time": pd.to_datetime([mark] * len(done), unit="ms")})
+        elif not self.whole and out:
+            frame = pd.DataFrame(out, columns=["anchor", "sensor", "time_stamp", "eventId", "payload"])
+            frame.insert(0, "userid", key[0])
+            yield frame
+
+    def close(self) -> None:
+        pass
+
+
+def align_live(
+    stream: DataFrame, clock: DataFrame, sensors: list[str], step_ms: int, bucket_ms: int, payload: str | None = None,
+    give_up_ms: int | None = None, whole: bool = False,
+) -> DataFrame:
+    """``stream``: userid, sensor, time_stamp, eventId and a watermarked event_time; ``clock``: userid, slow, t0.
+
+    The same rows as the batch ``align`` with that clock, whatever the batches were, and no epochs: an
+    anchor's rows leave as soon as the watermark has passed what decides them. The clock (the slowest
+    sensor of each user and the start of its grid) is a table, for example ``group_clock`` of earlier
+    data; users without one are left out. Events at one time of one sensor count once, with the largest
+    id. With ``whole`` one row per anchor that all sensors have answered: ``events``, a JSON object of
+    [time, id, payload] by sensor, and an event time for a further stateful step.
+    """
+    seen = stream.where(F.col("sensor").isin(sensors)).join(clock.select("userid", "slow", "t0"), "userid")
+    rows = seen.select(
+        "userid", "slow", "t0", "sensor", "time_stamp", "eventId",
+        (F.col(payload) if payload else F.lit(None).cast("string")).alias("payload"), "event_time")
+    aligner = LiveAligner(sensors, step_ms, bucket_ms, give_up_ms, whole)
+    if whole:
+        return rows.groupBy("userid").transformWithStateInPandas(aligner, WHOLE_OUTPUT, "Append", "EventTime", eventTimeColumnName="event_time")
+    out = rows.groupBy("userid").transformWithStateInPandas(aligner, LIVE_OUTPUT, "Append", "EventTime")
+    return out.withColumnRenamed("payload", payload) if payload else out.drop("payload")

@@ -7,13 +7,16 @@ come at most once per alignment step and user, which bounds what a user can send
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
+from vitalgrid.functions.scalars import stable_id
+
 OUTPUT = "user_id STRING, time_stamp BIGINT, event_id BIGINT, novel BOOLEAN, novel_rate DOUBLE, alarm BOOLEAN"
 
 
@@ -79,3 +82,100 @@ def trailing_rate_stream(stream: DataFrame, n: int, rate_threshold: float, slice
     return stream.groupBy("user_id").transformWithStateInPandas(
         TrailingRate(n, rate_threshold, slice_ms), OUTPUT, "Append", "EventTime"
     )
+
+
+POINTS = (
+    "user_id STRING, time_stamp BIGINT, event_id BIGINT, novel_rate DOUBLE, novel BOOLEAN, point_time_stamp BIGINT, point_event_id BIGINT, "
+    "slot INT, in_events ARRAY<STRING>, out_event STRING, result_percentage DOUBLE"
+)
+
+
+class NoveltyPoints(StatefulProcessor):
+    """Alarms with the violations of their trailing rows.
+
+    Rows wait in slices of time, one map entry each, until the watermark has passed the slice; the last
+    n - 1 rows with their violations stay as memory. A user without rows for ``idle_ms`` of event time is
+    forgotten wholly, and its memory begins anew.
+    """
+
+    def __init__(self, n: int, rate_threshold: float, slice_ms: int, idle_ms: int | None):
+        self.n, self.rate_threshold, self.slice_ms, self.idle_ms = n, rate_threshold, slice_ms, idle_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.slices = handle.getMapState("slices", "slice BIGINT", "rows STRING")
+        self.memory = handle.getValueState("memory", "rows STRING, latest BIGINT")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        new: dict[int, list] = {}
+        for pdf in rows:
+            for t, e, v, found in zip(pdf["time_stamp"], pdf["event_id"], pdf["novel"], pdf["violations"]):
+                new.setdefault(int(t) // self.slice_ms, []).append([int(t), int(e), bool(v), found])
+        for at, waiting in new.items():
+            held = self.slices.getValue((at,))
+            self.slices.updateValue((at,), (json.dumps((json.loads(held[0]) if held else []) + waiting),))
+        if new:  # one timer, at the end of the earliest slice
+            self.handle.registerTimer((min(new) + 1) * self.slice_ms)
+        return iter(())
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        mark = timerValues.getCurrentWatermarkInMs()
+        waiting = sorted(s for (s,) in self.slices.keys())
+        due = [s for s in waiting if (s + 1) * self.slice_ms <= mark]
+        if due and len(due) < len(waiting):
+            self.handle.registerTimer((waiting[len(due)] + 1) * self.slice_ms)
+        kept, latest = self.memory.get() if self.memory.exists() else ("[]", None)
+        memory, out = json.loads(kept), []
+        for at in due:
+            for row in sorted(json.loads(self.slices.getValue((at,))[0])):
+                if self.idle_ms is not None and latest is not None and row[0] - latest >= self.idle_ms:
+                    memory = []
+                memory, latest = [*memory, row][-self.n:], row[0]
+                rate = sum(r[2] for r in memory) / float(self.n)
+                if len(memory) == self.n and rate > self.rate_threshold:
+                    out += self._records(row, rate, memory)
+            self.slices.removeKey((at,))
+        if due:
+            self.memory.update((json.dumps(memory[-(self.n - 1):] if self.n > 1 else []), latest))
+            if self.idle_ms is not None:
+                self.handle.registerTimer(latest + self.idle_ms)
+        elif self.idle_ms is not None and latest is not None and mark >= latest + self.idle_ms and not waiting:
+            self.memory.clear()
+        if out:
+            frame = pd.DataFrame(out, columns=["time_stamp", "event_id", "novel_rate", "novel", "point_time_stamp", "point_event_id", "slot", "in_events", "out_event", "result_percentage"])
+            frame.insert(0, "user_id", key[0])
+            yield frame.astype({"slot": "int32"})
+
+    @staticmethod
+    def _records(row: list, rate: float, memory: list) -> list[tuple]:
+        return [
+            (row[0], row[1], rate, row[2], t, e, slot, v["in_events"], v["out_event"], v["result_percentage"])
+            for t, e, _, found in memory for slot, v in enumerate(json.loads(found))
+        ]
+
+    def close(self) -> None:
+        pass
+
+
+def novelty_points_stream(stream: DataFrame, n: int, rate_threshold: float, slice_ms: int, idle_ms: int | None = None) -> DataFrame:
+    """For each alarmed row the violations of its last ``n`` rows, itself among them.
+
+    ``stream``: user_id, time_stamp, event_id, novel, violations and a watermarked event_time. Rows of
+    one time go by event_id. ``idle_ms`` None keeps a user's memory for ever, as the batch form does;
+    otherwise a gap of that length starts the user anew. Ids of table rows come from ``point_rows``.
+    """
+    rows = stream.select("user_id", "time_stamp", "event_id", "novel", F.to_json("violations").alias("violations"), "event_time")
+    return rows.groupBy("user_id").transformWithStateInPandas(
+        NoveltyPoints(n, rate_threshold, slice_ms, idle_ms), POINTS, "Append", "EventTime")
+
+
+def point_rows(points: DataFrame) -> DataFrame:
+    """Table rows of the alarmed rows' own violations, with the ids of the batch form."""
+    own = points.where("time_stamp = point_time_stamp AND event_id = point_event_id")
+    point = stable_id(F.col("user_id"), F.col("time_stamp"), F.col("event_id"))
+    flat = own.withColumn("novel_point_id", point)
+    return flat.select(
+        stable_id(F.col("novel_point_id"), F.col("slot")).alias("row_id"),
+        *[F.col("in_events")[i].alias(f"in_event_{i + 1}") for i in range(4)], "out_event",
+        F.col("novel_point_id").alias("novel_event_id"), "novel_point_id", F.col("novel").alias("novel_flag"), "novel_rate",
+        "result_percentage", F.col("time_stamp").alias("novel_time_stamp"), "user_id")
