@@ -28,6 +28,31 @@ def slot_records(
     return out.select(*keys, *columns)
 
 
+def aligned_slots(aligned: DataFrame, user: str, anchor: str) -> DataFrame:
+    """Aligned readings (long form: sensor, eventId, reading) as one record per anchor that all signals answered.
+
+    ``activity``, the signals as numbers and the id of each chosen event; the anchor is the record's time and id.
+    """
+    of = lambda s, c: F.max(F.when(F.col("sensor") == s, F.col(c)))
+    wide = aligned.where(F.col("sensor").isin(bayesnet.VARIABLES)).groupBy(user, anchor).agg(
+        *[of(v, "reading").alias(f"_{v}") for v in bayesnet.VARIABLES], *[of(v, "eventId").alias(f"event_{v}") for v in bayesnet.VARIABLES])
+    complete = wide.where(" AND ".join(f"event_{v} IS NOT NULL" for v in bayesnet.VARIABLES))
+    return _record(complete, user, anchor, {v: F.col(f"_{v}") for v in bayesnet.VARIABLES}, {v: F.col(f"event_{v}") for v in bayesnet.VARIABLES})
+
+
+def live_slots(whole: DataFrame, user: str, anchor: str) -> DataFrame:
+    """The same records from the stream's whole anchors, each with its event time."""
+    parsed = whole.withColumn("_e", F.from_json("events", "map<string, array<string>>"))
+    at = lambda i: {v: F.element_at(F.col("_e")[v], i) for v in bayesnet.VARIABLES}
+    return _record(parsed, user, anchor, at(3), at(2), "event_time")
+
+
+def _record(rows: DataFrame, user: str, anchor: str, reading: dict[str, Column], event: dict[str, Column], *keep: str) -> DataFrame:
+    return rows.select(
+        F.col(user).alias("user_id"), F.col(anchor).alias("time_stamp"), F.col(anchor).alias("event_id"), reading["Activity"].alias("activity"),
+        *[reading[s].cast("double").alias(s) for s in SIGNALS], *[event[v].alias(f"event_{v}") for v in bayesnet.VARIABLES], *keep)
+
+
 def with_states(rows: DataFrame, cuts: DataFrame, keys: list[str], spread: list[str]) -> DataFrame:
     """Signals replaced by state numbers under the network's variable names."""
     binned = bayesnet.bin_signals(rows, cuts, keys, SIGNALS, spread, bayesnet.BROADCAST_ROWS)

@@ -6,11 +6,13 @@ from pyspark.sql import functions as F
 
 from vitalgrid.config import NoveltySettings
 from vitalgrid.functions.scalars import rounded
-from vitalgrid.operators import bayesnet, novelty
+from vitalgrid.operators import align, bayesnet, novelty
 from vitalgrid.operators.bayesnet import ACTIVITY_STATES, PARENTS, SIGNALS, VARIABLES
+from vitalgrid.operators.ordered import fit_piece_ms
 from vitalgrid.plans import novelty as novelty_plan
 from vitalgrid.queries.base import query, r6
-from vitalgrid.session import scratch_path
+from vitalgrid.queries.joins import align_sql
+from vitalgrid.session import scratch_path, stored
 from vitalgrid.sources import event_view as view
 from vitalgrid.sources import scans
 
@@ -86,6 +88,10 @@ answers AS (SELECT j.event_id, j.user_id, j.time_stamp, {', '.join(f'j.event_{v}
   FROM judged j LEFT JOIN post ON j.network = post.network AND {' AND '.join(f'j.{v} = post.{v}' for v in VARIABLES)})"""
 
 
+def _below(thr: float) -> str:
+    return " + ".join(f"CASE WHEN post_{v} < {thr} THEN 1 ELSE 0 END" for v in VARIABLES)
+
+
 def fitted(spark, sf_dir):
     """(physio rows, cut points, conditional tables), one network per device."""
     rows = view.physio(spark, sf_dir)
@@ -155,10 +161,6 @@ def posteriors(spark, sf_dir):
     return answers(spark, sf_dir).select("event_id", *[rounded(f"post_{v}").alias(f"post_{v.lower()}") for v in VARIABLES])
 
 
-def _below(thr: float) -> str:
-    return " + ".join(f"CASE WHEN post_{v} < {thr} THEN 1 ELSE 0 END" for v in VARIABLES)
-
-
 NOVEL_SQL = f"{JOINT_SQL}, novel AS (SELECT *, ({_below(0.15)}) AS n_low FROM answers)"
 
 
@@ -175,6 +177,62 @@ def novelty_decision(spark, sf_dir):
     )
 
 
+# The five signals, aligned on the slowest one of a user: a record per anchor that all have answered.
+PHYSIO_STEP = DAY
+LIVE = NoveltySettings(window_rows=5, rate_threshold=0.5)
+_READ = {"Activity": "activity", **{s: s for s in SIGNALS}}
+_PHYSIO_SLOTS = f"""rows AS (SELECT userid, sensor, time_stamp, eventId FROM readings), {align_sql('userid', 'rows', 'HR_RATE', PHYSIO_STEP)},
+slots AS (SELECT a.userid AS user_id, a.anchor AS time_stamp, any_value(r.deviceid) AS network,
+  {', '.join(f"max(CASE WHEN a.sensor = '{v}' THEN r.{c} END) AS {c}, max(CASE WHEN a.sensor = '{v}' THEN a.eventId END) AS event_{v}" for v, c in _READ.items())}
+  FROM aligned a JOIN readings r ON r.eventId = a.eventId GROUP BY 1, 2 HAVING count(*) = 5)"""
+PHYSIO_ALIGNED_SQL = f"{view.PHYSIO_EVENTS_SQL}, {_PHYSIO_SLOTS}"
+_LIVE_STATES = f"""{CUTS_SQL}, {view.PHYSIO_EVENTS_SQL.split('FROM events), ', 1)[1]}, {_PHYSIO_SLOTS},
+states AS (SELECT p.event_id, p.network, {_LABEL_STATE} AS Activity, {', '.join(f'{_state_sql(s)} AS {s}' for s in SIGNALS)} FROM physio p {_CUT_JOINS}),
+judged AS (SELECT p.* EXCLUDE (activity, {', '.join(SIGNALS)}), time_stamp AS event_id, {_LABEL_STATE} AS Activity, {', '.join(f'{_state_sql(s)} AS {s}' for s in SIGNALS)}
+  FROM (SELECT * REPLACE ({', '.join(f'{s} * {SHIFT}e0 AS {s}' for s in SIGNALS)}) FROM slots) p {_CUT_JOINS})"""
+LIVE_SQL = f"""{JOINT_SQL.replace(STATES_SQL, _LIVE_STATES)}, novel AS (SELECT *, ({_below(0.15)}) AS n_low FROM answers),
+rated AS (SELECT *, CASE WHEN count(*) OVER w = {LIVE.window_rows} THEN sum(CASE WHEN n_low > 0 THEN 1 ELSE 0 END) OVER w / {LIVE.window_rows}e0 END AS novel_rate
+  FROM novel WINDOW w AS (PARTITION BY user_id ORDER BY time_stamp ROWS BETWEEN {LIVE.window_rows - 1} PRECEDING AND CURRENT ROW))"""
+
+
+def network_of(user):
+    """The network that judges a user: the one of the user's device."""
+    return F.concat(F.lit("dev_"), F.substring(user, 6, 20).cast("long") % 10)
+
+
+def physio_slots(spark, sf_dir):
+    ev = view.events(spark, sf_dir)
+    rows = stored(view.physio_events(ev), "physio-events")
+    piece = fit_piece_ms(rows, ["userid"], "time_stamp", 5 * DAY)
+    aligned = align.align(rows, ["userid"], list(_READ), "HR_RATE", PHYSIO_STEP, piece_ms=piece)
+    return novelty_plan.aligned_slots(aligned, "userid", "anchor")
+
+
+@query(
+    "physio_aligned",
+    f"""WITH {PHYSIO_ALIGNED_SQL} SELECT user_id, time_stamp, activity, {', '.join(f'{r6(s)} AS {s.lower()}' for s in SIGNALS)},
+    {', '.join(f'event_{v}' for v in _READ)} FROM slots""",
+)
+def physio_aligned(spark, sf_dir):
+    """Five signals of a user aligned in time, a record per anchor."""
+    return physio_slots(spark, sf_dir).select(
+        "user_id", "time_stamp", "activity", *[rounded(s).alias(s.lower()) for s in SIGNALS], *[f"event_{v}" for v in _READ])
+
+
+PHYSIO_NOVELTY_SQL = f"""WITH {LIVE_SQL} SELECT user_id, time_stamp, {r6('novel_rate')} AS novel_rate, coalesce(novel_rate > {LIVE.rate_threshold}, false) AS alarm,
+    n_low > 0 AS novel FROM rated"""
+
+
+@query("physio_novelty", PHYSIO_NOVELTY_SQL)
+def physio_novelty(spark, sf_dir):
+    """The whole chain in batch: align, judge, rate."""
+    _, cuts, tables = fitted(spark, sf_dir)
+    rows = physio_slots(spark, sf_dir).withColumn("network", network_of("user_id")).withColumns({s: F.col(s) * SHIFT for s in SIGNALS})
+    decided = novelty_plan.decide(rows, cuts, tables, ["network"], ["user_id", "event_id"], LIVE)
+    rated_ = novelty_plan.rate(decided.select("event_id", "user_id", "time_stamp", "novel"), ["user_id"], ["time_stamp", "event_id"], LIVE, 5 * DAY)
+    return rated_.select("user_id", "time_stamp", rounded("novel_rate").alias("novel_rate"), "alarm", "novel")
+
+
 # A high rate threshold: shifted signals are often novel.
 SETTINGS = NoveltySettings(rate_threshold=0.8)
 N = SETTINGS.window_rows

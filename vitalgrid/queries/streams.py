@@ -14,7 +14,9 @@ from vitalgrid.queries.base import query, r6
 from vitalgrid.queries.decisions import _DAILY, _vote_sql
 from vitalgrid.queries.ingest import POINTS_SQL, W
 from vitalgrid.queries.joins import ALIGNED_SQL, EPOCH, EPOCH_SQL, STEP
-from vitalgrid.queries.network import ALARM_POINTS_SQL, N, NOVELTY_TABLE_SQL, RATE_SQL, SETTINGS, SHIFT, fitted
+from vitalgrid.queries.network import (
+    ALARM_POINTS_SQL, LIVE, N, NOVELTY_TABLE_SQL, PHYSIO_NOVELTY_SQL, PHYSIO_STEP, RATE_SQL, SETTINGS, SHIFT, fitted, network_of,
+)
 from vitalgrid.queries.windows import AXIS_SQL
 from vitalgrid.session import scratch_path, stored
 from vitalgrid.sources import event_view as view
@@ -230,6 +232,26 @@ def stream_alarm_points(spark, sf_dir):
         rounded("result_percentage").alias("percentage"))
 
 
+@query("stream_physio_novelty", PHYSIO_NOVELTY_SQL)
+def stream_physio_novelty(spark, sf_dir):
+    """One stream, two stateful steps: the five signals are aligned as the watermark moves, each whole
+    anchor is judged by its network, and the rate keeps a memory per user."""
+    _, cuts, tables = fitted(spark, sf_dir)
+    signals = list(view.PHYSIO_OF.values())
+    clock = live_clock(view.physio_events(view.events(spark, sf_dir)), signals, "HR_RATE")
+
+    def build(s):
+        whole = alignment.align_live(s, clock, signals, PHYSIO_STEP, DAY, "reading", whole=True)
+        rows = novelty_plan.live_slots(whole, "userid", "anchor").withColumn("network", network_of("user_id"))
+        rows = rows.withColumns({s: F.col(s) * SHIFT for s in SIGNALS})
+        judged = novelty.decide(novelty_plan.judge(rows, cuts, tables, ["network"], ["user_id", "event_id"]), LIVE.threshold)
+        judged = judged.select("user_id", "time_stamp", "event_id", "novel", "event_time")
+        return novelty_stream.trailing_rate_stream(judged, LIVE.window_rows, LIVE.rate_threshold, DAY)
+
+    out = runner.run_to_table(view.physio_events(event_stream(spark, sf_dir)), "physio", build, delay=DELAY, sensor="HR_RATE", userid="end")
+    return out.select("user_id", "time_stamp", rounded("novel_rate").alias("novel_rate"), "alarm", "novel")
+
+
 @query(
     "stream_two_stages",
     "WITH " + _vote_sql(EQUAL_WEIGHTS, _DAILY, "userid, day"),

@@ -194,6 +194,23 @@ PHYSIO_SQL = f"""{EVENTS_SQL}, physio AS (
   FROM ev)"""
 
 
+def physio_events(ev: DataFrame) -> DataFrame:
+    """One reading of one signal per event, as text: the label of an activity event, else the signal's value."""
+    label = ACTIVITY_SQL.replace("'NONE'", "'SITTING'")
+    reading = F.when(F.expr(_case(PHYSIO_OF, "event_type")) == "Activity", F.expr(label))
+    for name, sql in SIGNAL_SQL.items():
+        reading = reading.when(F.expr(_case(PHYSIO_OF, "event_type")) == name, F.expr(sql).cast("string"))
+    return ev.select(
+        "userid", F.expr(_case(PHYSIO_OF, "event_type")).alias("sensor"), "time_stamp",
+        F.concat(F.lit("e"), F.col("event_id")).alias("eventId"), reading.alias("reading"),
+    )
+
+
+PHYSIO_EVENTS_SQL = f"""{EVENTS_SQL}, readings AS (
+  SELECT userid, deviceid, {_case(PHYSIO_OF, 'event_type')} AS sensor, time_stamp, 'e' || event_id AS eventId,
+         {ACTIVITY_SQL.replace("'NONE'", "'SITTING'")} AS activity, {', '.join(f'{sql} AS {n}' for n, sql in SIGNAL_SQL.items())} FROM ev)"""
+
+
 def predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Stage-one predictions: a label per reading, named after its sensor. The
     result is sent as a number or as a label."""
