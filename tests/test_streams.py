@@ -112,3 +112,72 @@ def test_the_default_id_is_told_apart_by_sensor(spark):
 
 def test_trigger():
     assert runner.trigger(10) == {"processingTime": "10 seconds"} and runner.trigger(None) == {"availableNow": True}
+
+
+@pytest.mark.parametrize("parts", [1, 3])
+def test_live_alignment(spark, parts):
+    rng = random.Random(6)
+    rows = [(u, t, s, f"{s}{t}") for u in ("a", "b") for s in SENSORS for t in rng.sample(range(60_000), 60 if s == "gyr" else 45)]
+    rows += [("a", t, "acc", f"acc{t}x") for _, t, s, _ in rows[:5]]  # a second id at one time
+    schema = "userid string, time_stamp long, sensor string, eventId string"
+    batch = spark.createDataFrame(rows, schema)
+    clock = align.group_clock(batch.select("userid", "sensor", "time_stamp").distinct(), ["userid"], "sensor", "time_stamp", "gyr", SENSORS).cache()
+    got, mark = feed(spark, rows, schema, 5_000, parts, lambda s: alignment.align_live(s, clock, SENSORS, 1_500, 4_000))
+    want = align.align(batch, ["userid"], SENSORS, "gyr", 1_500, piece_ms=7_000)
+    cols = ["userid", "anchor", "sensor", "time_stamp", "eventId"]
+    got, want = bag(got, *cols), bag(want, *cols)
+    # what lies before the last closed bucket has left
+    done = mark // 4_000 * 4_000 - 8_000
+    assert set(got) <= set(want) and len(got) == len(set(got))
+    assert {w for w in want if int(w.split(", ")[3]) < done and int(w.split(", ")[1]) < done} <= set(got) and len(got) > 60
+
+
+def test_walk_stays_small():
+    walk, sizes, n = alignment.Walk(None, "gyr", 0), [], 0
+    for i in range(200_000):
+        t = 7 * i
+        n += len(walk.take(t, {"gyr": [t, f"g{i}", None]} if i % 3 == 0 else {"acc": [t, f"a{i}", None]}, SENSORS, 50))
+        if i % 20_000 == 0:
+            sizes.append(len(walk.kept()))
+    assert n > 10_000 and max(sizes) < 1_000
+    for i in range(1_000):  # a sensor falls silent
+        t = 2_000_000 + 60 * i
+        walk.take(t, {"gyr": [t, "g", None]}, SENSORS, 50)
+    assert len(walk.open["acc"]) > 900
+    walk.give_up(2_000_000 + 60 * 990)
+    assert len(walk.open["acc"]) < 12
+
+
+def points_want(rows, n, threshold, idle=None):
+    out = []
+    for u in sorted({r[0] for r in rows}):
+        memory, latest = [], None
+        for r in sorted((r for r in rows if r[0] == u), key=lambda r: (r[1], r[2])):
+            if idle and latest is not None and r[1] - latest >= idle:
+                memory = []
+            memory, latest = [*memory, r][-n:], r[1]
+            rate = sum(m[3] for m in memory) / n
+            if len(memory) == n and rate > threshold:
+                out += [str((u, r[1], r[2], m[1], m[2])) for m in memory if m[3]]
+    return sorted(out)
+
+
+@pytest.mark.parametrize("idle", [None, 6_000])
+def test_novelty_points(spark, idle):
+    rng = random.Random(8)
+    times = [t for t in range(0, 60_000, 200) if not 20_000 < t < 30_000]
+    rows = [(u, rng.choice(times), i, rng.random() < 0.6) for u in ("a", "b") for i in range(160)]
+    schema = "user_id string, time_stamp long, event_id long, novel boolean"
+    found = "CASE WHEN novel THEN array(named_struct('in_events', array('a', 'b', 'c', 'd'), 'out_event', 'o', 'result_percentage', 0.1D)) ELSE array() END"
+
+    def build(s):
+        with_found = s.withColumn("violations", F.expr(found))
+        return novelty_stream.novelty_points_stream(with_found, 5, 0.6, 3_000, idle)
+
+    got, mark = feed(spark, rows, schema, 4_000, 3, build)
+    closed = mark // 3_000 * 3_000
+    seen = sorted(str((r["user_id"], r["time_stamp"], r["event_id"], r["point_time_stamp"], r["point_event_id"])) for r in got.collect())
+    want = [w for w in points_want(rows, 5, 0.6, idle) if int(w.split(", ")[1]) < closed]
+    assert seen == want and len(want) > 100
+    assert got.select("slot").distinct().count() == 1 and got.first()["in_events"] == ["a", "b", "c", "d"]
+    assert novelty_stream.point_rows(got).count() == sum(eval(w)[1:3] == eval(w)[3:5] for w in want)

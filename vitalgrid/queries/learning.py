@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from vitalgrid.functions.scalars import rounded
-from vitalgrid.operators import decide, features, forests, joins, naive_bayes
+from vitalgrid.functions.scalars import rounded, stable_id
+from vitalgrid.operators import decide, features, forest_table, forests, joins, naive_bayes
 from vitalgrid.operators.ordered import fit_piece_ms
 from vitalgrid.plans import aggregator, scoring, training
 from vitalgrid.queries.base import query, r6
@@ -231,6 +231,32 @@ def forests_by_user(spark, sf_dir):
     return out.select("eventId", "owner", forests.predicted_label("prediction").alias("prediction"))
 
 
+OWNERS = 6
+
+
+@query(
+    "forests_of_owners",
+    f"""WITH {R}, t AS (SELECT eventId, userid, time_stamp, CAST(eventId AS BIGINT) % {CODES} AS code, CAST(substr(userid, 6) AS BIGINT) % {OWNERS + 1} AS g FROM readings)
+    SELECT md5('forest_code|' || eventId) AS eventId, 'forest_code' AS processor_name, userid, time_stamp,
+    ([{_LABEL_LIST}])[CAST((code + g) % {CODES} + 1 AS BIGINT)] AS result FROM t WHERE g < {OWNERS}""",
+)
+def forests_of_owners(spark, sf_dir):
+    """Saved forests of many owners read as one table of nodes and used in one plan; results as published rows."""
+    group = F.col("userid").substr(6, 20).cast("bigint") % (OWNERS + 1)
+    rows = stored(_coded(spark, sf_dir, group).withColumn("owner", F.concat(F.lit("u"), group.cast("string"))), "coded")
+    folder = scratch_path(spark, "models")
+    settings = forests.EARLIER_SENSOR_FOREST
+    for i in range(OWNERS):
+        model = forests.fit_forest(rows.where(F.col("owner") == f"u{i}"), ["code"], settings=settings)
+        forests.save_model(model, f"{folder}/code_u{i}_FEA_.MDL")
+    trees = stored(forest_table.forest_rows(forest_table.saved_nodes(spark, folder).withColumnRenamed("userid", "owner"), "owner"), "forests")
+    out = forest_table.score_with_owner(
+        rows.select("owner", "eventId", "userid", "time_stamp", "code"), trees, "owner", ["code"], ["eventId"], settings["maxDepth"])
+    return out.select(
+        stable_id(F.lit("forest_code"), F.col("eventId")).alias("eventId"), F.lit("forest_code").alias("processor_name"), "userid", "time_stamp",
+        forests.predicted_label("prediction").alias("result"))
+
+
 @query("embedding_forest")
 def embedding_forest(spark, sf_dir):
     """The same learner on wide vectors: the embeddings table."""
