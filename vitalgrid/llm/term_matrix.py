@@ -86,11 +86,13 @@ def term_matrix(docs: DataFrame, *keep: str, marks: str = "") -> DataFrame:
     repeated id is spread while its texts differ. Words of a chunk are told apart by 64-bit hashes,
     words of different chunks by their bytes.
     """
-    spark = docs.sparkSession
-    ex.small_batches(spark)
+    if clash := {"chunk", "shard", "indptr", "indices", "counts", "n_chars_", "n_upper", "n_marks"} & {*keep}:
+        raise ValueError(f"the matrix has columns of these names: {sorted(clash)}")
+    keep = tuple(c for c in dict.fromkeys(keep) if c != "doc_id")
+    ex.small_batches(docs.sparkSession)
     sizes = ex.sizes(docs, keys_per_byte=WORDS_PER_BYTE)
     bits = sizes.bits
-    dealt = ex.dealt(docs, sizes.chunks, "doc_id", "text", *keep)
+    dealt = ex.dealt(docs, sizes.chunks, *dict.fromkeys(("doc_id", "text", *keep)))
     groups = dealt.groupBy("chunk")  # with the same columns as below: one exchange for both
     sent = groups.applyInArrow(_send(bits), "bucket int, chunk int, words array<binary>")
     answers = sent.groupBy("bucket").applyInArrow(_number(bits), ANSWER)
