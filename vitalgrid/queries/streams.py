@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from vitalgrid.functions.scalars import last_token, normalise_label, rounded
-from vitalgrid.operators import align, features, joins, novelty
+from vitalgrid.operators import align, features, joins, metrics, novelty, parse
 from vitalgrid.operators.bayesnet import SIGNALS
 from vitalgrid.operators.decide import EQUAL_WEIGHTS, VOTE_WEIGHTS, vote
 from vitalgrid.plans import novelty as novelty_plan
@@ -21,7 +21,7 @@ from vitalgrid.queries.windows import AXIS_SQL
 from vitalgrid.session import scratch_path, stored
 from vitalgrid.sources import event_view as view
 from vitalgrid.sources import scans, sinks
-from vitalgrid.streaming import alignment, runner, windows
+from vitalgrid.streaming import alignment, posts, runner, windows
 from vitalgrid.streaming import novelty as novelty_stream
 
 DAY = 86_400_000
@@ -93,8 +93,31 @@ def stream_raw_writer(spark, sf_dir):
 )
 def stream_metric_posts(spark, sf_dir):
     """Metric posts of the raw writer: all points of all batches, in full posts."""
-    posts = spark.read.parquet(f"{written_messages(spark, sf_dir)}/posts")
-    return posts.groupBy("name").agg(F.sum("n_points").alias("n_points"))
+    sent = spark.read.parquet(f"{written_messages(spark, sf_dir)}/posts")
+    return sent.groupBy("name").agg(F.sum("n_points").alias("n_points"))
+
+
+POST_SHARDS = 2
+
+
+@query(
+    "stream_full_posts",
+    f"""WITH {POINTS_SQL}, dealt AS (SELECT name, CAST(CAST(('0x' || substr(md5('e' || event_id), 1, 8)) AS BIGINT) % {POST_SHARDS} AS INTEGER) AS shard, count(*) AS n
+      FROM points GROUP BY 1, 2)
+    SELECT name, shard, p AS post_id, CAST(least(50, n - 50 * p) AS INTEGER) AS n_points, least(50, n - 50 * p) AS n_in_body
+    FROM (SELECT name, shard, n, unnest(range((n + 49) // 50)) AS p FROM dealt)""",
+)
+def stream_full_posts(spark, sf_dir):
+    """Metric posts over several batches: every post is full but the last of a metric's shard."""
+    runner.prepare(spark)
+    path = scratch_path(spark, "posts")
+    view.messages(spark, sf_dir).select("value").repartition(4).write.text(f"{path}/topics/band")
+    stream = scans.read_messages(spark, f"{path}/topics/*", max_files=1)
+    points = metrics.metric_points(parse.accepted(parse.parse_messages(stream)))
+    out = runner.run_to_table(
+        points, "full-posts", lambda s: posts.post_stream(s, 50, DAY, POST_SHARDS, "tags['event_id']"), ts_ms="timestamp",
+        delay="60 days")
+    return out.withColumn("n_in_body", F.json_array_length("body").cast("bigint")).drop("body")
 
 
 @query(
