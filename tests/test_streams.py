@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from vitalgrid.operators import align, features, novelty
 from vitalgrid.session import scratch_path
-from vitalgrid.streaming import alignment, runner, windows
+from vitalgrid.streaming import alignment, control, posts, runner, windows
 from vitalgrid.streaming import novelty as novelty_stream
 
 SENSORS = ["acc", "gyr"]
@@ -181,3 +181,32 @@ def test_novelty_points(spark, idle):
     assert seen == want and len(want) > 100
     assert got.select("slot").distinct().count() == 1 and got.first()["in_events"] == ["a", "b", "c", "d"]
     assert novelty_stream.point_rows(got).count() == sum(eval(w)[1:3] == eval(w)[3:5] for w in want)
+
+
+def test_commands_act_on_later_data(spark):
+    rng = random.Random(12)
+    kinds = [None] * 6 + [control.START, control.STOP, control.STATUS, "unknown"]
+    rows = [(u, t, i, rng.choice(kinds)) for u in ("a", "b") for i, t in enumerate(rng.sample(range(40_000), 120))]
+    sent = [(u, t, i, "{}" if c is None else '{"control_msg": "%s"}' % c) for u, t, i, c in rows]
+    got, mark = feed(spark, sent, "userid string, time_stamp long, event_id long, value string", 4_000, 3, lambda s: control.gated(s, "userid", 2_000))
+    want, closed = [], mark // 2_000 * 2_000
+    for u in ("a", "b"):
+        state = control.STARTED
+        for _, t, i, c in sorted((r for r in rows if r[0] == u), key=lambda r: r[1:3]):
+            state = {control.START: control.STARTED, control.STOP: control.STOPPED}.get(c, state)
+            if t < closed and (c == control.STATUS or (c is None and state == control.STARTED)):
+                want.append(str((u, t, i, "data" if c is None else "status", state)))
+    assert bag(got, "owner", "time_stamp", "event_id", "kind", "state") == sorted(want) and len(want) > 80
+
+
+def test_posts_fill_over_batches(spark):
+    rng = random.Random(13)
+    rows = [(f"m{rng.randrange(2)}", t, float(i), {"event_id": str(i)}) for i, t in enumerate(rng.sample(range(50_000), 300))]
+    rows += [("quiet", 100, 1.0, None)]
+    schema = "name string, time_stamp long, value double, tags map<string,string>"
+    got, _ = feed(spark, rows, schema, 4_000, 4, lambda s: posts.post_stream(s.withColumn("timestamp", F.col("time_stamp")), 20, 6_000, 1, "tags['event_id']"))
+    sent = {(r["name"], r["post_id"]): r["n_points"] for r in got.collect()}
+    for m in ("m0", "m1"):
+        own = [n for (name, _), n in sorted(sent.items()) if name == m]
+        assert own == [20] * (sum(r[0] == m for r in rows) // 20)  # the remainder still waits
+    assert sent["quiet", 0] == 1  # and a metric that fell silent has been flushed

@@ -21,7 +21,7 @@ from vitalgrid.queries.windows import AXIS_SQL
 from vitalgrid.session import scratch_path, stored
 from vitalgrid.sources import event_view as view
 from vitalgrid.sources import scans, sinks
-from vitalgrid.streaming import alignment, posts, runner, windows
+from vitalgrid.streaming import alignment, control, posts, runner, windows
 from vitalgrid.streaming import novelty as novelty_stream
 
 DAY = 86_400_000
@@ -275,6 +275,27 @@ def stream_physio_novelty(spark, sf_dir):
     return out.select("user_id", "time_stamp", rounded("novel_rate").alias("novel_rate"), "alarm", "novel")
 
 
+_COMMAND_SQL = f"CASE event_id % 40 WHEN 0 THEN '{control.STOP}' WHEN 20 THEN '{control.START}' WHEN 10 THEN '{control.STATUS}' END"
+
+
+@query(
+    "stream_control",
+    f"""WITH {view.EVENTS_SQL}, sent AS (SELECT userid AS owner, time_stamp, event_id, value, {_COMMAND_SQL} AS command FROM ev),
+    seen AS (SELECT *, coalesce(last_value(CASE command WHEN '{control.STOP}' THEN 'STOPPED' WHEN '{control.START}' THEN 'STARTED' END IGNORE NULLS) OVER
+      (PARTITION BY owner ORDER BY time_stamp, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 'STARTED') AS state FROM sent)
+    SELECT owner, time_stamp, event_id, CASE WHEN command IS NULL THEN 'data' ELSE 'status' END AS kind, state FROM seen
+    WHERE command = '{control.STATUS}' OR (command IS NULL AND state = 'STARTED')""",
+)
+def stream_control(spark, sf_dir):
+    """Data and commands in one stream: a stopped user's data is dropped until the user is started again."""
+    ev = event_stream(spark, sf_dir, False)
+    command = F.expr(_COMMAND_SQL)
+    text = F.when(command.isNotNull(), F.to_json(F.struct(command.alias("control_msg"), "userid"))).otherwise(F.to_json(F.struct("userid", "value")))
+    rows = ev.select("userid", "time_stamp", "event_id", text.alias("value"))
+    out = runner.run_to_table(rows, "control", lambda s: control.gated(s, "userid", DAY), delay=DELAY, userid="end", event_id=-1)
+    return out.drop("payload")
+
+
 @query(
     "stream_two_stages",
     "WITH " + _vote_sql(EQUAL_WEIGHTS, _DAILY, "userid, day"),
