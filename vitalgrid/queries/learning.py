@@ -279,6 +279,21 @@ def stacked_forest(spark, sf_dir):
     ).select("eventId", "activity", "prediction")
 
 
+SLOTS = 7
+
+
+@query(
+    "cross_fitted_stack",
+    f"""WITH {R} SELECT eventId, CAST(CAST(('0x' || substr(md5(eventId), 1, 8)) AS BIGINT) % 2 AS INTEGER) AS fold,
+    ([{_LABEL_LIST}])[CAST(eventId AS BIGINT) % {CODES} + 1] AS prediction FROM readings""",
+)
+def cross_fitted_stack(spark, sf_dir):
+    """Seven sensor forests and their stack with the settings in use, each row scored by models that have not seen it."""
+    rows = _coded(spark, sf_dir, F.lit(0)).select("eventId", "activity", *[(F.col("code") * (i + 1)).alias(f"v{i}") for i in range(SLOTS)])
+    out = training.cross_fitted(rows, {f"s{i}": [f"v{i}"] for i in range(SLOTS)})
+    return out.select("eventId", "fold", "prediction")
+
+
 @query("saved_models")
 def saved_models(spark, sf_dir):
     """A forest and a table of parameters, saved and loaded before scoring."""
