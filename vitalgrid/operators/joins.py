@@ -51,7 +51,8 @@ KNOWN_ROWS = 200_000
 def _known(rows, known, on, spread, how):
     table = known.select(on).distinct()
     if rows.isStreaming:
-        # planned anew for each batch, so the choice of join follows the table as it grows
+        # planned anew for each batch; a table of plain files keeps the file list of the start, so users
+        # who are added later are let through after the query is started again
         return rows.join(table, [on], how)
     if holds_at_most(known, KNOWN_ROWS):
         return rows.join(F.broadcast(table), [on], how)
