@@ -88,7 +88,7 @@ def test_out_of_range_is_novel(spark, tables, monkeypatch):
 
 def test_quartiles(spark):
     df = spark.range(1, 9).select(F.lit("n").alias("network"), F.col("id").cast("double").alias("HR_RATE"))
-    cuts = bayesnet.cut_points(df, ["network"], ["HR_RATE"], {"HR_RATE": 3.0}).first()["cuts"]
+    cuts = bayesnet.cut_points(df, ["network"], ["HR_RATE"]).first()["cuts"]
     assert cuts == [1.0, 2.0, 4.0, 6.0, 8.0]
 
 

@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from vitalgrid.operators.joins import salted_lookup
-from vitalgrid.operators.ordered import PIECE, piece_window
+from vitalgrid.operators.selection import FINISH_ROWS, order_statistics
 
 # Variables and parents, in the order in which parents are listed.
 PARENTS = {
@@ -30,10 +30,6 @@ SIGNALS = ["SKTMP_TEMPERATURE", "GSR_RESISTANCE", "HR_RATE", "RRI_INTERVAL"]
 # States of the activity variable, in network order.
 ACTIVITY_STATES = ["SITTING", "WALKING", "WALKING_DOWN", "WALKING_UP"]
 N_STATES = 4
-# Width of the pieces a signal's values are cut into when they are ranked.
-PIECE_WIDTHS = {
-    "SKTMP_TEMPERATURE": 0.05, "GSR_RESISTANCE": 64.0, "HR_RATE": 1.0, "RRI_INTERVAL": 0.005,
-}
 JOINT_ROWS = N_STATES ** len(PARENTS)
 BROADCAST_ROWS = 500_000
 POSTERIOR_DIGITS = 12
@@ -56,47 +52,21 @@ def bin_index(value: Column, cuts: Column) -> Column:
     return out.cast("int")
 
 
-def cut_points(
-    df: DataFrame, keys: list[str], signals: list[str], widths: dict[str, float] | None = None
-) -> DataFrame:
+def cut_points(df: DataFrame, keys: list[str], signals: list[str], finish_rows: int = FINISH_ROWS) -> DataFrame:
     """Minimum, quartiles and maximum of each signal: ``(keys, variable, cuts)``.
 
-    A quartile is the smallest value whose cumulative count reaches its share, so it
-    is exact. Equal values are counted on the map side; the running sum goes over
-    distinct values, cut into pieces of the signal's width so that no group of
-    values is one task's work.
+    A quartile is the smallest value whose cumulative count reaches its share, so it is
+    exact. NaN and null are no values; a signal without any has no row.
     """
-    widths = {**PIECE_WIDTHS, **(widths or {})}
-    width = F.lit(1.0)
-    for s, w in widths.items():
-        width = F.when(F.col("variable") == s, F.lit(w)).otherwise(width)
     long = df.select(
         *keys,
         F.explode(
             F.array(*[F.struct(F.lit(s).alias("variable"), F.col(s).cast("double").alias("v")) for s in signals])
         ).alias("_s"),
-    ).select(*keys, "_s.variable", "_s.v").where("v IS NOT NULL")
-    group = [*keys, "variable"]
-    counts = (
-        long.groupBy(*group, "v").agg(F.count(F.lit(1)).alias("n"))
-        .withColumn(PIECE, F.floor(F.col("v") / width).cast("bigint"))
-    )
-    pieces = counts.groupBy(*group, PIECE).agg(F.sum("n").alias("_pn"))
-    up = Window.partitionBy(*group).orderBy(PIECE)
-    offsets = pieces.select(
-        *group, PIECE,
-        (F.sum("_pn").over(up.rowsBetween(Window.unboundedPreceding, 0)) - F.col("_pn")).alias("_off"),
-        F.sum("_pn").over(Window.partitionBy(*group)).alias("_total"),
-    )
-    running = (
-        counts.withColumn("_cum", F.sum("n").over(piece_window(group, ["v"])))
-        .join(offsets, [*group, PIECE])
-        .withColumn("_cum", F.col("_cum") + F.col("_off"))
+    ).select(*keys, "_s.variable", "_s.v")
+    return order_statistics(long, [*keys, "variable"], "v", [F.lit(q) / 4 for q in (1, 2, 3)], finish_rows).select(
+        *keys, "variable", F.concat(F.array("low"), "found", F.array("high")).alias("cuts")
     )
-    quartile = [
-        F.min(F.when(F.col("_cum") * 4 >= F.col("_total") * q, F.col("v"))) for q in (1, 2, 3)
-    ]
-    return running.groupBy(*group).agg(F.array(F.min("v"), *quartile, F.max("v")).alias("cuts"))
 
 
 def wide_cuts(cuts: DataFrame, keys: list[str], signals: list[str]) -> DataFrame:
