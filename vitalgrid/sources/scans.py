@@ -8,6 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql import types as T
 
+from vitalgrid.sources.line_log import LineLog
 from vitalgrid.sources.registry import LABELLED_COLUMNS
 
 
@@ -65,6 +66,20 @@ def read_broker(
     return reader.load().selectExpr("topic", "CAST(value AS STRING) AS value")
 
 
+def read_log(
+    spark: SparkSession, path: str, topics: list[str], group: str | None = None, max_bytes: int | None = None,
+) -> DataFrame:
+    """The same contract from folders of append-only line logs, with offsets and a consumer
+    group's position; ``max_bytes`` bounds a batch, and one ``availableNow`` run is one batch."""
+    spark.dataSource.register(LineLog)
+    reader = spark.readStream.format("line_log").option("path", path).option("topics", ",".join(topics))
+    if group:
+        reader = reader.option("group", group)
+    if max_bytes:
+        reader = reader.option("maxBytesPerTrigger", max_bytes)
+    return reader.load()
+
+
 def union_streams(streams: list[DataFrame]) -> DataFrame:
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), streams)
 
