@@ -87,6 +87,27 @@ def stream_raw_writer(spark, sf_dir):
     return sinks.read_keyed(spark, f"{path}/records").select("sensor", "event_id", "time_stamp")
 
 
+@query(
+    "stream_offsets",
+    f"WITH {view.MESSAGES_SQL} SELECT sensor, 'e' || event_id AS event_id, time_stamp FROM good",
+)
+def stream_offsets(spark, sf_dir):
+    """Messages from the logs of two topics: a first run stops within them, at a third of their bytes,
+    a second one goes on from its offsets. No message is lost or read twice."""
+    runner.prepare(spark)
+    path = scratch_path(spark, "logs")
+    sent = view.messages(spark, sf_dir).select("value")
+    half = F.pmod(F.xxhash64("value"), F.lit(2))
+    for i, topic in enumerate(("band", "phone")):
+        sent.where(half == i).write.text(f"{path}/{topic}")
+    size = sent.agg(F.sum(F.octet_length("value") + 1)).first()[0] or 0
+    for limit in (max(1, size // 3), None):
+        lines = scans.read_log(spark, path, ["band", "phone"], "writers", limit)
+        runner.drain(runner.start_table(lines.select("value"), f"{path}/table", f"{path}/checkpoint"))
+    good = parse.accepted(parse.parse_messages(spark.read.schema("value string").parquet(f"{path}/table")))
+    return parse.wide_records(good).select("sensor", "event_id", "time_stamp")
+
+
 @query(
     "stream_metric_posts",
     f"""WITH {POINTS_SQL} SELECT name, 2 * count(*) AS n_points FROM points GROUP BY 1""",

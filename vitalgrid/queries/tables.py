@@ -6,12 +6,13 @@ from pyspark.sql import functions as F
 
 from vitalgrid.functions import scalars
 from vitalgrid.functions.scalars import rounded
+from vitalgrid.functions.timekeys import epoch_ms
 from vitalgrid.operators import metrics, parse
 from vitalgrid.queries.base import query, r6
 from vitalgrid.queries.ingest import POINTS_SQL
 from vitalgrid.session import scratch_path
 from vitalgrid.sources import event_view as view
-from vitalgrid.sources import scans, sinks
+from vitalgrid.sources import keyed, scans, sinks
 from vitalgrid.sources.registry import ACTIVITY_SENSORS, PHYSIO_SENSORS
 
 DAY = 86_400_000
@@ -32,8 +33,6 @@ def _points(spark, sf_dir):
 )
 def keyed_table_upsert(spark, sf_dir):
     """Line items as writes to an order's row, in two loads: the latest one stays."""
-    from vitalgrid.functions.timekeys import epoch_ms
-
     writes = view.table(spark, sf_dir, "lineitem").select(
         F.col("l_orderkey").alias("event_id"), epoch_ms("l_shipdate").alias("time_stamp"),
         F.col("l_linenumber").cast("bigint").alias("batch_seq"), "l_partkey", "l_extendedprice",
@@ -66,6 +65,40 @@ def keyed_table_files(spark, sf_dir):
     return now.select("userid", "sensor", "time_stamp", rounded("x").alias("x"))
 
 
+MERGE_ORDER = ["time_stamp", "batch_seq", "l_partkey", "l_extendedprice"]
+PURGE_MS = 60 * DAY
+
+
+@query(
+    "keyed_table_merge",
+    f"""WITH writes AS (
+      SELECT l_orderkey AS event_id, epoch_ms(l_shipdate) AS time_stamp, CAST(l_linenumber AS BIGINT) AS batch_seq,
+             l_partkey, l_extendedprice, false AS deleted FROM lineitem
+      UNION ALL SELECT o_orderkey, epoch_ms(o_orderdate) + {PURGE_MS}, 99, NULL, NULL, true FROM orders WHERE o_orderpriority = '1-URGENT'),
+    ranked AS (SELECT *, row_number() OVER (PARTITION BY event_id ORDER BY time_stamp DESC, batch_seq DESC,
+      l_partkey DESC, l_extendedprice DESC) AS rn FROM writes)
+    SELECT event_id, time_stamp, batch_seq, l_partkey, {r6('l_extendedprice')} AS price FROM ranked WHERE rn = 1 AND NOT deleted""",
+)
+def keyed_table_merge(spark, sf_dir):
+    """Line items as writes to an order's row: a first load, then two merges, the first of which also
+    purges urgent orders as of a time. Writes older than the purge come after it and stay out."""
+    writes = view.table(spark, sf_dir, "lineitem").select(
+        F.col("l_orderkey").alias("event_id"), epoch_ms("l_shipdate").alias("time_stamp"),
+        F.col("l_linenumber").cast("bigint").alias("batch_seq"), "l_partkey", "l_extendedprice",
+    )
+    urgent = view.table(spark, sf_dir, "orders").where("o_orderpriority = '1-URGENT'").select(
+        F.col("o_orderkey").alias("event_id"), (epoch_ms("o_orderdate") + PURGE_MS).alias("at"))
+    path, key, buckets = scratch_path(spark, "keyed"), ["event_id"], 8
+    first = sinks.last_write_wins(writes.where("batch_seq <= 2"), key, MERGE_ORDER)
+    table = keyed.write(first, f"{path}/v1", key, buckets)
+    purged = keyed.tombstones(urgent, table, key, {"time_stamp": F.col("at"), "batch_seq": F.lit(99)})
+    live = writes.where("batch_seq IN (3, 4)").withColumn("deleted", F.lit(False))
+    table = keyed.merge(table, live.unionByName(purged), f"{path}/v2", key, MERGE_ORDER, buckets)
+    table = keyed.merge(table, writes.where("batch_seq > 4"), f"{path}/v3", key, MERGE_ORDER, buckets)
+    out = keyed.current(table)
+    return out.select("event_id", "time_stamp", "batch_seq", "l_partkey", rounded("l_extendedprice").alias("price"))
+
+
 # One metric of one time piece is numbered by so many tasks.
 SHARDS = 4
 NUMBERED_SQL = f"""{POINTS_SQL}, sharded AS (SELECT *, timestamp // {5 * DAY} AS piece,
