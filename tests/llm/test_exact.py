@@ -1,5 +1,6 @@
 """Operators whose results are exact, beside plain versions."""
 
+import math
 import re
 from collections import defaultdict
 
@@ -233,3 +234,39 @@ def test_proximity_matches(spark, frame):
     assert [tuple(r) for r in got] == [(0, "1", 0, 3)]
 
 
+def plain_proximity(docs, items, span, share):
+    sets = {}
+    for item, text in items:
+        if item is not None and words6(text):
+            sets.setdefault(str(item), set()).update(words6(text))
+    out = set()
+    for doc, text in docs:
+        w = words6(text)
+        for item, terms in sets.items():
+            needed = max(1, math.ceil(share * len(terms)))
+            for p in range(len(w)):
+                n = len(terms & set(w[p : p + span]))
+                if w[p] in terms and n >= needed:
+                    out.add((doc, item, p, n))
+    return sorted(out, key=repr)
+
+
+@pytest.mark.parametrize("span, share", [(20, 0.6), (6, 0.5), (1, 1.0), (12, 0.75)])
+def test_proximity_matches_beside_a_plain_version(spark, frame, odd_rows, span, share):
+    passage = odd_rows[6][1].split()
+    items = [(1, " ".join(reversed(passage[:12]))), (2, "two, WORDS!"), (3, None), (4, ""), (5, "w1 w2 w3 never seen"), (6, "w7 w8 w7"),
+             (6, "w9"), (None, "two words"), (7, " ".join(passage))]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    got = proximity_matches(frame(odd_rows), bench, span, share)
+    assert sorted({tuple(r) for r in got.collect()}, key=repr) == plain_proximity([(r[0], r[1]) for r in odd_rows], items, span, share)
+    assert proximity_matches(frame([]), bench, span, share).collect() == []
+    assert proximity_matches(frame(odd_rows), bench.limit(0), span, share).collect() == []
+
+
+def test_rows_that_share_an_id_are_told_apart(spark, frame):
+    """Rows without an id, and rows of one id, are judged by their own texts and never gathered under it."""
+    rows = [(i, t, *rows_of([t])[0][2:]) for i in (None, 5) for t in ("alpha beta gamma", "delta beta", None, "alpha beta gamma")]
+    bench = spark.createDataFrame([(1, "alpha beta"), (2, "delta")], "item_id long, text string")
+    got = sorted(((r["doc_id"], r["n_hit"], list(r["items"])) for r in phrase_matches(frame(rows), bench).collect()), key=repr)
+    want = [(i, n, items) for i in (None, 5) for n, items in ((2, ["1"]), (1, ["2"]), (0, []), (2, ["1"]))]
+    assert got == sorted(want, key=repr)

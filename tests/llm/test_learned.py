@@ -4,6 +4,7 @@ import math
 import re
 from collections import Counter
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -105,6 +106,39 @@ def held_out(spark, label, n, r):
     return docs, labels.where(rest != r), labels.where(rest == r).select("doc_id", F.col(label).alias("y"))
 
 
+def plain_votes(model, counts):
+    """Every neighbour of every text in a loop, the nearest first, the earlier of equals first."""
+    out = []
+    for point in model.project(counts):
+        if not np.abs(point).sum() or not len(model.labels):
+            out.append(model.prior)
+            continue
+        near = sorted(range(len(model.labels)), key=lambda i: (-float(point @ model.vectors[i]), i))[: quality_classifier.NEIGHBOURS]
+        weights = [max(float(point @ model.vectors[i]), 0.0) ** 4 for i in near]
+        votes = sum(w * model.labels[i] for w, i in zip(weights, near))
+        out.append((votes + 0.5 * model.prior) / (sum(weights) + 0.5) if sum(weights) else model.prior)
+    return np.clip(out, 0.0, 1.0)
+
+
+@pytest.mark.parametrize("n_labels", [0, 1, 2, 9, 15, 16, 700])
+def test_vote_beside_a_plain_loop(n_labels):
+    rng = np.random.default_rng(n_labels)
+    counts = rng.poisson(0.3, (n_labels, quality_classifier.DIMS)).astype(np.float32)
+    labels = rng.integers(0, 2, n_labels).astype(np.float32)
+    counts[: n_labels // 3], labels[: n_labels // 3] = counts[:1], labels[:1]  # copies, alike in label: ties at the last place are equal votes
+    model = quality_classifier.fit(counts, labels)
+    asked = np.concatenate([counts[:40], rng.poisson(0.3, (60, quality_classifier.DIMS)).astype(np.float32), np.zeros((3, quality_classifier.DIMS), np.float32)])
+    assert np.allclose(model.vote(asked), plain_votes(model, asked), atol=1e-5)
+    assert (model.vote(asked)[-3:] == model.prior).all()
+
+
+def test_a_hot_id_is_learned_once(spark, frame):
+    rows = [(1, f"copy number {i % 3}", *rows_of(["x"])[0][2:]) for i in range(300)] + rows_of(["good prose here", None, "bad prose"], 2)
+    labels = spark.createDataFrame([(1, 0), (1, 1), (2, 1), (3, 0), (4, 0), (9, 1), (None, 1)], "doc_id long, quality int")
+    model = quality_classifier.learn(frame(rows), labels)
+    assert sorted(model.labels) == [0.0, 0.0, 1.0, 1.0] and len(model.vectors) == 4
+
+
 def test_neighbour_quality(spark, frame, odd_rows):
     docs, train, test = held_out(spark, "quality", 5, 0)
     model = quality_classifier.learn(docs, train)

@@ -19,7 +19,6 @@ from vitalgrid.session import stored
 
 WINDOW = 10
 LISTS = 3
-NULL_ID = -(1 << 63)
 
 
 def words_of(text: str | Column) -> Column:
@@ -28,10 +27,14 @@ def words_of(text: str | Column) -> Column:
     return F.filter(F.split(lower, r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"), lambda w: w != "")
 
 
-def _texts(df: DataFrame, key: str, *keep: str) -> DataFrame:
-    """Words beside a key that is never null; rows without a key count as one more id."""
-    id_ = F.coalesce(F.col(key).cast("long"), F.lit(NULL_ID)).alias("doc")
-    return once(df.select(id_, *keep, "text"), "words", words_of("text")).drop("text")
+def _row(key: str = "doc_id") -> Column:
+    """What a row is known by in the index: rows share it only if their id and text are the same, so what is
+    gathered for one name is bounded by one text, however many rows have that id or none."""
+    return F.xxhash64(key, "text").alias("doc")
+
+
+def _texts(df: DataFrame, *keep: str) -> DataFrame:
+    return once(df.select(_row(), *keep, "text"), "words", words_of("text")).drop("text")
 
 
 def benchmark_windows(items: DataFrame, size: int = WINDOW, key: str = "item_id") -> DataFrame:
@@ -44,7 +47,7 @@ def benchmark_windows(items: DataFrame, size: int = WINDOW, key: str = "item_id"
 
 def tokens(docs: DataFrame) -> DataFrame:
     """Every word of every document: (doc, pos, term), places from 0."""
-    return _texts(docs, "doc_id").select("doc", F.posexplode("words").alias("pos", "term"))
+    return _texts(docs).select("doc", F.posexplode("words").alias("pos", "term"))
 
 
 def build_index(docs: DataFrame, terms: DataFrame) -> DataFrame:
@@ -93,10 +96,9 @@ def phrase_matches(docs: DataFrame, items: DataFrame, size: int = WINDOW, lists:
     meets = stored(intersect(index, places), "meets")
     # windows of one document; no more than its places times the windows that begin there
     per_doc = meets.join(windows, "win").groupBy("doc").agg(F.collect_list(F.struct("start", "words", "items")).alias("meets"))
-    id_ = F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("doc")
     kept = [c for c in keep if c not in ("doc_id", "text")]
     text = ["text"] if "text" in keep else []
-    both = docs.select(id_, "doc_id", "text", *kept).join(per_doc, "doc", "left").drop("doc")
+    both = docs.select(_row(), "doc_id", "text", *kept).join(per_doc, "doc", "left").drop("doc")
     both = once(both, "words", words_of("text"))
     same = F.array_sort(F.filter(
         F.coalesce("meets", F.array().cast("array<struct<start:int,words:array<string>,items:array<string>>>")),
@@ -117,21 +119,44 @@ def phrase_matches(docs: DataFrame, items: DataFrame, size: int = WINDOW, lists:
     )
 
 
-def proximity_matches(docs: DataFrame, items: DataFrame, span: int = 20, share: float = 0.6, lists: int = 6) -> DataFrame:
-    """(doc_id, item, start, n_terms): stretches of ``span`` words with at least ``share`` of an item's rarest terms, in any order.
+def proximity_terms(items: DataFrame, counts: DataFrame, share: float) -> DataFrame:
+    """(item, term, needed): of each item the rarest distinct terms one of which every match must hold.
 
-    Only the item's ``lists`` rarest distinct terms that occur are looked up. A stretch begins
-    at one of these terms; each document and item gives its fullest stretch, the first of equals.
+    ``needed`` is the share of all the item's distinct terms, rounded up. A stretch that lacks
+    all of the ``terms - needed + 1`` rarest has fewer than ``needed``, so no match is missed.
     """
     words = once(items.select(F.col("item_id").cast("string").alias("item"), "text"), "words", words_of("text"))
-    terms = words.select("item", F.explode(F.array_distinct("words")).alias("term"))
-    counts = term_counts(docs, terms).where("n > 0")
-    chosen = terms.join(counts, "term").withColumn(
-        "rank", F.row_number().over(Window.partitionBy("item").orderBy("n", "term"))).where(F.col("rank") <= lists)
-    chosen = stored(chosen.select("item", "term", F.count("*").over(Window.partitionBy("item")).alias("wanted")), "chosen-terms")
-    at = build_index(docs, chosen).join(chosen, "term")
-    near = Window.partitionBy("doc", "item").orderBy("pos").rangeBetween(0, span - 1)
-    found = at.withColumn("n_terms", F.size(F.collect_set("term").over(near))).where(F.col("n_terms") >= share * F.col("wanted"))
-    best = found.groupBy("doc", "item").agg(F.max(F.struct("n_terms", (-F.col("pos")).alias("back"))).alias("b"))
-    return best.select(
-        F.when(F.col("doc") != NULL_ID, F.col("doc")).alias("doc_id"), "item", (-F.col("b.back")).alias("start"), F.col("b.n_terms").cast("long").alias("n_terms"))
+    terms = words.select("item", F.explode("words").alias("term")).distinct()
+    by_item = Window.partitionBy("item")  # an item's distinct terms: one benchmark text at most
+    ranked = terms.join(counts, "term").select(
+        "item", "term", F.row_number().over(by_item.orderBy("n", "term")).alias("rank"), F.count("*").over(by_item).alias("terms"))
+    needed = F.greatest(F.ceil(F.col("terms") * share), F.lit(1)).cast("int")
+    return ranked.select("item", "term", needed.alias("needed"), (F.col("rank") <= F.col("terms") - needed + 1).alias("anchor"))
+
+
+def proximity_matches(docs: DataFrame, items: DataFrame, span: int = 20, share: float = 0.6) -> DataFrame:
+    """(doc_id, item, start, n_terms): every stretch of ``span`` words, beginning at a word of the item, that
+    holds at least ``share`` of the item's distinct terms, in any order.
+
+    Exact: places of the terms that every match must hold choose the regions, ``span`` words to either
+    side, and within these the places of all the item's terms are counted. Items of one id are one
+    item. Null and empty texts, of documents or items, match nothing; an item with more than ``span / share``
+    distinct terms fits no stretch, and one without an id matches nothing. Rows alike in id and text are counted once, others each by their own
+    text. Stretches that hold equally many terms are all returned.
+    """
+    words = items.select(F.explode(words_of("text")).alias("term"))
+    chosen = stored(proximity_terms(items, term_counts(docs, words), share).where(F.col("needed") <= span), "proximity-terms")
+    anchors = build_index(docs, chosen.where("anchor")).join(chosen.where("anchor"), "term")
+    # regions in blocks of ``span`` places, so that they meet the other terms by equality; a region touches three at most
+    block = F.floor(F.col("pos") / span)
+    regions = stored(
+        anchors.select("doc", "item", F.explode(F.sequence(block - 1, block + 1)).alias("block")).distinct(), "regions")
+    near = docs.select(_row(), "text").join(regions.select("doc").distinct(), "doc", "left_semi").dropDuplicates(["doc"])
+    at = once(near, "words", words_of("text")).select("doc", F.posexplode("words").alias("pos", "term"))
+    places = at.join(chosen.select("item", "term", "needed"), "term").withColumn("block", block).join(regions, ["doc", "item", "block"])
+    # whole regions were kept, so a stretch that holds an anchor has all its places here; a partition is what
+    # one text holds of one item, and a frame ``span`` places
+    ahead = Window.partitionBy("doc", "item").orderBy("pos").rangeBetween(0, span - 1)
+    found = places.withColumn("n_terms", F.size(F.collect_set("term").over(ahead))).where("n_terms >= needed")
+    ids = docs.select(_row(), "doc_id").distinct()
+    return found.join(ids, "doc").select("doc_id", "item", F.col("pos").alias("start"), F.col("n_terms").cast("long").alias("n_terms"))

@@ -118,11 +118,15 @@ def fit(counts: np.ndarray, labels: np.ndarray) -> Neighbours:
 
 
 def learn(docs: DataFrame, labels: DataFrame, label: str = "quality", rows: int = SAMPLE_ROWS) -> Neighbours:
-    """Fit on a bounded sample: ``rows`` labelled documents at most, chosen by a hash of the id, read whole."""
+    """Fit on a bounded sample: ``rows`` labelled ids at most, chosen by a hash of the id, their texts read whole.
+
+    An id counts once, whatever it owns: where several rows share it, the text with the smallest
+    hash stands for it. Copies of a hot id neither reach the driver nor fill the neighbours.
+    """
     small_batches(docs.sparkSession)
     picked = (
         labels.where(F.col(label).isin(0, 1) & F.col("doc_id").isNotNull()).select("doc_id", F.col(label).cast("int").alias("y"))
-        .orderBy(F.xxhash64("doc_id"), "doc_id", "y").limit(rows)
+        .groupBy("doc_id").agg(F.max("y").alias("y")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
     )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -132,7 +136,9 @@ def learn(docs: DataFrame, labels: DataFrame, label: str = "quality", rows: int
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     # ``rows`` ids and labels, some ten kilobytes whatever the input
-    got = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id").mapInArrow(run, f"doc_id {kind}, x binary, y int").collect()
+    own = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id").groupBy("doc_id", "y").agg(
+        F.min_by("text", F.xxhash64("text")).alias("text"))
+    got = own.select("doc_id", "text", "y").mapInArrow(run, f"doc_id {kind}, x binary, y int").collect()
     got.sort(key=lambda r: (r["doc_id"], r["y"], bytes(r["x"])))
     x = np.frombuffer(b"".join(bytes(r["x"]) for r in got), np.float32).reshape(-1, DIMS)
     return fit(x, np.array([r["y"] for r in got], np.float32))
