@@ -14,8 +14,9 @@ def plain(values):
     return [float(s[max(1, int(np.ceil(len(s) * q))) - 1]) for q in SHARES]
 
 
-@pytest.mark.parametrize("finish", [0, 5, 100_000])
-def test_quartiles_of_many_groups(spark, finish, monkeypatch):
+@pytest.mark.parametrize("finish, group_rows", [(0, 200_000), (5, 200_000), (100_000, 200_000), (5, 0)])
+def test_quartiles_of_many_groups(spark, finish, group_rows, monkeypatch):
+    monkeypatch.setattr(selection, "GROUP_ROWS", group_rows)
     monkeypatch.setattr(selection, "GRID", 16)  # few probes, so that several rounds are needed
     monkeypatch.setattr(selection, "ACCURACY", 20)
     rng = np.random.default_rng(3)
@@ -43,5 +44,5 @@ def test_no_window_over_a_hot_group(spark):
     rows = spark.range(1000).select(F.lit("g").alias("g"), F.col("id").cast("double").alias("v"))
     targets = spark.createDataFrame([("g", 0, 500, float("-inf"), float("inf"), 1000, 480.0, 520.0)],
                                     "g string, q int, rank long, after double, before double, inside long, lo double, hi double")
-    plan = selection._count(rows, targets, ["g"])._jdf.queryExecution().executedPlan().toString()
+    plan = selection._count(rows, targets, ["g"], True)._jdf.queryExecution().executedPlan().toString()
     assert "Window" not in plan and "SortMergeJoin" not in plan and "partial_count" in plan

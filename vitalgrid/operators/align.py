@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame, functions as F
 from vitalgrid.operators.asof import neighbours
 from vitalgrid.operators.joins import salted_lookup
 from vitalgrid.operators.ordered import lagged, latest_per_key, running_index
+from vitalgrid.session import stored
 
 
 def last_per_time(events: DataFrame, keys: list[str], sensor: str, ts: str, tie: str) -> DataFrame:
@@ -83,11 +84,13 @@ def align(
     require_all: bool = True,
     piece_ms: int | None = 3_600_000,
 ) -> DataFrame:
-    """Long form: one row per (group, anchor, sensor) with the chosen event's columns."""
-    known = events.where(F.col(sensor).isin(sensors))
-    unique = last_per_time(known, keys, sensor, ts, tie)
-    # Clock and anchors need times only: both use this one distinct, without payload.
-    times = known.select(*keys, sensor, ts).distinct()
+    """Long form: one row per (group, anchor, sensor) with the chosen event's columns.
+
+    The events are read once: one per (group, sensor, time) is stored, which clock, anchors
+    and both sides of the neighbour search then read, the first two without payload.
+    """
+    unique = stored(last_per_time(events.where(F.col(sensor).isin(sensors)), keys, sensor, ts, tie), "unique")
+    times = unique.select(*keys, sensor, ts)
     clock = group_clock(times, keys, sensor, ts, reference, sensors if require_all else None)
     probes = anchors(times, clock, keys, sensor, ts, step_ms, piece_ms).withColumn(
         sensor, F.explode(F.array(*[F.lit(s) for s in sensors]))

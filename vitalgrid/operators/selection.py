@@ -12,7 +12,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from vitalgrid.operators.joins import salted_lookup
+from vitalgrid.operators.joins import holds_at_most, salted_lookup
 from vitalgrid.session import stored
 
 # Probes a sketch is asked for, and its accuracy (rank error 1 / ACCURACY).
@@ -32,18 +32,18 @@ def order_statistics(
     rows = stored(
         rows.select(*group, F.col(value).cast("double").alias("v")).where("v IS NOT NULL AND NOT isnan(v)"), "values"
     )
-    first = rows.groupBy(*group).agg(
+    first = stored(rows.groupBy(*group).agg(
         F.count(F.lit(1)).alias("n"), F.min("v").alias("low"), F.max("v").alias("high"), _sketch("v").alias("_probes")
-    )
-    groups = stored(first.drop("_probes"), "groups")
+    ), "groups")
     # one row per value looked for; rank counts from 1 and is relative to the open interval (after, before)
     targets = first.select(
         *group, F.posexplode(F.array(*[F.ceil(F.col("n") * s) for s in shares])).alias("q", "rank"),
         F.lit(float("-inf")).alias("after"), F.lit(float("inf")).alias("before"), F.col("n").alias("inside"), "_probes",
     ).withColumn("rank", F.greatest("rank", F.lit(1)))
+    small = holds_at_most(first.select(*group), GROUP_ROWS // len(shares))  # decided once: later targets are fewer
     done = None
     while True:
-        counted = stored(_count(rows, _probe(targets), group), "counted")
+        counted = stored(_count(rows, _probe(targets), group, small), "counted")
         ready = counted.where("answer IS NOT NULL").select(*group, "q", "answer")
         done = ready if done is None else done.unionByName(ready)
         open_ = counted.where("answer IS NULL").drop("answer")
@@ -51,11 +51,11 @@ def order_statistics(
         if widest is None:
             break
         if widest <= finish_rows:
-            done = done.unionByName(_finish(rows, open_, group))
+            done = done.unionByName(_finish(rows, open_, group, small))
             break
-        targets = _sketch_again(rows, open_, group)
+        targets = _sketch_again(rows, open_, group, small)
     found = done.groupBy(*group).agg(F.sort_array(F.collect_list(F.struct("q", "answer")))["answer"].alias("found"))
-    return groups.join(found, group)
+    return first.drop("_probes").join(found, group)
 
 
 def _sketch(v: str | Column) -> Column:
@@ -69,17 +69,20 @@ def _probe(targets: DataFrame) -> DataFrame:
     return targets.withColumns({"lo": near(-2), "hi": near(3)}).drop("_probes")
 
 
-def _with_targets(rows: DataFrame, targets: DataFrame, group: list[str]) -> DataFrame:
-    """Each row beside the targets of its group, one at a time. A group has as many as there are shares."""
-    fields = [c for c in targets.columns if c not in group]
-    table = targets.groupBy(*group).agg(F.collect_list(F.struct(*fields)).alias("_t"))
-    met = salted_lookup(rows, table, group, ["v"], small_rows=GROUP_ROWS)
-    return met.select(*group, "v", F.explode("_t").alias("_t")).select(*group, "v", "_t.*")
+def _with_targets(rows: DataFrame, targets: DataFrame, group: list[str], small: bool) -> DataFrame:
+    """Each row beside the targets of its group whose interval it lies in. A group has as many as there are shares."""
+    if small:
+        met = rows.join(F.broadcast(targets), group)
+    else:
+        fields = [c for c in targets.columns if c not in group]
+        table = targets.groupBy(*group).agg(F.collect_list(F.struct(*fields)).alias("_t"))
+        met = salted_lookup(rows, table, group, ["v"]).select(*group, "v", F.explode("_t").alias("_t")).select(*group, "v", "_t.*")
+    return met.where("v > after AND v < before")
 
 
-def _count(rows: DataFrame, targets: DataFrame, group: list[str]) -> DataFrame:
+def _count(rows: DataFrame, targets: DataFrame, group: list[str], small: bool) -> DataFrame:
     """The answer of each target, or its narrower interval and the rank within."""
-    inner = _with_targets(rows, targets, group).where("v > after AND v < before")
+    inner = _with_targets(rows, targets, group, small)
     state = ["q", "rank", "after", "before", "lo", "hi"]
     n = lambda test, name: F.count(F.when(F.expr(test), 1)).alias(name)
     seen = inner.groupBy(*group, *state).agg(
@@ -99,15 +102,15 @@ def _count(rows: DataFrame, targets: DataFrame, group: list[str]) -> DataFrame:
     )
 
 
-def _sketch_again(rows: DataFrame, targets: DataFrame, group: list[str]) -> DataFrame:
-    inner = _with_targets(rows, targets, group).where("v > after AND v < before")
+def _sketch_again(rows: DataFrame, targets: DataFrame, group: list[str], small: bool) -> DataFrame:
+    inner = _with_targets(rows, targets, group, small)
     state = ["q", "rank", "after", "before", "inside"]
     return inner.groupBy(*group, *state).agg(_sketch("v").alias("_probes"))
 
 
-def _finish(rows: DataFrame, targets: DataFrame, group: list[str]) -> DataFrame:
+def _finish(rows: DataFrame, targets: DataFrame, group: list[str], small: bool) -> DataFrame:
     """Intervals with at most ``finish_rows`` rows, counted by value and put in order."""
-    inner = _with_targets(rows, targets, group).where("v > after AND v < before")
+    inner = _with_targets(rows, targets, group, small)
     counts = inner.groupBy(*group, "q", "rank", "v").agg(F.count(F.lit(1)).alias("n"))
     up = Window.partitionBy(*group, "q").orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
     return (
