@@ -189,7 +189,7 @@ def test_pieces(spark, frame, odd_rows):
 
     model = sentencepiece.SentencePieceProcessor(model_file=model_path())
     rng = random.Random(2)
-    signs = ["a", " ", "  ", "\n", "▁", "é", "😀", "\u0000", "the", "\t", "日"]
+    signs = ["a", " ", "  ", "\n", "▁", "é", "😀", "\u0000", "the", "\t", "日", "龘"]
     rows = odd_rows + rows_of(["".join(rng.choice(signs) for _ in range(rng.randrange(12))) for _ in range(300)], 1000)
     got = pieces.decode(pieces.encode(frame(rows), model_path(), keep_text=True), model_path()).collect()
     assert len(got) == len(rows)
@@ -197,7 +197,37 @@ def test_pieces(spark, frame, odd_rows):
         text = r["text"] or ""
         assert r["ids"] == model.encode(text) and r["decoded"] == model.decode(r["ids"])
         assert r["ends"] == [p.end for p in model.encode(text, return_type="proto").pieces]
-    assert pieces.encode(frame([]), model_path()).collect() == []
+    once = pieces.encode(frame(rows), model_path(), keep_text=True, decoded=True)
+    assert sorted(map(repr, once.collect())) == sorted(map(repr, got))
+    assert pieces.encode(frame([]), model_path(), decoded=True).collect() == []
+
+
+@pytest.mark.parametrize("squeezed", [True, False])
+@pytest.mark.parametrize("prefix", [True, False])
+@pytest.mark.parametrize("suffix", [True, False])
+def test_spans_of_a_model_with_a_full_map(tmp_path, squeezed, prefix, suffix):
+    """The public model with another normaliser and a symbol of the user's: nothing is trained."""
+    import random
+
+    import sentencepiece
+    from sentencepiece import sentencepiece_model_pb2 as pb
+
+    proto = pb.ModelProto.FromString(open(model_path(), "rb").read())
+    full = sentencepiece.SentencePieceNormalizer(rule_name="nmt_nfkc")
+    proto.normalizer_spec.precompiled_charsmap = pb.ModelProto.FromString(full.serialized_model_proto()).normalizer_spec.precompiled_charsmap
+    proto.normalizer_spec.add_dummy_prefix, proto.normalizer_spec.remove_extra_whitespaces = prefix, squeezed
+    proto.trainer_spec.treat_whitespace_as_suffix = suffix
+    if squeezed == suffix:
+        proto.pieces.add(piece="①①", score=0, type=proto.pieces[0].USER_DEFINED)
+    path = str(tmp_path / "full.model")
+    with open(path, "wb") as f:
+        f.write(proto.SerializeToString())
+    encoder = pieces.Encoder(path)
+    rng = random.Random(3)
+    signs = ["ab", " ", "  ", "\n", "▁", "é", "😀", "the", "\t", "日", "龘", "ﬁ", "①", "㌔", "ｶﾞ", "\u200b", "\u3000", "e\u0301", "\u0007"]
+    for text in ["", " ", " \t ", *("".join(rng.choice(signs) for _ in range(rng.randrange(14))) for _ in range(1500))]:
+        want = encoder.model.encode(text, return_type="proto").pieces
+        assert encoder.ends(text, [p.id for p in want]).tolist() == [p.end for p in want], repr(text)
 
 
 def test_character_map_takes_the_longest_prefix():

@@ -2,8 +2,8 @@
 
 A text is normalised by the model's compiled character map: at each place the longest entry
 that is a prefix of the rest is replaced, and every output byte keeps the source byte it came
-from. Pieces of the normalised text are then projected back to spans of the source bytes.
-With a map that changes nothing, the ends are sums of the pieces' widths.
+from. Pieces cover the normalised text without gaps, so sums of their widths are places in it,
+and these are projected back to source bytes. With a map that changes nothing, the sums are the ends.
 """
 
 from __future__ import annotations
@@ -50,23 +50,23 @@ class CharacterMap:
         end = self.pool.index(b"\0", best[1])
         return best[0], self.pool[best[1] : end]
 
+    def prefix(self, text: bytes, at: int) -> tuple[int, bytes]:
+        """How many source bytes are taken here, and what stands for them: an entry's output, or the character itself."""
+        hit = self.longest(text, at)
+        if hit is not None:
+            return hit
+        end = at + 1
+        while end < len(text) and text[end] & 0xC0 == 0x80:
+            end += 1
+        return end - at, text[at:end]
+
     def normalise(self, text: bytes) -> tuple[bytes, list[int]]:
-        """The normalised bytes, and for each (and the end) the source byte it stands for."""
-        if not self.units:
-            return text, list(range(len(text) + 1))
+        """The normalised bytes, and for each (and the end) where the source entry or character begins that it stands for."""
         out, source, at = bytearray(), [], 0
         while at < len(text):
-            hit = self.longest(text, at)
-            if hit is None:
-                step = 1
-                while at + step < len(text) and text[at + step] & 0xC0 == 0x80:
-                    step += 1
-                out += text[at : at + step]
-                source += range(at, at + step)
-            else:
-                step, new = hit
-                out += new
-                source += [at] * len(new)
+            step, new = self.prefix(text, at)
+            out += new
+            source += [at] * len(new)
             at += step
         return bytes(out), [*source, len(text)]
 
@@ -83,45 +83,97 @@ class Encoder:
         from sentencepiece import sentencepiece_model_pb2
 
         self.model = sentencepiece.SentencePieceProcessor(model_file=path)
-        spec = sentencepiece_model_pb2.ModelProto.FromString(self.model.serialized_model_proto()).normalizer_spec
+        proto = sentencepiece_model_pb2.ModelProto.FromString(self.model.serialized_model_proto())
+        spec = proto.normalizer_spec
         self.map = CharacterMap(spec.precompiled_charsmap)
-        self.plain = not spec.precompiled_charsmap and spec.add_dummy_prefix and not spec.remove_extra_whitespaces
+        self.squeezed = spec.remove_extra_whitespaces
+        self.space = SPACE.encode() if spec.escape_whitespaces else b" "
+        self.suffix = spec.add_dummy_prefix and proto.trainer_spec.treat_whitespace_as_suffix
+        self.leading = spec.add_dummy_prefix and not self.suffix
+        # symbols the user defined are taken as they stand, before the map
+        self.kept = sorted((q.piece.encode() for q in proto.pieces if q.type == q.USER_DEFINED), key=len, reverse=True)
+        self.plain = not spec.precompiled_charsmap and self.leading and not self.squeezed and not self.kept and self.space != b" "
         n = self.model.get_piece_size()
+        self.bytes = np.array([self.model.is_byte(i) for i in range(n)], bool)
         self.width = np.array([self._width(i) for i in range(n)], np.int32)
+        self.narrow = np.array([w if w < 0 or self.bytes[i] else len(self.model.id_to_piece(i).replace(SPACE, " ").encode())
+                                for i, w in enumerate(self.width)], np.int32)
 
     def _width(self, i: int) -> int:
-        """Bytes of normalised text, with a space as one byte, that a piece covers; -1: told by no table."""
-        if self.model.is_byte(i):
+        """Bytes of normalised text that a piece covers; -1: told by the text only."""
+        if self.bytes[i]:
             return 1
         if self.model.is_unknown(i) or self.model.is_control(i):
             return -1
-        return len(self.model.id_to_piece(i).replace(SPACE, " ").encode())
+        return len(self.model.id_to_piece(i).encode())
 
     def encode(self, texts: list[str]) -> list[list[int]]:
         """Ids as the library gives them for whole texts."""
         return self.model.encode(texts, num_threads=1)
 
+    def _prefix(self, text: bytes, at: int) -> tuple[int, bytes]:
+        for symbol in self.kept:
+            if text.startswith(symbol, at):
+                return len(symbol), symbol
+        return self.map.prefix(text, at)
+
+    def normalise(self, text: bytes) -> tuple[bytes, list[int]]:
+        """The bytes that the model cuts into pieces, and for each (and the end) its place in the source.
+
+        Beside the map: a space put before or after the text, runs of spaces made one and
+        spaces at both ends dropped, where the model says so.
+        """
+        out, source, at = bytearray(), [], 0
+
+        def add(new: bytes) -> None:
+            new = new.replace(b" ", self.space)
+            out.extend(new)
+            source.extend([at] * len(new))
+
+        while self.squeezed and at < len(text):
+            step, new = self._prefix(text, at)
+            if new != b" ":
+                break
+            at += step
+        if at == len(text):
+            return b"", [at]
+        if self.leading:
+            add(b" ")
+        spaced = self.squeezed
+        while at < len(text):
+            step, new = self._prefix(text, at)
+            new = new.lstrip(b" ") if spaced else new
+            add(new)
+            spaced = self.squeezed and (new.endswith(b" ") if new else spaced)
+            at += step
+        while self.squeezed and out.endswith(self.space):
+            del out[-len(self.space) :]
+            at = source[len(out)]
+            del source[len(out) :]
+        if self.suffix:
+            add(b" ")
+        return bytes(out), [*source, at]
+
     def ends(self, text: str, ids: list[int]) -> np.ndarray:
-        """For each piece the source byte where it ends; it begins where the one before ends."""
-        if not ids:
+        """For each piece the source byte where it ends; it begins where the one before ends.
+
+        Pieces follow each other in the normalised text without a gap, so their widths sum up to
+        places in it, and these are projected to the source. A piece that ends inside a character
+        or inside what an entry of the map put there ends where that character or entry begins.
+        """
+        if not len(ids):
             return np.zeros(0, np.int32)
+        if self.plain and SPACE not in text:
+            ends = np.cumsum(self.narrow[ids], dtype=np.int32) - 1  # the space put before the text has no source
+            if self.bytes[ids].any():
+                raw = np.frombuffer(text.encode(), np.uint8)
+                begins = np.maximum.accumulate(np.where(raw & 0xC0 != 0x80, np.arange(len(raw), dtype=np.int32), 0))
+                ends = np.append(begins, np.int32(len(raw)))[ends]
+            return ends
         widths = self.width[ids]
-        if self.plain and SPACE not in text and (widths >= 0).all():
-            widths[0] -= 1  # the space put before the text has no source
-            return np.cumsum(widths, dtype=np.int32)
-        normal, source = self.map.normalise(text.encode())
-        proto = self.model.encode(text, return_type="proto")
-        if self.plain:
-            return np.array([p.end for p in proto.pieces], np.int32)
-        at, ends = 0, []
-        for p in proto.pieces:
-            body = p.piece.replace(SPACE, " ").encode() if not self.model.is_byte(p.id) else bytes([int(p.piece[3:5], 16)])
-            while body[:1] == b" " and normal[at : at + 1] != b" ":
-                body = body[1:]
-            hit = normal.find(body, at)
-            at = (hit if hit >= 0 else at) + len(body)
-            ends.append(source[min(at, len(source) - 1)])
-        return np.array(ends, np.int32)
+        if (widths < 0).any():
+            widths = np.where(widths < 0, [len(p.encode()) for p in self.model.encode(text, out_type=str)], widths)
+        return np.array(self.normalise(text.encode())[1], np.int32)[np.cumsum(widths)]
 
 
 def _encoder(path: str) -> Encoder:
@@ -130,11 +182,12 @@ def _encoder(path: str) -> Encoder:
     return _loaded[path]
 
 
-def encode(docs: DataFrame, model: str, keep_text: bool = False) -> DataFrame:
-    """Per document ``ids`` and ``ends``, the source byte (exclusive) at which each piece ends, and on wish the text.
+def encode(docs: DataFrame, model: str, keep_text: bool = False, decoded: bool = False) -> DataFrame:
+    """Per document ``ids`` and ``ends``, the source byte (exclusive) at which each piece ends, and on wish the text and ``decoded``.
 
-    Reads ``doc_id`` and ``text``. A null or empty text has no pieces; repeated rows are
-    encoded each for itself. Executors must find the model under the same path.
+    Reads ``doc_id`` and ``text``. A null or empty text has no pieces and decodes to an empty text;
+    repeated rows are encoded each for itself. Executors must find the model under the same path.
+    ``decoded`` is what ``decode`` gives, from the same pass.
     """
     small_batches(docs.sparkSession)
 
@@ -144,13 +197,16 @@ def encode(docs: DataFrame, model: str, keep_text: bool = False) -> DataFrame:
             texts = [t or "" for t in batch.column(1).to_pylist()]
             ids = encoder.encode(texts)
             bounds = np.concatenate(([0], np.cumsum([len(x) for x in ids])))
-            ends = [encoder.ends(t, x) for t, x in zip(texts, ids, strict=True)]
+            rows = [np.array(x, np.int32) for x in ids]
+            ends = [encoder.ends(t, x) for t, x in zip(texts, rows, strict=True)]
             list_of = lambda parts: pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(np.concatenate([np.zeros(0, np.int32), *parts]), pa.int32()))
-            yield pa.RecordBatch.from_arrays([*batch.columns[: 1 + keep_text], list_of([np.array(x, np.int32) for x in ids]), list_of(ends)], names)
+            out = [pa.array(encoder.model.decode(ids, num_threads=1), pa.string())] if decoded else []
+            yield pa.RecordBatch.from_arrays([*batch.columns[: 1 + keep_text], list_of(rows), list_of(ends), *out], names)
 
     kept = docs.select("doc_id", "text") if keep_text else docs.select("doc_id")
-    names = [*kept.columns, "ids", "ends"]
-    return docs.select("doc_id", "text").mapInArrow(run, StructType([*kept.schema, *(StructField(n, ArrayType(IntegerType())) for n in ("ids", "ends"))]))
+    new = [*(StructField(n, ArrayType(IntegerType())) for n in ("ids", "ends")), *([StructField("decoded", StringType())] if decoded else [])]
+    names = [*kept.columns, *(f.name for f in new)]
+    return docs.select("doc_id", "text").mapInArrow(run, StructType([*kept.schema, *new]))
 
 
 def decode(encoded: DataFrame, model: str) -> DataFrame:

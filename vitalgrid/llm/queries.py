@@ -104,12 +104,12 @@ def model_path(name: str = "piece_bpe_32k.model") -> str:
 
 @query("op8_piece_tokens")
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
-    encoded = pieces.encode(table(spark, sf_dir, "documents"), model_path())
-    out = pieces.decode(encoded, model_path())
+    out = pieces.encode(table(spark, sf_dir, "documents"), model_path(), decoded=True)
+    listed = lambda c: F.array_join(F.col(c).cast("array<string>"), ",")
     return out.select(
         "doc_id", F.size("ids").cast("long").alias("n_tokens"),
-        F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"),
-        F.sha2("decoded", 256).alias("decoded_sha256"),
+        F.sha2(listed("ids"), 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"),
+        F.sha2(listed("ends"), 256).alias("ends_sha256"),
     )
 
 
@@ -153,15 +153,15 @@ WITH w AS (
     SELECT doc_id, doc_id FROM documents UNION SELECT e.b, r.root FROM r JOIN e ON e.a = r.v WHERE r.root < e.b
   ) SELECT v, min(root) AS root FROM r GROUP BY v
 )
-SELECT doc_id, CAST(coalesce(n, 0) AS BIGINT) AS n_shingles, CAST(root AS BIGINT) AS component_id
-FROM documents LEFT JOIN n USING (doc_id) JOIN r ON r.v = doc_id
+SELECT doc_id, CAST(coalesce(n, 0) AS BIGINT) AS n_shingles, CAST(root AS BIGINT) AS component_id, CAST(coalesce(k, 0) AS BIGINT) AS n_links
+FROM documents LEFT JOIN n USING (doc_id) JOIN r ON r.v = doc_id LEFT JOIN (SELECT a, count(*) AS k FROM e GROUP BY a) AS c ON c.a = doc_id
 """
 
 
 @query("op4_jaccard_join", OP4_SQL)
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = jaccard_links(table(spark, sf_dir, "documents"))
-    return out.select("doc_id", "n_shingles", "component_id")
+    return out.select("doc_id", "n_shingles", "component_id", "n_links")
 
 
 OP6_SQL = r"""
@@ -255,7 +255,7 @@ def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 OP12_SQL = OP4_SQL.replace("len(w) < 5", "len(w) < 4").replace("len(w) - 3", "len(w) - 2").replace("w[p:p + 4]", "w[p:p + 3]").replace(
-    ">= 75 *", ">= 80 *").replace("AS component_id", "AS component_id, root = doc_id AS kept")
+    ">= 75 *", ">= 80 *").replace("CAST(coalesce(k, 0) AS BIGINT) AS n_links", "root = doc_id AS kept")
 
 
 @query("op12_fast_sketch", OP12_SQL)
