@@ -63,6 +63,50 @@ def test_boosted_spans_add_and_leave_base(spark, frame):
     assert pii.fit(frame([])) == pii.Selector()
 
 
+def test_long_candidates_are_proposed_whole(frame):
+    local, value = "é" * 300, "a" * 50 + "/" + "b" * 30 + "7"
+    got = frame(rows_of([f"to {local}@host.org. {value} end", "x" * 300_000, "a+" * 100_000])).select(
+        F.transform(pii.candidates(F.col("text")), lambda c: c["text"]).alias("c")).collect()
+    assert [r["c"] for r in got] == [[f"{local}@host.org", value], [], []]
+
+
+def test_candidates_add_what_base_spans_leave(frame):
+    """A selector that takes every whole address: its letters round base spans are added, nothing else is."""
+    every = pii.Selector((), 0.0, (0.0, None, None))
+    texts = ["to jürgen.müller@host.org, x", "mailto:a@b.com", "a@b.com", "ü@ö.de x@y.zz", "née@a.b@c.d"]
+    got = pii.find(frame(rows_of(texts)), every).select("doc_id", "base", "spans").collect()
+    for r in got:
+        text = texts[r["doc_id"]]
+        covered = sorted((s["start"], s["end"]) for s in r["spans"])
+        assert all(a[1] <= b[0] for a, b in zip(covered, covered[1:], strict=False)) and all(s in r["spans"] for s in r["base"])
+        assert {text[a:b] for a, b in covered} >= {text[s["start"] : s["end"]] for s in r["base"]}
+    kept = {r["doc_id"]: [texts[r["doc_id"]][s["start"] : s["end"]] for s in sorted(r["spans"], key=lambda s: s["start"])] for r in got}
+    assert kept[0] == ["jürgen.mü", "ller@host.org"] and kept[1] == ["a@b.com"] == kept[2] and kept[3] == ["ü@ö.de", "x@y.zz"]
+
+
+def test_numbers_and_addresses_are_learned_from_words_before_them(frame):
+    rows = [f"please call ({200 + i}) 555-{1000 + i} now, mail jür{i}gen@höst{i}.org and year {1000000 + 7 * i} of it" for i in range(400)]
+    model = pii.fit(frame(rows_of(rows)))
+    got = pii.find(frame(rows_of(["the phone (999) 555-4321 rang", "see ñandú@año.es there", "in 1234567 units", None, ""])), model).select("doc_id", "spans").collect()
+    spans = {r["doc_id"]: [(s["kind"], s["start"], s["end"]) for s in r["spans"]] for r in got}
+    assert spans == {0: [("number", 10, 24)], 1: [("email", 4, 16)], 2: [], 3: [], 4: []}
+
+
+def test_thresholds_hold_their_precision(spark, frame):
+    """Beside a plain count over the same held-out candidates, for each generator."""
+    model = pii.Selector((pii.Tree((pii.FEATURES.index("digits"), 3), ((0, 1), (0, 1)), (-1.0, -0.5, 1.0, 2.0)),), 0.0)
+    cells = [([k, *([0] * (len(pii.FEATURES) - 1))], float((i * 7 + k) % 10 < d + 4)) for k in range(3) for d in range(8) for i in range(20)
+             for _ in range(1)]
+    for j, (bins, _) in enumerate(cells):
+        bins[pii.FEATURES.index("digits")] = j // 20 % 8
+    got = pii._thresholds(spark.createDataFrame(cells, "bins array<int>, y double"), model)
+    value = lambda b: (2.0 if b[0] > 1 else 1.0) if b[2] > 3 else (-0.5 if b[0] > 1 else -1.0)
+    for k, least in enumerate(got):
+        rows = [(value(b), y) for b, y in cells if b[0] == k]
+        marks = [m for m in {v for v, _ in rows} if m >= 0 and sum(y for v, y in rows if v >= m) >= pii.PRECISION * sum(v >= m for v, _ in rows)]
+        assert least == (min(marks) if marks else None)
+
+
 def test_language_model(frame, odd_rows):
     import zlib
 
