@@ -9,7 +9,7 @@ import pytest
 from tests.llm.conftest import rows_of
 from vitalgrid.llm.decontaminate import phrase_matches, proximity_matches
 from vitalgrid.llm.ngram_join import Measure, jaccard_components, jaccard_links
-from vitalgrid.llm.quality_rules import quality_rules
+from vitalgrid.llm.quality_rules import STOP_WORDS, quality_rules
 from vitalgrid.llm.sharding import histogram_shards
 from vitalgrid.llm.substring_dedup import COVER, PERIOD, repeated_passages
 
@@ -153,13 +153,37 @@ def plain_rules(text):
     return len(w), sum(map(len, w)), len(re.findall(r"[#*$%&|<>]", text)), len(lines) - len(set(lines)), len(cover)
 
 
+def plain_kept(text):
+    """The rules written out once more, with their numbers."""
+    text = text or ""
+    n, chars, symbols, dups, repeats = plain_rules(text)
+    w = [x for x in re.split(r"[ \t\n\x0b\f\r]+", text) if x]
+    lines = [x for x in text.split("\n") if re.search(r"[^ \t\n\x0b\f\r]", x)]
+    if n < 10 or 100 * repeats > 20 * n or n > 100_000:
+        return False
+    stops = sum(x in STOP_WORDS for x in w)
+    trailing = sum(x.rstrip(" \t\n\x0b\f\r").endswith(("...", "…")) for x in lines)
+    bullets = sum(re.match("[ \t\x0b\f\r]*[•‣●▪◦*-][ \t\x0b\f\r]", x) is not None for x in lines)
+    letters = sum(any(c.isalpha() for c in x) for x in w)
+    return (
+        1.5 * n <= chars <= 20 * n and 10 * symbols <= n and 2 * dups <= len(lines) and 10 * trailing <= 3 * len(lines)
+        and 10 * bullets <= 9 * len(lines) and 10 * letters >= 8 * n and (n < 60 or (stops >= 2 and 100 * stops >= n)))
+
+
 def test_quality_rules(frame, odd_rows):
-    rows = odd_rows + rows_of(["symbols ### *** $$$ here and there | < > of the text now", "ab\x0bcd\x0cef"], 500)
+    plain = "one two three four five six seven eight nine ten of the"
+    forms = ["symbols ### *** $$$ here and there | < > of the text now", "ab\x0bcd\x0cef", plain, f"{plain}...\r", f"{plain} …\n" + "x y z\n" * 2 + "q",
+             "".join(f"- {w} {w}a\n" for w in plain.split()), plain.replace(" ", "\n• "), "* a\n" + plain, "12 34 56 " + plain + " 7", "1 2 3 4 " + plain,
+             " ".join(f"v{i}" for i in range(60)), "the " + " ".join(f"v{i}" for i in range(70)), "the of " + " ".join(f"v{i}" for i in range(70)),
+             " ".join(f"v{i}" for i in range(59)), "the of " + " ".join(f"v{i}" for i in range(300)), " ".join(f"w{i}" for i in range(99_000)) + " the" * 1001,
+             " ".join(f"w{i} the" for i in range(50_001)), " ".join(f"w{i} the" for i in range(50_000))]
+    rows = odd_rows + rows_of(forms, 500)
     got = quality_rules(frame(rows)).collect()
     assert sorted((repr(r["doc_id"]), *r[1:6]) for r in got) == sorted((repr(r[0]), *plain_rules(r[1])) for r in rows)
     for r in got:
         assert r["base_failed"] == (r["n_words"] < 10 or 100 * r["n_repeat_words"] > 20 * r["n_words"])
-        assert not (r["kept"] and r["base_failed"])
+    assert sorted((repr(r["doc_id"]), r["kept"]) for r in got) == sorted((repr(r[0]), plain_kept(r[1])) for r in rows)
+    assert len({r["kept"] for r in got}) == 2
     assert quality_rules(frame([])).collect() == []
 
 

@@ -20,15 +20,24 @@ SPACE = " \\t\\n\\x0B\\f\\r"
 MIN_WORDS = 10
 REPEAT_WINDOW = 5
 
-# measure, least, most: a text is kept when every measure lies between its bounds
-THRESHOLDS: list[tuple[str, float | None, float | None]] = [
-    ("mean_word_chars", 1.5, 20.0),
-    ("symbols_per_word", None, 0.1),
-    ("dup_line_ratio", None, 0.5),
-    ("stop_word_ratio_long", 0.01, None),
+ELLIPSIS = r"(?:\.\.\.|…)[\x20\x09-\x0D]*\z"
+BULLET = r"^[\x20\x09-\x0D]*[•‣●▪◦*-][\x20\x09-\x0D]"
+LETTER = r"\p{L}"
+
+Rule = tuple[str, float | None, float | None, int]
+# measure, least, most, words from which on the row counts (a short text may miss a word by chance):
+# a text is kept when every measure lies between its bounds
+THRESHOLDS: list[Rule] = [
+    ("n_words", None, 100_000, 0),
+    ("mean_word_chars", 1.5, 20.0, 0),
+    ("symbols_per_word", None, 0.1, 0),
+    ("dup_line_ratio", None, 0.5, 0),
+    ("ellipsis_line_ratio", None, 0.3, 0),
+    ("bullet_line_ratio", None, 0.9, 0),
+    ("letter_word_ratio", 0.8, None, 0),
+    ("n_stop_words", 2, None, 60),
+    ("stop_word_ratio", 0.01, None, 60),
 ]
-# a short text may hold no function word by chance, so its ratio counts from this length on
-STOP_FROM = 60
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -79,9 +88,11 @@ def measures(docs: DataFrame, *keep: str) -> DataFrame:
         F.length(F.array_join("__words", "")).cast("long").alias("word_chars"),
         (F.length("__text") - F.length(F.regexp_replace("__text", "[#*$%&|<>]", ""))).cast("long").alias("n_symbols"),
         let(lines, lambda x: F.struct(
-            F.size(x).cast("long").alias("lines"), F.size(F.array_distinct(x)).cast("long").alias("unlike"))).alias("__lines"),
+            F.size(x).cast("long").alias("lines"), F.size(F.array_distinct(x)).cast("long").alias("unlike"),
+            F.size(F.filter(x, lambda y: y.rlike(ELLIPSIS))).alias("trailing"), F.size(F.filter(x, lambda y: y.rlike(BULLET))).alias("bullets"))).alias("__lines"),
         repeated_words(F.col("__words")).alias("n_repeat_words"),
         F.size(F.filter("__words", lambda w: w.isin(STOP_WORDS))).cast("long").alias("n_stop_words"),
+        F.size(F.filter("__words", lambda w: w.rlike(LETTER))).cast("long").alias("n_letter_words"),
     )
     ratio = lambda a, b: F.try_divide(F.col(a), F.col(b))
     return df.select(
@@ -89,21 +100,23 @@ def measures(docs: DataFrame, *keep: str) -> DataFrame:
         "n_repeat_words", ratio("word_chars", "n_words").alias("mean_word_chars"),
         ratio("n_symbols", "n_words").alias("symbols_per_word"),
         F.try_divide(F.col("__lines.lines") - F.col("__lines.unlike"), F.col("__lines.lines")).alias("dup_line_ratio"),
-        F.when(F.col("n_words") >= STOP_FROM, ratio("n_stop_words", "n_words")).alias("stop_word_ratio_long"),
+        F.try_divide(F.col("__lines.trailing"), F.col("__lines.lines")).alias("ellipsis_line_ratio"),
+        F.try_divide(F.col("__lines.bullets"), F.col("__lines.lines")).alias("bullet_line_ratio"),
+        ratio("n_letter_words", "n_words").alias("letter_word_ratio"), "n_stop_words", ratio("n_stop_words", "n_words").alias("stop_word_ratio"),
     )
 
 
-def verdict(rules: list[tuple[str, float | None, float | None]] = THRESHOLDS) -> Column:
+def verdict(rules: list[Rule] = THRESHOLDS) -> Column:
     """The table as one boolean; a measure that is null passes, as it says nothing."""
     out = F.lit(True)
-    for name, least, most in rules:
+    for name, least, most, words in rules:
         for bound, test in ((least, F.col(name) >= F.lit(least)), (most, F.col(name) <= F.lit(most))):
             if bound is not None:
-                out = out & F.coalesce(test, F.lit(True))
+                out = out & (F.coalesce(test, F.lit(True)) | (F.col("n_words") < words))
     return out
 
 
-def quality_rules(docs: DataFrame, rules: list[tuple[str, float | None, float | None]] = THRESHOLDS) -> DataFrame:
+def quality_rules(docs: DataFrame, rules: list[Rule] = THRESHOLDS) -> DataFrame:
     """Per document its measures, whether it fails the base rule, and whether all rules keep it.
 
     Reads ``doc_id`` and ``text`` only. Null and empty texts have zero counts and fail the
@@ -113,9 +126,10 @@ def quality_rules(docs: DataFrame, rules: list[tuple[str, float | None, float |
     return measures(docs, "doc_id").withColumn("base_failed", failed).withColumn("kept", ~F.col("base_failed") & verdict(rules))
 
 
-def verdict_sql(rules: list[tuple[str, float | None, float | None]] = THRESHOLDS) -> str:
+def verdict_sql(rules: list[Rule] = THRESHOLDS) -> str:
     parts = []
-    for name, least, most in rules:
-        parts += [f"coalesce({name} >= {least}, true)"] if least is not None else []
-        parts += [f"coalesce({name} <= {most}, true)"] if most is not None else []
+    for name, least, most, words in rules:
+        short = f" OR n_words < {words}" if words else ""
+        parts += [f"(coalesce({name} >= {least}, true){short})"] if least is not None else []
+        parts += [f"(coalesce({name} <= {most}, true){short})"] if most is not None else []
     return " AND ".join(parts) or "true"

@@ -63,12 +63,16 @@ WITH w AS (
   SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(length(array_to_string(w, '')) AS BIGINT) AS word_chars,
     CAST(length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
     CAST(len(l) - len(list_distinct(l)) AS BIGINT) AS n_dup_lines, CAST(coalesce(n, 0) AS BIGINT) AS n_repeat_words,
-    CAST(len(l) AS BIGINT) AS n_lines, len(list_filter(w, lambda x: x IN ({STOPS}))) AS n_stop
+    CAST(len(l) AS BIGINT) AS n_lines, len(list_filter(w, lambda x: x IN ({STOPS}))) AS n_stop_words,
+    len(list_filter(l, lambda x: regexp_matches(x, '{quality_rules.ELLIPSIS}'))) AS n_trailing,
+    len(list_filter(l, lambda x: regexp_matches(x, '{quality_rules.BULLET}'))) AS n_bullets,
+    len(list_filter(w, lambda x: regexp_matches(x, '{quality_rules.LETTER}'))) AS n_letter
   FROM w LEFT JOIN r USING (doc_id)
 ), q AS (
   SELECT *, word_chars / nullif(n_words, 0) AS mean_word_chars, n_symbols / nullif(n_words, 0) AS symbols_per_word,
     n_dup_lines / nullif(n_lines, 0) AS dup_line_ratio,
-    CASE WHEN n_words >= {quality_rules.STOP_FROM} THEN n_stop / n_words END AS stop_word_ratio_long,
+    n_trailing / nullif(n_lines, 0) AS ellipsis_line_ratio, n_bullets / nullif(n_lines, 0) AS bullet_line_ratio,
+    n_letter / nullif(n_words, 0) AS letter_word_ratio, n_stop_words / nullif(n_words, 0) AS stop_word_ratio,
     n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed
   FROM m
 )
