@@ -58,7 +58,7 @@ def repeated_passages(docs: DataFrame, size: int = 13, sizes: ex.Sizes | None =
     ex.small_batches(docs.sparkSession)
     sizes = sizes or ex.sizes(docs, keys_per_byte=0.08)
     bits = sizes.bits
-    chunks = ex.chunked(docs, sizes.chunks, "doc_id", "text")
+    chunks = ex.dealt(docs, sizes.chunks, "doc_id", "text")
 
     def send_anchors(table: pa.Table) -> pa.Table:
         words = Words(table["text"])
