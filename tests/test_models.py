@@ -251,3 +251,14 @@ def test_lookup_paths_agree(spark):
     for small in (None, 2, 100):
         got = joins.salted_lookup(rows, table, ["k"], ["id"], small_rows=small).select("id", "v").collect()
         assert sorted(got) == plain
+
+
+def test_a_value_that_equals_its_mean_is_not_above_it(spark):
+    # 0.3 + 0.2 + 0.1 sums below 0.6, and so does 0.1 forty times below its true sum
+    values = [("a", 0.3), ("a", 0.2), ("a", 0.1), *[("b", 2.11)] * 60, ("c", 1.0), ("c", 2.5), ("d", None), ("e", 1e30), ("e", 1e-30)]
+    rows = spark.createDataFrame(values, "u string, x double").coalesce(1)
+    params = rows.groupBy("u").agg(*features.mean_parts("x"))
+    got = {(r["u"], r["x"]): r["above"] for r in rows.join(params, "u").select("u", "x", features.above_mean("x").alias("above")).collect()}
+    assert got == {
+        ("a", 0.3): True, ("a", 0.2): False, ("a", 0.1): False, ("b", 2.11): False, ("c", 1.0): False, ("c", 2.5): True,
+        ("d", None): None, ("e", 1e30): True, ("e", 1e-30): False}

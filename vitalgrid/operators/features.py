@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from pyspark.ml.feature import VectorAssembler
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from vitalgrid.functions.scalars import fill_numeric, safe_corr, total
 from vitalgrid.functions.timekeys import window_key
@@ -27,6 +27,25 @@ def distinct_readings(
     return rows.select(*keys, window_key(ts, width_ms, rounding).alias("window"), *values).distinct()
 
 
+DECIMAL = "decimal(26,12)"
+
+
+def mean_parts(column: str) -> list[Column]:
+    """Aggregates that ``above_mean`` compares with: a mean of doubles hangs on the order of its sum,
+    a sum of decimals does not. ``_exact``: whether every value is such a decimal."""
+    value = F.col(column).try_cast(DECIMAL)
+    return [
+        F.avg(column).alias("_mean"), F.count(column).alias("_n"), F.try_sum(value).alias("_sum"),
+        F.bool_and(F.coalesce(value.cast("double") == F.col(column), F.col(column).isNull())).alias("_exact"),
+    ]
+
+
+def above_mean(column: str) -> Column:
+    """Whether a value is above its key's mean; one that equals it is not, in whatever order the mean was summed."""
+    exact = F.col(column).try_cast(DECIMAL) * F.col("_n").cast("decimal(11,0)") > F.col("_sum")
+    return F.when(F.col("_exact") & F.col("_sum").isNotNull(), exact).otherwise(F.col(column) > F.col("_mean"))
+
+
 def axis_aggregates() -> list:
     axes = ["x", "y", "z"]
     return [

@@ -324,12 +324,14 @@ def saved_parameters(spark, sf_dir):
     SELECT eventId, x > mx AS above FROM readings JOIN m ON readings.userid = m.userid""",
 )
 def models_by_user(spark, sf_dir):
-    """Each row meets its own user's parameters; users without any drop out."""
+    """Each row meets its own user's parameters; users without any drop out.
+
+    Whether a row that equals its user's mean is above it must not hang on the order of a sum."""
     rows = view.readings(spark, sf_dir, labels=False)
     mine = joins.keep_known(rows, view.known_users(spark, sf_dir), "userid", ["eventId"])
-    params = mine.groupBy("userid").agg(F.avg("x").alias("mx"))
+    params = mine.groupBy("userid").agg(*features.mean_parts("x"))
     out = joins.salted_lookup(rows, params, ["userid"], ["eventId"])
-    return out.select("eventId", (F.col("x") > F.col("mx")).alias("above"))
+    return out.select("eventId", features.above_mean("x").alias("above"))
 
 
 @query("scored_and_published")
