@@ -63,6 +63,16 @@ def test_boosted_spans_add_and_leave_base(spark, frame):
     assert pii.fit(frame([])) == pii.Selector()
 
 
+def test_boosting_counts_every_distinct_candidate(spark, monkeypatch):
+    kept = []
+    monkeypatch.setattr(pii, "stored", lambda df, name: kept.append(df) or df)
+    # 21,000 numbers, each of them in two documents
+    docs = spark.range(42_000).select(F.col("id").alias("doc_id"), F.format_string("room 555-%06d", F.col("id") % 21_000).alias("text"))
+    assert pii.fit(docs, rounds=0) == pii.Selector()
+    got = kept[0].groupBy("held").agg(F.sum("n").alias("n")).collect()
+    assert sum(r["n"] for r in got) == 21_000 and len(got) == 2
+
+
 def test_long_candidates_are_proposed_whole(frame):
     local, value = "é" * 300, "a" * 50 + "/" + "b" * 30 + "7"
     got = frame(rows_of([f"to {local}@host.org. {value} end", "x" * 300_000, "a+" * 100_000])).select(

@@ -1,9 +1,9 @@
 """Personal data: fixed patterns, and candidates that boosted trees select.
 
 Generators with high recall propose spans that may overlap; each candidate gets small whole-
-number features of its format and its surroundings. Trees are boosted on a bounded sample of
-candidates whose labels come from strict checks, thresholds are set per generator on a part of
-the sample the trees never saw, and the trees are compiled into CASE expressions. Spans are
+number features of its format and its surroundings. Trees are boosted on all distinct
+candidates, whose labels come from strict checks; thresholds are set per generator on a part of
+them that the trees never saw, and the trees are compiled into CASE expressions. Spans are
 found inside the row: matches are fenced by two control characters, the text is cut at them,
 and offsets are sums of lengths. Nothing here leaves the JVM.
 """
@@ -49,7 +49,6 @@ FEATURES = (
     "assigned", "quoted", "keyword", "ended", "luhn", "domain", "national",
 )
 BINS = 16
-SAMPLE_ROWS = 20_000
 ROUNDS = 10
 RATE = 0.5
 RIDGE = 1.0
@@ -226,7 +225,7 @@ class Selector:
 
 
 def _sums(rows: DataFrame, side: Column) -> dict[int, dict[tuple[int, int], tuple[float, float]]]:
-    """Gradient and curvature by (side, feature, bin): a few hundred rows, whatever the sample's size."""
+    """Gradient and curvature by (side, feature, bin): a few hundred rows, whatever the number of candidates."""
     cells = rows.select(side.alias("side"), "g", "h", F.posexplode("bins").alias("feature", "bin"))
     out: dict[int, dict] = {0: {}, 1: {}}
     for r in cells.groupBy("side", "feature", "bin").agg(F.sum("g").alias("g"), F.sum("h").alias("h")).collect():
@@ -251,35 +250,36 @@ def _split(cells: dict[tuple[int, int], tuple[float, float]]) -> tuple[tuple[int
     return best[1:]
 
 
-def fit(docs: DataFrame, rows: int = SAMPLE_ROWS, rounds: int = ROUNDS) -> Selector:
-    """Boost on a bounded sample: ``rows`` distinct candidates at most, chosen by a hash of their text and features.
+def fit(docs: DataFrame, rounds: int = ROUNDS) -> Selector:
+    """Boost on all distinct candidates, told apart by a hash of their text and features and counted by features.
 
-    A quarter of the sample, by another hash, only sets the thresholds. Without candidates of
-    both labels nothing is selected.
+    A quarter of them, by that hash, only sets the thresholds. Without candidates of both labels
+    nothing is selected.
     """
     found = _prepared(docs).select(F.explode(candidates(F.col("clean"))).alias("c"))
     picked = found.select(_label(F.col("c")).alias("y"), F.col("c.bins").alias("bins"), F.xxhash64("c.text", "c.bins").alias("h"))
-    sample = stored(picked.dropDuplicates(["h"]).orderBy("h").limit(rows), "pii-sample")
-    train = sample.where("pmod(h, 4) <> 0")
-    share = train.agg(F.avg("y").alias("y")).first()["y"]
+    cells = picked.dropDuplicates(["h"]).groupBy("y", "bins", (F.pmod("h", F.lit(4)) == 0).alias("held")).agg(F.count(F.lit(1)).alias("n"))
+    every = stored(cells, "pii-candidates")
+    train = every.where("NOT held")
+    share = train.agg((F.sum(F.col("y") * F.col("n")) / F.sum("n")).alias("y")).first()["y"]
     if share is None or share in (0.0, 1.0):
         return Selector()
     share = min(max(share, 0.01), 0.99)
     model = Selector((), math.log(share / (1 - share)))
     for _ in range(rounds):
         p = 1 / (1 + F.exp(-model.margin(F.col("bins"))))
-        now = train.select("bins", (F.col("y") - p).alias("g"), (p * (1 - p)).alias("h"))
+        now = train.select("bins", ((F.col("y") - p) * F.col("n")).alias("g"), (p * (1 - p) * F.col("n")).alias("h"))
         root = _split(_sums(now, F.lit(0))[0])[0]
         sides = _sums(now, (F.get("bins", root[0]) > root[1]).cast("int"))
         (a, al, ar), (b, bl, br) = _split(sides[0]), _split(sides[1])
         model = Selector((*model.trees, Tree(root, (a, b), (al, ar, bl, br))), model.start)
-    return Selector(model.trees, model.start, _thresholds(sample.where("pmod(h, 4) = 0"), model))
+    return Selector(model.trees, model.start, _thresholds(every.where("held"), model))
 
 
 def _thresholds(held: DataFrame, model: Selector) -> tuple[float | None, ...]:
     """Per generator the least margin from which on held-out candidates are right often enough."""
     margin = F.floor(model.margin(F.col("bins")) * 4) / 4
-    got = held.select(F.get("bins", 0).alias("k"), margin.alias("m"), "y").groupBy("k", "m").agg(F.sum("y").alias("y"), F.count("*").alias("n")).collect()
+    got = held.select(F.get("bins", 0).alias("k"), margin.alias("m"), (F.col("y") * F.col("n")).alias("y"), "n").groupBy("k", "m").agg(F.sum("y").alias("y"), F.sum("n").alias("n")).collect()
     out: list[float | None] = []
     for k in range(len(NAMES)):
         right = total = 0.0
