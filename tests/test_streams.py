@@ -210,3 +210,45 @@ def test_posts_fill_over_batches(spark):
         own = [n for (name, _), n in sorted(sent.items()) if name == m]
         assert own == [20] * (sum(r[0] == m for r in rows) // 20)  # the remainder still waits
     assert sent["quiet", 0] == 1  # and a metric that fell silent has been flushed
+
+
+class _Marked:
+    def getCurrentWatermarkInMs(self):
+        return 100
+
+
+class _Memory(dict):
+    def getValue(self, key):
+        return self.get(key)
+
+    def updateValue(self, key, value):
+        self[key] = value
+
+
+def test_the_owners_of_a_shard_are_one_call():
+    import json
+
+    import pandas as pd
+
+    gate = control.Gate(control.STARTED)
+    gate.memory = _Memory()
+    slices = [(owner, at, json.dumps([{"time_stamp": 10 * at, "event_id": i, "payload": "p"}, {"time_stamp": 10 * at + 1, "event_id": i, "command": c}]))
+              for i, owner in enumerate(["a", "b", None]) for at, c in ((1, control.START), (0, control.STOP if i else control.STATUS))]
+    frames = list(gate.handleInputRows((0,), iter([pd.DataFrame(slices, columns=["owner", "slice", "rows"])]), _Marked()))
+    assert len(frames) == 1  # not one for each owner
+    got = [(None if pd.isna(r.owner) else r.owner, r.time_stamp, r.kind) for r in frames[0].itertuples()]
+    assert got == [("a", 0, "data"), ("a", 1, "status"), ("a", 10, "data"), ("b", 0, "data"), (None, 0, "data")]
+    assert len(gate.memory) == 3 and set(gate.memory.values()) == {('"STARTED"',)}
+
+
+def test_many_epochs_at_once_are_as_each_alone():
+    import pandas as pd
+
+    rng = random.Random(21)
+    rows = {(u, e, s, e * 20_000 + rng.randrange(20_000)) for u in ("a", "b", None) for e in (-1, 0, 7) for s in SENSORS for _ in range(rng.randrange(1, 30))}
+    rows |= {("lone", 0, "acc", 5)}
+    events = pd.DataFrame([(*r, f"e{i}", None) for i, r in enumerate(sorted(rows, key=str))], columns=["userid", "epoch", "sensor", "time_stamp", "eventId", "payload"])
+    whole = alignment.align_epochs(events, SENSORS, "gyr", 1_500)
+    alone = [alignment.align_epochs(g, SENSORS, "gyr", 1_500) for _, g in events.groupby(["userid", "epoch"], dropna=False)]
+    shown = lambda frames: sorted(str(tuple(r)) for f in frames for r in f.itertuples(index=False))
+    assert shown([whole]) == shown(alone) and len(whole) > 50 and "lone" not in set(whole["userid"])

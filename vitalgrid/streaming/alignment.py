@@ -1,86 +1,70 @@
 """Alignment of sensor streams with keyed state.
 
-State is kept per user and epoch. An epoch is complete when the watermark passes
-its end; then its events are aligned by the same rule as in the batch form, emitted
-and dropped. Epochs bound the state of a user, and spread a busy one over keys.
+Events wait in Spark's aggregation state per user and epoch. An epoch is complete when the
+watermark passes its end; then its events are aligned by the same rule as in the batch form,
+many epochs at once. Epochs bound the state of a user, and spread a busy one over keys.
 """
 
 from __future__ import annotations
 
 import json
 from collections.abc import Iterator
+from itertools import groupby
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
-from vitalgrid.functions.timekeys import floor_window
+from vitalgrid.streaming.owners import OwnerProcessor, by_owner
+from vitalgrid.streaming.windows import closed_slices
 
-STATE = "sensor STRING, time_stamp BIGINT, eventId STRING, payload STRING"
 OUTPUT = "userid STRING, epoch BIGINT, anchor BIGINT, sensor STRING, time_stamp BIGINT, eventId STRING, payload STRING"
 
 
-def align_epoch(events: pd.DataFrame, sensors: list[str], reference: str, step_ms: int) -> pd.DataFrame:
-    """Rows ``anchor, sensor, time_stamp, eventId, payload`` of one user's epoch."""
-    last = events.sort_values("eventId").drop_duplicates(["sensor", "time_stamp"], keep="last")
-    by_sensor = {s: g.sort_values("time_stamp") for s, g in last.groupby("sensor")}
-    if set(by_sensor) != set(sensors):
-        return pd.DataFrame(columns=["anchor", "sensor", "time_stamp", "eventId", "payload"])
-    slow = min(by_sensor, key=lambda s: (len(by_sensor[s]), s))
-    t = by_sensor[slow]["time_stamp"].to_numpy()
-    t0 = by_sensor[reference]["time_stamp"].iloc[0]
+def align_epochs(events: pd.DataFrame, sensors: list[str], reference: str, step_ms: int) -> pd.DataFrame:
+    """Rows ``userid, epoch, anchor, sensor, time_stamp, eventId, payload`` of many whole epochs at once.
+
+    ``events``: one per (userid, epoch, sensor, time_stamp). Every step runs over the events of all groups.
+    """
+    columns = ["userid", "epoch", "anchor", "sensor", "time_stamp", "eventId", "payload"]
+    names = sorted(sensors)
+    events = events.assign(_g=events.groupby(["userid", "epoch"], dropna=False, sort=False).ngroup(), _s=pd.Index(names).get_indexer(events["sensor"]))
+    events = events.sort_values(["_g", "_s", "time_stamp"], kind="stable", ignore_index=True)
+    group, sensor, t = (events[c].to_numpy(np.int64) for c in ("_g", "_s", "time_stamp"))
+    n = np.bincount(group * len(names) + sensor, minlength=(group.max(initial=-1) + 1) * len(names)).reshape(-1, len(names))
+    whole = (n > 0).all(1)
+    if not whole.any():
+        return pd.DataFrame(columns=columns)
+    first = np.concatenate([[0], np.cumsum(n.ravel())])[:-1].reshape(n.shape)
+    slow = n.argmin(1)  # of equal counts the smaller name
+    t0 = np.where(whole, t[np.minimum(first[:, names.index(reference)], len(t) - 1)], 0)
     # Grid points up to each time; an event ends an anchor's interval when it has more.
-    upto = np.maximum((t - t0) // step_ms, 0)
-    before = np.concatenate([[0], upto[:-1]])
-    previous = np.concatenate([t[:1], t[:-1]])
-    anchor = np.unique(previous[upto > before])
-    floor = np.concatenate([[np.iinfo(np.int64).min], anchor[:-1]])
+    own = np.flatnonzero(whole[group] & (sensor == slow[group]))
+    g, at = group[own], t[own]
+    begins = np.diff(g, prepend=-1) != 0
+    upto = np.maximum((at - t0[g]) // step_ms, 0)
+    before = np.where(begins, 0, np.roll(upto, 1))
+    previous = np.where(begins, at, np.roll(at, 1))
+    hit = upto > before
+    g, anchor = g[hit], previous[hit]
+    fresh = (np.diff(g, prepend=-1) != 0) | (np.diff(anchor, prepend=0) != 0)
+    g, anchor = g[fresh], anchor[fresh]
+    floor = np.where(np.diff(g, prepend=-1) != 0, np.iinfo(np.int64).min, np.roll(anchor, 1))
     out = []
-    for sensor, g in by_sensor.items():
-        ts = g["time_stamp"].to_numpy()
-        after = np.searchsorted(ts, anchor, "left")
-        keep = after < len(ts)
-        a, lo, f = anchor[keep], floor[keep], after[keep]
-        b = np.maximum(f - 1, 0)
-        use_before = (f > 0) & (ts[b] > lo) & ~((ts[f] - a) < (a - ts[b]))
-        pos = np.where(use_before, b, f)
-        out.append(pd.DataFrame({
-            "anchor": a, "sensor": sensor, "time_stamp": ts[pos], "eventId": g["eventId"].to_numpy()[pos],
-            "payload": g["payload"].to_numpy()[pos],
-        }))
-    return pd.concat(out, ignore_index=True)
-
-
-class EpochAligner(StatefulProcessor):
-    def __init__(self, sensors: list[str], reference: str, step_ms: int, epoch_ms: int):
-        self.sensors, self.reference = sensors, reference
-        self.step_ms, self.epoch_ms = step_ms, epoch_ms
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
-        self.events = handle.getListState("events", STATE)
-
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        for pdf in rows:
-            self.events.appendList(
-                [(s, int(t), e, p) for s, t, e, p in zip(pdf["sensor"], pdf["time_stamp"], pdf["eventId"], pdf["payload"])]
-            )
-        self.handle.registerTimer((int(key[1]) + 1) * self.epoch_ms)
-        return iter(())
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        rows = [tuple(r[i] for i in range(4)) for r in self.events.get()]
-        self.events.clear()
-        events = pd.DataFrame(rows, columns=["sensor", "time_stamp", "eventId", "payload"])
-        out = align_epoch(events, self.sensors, self.reference, self.step_ms)
-        if len(out):
-            out.insert(0, "epoch", int(key[1]))
-            out.insert(0, "userid", key[0])
-            yield out
-
-    def close(self) -> None:
-        pass
+    # All times of a group lie within its span, so group, sensor and time are one number in order.
+    low = np.full(len(n), np.iinfo(np.int64).max)
+    np.minimum.at(low, group, t)
+    span = int((t - low[group]).max()) + 2
+    place = (group * len(names) + sensor) * span + t - low[group]
+    for s in range(len(names)):
+        f = np.searchsorted(place, (g * len(names) + s) * span + anchor - low[g], "left")
+        start, end = first[g, s], first[g, s] + n[g, s]
+        keep = f < end
+        f, a, lo, start = f[keep], anchor[keep], floor[keep], start[keep]
+        b = np.maximum(f - 1, start)
+        use_before = (f > start) & (t[b] > lo) & ~((t[f] - a) < (a - t[b]))
+        out.append(events.iloc[np.where(use_before, b, f)].assign(anchor=a))
+    return pd.concat(out, ignore_index=True)[columns]
 
 
 def align_stream(
@@ -98,16 +82,21 @@ def align_stream(
     # one event per sensor and millisecond of the epoch.
     unique = (
         stream.where(F.col("sensor").isin(sensors))
-        .groupBy(F.window("event_time", "1 second").alias("_w"), "userid", "sensor", "time_stamp")
+        .groupBy(F.window("event_time", "1 second").alias("_second"), "userid", "sensor", "time_stamp")
         .agg(F.max(F.struct("eventId", (F.col(payload) if payload else F.lit(None).cast("string")).alias("payload"))).alias("_e"))
     )
-    keyed = unique.select(
-        "userid", floor_window("time_stamp", epoch_ms).alias("epoch"), "sensor", "time_stamp", "_e.eventId", "_e.payload",
-        F.window_time("_w").alias("event_time"),
-    )
-    out = keyed.groupBy("userid", "epoch").transformWithStateInPandas(
-        EpochAligner(sensors, reference, step_ms, epoch_ms), OUTPUT, "Append", "EventTime"
-    )
+    keyed = unique.select("userid", "sensor", "time_stamp", "_e.eventId", "_e.payload", F.window_time("_second").alias("event_time"))
+    epochs = closed_slices(keyed, ["userid"], ["sensor", "time_stamp"], ["eventId", "payload"], epoch_ms)
+
+    def aligned(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            rows = [(u, e, r["sensor"], r["time_stamp"], r.get("eventId"), r.get("payload"))
+                    for u, e, text in zip(pdf["userid"], pdf["slice"], pdf["rows"]) for r in json.loads(text)]
+            if rows:
+                events = pd.DataFrame(rows, columns=["userid", "epoch", "sensor", "time_stamp", "eventId", "payload"])
+                yield align_epochs(events, sensors, reference, step_ms)
+
+    out = epochs.select("userid", "slice", "rows").mapInPandas(aligned, OUTPUT)
     return out.withColumnRenamed("payload", payload) if payload else out.drop("payload")
 
 
@@ -167,75 +156,35 @@ class Walk:
         self.open = {s: kept for s, waiting in self.open.items() if (kept := [w for w in waiting if w[0] >= before])}
 
 
-class LiveAligner(StatefulProcessor):
+class LiveAligner(OwnerProcessor):
     """Alignment as the watermark moves.
 
-    Events wait in buckets of time, one map entry each; a bucket is walked and dropped when the watermark
-    has passed its end. What remains of a user is the walk: some events per sensor and the anchors
-    that a silent sensor keeps open, which ``give_up_ms`` bounds.
+    Events come in closed buckets of time, which are walked in order. What remains of a user is the walk:
+    some events per sensor and the anchors that a silent sensor keeps open, which ``give_up_ms`` bounds.
     """
 
-    def __init__(self, sensors: list[str], step_ms: int, bucket_ms: int, give_up_ms: int | None, whole: bool):
-        self.sensors, self.step_ms, self.bucket_ms = sensors, step_ms, bucket_ms
+    def __init__(self, sensors: list[str], step_ms: int, give_up_ms: int | None, whole: bool):
+        self.sensors, self.step_ms = sensors, step_ms
         self.give_up_ms, self.whole = give_up_ms, whole
+        self.columns = ["userid", "anchor", "events", "event_time"] if whole else ["userid", "anchor", "sensor", "time_stamp", "eventId", "payload"]
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
-        self.buckets = handle.getMapState("buckets", "bucket BIGINT", "events STRING")
-        self.walk = handle.getValueState("walk", "walk STRING, partial STRING")
-
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        new: dict[int, list] = {}
-        clock = None
-        for pdf in rows:
-            clock = (pdf["slow"].iloc[0], int(pdf["t0"].iloc[0]))
-            for s, t, e, p in zip(pdf["sensor"], pdf["time_stamp"], pdf["eventId"], pdf["payload"]):
-                new.setdefault(int(t) // self.bucket_ms, []).append([int(t), s, e, p])
-        for bucket, events in new.items():
-            held = self.buckets.getValue((bucket,))
-            self.buckets.updateValue((bucket,), (json.dumps((json.loads(held[0]) if held else []) + events),))
-        if new:  # one timer, at the end of the earliest bucket
-            self.handle.registerTimer((min(new) + 1) * self.bucket_ms)
-        if clock and not self.walk.exists():
-            self.walk.update((Walk(None, *clock).kept(), "{}"))
-        return iter(())
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        mark = timerValues.getCurrentWatermarkInMs()
-        waiting = sorted(b for (b,) in self.buckets.keys())
-        due = [b for b in waiting if (b + 1) * self.bucket_ms <= mark]
-        if not due:
-            return
-        if len(due) < len(waiting):
-            self.handle.registerTimer((waiting[len(due)] + 1) * self.bucket_ms)
-        walk, partial = self.walk.get()
-        walk, partial, out = Walk(walk), json.loads(partial), []
-        for bucket in due:
-            at: dict[int, dict[str, list]] = {}
-            for t, s, e, p in sorted(json.loads(self.buckets.getValue((bucket,))[0]), key=lambda x: (x[0], x[1], x[2])):
-                at.setdefault(t, {})[s] = [t, e, p]  # the largest id stays
-            for t in sorted(at):
-                out += walk.take(t, at[t], self.sensors, self.step_ms)
-            self.buckets.removeKey((bucket,))
+    def step(self, owner, kept, first, rows, mark) -> tuple[list, list[tuple]]:
+        walk, partial = (Walk(kept[0]), kept[1]) if kept else (Walk(None, first.slow, int(first.t0)), {})
+        out = []
+        for t, events in groupby(rows, key=lambda e: e["time_stamp"]):
+            at = {e["sensor"]: [t, e.get("eventId"), e.get("payload")] for e in events}  # the largest id stays
+            out += walk.take(t, at, self.sensors, self.step_ms)
         if self.give_up_ms is not None:
             walk.give_up(mark - self.give_up_ms)
             partial = {a: v for a, v in partial.items() if int(a) >= mark - self.give_up_ms}
-        if self.whole:
-            for anchor, sensor, *event in out:
-                partial.setdefault(str(anchor), {})[sensor] = event
-            ready = sorted((int(a) for a, v in partial.items() if len(v) == len(self.sensors)))
-            done = [(a, json.dumps(partial.pop(str(a)))) for a in ready]
-        self.walk.update((walk.kept(), json.dumps(partial)))
-        if self.whole and done:
-            yield pd.DataFrame({"userid": key[0], "anchor": [a for a, _ in done], "events": [e for _, e in done],
-                                "event_time": pd.to_datetime([mark] * len(done), unit="ms")})
-        elif not self.whole and out:
-            frame = pd.DataFrame(out, columns=["anchor", "sensor", "time_stamp", "eventId", "payload"])
-            frame.insert(0, "userid", key[0])
-            yield frame
-
-    def close(self) -> None:
-        pass
+        if not self.whole:
+            return [walk.kept(), partial], [(owner, *chosen) for chosen in out]
+        for anchor, sensor, *event in out:
+            partial.setdefault(str(anchor), {})[sensor] = event
+        ready = sorted(int(a) for a, v in partial.items() if len(v) == len(self.sensors))
+        event_time = pd.Timestamp(mark, unit="ms")
+        done = [(owner, a, json.dumps(partial.pop(str(a))), event_time) for a in ready]
+        return [walk.kept(), partial], done
 
 
 def align_live(
@@ -255,8 +204,10 @@ def align_live(
     rows = seen.select(
         "userid", "slow", "t0", "sensor", "time_stamp", "eventId",
         (F.col(payload) if payload else F.lit(None).cast("string")).alias("payload"), "event_time")
-    aligner = LiveAligner(sensors, step_ms, bucket_ms, give_up_ms, whole)
+    out = by_owner(
+        rows, "userid", ["slow", "t0"], ["time_stamp", "sensor", "eventId"], ["payload"], bucket_ms,
+        LiveAligner(sensors, step_ms, give_up_ms, whole), WHOLE_OUTPUT if whole else LIVE_OUTPUT,
+        **({"eventTimeColumnName": "event_time"} if whole else {}))
     if whole:
-        return rows.groupBy("userid").transformWithStateInPandas(aligner, WHOLE_OUTPUT, "Append", "EventTime", eventTimeColumnName="event_time")
-    out = rows.groupBy("userid").transformWithStateInPandas(aligner, LIVE_OUTPUT, "Append", "EventTime")
+        return out
     return out.withColumnRenamed("payload", payload) if payload else out.drop("payload")

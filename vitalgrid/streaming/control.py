@@ -2,12 +2,9 @@
 
 from __future__ import annotations
 
-import json
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame, functions as F
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+
+from vitalgrid.streaming.owners import OwnerProcessor, by_owner
 
 # Commands of control messages.
 START, STOP, STATUS = "start_processor", "stop_processor", "get_processor_status"
@@ -15,59 +12,31 @@ STARTED, STOPPED = "STARTED", "STOPPED"
 OUTPUT = "owner STRING, time_stamp BIGINT, event_id BIGINT, kind STRING, state STRING, payload STRING"
 
 
-class Gate(StatefulProcessor):
+class Gate(OwnerProcessor):
     """Data passes while its owner is started; a status request is answered with the state of its time.
 
-    Rows wait in slices until the watermark has passed them, so that a command acts on what is later
-    than it and on nothing else, in whatever batch either of them came. Between slices an owner is one word.
+    Rows come in closed slices of time, so that a command acts on what is later than it and on nothing
+    else, in whatever batch either of them came. Between slices an owner is one word.
     """
 
-    def __init__(self, slice_ms: int, initial: str):
-        self.slice_ms, self.initial = slice_ms, initial
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
-        self.slices = handle.getMapState("slices", "slice BIGINT", "rows STRING")
-        self.state = handle.getValueState("state", "state STRING")
-
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        new: dict[int, list] = {}
-        for pdf in rows:
-            for t, e, c, p in zip(pdf["time_stamp"], pdf["event_id"], pdf["command"], pdf["payload"]):
-                new.setdefault(int(t) // self.slice_ms, []).append([int(t), int(e), c, p])
-        for at, waiting in new.items():
-            held = self.slices.getValue((at,))
-            self.slices.updateValue((at,), (json.dumps((json.loads(held[0]) if held else []) + waiting),))
-        if new:
-            self.handle.registerTimer((min(new) + 1) * self.slice_ms)
-        return iter(())
+    columns = ["owner", "time_stamp", "event_id", "kind", "state", "payload"]
 
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        mark = timerValues.getCurrentWatermarkInMs()
-        waiting = sorted(s for (s,) in self.slices.keys())
-        due = [s for s in waiting if (s + 1) * self.slice_ms <= mark]
-        if due and len(due) < len(waiting):
-            self.handle.registerTimer((waiting[len(due)] + 1) * self.slice_ms)
-        state = self.state.get()[0] if self.state.exists() else self.initial
-        out = []
-        for at in due:
-            for t, e, command, payload in sorted(json.loads(self.slices.getValue((at,))[0]), key=lambda r: r[:2]):
-                if command == START:
-                    state = STARTED
-                elif command == STOP:
-                    state = STOPPED
-                elif command == STATUS:
-                    out.append((key[0], t, e, "status", state, None))
-                elif command is None and state == STARTED:
-                    out.append((key[0], t, e, "data", state, payload))
-            self.slices.removeKey((at,))
-        if due:
-            self.state.update((state,))
-        if out:
-            yield pd.DataFrame(out, columns=["owner", "time_stamp", "event_id", "kind", "state", "payload"])
+    def __init__(self, initial: str):
+        self.initial = initial
 
-    def close(self) -> None:
-        pass
+    def step(self, owner, kept, first, rows, mark) -> tuple[str, list[tuple]]:
+        state, out = kept or self.initial, []
+        for row in rows:
+            t, e, command = row["time_stamp"], row["event_id"], row.get("command")
+            if command == START:
+                state = STARTED
+            elif command == STOP:
+                state = STOPPED
+            elif command == STATUS:
+                out.append((owner, t, e, "status", state, None))
+            elif command is None and state == STARTED:
+                out.append((owner, t, e, "data", state, row.get("payload")))
+        return state, out
 
 
 def gated(stream: DataFrame, owner: str, slice_ms: int, initial: str = STARTED) -> DataFrame:
@@ -79,4 +48,4 @@ def gated(stream: DataFrame, owner: str, slice_ms: int, initial: str = STARTED)
     rows = stream.select(
         F.col(owner).alias("owner"), "time_stamp", "event_id", F.get_json_object("value", "$.control_msg").alias("command"),
         F.col("value").alias("payload"), "event_time")
-    return rows.groupBy("owner").transformWithStateInPandas(Gate(slice_ms, initial), OUTPUT, "Append", "EventTime")
+    return by_owner(rows, "owner", [], ["time_stamp", "event_id"], ["command", "payload"], slice_ms, Gate(initial), OUTPUT)

@@ -13,75 +13,35 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from vitalgrid.functions.scalars import stable_id
+from vitalgrid.streaming.owners import OwnerProcessor, by_owner
 
 OUTPUT = "user_id STRING, time_stamp BIGINT, event_id BIGINT, novel BOOLEAN, novel_rate DOUBLE, alarm BOOLEAN"
 
 
-class TrailingRate(StatefulProcessor):
-    def __init__(self, n: int, rate_threshold: float, slice_ms: int):
-        self.n, self.rate_threshold, self.slice_ms = n, rate_threshold, slice_ms
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
-        self.waiting = handle.getListState("waiting", "time_stamp BIGINT, event_id BIGINT, novel BOOLEAN")
-        self.flags = handle.getListState("flags", "novel BOOLEAN")
-
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        first = None
-        for pdf in rows:
-            self.waiting.appendList(
-                [(int(t), int(e), bool(v)) for t, e, v in zip(pdf["time_stamp"], pdf["event_id"], pdf["novel"])]
-            )
-            low = int(pdf["time_stamp"].min())
-            first = low if first is None else min(first, low)
-        self._wake(first)
-        return iter(())
+class TrailingRate(OwnerProcessor):
+    columns = ["user_id", "time_stamp", "event_id", "novel", "novel_rate", "alarm"]
 
-    def _wake(self, time_stamp: int) -> None:
-        """One timer, at the end of the earliest waiting slice."""
-        self.handle.registerTimer((time_stamp // self.slice_ms + 1) * self.slice_ms)
+    def __init__(self, n: int, rate_threshold: float):
+        self.n, self.rate_threshold = n, rate_threshold
 
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        # All slices the watermark has passed leave at once.
-        end = timerValues.getCurrentWatermarkInMs() // self.slice_ms * self.slice_ms
-        waiting = sorted((r[0], r[1], r[2]) for r in self.waiting.get())
-        due = [r for r in waiting if r[0] < end]
-        if not due:
-            return
-        rest = waiting[len(due):]
-        if rest:
-            self.waiting.put(rest)
-            self._wake(rest[0][0])
-        else:
-            self.waiting.clear()
-        memory = [r[0] for r in self.flags.get()]
-        flags = np.array(memory + [r[2] for r in due], dtype=np.int64)
+    def step(self, owner, kept, first, rows, mark) -> tuple[list, list[tuple]]:
+        memory, due = kept or [], list(rows)
+        flags = np.array(memory + [r["novel"] for r in due], dtype=np.int64)
         total = np.concatenate([[0], np.cumsum(flags)])
         at = np.arange(len(memory), len(flags)) + 1
-        full = at >= self.n
-        rate = np.where(full, (total[at] - total[np.maximum(at - self.n, 0)]) / float(self.n), np.nan)
-        tail = flags[max(0, len(flags) - (self.n - 1)):]
-        if len(tail):
-            self.flags.put([(bool(v),) for v in tail])
-        yield pd.DataFrame({
-            "user_id": key[0], "time_stamp": [r[0] for r in due], "event_id": [r[1] for r in due],
-            "novel": [r[2] for r in due],
-            "novel_rate": [None if np.isnan(v) else float(v) for v in rate],
-            "alarm": np.nan_to_num(rate, nan=0.0) > self.rate_threshold,
-        })
-
-    def close(self) -> None:
-        pass
+        rate = (total[at] - total[np.maximum(at - self.n, 0)]) / float(self.n)
+        rates = [float(v) if full else None for v, full in zip(rate, at >= self.n)]
+        out = [(owner, r["time_stamp"], r["event_id"], r["novel"], v, v is not None and v > self.rate_threshold)
+               for r, v in zip(due, rates)]
+        return flags[max(0, len(flags) - (self.n - 1)):].tolist(), out
 
 
 def trailing_rate_stream(stream: DataFrame, n: int, rate_threshold: float, slice_ms: int) -> DataFrame:
     """``stream``: user_id, time_stamp, event_id, novel and a watermarked event_time."""
-    return stream.groupBy("user_id").transformWithStateInPandas(
-        TrailingRate(n, rate_threshold, slice_ms), OUTPUT, "Append", "EventTime"
-    )
+    return by_owner(
+        stream, "user_id", [], ["time_stamp", "event_id"], ["novel"], slice_ms, TrailingRate(n, rate_threshold), OUTPUT)
 
 
 POINTS = (
@@ -90,61 +50,53 @@ POINTS = (
 )
 
 
-class NoveltyPoints(StatefulProcessor):
+class NoveltyPoints(OwnerProcessor):
     """Alarms with the violations of their trailing rows.
 
-    Rows wait in slices of time, one map entry each, until the watermark has passed the slice; the last
-    n - 1 rows with their violations stay as memory. A user without rows for ``idle_ms`` of event time is
-    forgotten wholly, and its memory begins anew.
+    Rows come in closed slices of time; the last n - 1 rows with their violations stay as memory. A user
+    without rows for ``idle_ms`` of event time is forgotten wholly, and its memory begins anew.
     """
 
+    columns = ["user_id", "time_stamp", "event_id", "novel_rate", "novel", "point_time_stamp", "point_event_id", "slot",
+               "in_events", "out_event", "result_percentage"]
+
     def __init__(self, n: int, rate_threshold: float, slice_ms: int, idle_ms: int | None):
         self.n, self.rate_threshold, self.slice_ms, self.idle_ms = n, rate_threshold, slice_ms, idle_ms
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
-        self.slices = handle.getMapState("slices", "slice BIGINT", "rows STRING")
-        self.memory = handle.getValueState("memory", "rows STRING, latest BIGINT")
-
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        new: dict[int, list] = {}
-        for pdf in rows:
-            for t, e, v, found in zip(pdf["time_stamp"], pdf["event_id"], pdf["novel"], pdf["violations"]):
-                new.setdefault(int(t) // self.slice_ms, []).append([int(t), int(e), bool(v), found])
-        for at, waiting in new.items():
-            held = self.slices.getValue((at,))
-            self.slices.updateValue((at,), (json.dumps((json.loads(held[0]) if held else []) + waiting),))
-        if new:  # one timer, at the end of the earliest slice
-            self.handle.registerTimer((min(new) + 1) * self.slice_ms)
-        return iter(())
+        self.timers: set[int] = set()
+
+    def frame(self, out: list[tuple]) -> pd.DataFrame:
+        return super().frame(out).astype({"slot": "int32"})
+
+    def step(self, owner, kept, first, rows, mark) -> tuple[list, list[tuple]]:
+        memory, latest = kept or ([], None)
+        out = []
+        for found in rows:
+            row = [found["time_stamp"], found["event_id"], found["novel"], found.get("violations")]
+            if self.idle_ms is not None and latest is not None and row[0] - latest >= self.idle_ms:
+                memory = []
+            memory, latest = [*memory, row][-self.n:], row[0]
+            rate = sum(r[2] for r in memory) / float(self.n)
+            if len(memory) == self.n and rate > self.rate_threshold:
+                out += [(owner, *record) for record in self._records(row, rate, memory)]
+        if self.idle_ms is not None:
+            self.timers.add(self._idle_at(latest))
+        return [memory[-(self.n - 1):] if self.n > 1 else [], latest], out
+
+    def wake(self) -> None:
+        for at in self.timers:
+            self.handle.registerTimer(at)
+        self.timers = set()
+
+    def _idle_at(self, latest: int) -> int:
+        """The end of the slice in which a user becomes idle: earlier rows have all come by then."""
+        return ((latest + self.idle_ms) // self.slice_ms + 1) * self.slice_ms
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         mark = timerValues.getCurrentWatermarkInMs()
-        waiting = sorted(s for (s,) in self.slices.keys())
-        due = [s for s in waiting if (s + 1) * self.slice_ms <= mark]
-        if due and len(due) < len(waiting):
-            self.handle.registerTimer((waiting[len(due)] + 1) * self.slice_ms)
-        kept, latest = self.memory.get() if self.memory.exists() else ("[]", None)
-        memory, out = json.loads(kept), []
-        for at in due:
-            for row in sorted(json.loads(self.slices.getValue((at,))[0])):
-                if self.idle_ms is not None and latest is not None and row[0] - latest >= self.idle_ms:
-                    memory = []
-                memory, latest = [*memory, row][-self.n:], row[0]
-                rate = sum(r[2] for r in memory) / float(self.n)
-                if len(memory) == self.n and rate > self.rate_threshold:
-                    out += self._records(row, rate, memory)
-            self.slices.removeKey((at,))
-        if due:
-            self.memory.update((json.dumps(memory[-(self.n - 1):] if self.n > 1 else []), latest))
-            if self.idle_ms is not None:
-                self.handle.registerTimer(latest + self.idle_ms)
-        elif self.idle_ms is not None and latest is not None and mark >= latest + self.idle_ms and not waiting:
-            self.memory.clear()
-        if out:
-            frame = pd.DataFrame(out, columns=["time_stamp", "event_id", "novel_rate", "novel", "point_time_stamp", "point_event_id", "slot", "in_events", "out_event", "result_percentage"])
-            frame.insert(0, "user_id", key[0])
-            yield frame.astype({"slot": "int32"})
+        # a user with later rows has a later timer
+        for at in [at for at, (kept,) in self.memory.iterator() if self._idle_at(json.loads(kept)[1]) <= mark]:
+            self.memory.removeKey(at)
+        return iter(())
 
     @staticmethod
     def _records(row: list, rate: float, memory: list) -> list[tuple]:
@@ -153,9 +105,6 @@ class NoveltyPoints(StatefulProcessor):
             for t, e, _, found in memory for slot, v in enumerate(json.loads(found))
         ]
 
-    def close(self) -> None:
-        pass
-
 
 def novelty_points_stream(stream: DataFrame, n: int, rate_threshold: float, slice_ms: int, idle_ms: int | None = None) -> DataFrame:
     """For each alarmed row the violations of its last ``n`` rows, itself among them.
@@ -165,8 +114,9 @@ def novelty_points_stream(stream: DataFrame, n: int, rate_threshold: float, slic
     otherwise a gap of that length starts the user anew. Ids of table rows come from ``point_rows``.
     """
     rows = stream.select("user_id", "time_stamp", "event_id", "novel", F.to_json("violations").alias("violations"), "event_time")
-    return rows.groupBy("user_id").transformWithStateInPandas(
-        NoveltyPoints(n, rate_threshold, slice_ms, idle_ms), POINTS, "Append", "EventTime")
+    return by_owner(
+        rows, "user_id", [], ["time_stamp", "event_id"], ["novel", "violations"], slice_ms,
+        NoveltyPoints(n, rate_threshold, slice_ms, idle_ms), POINTS)
 
 
 def point_rows(points: DataFrame) -> DataFrame:

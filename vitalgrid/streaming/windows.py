@@ -18,6 +18,19 @@ def _number(width_ms: int):
     return F.floor(F.unix_millis("_w.start") / F.lit(width_ms)).cast("bigint").alias("window")
 
 
+def closed_slices(stream: DataFrame, keys: list[str], order: list[str], carried: list[str], width_ms: int) -> DataFrame:
+    """(keys, ``slice``, ``rows``, ``event_time``): the rows of each key and slice of time, once, when the
+    watermark has passed the slice's end.
+
+    ``rows`` is a JSON array of objects with ``order`` and ``carried``, sorted by them; null fields are left
+    out. The rows wait in Spark's own aggregation state, so a keyed processor behind this meets one row per
+    slice, slices of a key never come out of order, and it keeps only what outlives a slice.
+    """
+    body = F.struct(*order, *carried)
+    cut = _keyed_by_window(stream, width_ms).groupBy(*keys, "_w").agg(F.sort_array(F.collect_list(body)).alias("_rows"))
+    return cut.select(*keys, _number(width_ms).alias("slice"), F.to_json("_rows").alias("rows"), F.window_time("_w").alias("event_time"))
+
+
 def axis_features(stream: DataFrame, keys: list[str], width_ms: int) -> DataFrame:
     """Twelve features over the distinct readings of each window. ``stream`` carries
     ``event_time`` with a watermark; the window in the key bounds the state."""
