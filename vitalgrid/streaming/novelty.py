@@ -28,12 +28,12 @@ class TrailingRate(OwnerProcessor):
 
     def step(self, owner, kept, first, rows, mark) -> tuple[list, list[tuple]]:
         memory, due = kept or [], list(rows)
-        flags = np.array(memory + [r["novel"] for r in due], dtype=np.int64)
+        flags = np.array(memory + [bool(r.get("novel")) for r in due], dtype=np.int64)
         total = np.concatenate([[0], np.cumsum(flags)])
         at = np.arange(len(memory), len(flags)) + 1
         rate = (total[at] - total[np.maximum(at - self.n, 0)]) / float(self.n)
         rates = [float(v) if full else None for v, full in zip(rate, at >= self.n)]
-        out = [(owner, r["time_stamp"], r["event_id"], r["novel"], v, v is not None and v > self.rate_threshold)
+        out = [(owner, r["time_stamp"], r["event_id"], bool(r.get("novel")), v, v is not None and v > self.rate_threshold)
                for r, v in zip(due, rates)]
         return flags[max(0, len(flags) - (self.n - 1)):].tolist(), out
 
@@ -71,7 +71,7 @@ class NoveltyPoints(OwnerProcessor):
         memory, latest = kept or ([], None)
         out = []
         for found in rows:
-            row = [found["time_stamp"], found["event_id"], found["novel"], found.get("violations")]
+            row = [found["time_stamp"], found["event_id"], bool(found.get("novel")), found.get("violations")]
             if self.idle_ms is not None and latest is not None and row[0] - latest >= self.idle_ms:
                 memory = []
             memory, latest = [*memory, row][-self.n:], row[0]
