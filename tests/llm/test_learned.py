@@ -5,12 +5,15 @@ import re
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import pytest
 from pyspark.sql import functions as F
 
 from tests.llm.conftest import rows_of
 from vitalgrid.llm import language_model, pieces, pii, quality_classifier, toxicity
 from vitalgrid.llm.queries import model_path
+from vitalgrid.llm.words import Words
 
 SF = "/root/testdata/sf0.01"
 PATTERNS = {
@@ -142,6 +145,41 @@ def test_gradient_rounds_meet_all_training_text(frame, odd_rows, monkeypatch):
     assert sum(s[-1] for s in sums[1:] if len(s)) == got[0]["train_tokens"]  # the first sum is of the counts
 
 
+def test_every_pair_of_words_keeps_its_own_counts(spark):
+    """What follows depends on both words before and on neither alone; there are far more pairs than any fixed table holds."""
+    word = lambda n, of: F.concat(F.lit(of), F.pmod(n, F.lit(200)).cast("string"))
+    pairs = spark.range(20_000).withColumn("yes", F.xxhash64("id") % 2 == 0)
+    text = lambda yes: F.concat_ws(" ", word(F.col("id"), "a"), word(F.floor(F.col("id") / 200), "b"), F.when(yes, "yes").otherwise("no")).alias("text")
+    docs = [pairs.select((F.col("id") + 20_000 * k).alias("doc_id"), text(F.col("yes") if k < 3 else ~F.col("yes"))) for k in range(4)]
+    out = language_model.score_texts(docs[0].union(docs[1]).union(docs[2]).union(docs[3]), F.col("doc_id") < 40_000).where("doc_id >= 40000")
+    apart = out.groupBy((F.col("doc_id") % 20_000).alias("id")).agg(F.max_by("doc_id", "score").alias("best"))
+    assert apart.where("best < 60000").count() > 19_000
+
+
+def test_followers_are_counted_over_all_chunks():
+    texts = [["a b a b c", "c a b", None], ["a b d", "", "e f a b a"]]
+    train = [np.array([True, False, True]), np.array([True, True, True])]
+    want, met = Counter(), []
+    for chunk, own in zip(texts, train, strict=True):
+        words = Words(pa.array(chunk, pa.string()), lower=True)
+        met.append(language_model._examples(words, words.hashes.astype(np.int64) % 20 + 1))
+        for keys in met[-1].keys:
+            want.update(zip(keys[own[met[-1].text]].tolist(), met[-1].kind[own[met[-1].text]].tolist(), strict=True))
+    sent = pa.concat_tables([
+        language_model._sent(i, np.unique(np.array([7, 1 << 63], np.uint64)), *language_model._features(e, own), 3) for i, (e, own) in enumerate(zip(met, train, strict=True))])
+    got = {}
+    for bucket in range(8):
+        rows = sent.filter(pc.equal(sent["bucket"], bucket))
+        for chunk, *answer in zip(rows["chunk"].to_pylist(), rows["keys"].to_pylist(), *language_model._totals(rows), strict=True):
+            got.setdefault(chunk, []).append(answer)
+    for i, e in enumerate(met):
+        answers = pa.table(dict(zip(("features", "followers", "packed"), map(list, zip(*got[i], strict=True)), strict=True)))
+        followers, kind, n = language_model._answered(answers)
+        keys = np.unique(np.concatenate(e.keys))
+        assert dict(zip(zip(np.repeat(keys, followers).tolist(), kind.tolist(), strict=True), n.tolist(), strict=True)) == {
+            k: c for k, c in want.items() if k[0] in set(keys.tolist())}
+
+
 def test_language_model_beats_single_words(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     held = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 10 == 0
