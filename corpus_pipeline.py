@@ -69,7 +69,8 @@ def encode_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
     A null text is an empty one, without pieces; rows without an id and repeated rows are encoded each.
     """
-    out = pieces.decode(pieces.encode(docs, model_path(), keep_text=True), model_path())
+    # in one pass: two would keep two workers per core, whose memory lasts into the next stages
+    out = pieces.encode(docs, model_path(), keep_text=True, decoded=True)
     return out.select(
         "doc_id", "ids", "ends", F.size("ids").cast("long").alias("n_tokens"),
         (F.col("decoded") == F.coalesce("text", F.lit(""))).alias("round_trip"))

@@ -5,13 +5,16 @@ import re
 from collections import defaultdict
 
 import pytest
+from pyspark.sql import functions as F
 
 from tests.llm.conftest import rows_of
+from vitalgrid.llm import decontaminate
 from vitalgrid.llm.decontaminate import phrase_matches, proximity_matches
 from vitalgrid.llm.ngram_join import Measure, jaccard_components, jaccard_links
 from vitalgrid.llm.quality_rules import STOP_WORDS, quality_rules
 from vitalgrid.llm.sharding import histogram_shards
 from vitalgrid.llm.substring_dedup import COVER, PERIOD, repeated_passages
+from vitalgrid.session import stored
 
 
 def split(text):
@@ -251,6 +254,23 @@ def test_phrase_matches(spark, frame, odd_rows):
     assert phrase_matches(frame([]), bench).collect() == []
 
 
+def test_postings_are_dealt_before_they_are_moved(spark, frame, monkeypatch):
+    """A task moves a bounded number of postings, also where a row is repeated many times, and its moved places are not shuffled again."""
+    monkeypatch.setattr(decontaminate, "TASK_POSTINGS", 50)
+    text = " ".join(f"w{i % 40}" for i in range(60))
+    docs = frame(rows_of([text, "pad " + text]) + rows_of(["again " + text], start=9) * 30)
+    windows = decontaminate.benchmark_windows(spark.createDataFrame([(1, text)], "item_id long, text string"))
+    counts = decontaminate.term_counts(docs, windows.select(F.explode("words").alias("term")))
+    places = stored(decontaminate.rarest_terms(windows, counts), "places")
+    index = decontaminate.build_index(docs, places)
+    met = decontaminate.intersect(index, places)
+    plan = met._jdf.queryExecution().executedPlan().toString()
+    assert re.search(r"hashpartitioning\(row#\d+L, (\d+)\)", plan)[1] == str(index.count() // 50 + 1)
+    assert len(re.findall(r"hashpartitioning\(.*start", plan)) == 1  # of the windows found, for copies of a row
+    starts = sorted((r["doc"], r["start"]) for r in met.join(windows, "win").collect())
+    assert len(starts) == len(set(starts)) >= 3 * 51 and len({d for d, _ in starts}) == 3
+
+
 def test_proximity_matches(spark, frame):
     docs = frame(rows_of(["zulu yankee other words xray", "zulu " + "pad " * 50 + "yankee", "nothing", None]))
     bench = spark.createDataFrame([(1, "Xray yankee zulu")], "item_id long, text string")

@@ -51,6 +51,11 @@ def test_run(spark):
     assert cp.encode_pieces(spark, docs.limit(0), SF).count() == 0
 
 
+def test_pieces_take_one_worker(spark, frame, odd_rows):
+    plan = cp.encode_pieces(spark, frame(odd_rows), SF)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("MapInArrow") == 1
+
+
 def test_empty_table(spark, frame):
     for _, stage in cp.STAGES:
         assert stage(spark, frame([]).select(*cp.COLUMNS), SF).count() == 0

@@ -15,10 +15,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from vitalgrid.functions.scalars import once
+from vitalgrid.operators.joins import holds_at_most
 from vitalgrid.session import stored
 
 WINDOW = 10
 LISTS = 3
+TASK_POSTINGS = 100_000  # postings that one task moves and intersects
+BROADCAST_ROWS = 500_000
 
 
 def words_of(text: str | Column) -> Column:
@@ -46,14 +49,15 @@ def benchmark_windows(items: DataFrame, size: int = WINDOW, key: str = "item_id"
 
 
 def tokens(docs: DataFrame) -> DataFrame:
-    """Every word of every document: (doc, pos, term), places from 0."""
-    return _texts(docs).select("doc", F.posexplode("words").alias("pos", "term"))
+    """Every word of every document: (doc, row, pos, term), places from 0. ``row`` tells repeated rows of one ``doc`` apart."""
+    rows = docs.select("doc_id", "text", F.monotonically_increasing_id().alias("row"))
+    return _texts(rows, "row").select("doc", "row", F.posexplode("words").alias("pos", "term"))
 
 
 def build_index(docs: DataFrame, terms: DataFrame) -> DataFrame:
     """Postings of the given terms, stored in the shared folder. A term held by many documents is many rows, in many files."""
     wanted = stored(terms.select("term").distinct(), "index-terms")
-    return stored(tokens(docs).join(wanted, "term").select("term", "doc", "pos"), "postings")
+    return stored(tokens(docs).join(wanted, "term").select("term", "doc", "row", "pos"), "postings")
 
 
 def term_counts(docs: DataFrame, terms: DataFrame) -> DataFrame:
@@ -75,10 +79,18 @@ def rarest_terms(windows: DataFrame, counts: DataFrame, lists: int = LISTS) -> D
 
 
 def intersect(index: DataFrame, places: DataFrame) -> DataFrame:
-    """(doc, win, start) where the lists of all chosen terms of a window meet at one start."""
+    """(doc, win, start) where the lists of all chosen terms of a window meet at one start.
+
+    ``index`` and ``places`` are stored tables. The postings, not the many more places they are moved to, are
+    dealt by their document's row, in parts small enough that a task's moved places take little memory.
+    """
+    if holds_at_most(places, BROADCAST_ROWS):
+        parts = min(20_000, index.count() // TASK_POSTINGS + 1)
+        index, places = index.repartition(parts, "row"), F.broadcast(places)
     moved = index.join(places, "term").where(F.col("pos") >= F.col("offset")).select(
-        "doc", "win", (F.col("pos") - F.col("offset")).alias("start"), "lists")
-    return moved.groupBy("doc", "win", "start").agg(F.count("*").alias("n"), F.first("lists").alias("lists")).where("n >= lists").drop("n", "lists")
+        "doc", "row", "win", (F.col("pos") - F.col("offset")).alias("start"), "lists")
+    met = moved.groupBy("row", "doc", "win", "start").agg(F.count("*").alias("n"), F.first("lists").alias("lists")).where("n >= lists")
+    return met.select("doc", "win", "start").distinct()
 
 
 def phrase_matches(docs: DataFrame, items: DataFrame, size: int = WINDOW, lists: int = LISTS, keep: Sequence[str] = ()) -> DataFrame:
