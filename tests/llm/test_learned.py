@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tests.llm.conftest import rows_of
-from vitalgrid.llm import language_model, pieces, pii, quality_classifier, toxicity
+from vitalgrid.llm import exchange, language_model, pieces, pii, quality_classifier, toxicity
 from vitalgrid.llm.queries import model_path
 from vitalgrid.llm.words import Words
 
@@ -145,6 +145,65 @@ def test_gradient_rounds_meet_all_training_text(frame, odd_rows, monkeypatch):
     assert sum(s[-1] for s in sums[1:] if len(s)) == got[0]["train_tokens"]  # the first sum is of the counts
 
 
+def test_words_are_learned_in_rounds_over_all_text(frame, odd_rows, monkeypatch):
+    """Beside plain loops over every context, whatever the numbers of chunks and cells."""
+    models, learn = [], language_model.learn
+    monkeypatch.setattr(language_model, "learn", lambda *a: models.append(learn(*a)) or models[-1])
+    train = F.col("doc_id") != 13
+    got = [language_model.score_texts(frame(odd_rows), train, sizes).collect() for sizes in (exchange.Sizes(3, 1), exchange.Sizes(8, 5))]
+    model, texts, contexts = models[0], [], {}
+    kinds = {None: 0}
+    for r in odd_rows:
+        words = [w.lower() for w in (r[1] or "").encode().split()]
+        for w in set(words) - set(kinds):
+            one = Words(pa.array([w.decode()]), lower=True)
+            kinds[w] = int(model.classes.of(one, language_model._endings(one))[0])
+        before = [("", language_model.CLASSES)] * 2 + [(w, kinds[w]) for w in words]
+        texts.append((r[0], words, [*zip(before[1:], before[:-1], [*words, None], strict=True)]))
+        for one, two, w in texts[-1][2]:
+            contexts.setdefault((one, two), Counter())[kinds[w]] += r[0] not in (13, None)
+    count = {}
+    for both, n in contexts.items():
+        for key in enumerate(both):
+            count.setdefault(key, Counter()).update(n)
+    start = lambda g, k, c, n: language_model.SCALE[g] * math.log1p(
+        language_model._count(language_model._byte(np.array([n])))[0] / (5 * model.shares[language_model.PAIRS + g * (language_model.CLASSES + 1) + k, c]))
+    weights = {(g, (w, k)): {c: start(g, k, c, n) for c, n in cs.items() if n} for (g, (w, k)), cs in count.items()}
+
+    def shares(one, two):
+        z = np.log(model.shares[one[1] * (language_model.CLASSES + 1) + two[1]])
+        for key in enumerate((one, two)):
+            for c, x in weights[key].items():
+                z[c] += x
+        p = np.exp(z) / np.exp(z).sum() * language_model.PAIR_PRIOR
+        for c, n in contexts[one, two].items():
+            p[c] += n
+        return p / p.sum()
+
+    def scores():
+        own = lambda w: math.log10((sum(n for (g, (v, _)), cs in count.items() if g == 0 and v == w for n in cs.values()) if w else model.texts) + 0.1)
+        each, inside = {both: np.log10(shares(*both)) for both in contexts}, {w: own(w) for w in kinds}
+        return sorted((repr(d), len(t), sum(each[one, two][kinds[w]] + inside[w] - model.classes.mass[kinds[w]] for one, two, w in t)) for d, _, t in texts)
+
+    def apart(rows, plain):
+        rows = sorted((repr(r["doc_id"]), r["n_tokens"], r["score"]) for r in rows)
+        assert [r[:2] for r in rows] == [r[:2] for r in plain]
+        return max(abs(a[2] - b[2]) / a[1] for a, b in zip(rows, plain, strict=True))
+
+    at_start = scores()
+    for _ in range(language_model.ROUNDS):
+        expect = {key: np.zeros(language_model.CLASSES) for key in weights}
+        for both, n in contexts.items():
+            p = shares(*both) * sum(n.values())
+            for key in enumerate(both):
+                expect[key] += p
+        for key, row in weights.items():
+            for c in row:
+                row[c] += language_model.STEP * math.log((count[key][c] + language_model.DAMP) / (expect[key][c] + language_model.DAMP))
+    plain = scores()
+    assert max(apart(rows, plain) for rows in got) < 0.005 < 0.02 < min(apart(rows, at_start) for rows in got)
+
+
 def test_every_pair_of_words_keeps_its_own_counts(spark):
     """What follows depends on both words before and on neither alone; there are far more pairs than any fixed table holds."""
     word = lambda n, of: F.concat(F.lit(of), F.pmod(n, F.lit(200)).cast("string"))
