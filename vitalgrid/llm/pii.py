@@ -277,7 +277,8 @@ def fit(docs: DataFrame, rounds: int = ROUNDS) -> Selector:
 
 
 def _thresholds(held: DataFrame, model: Selector) -> tuple[float | None, ...]:
-    """Per generator the least margin from which on held-out candidates are right often enough."""
+    """Per generator the least margin from which on held-out candidates are right often enough; without ``n`` each row is one candidate."""
+    held = held if "n" in held.columns else held.withColumn("n", F.lit(1))
     margin = F.floor(model.margin(F.col("bins")) * 4) / 4
     got = held.select(F.get("bins", 0).alias("k"), margin.alias("m"), (F.col("y") * F.col("n")).alias("y"), "n").groupBy("k", "m").agg(F.sum("y").alias("y"), F.sum("n").alias("n")).collect()
     out: list[float | None] = []

@@ -67,6 +67,11 @@ def align_epochs(events: pd.DataFrame, sensors: list[str], reference: str, step_
     return pd.concat(out, ignore_index=True)[columns]
 
 
+def align_epoch(events: pd.DataFrame, sensors: list[str], reference: str, step_ms: int) -> pd.DataFrame:
+    """As ``align_epochs``, for one epoch whose events have no userid and epoch."""
+    return align_epochs(events.assign(userid="", epoch=0), sensors, reference, step_ms).drop(columns=["userid", "epoch"])
+
+
 def align_stream(
     stream: DataFrame, sensors: list[str], reference: str, step_ms: int, epoch_ms: int, payload: str | None = None
 ) -> DataFrame:
