@@ -187,8 +187,8 @@ class LiveAligner(OwnerProcessor):
         for anchor, sensor, *event in out:
             partial.setdefault(str(anchor), {})[sensor] = event
         ready = sorted(int(a) for a, v in partial.items() if len(v) == len(self.sensors))
-        event_time = pd.Timestamp(mark, unit="ms")
-        done = [(owner, a, json.dumps(partial.pop(str(a))), event_time) for a in ready]
+        # not late, as the slice has just closed, and never behind the last mark, as the watermark itself would be
+        done = [(owner, a, json.dumps(partial.pop(str(a))), self.until) for a in ready]
         return [walk.kept(), partial], done
 
 

@@ -24,6 +24,7 @@ class OwnerProcessor(StatefulProcessor):
     """``step`` turns an owner's memory and its closed slices into rows and the next memory, both JSON values."""
 
     columns: list[str]
+    until: pd.Timestamp | None = None  # the end of the last slice that ``step`` is given
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
@@ -49,7 +50,7 @@ class OwnerProcessor(StatefulProcessor):
         for owner, slices in owners.items():
             slices.sort(key=lambda s: s.slice)
             at = (json.dumps(owner),)
-            held = self.memory.getValue(at)
+            held, self.until = self.memory.getValue(at), getattr(slices[-1], "event_time", None)
             kept, new = self.step(
                 owner, json.loads(held[0]) if held else None, slices[0], (r for s in slices for r in json.loads(s.rows)), mark)
             text = json.dumps(kept)
